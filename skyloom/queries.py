@@ -1,0 +1,6 @@
+"""All registered queries of the engine and their oracle SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
