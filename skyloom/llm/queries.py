@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyloom.llm.language import op5_language
 from skyloom.llm.media import op3_media
+from skyloom.llm.packing import op6_packing
 from skyloom.llm.quality import op4_quality
 from skyloom.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media": op3_media,
     "op4_quality": op4_quality,
+    "op5_language": op5_language,
+    "op6_packing": op6_packing,
     "op9_toxicity": op9_toxicity,
 }
 
