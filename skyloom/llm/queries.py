@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.llm.language import op5_language
 from skyloom.llm.media import op3_media
+from skyloom.llm.ngram_join import ORACLE as OP1_ORACLE, op1_ngram_join
 from skyloom.llm.packing import op6_packing
 from skyloom.llm.quality import op4_quality
 from skyloom.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_media": op3_media,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
@@ -20,4 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ngram_join": OP1_ORACLE,
+}
