@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyloom.llm.katz import op10_katz
 from skyloom.llm.language import op5_language
 from skyloom.llm.media import op3_media
 from skyloom.llm.ngram_join import ORACLE as OP1_ORACLE, op1_ngram_join
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_packing": op6_packing,
     "op9_toxicity": op9_toxicity,
+    "op10_katz": op10_katz,
 }
 
 ORACLES: dict[str, str] = {
