@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyloom.llm.decontaminate import ORACLE as OP7_ORACLE, op7_decontamination
 from skyloom.llm.katz import op10_katz
 from skyloom.llm.language import op5_language
 from skyloom.llm.media import op3_media
@@ -20,10 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_packing": op6_packing,
+    "op7_decontamination": op7_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_katz": op10_katz,
 }
 
 ORACLES: dict[str, str] = {
     "op1_ngram_join": OP1_ORACLE,
+    "op7_decontamination": OP7_ORACLE,
 }
