@@ -12,11 +12,13 @@ from skyloom.llm.language import op5_language
 from skyloom.llm.media import op3_media
 from skyloom.llm.ngram_join import ORACLE as OP1_ORACLE, op1_ngram_join
 from skyloom.llm.packing import op6_packing
+from skyloom.llm.pii import op2_pii
 from skyloom.llm.quality import op4_quality
 from skyloom.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_pii": op2_pii,
     "op3_media": op3_media,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
