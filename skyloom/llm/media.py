@@ -365,9 +365,8 @@ def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def inspect_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "thumbnail_hash"]
     for batch in textnum.slices(batches, "media", 1 << 19):
-        media = batch.column(2).cast(pa.large_binary())
-        offsets = np.frombuffer(media.buffers()[1], np.int64)[media.offset : media.offset + len(media) + 1]
-        data = media.buffers()[2].to_pybytes()
+        values, offsets = textnum.string_buffer(batch.column(2), pa.large_binary())
+        data, media = values.tobytes(), batch.column(2)
         frames = [f for k in range(len(media)) for f in _parse_own(data, int(offsets[k]), int(offsets[k + 1]), k)]
         thumbnails = decode_dc(data, frames)
         rows: list[list] = [[] for _ in range(8)]

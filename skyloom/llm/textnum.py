@@ -52,14 +52,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pows["p"][:n], _pows["q"][:n]
 
 
-def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and document offsets (n + 1) of a string column; null is empty."""
+def string_buffer(column: pa.Array, kind: pa.DataType | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets (n + 1) of a string column, or of a binary one with kind; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
+        column = column.fill_null("" if kind is None else b"")
+    column = column.cast(kind or pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
