@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -59,3 +60,27 @@ def cut_by(df: DataFrame, key: str, label: str) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
     return spark.table(name)
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the jobs that run inside; what was set before comes back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: For rows that are large arrays: only a few of them in memory at a time.
+FEW_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}
+
+
+def without(docs: DataFrame, ids: DataFrame, most: int = 200_000) -> DataFrame:
+    """docs but for the rows whose doc_id is in ids; up to ``most`` ids are broadcast, more are shuffled."""
+    gone = ids.select(F.col("doc_id").alias("__gone"))
+    few = gone.count() <= most
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["__gone"], "left_anti")

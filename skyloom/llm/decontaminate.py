@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import cut, documents, slim, table
+from skyloom.llm.common import cut, documents, slim, table, without
 
 NGRAM, SIMILARITY, RADIUS = 5, 0.8, 19
 #: First bit and width of each block; the ten together are the 64 bits.
@@ -123,9 +123,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that contain no benchmark item."""
-    found = matches(docs, benchmark).select(F.col("doc_id").alias("found")).distinct()
-    return docs.join(found, docs["doc_id"] == found["found"], "left_anti")
+    """The documents that contain no benchmark item, with all columns."""
+    return without(docs, cut(matches(docs, benchmark).select("doc_id").distinct(), "contaminated"))
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

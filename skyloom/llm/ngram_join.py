@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import textnum
-from skyloom.llm.common import cut, documents, slim
+from skyloom.llm.common import cut, documents, slim, without
 from skyloom.llm.components import connected_components
 
 NGRAM, BANDS, ROWS = 5, 40, 6
@@ -208,10 +208,16 @@ def similar_classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay: the one with the least doc_id of each class."""
-    classes = similar_classes(docs)
-    gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """The documents that stay: the one with the least doc_id of each class, with all columns.
+
+    Rows without an id stay; of rows with one id and text, one stays.
+    """
+    classes = cut(similar_classes(docs), "classes-of-documents")
+    gone = without(docs, classes.where("class_id <> doc_id").select("doc_id"))
+    again = classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
+    if again.isEmpty():
+        return gone
+    return without(gone, again).unionByName(gone.join(again, "doc_id", "left_semi").select(*gone.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

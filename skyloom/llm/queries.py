@@ -14,6 +14,7 @@ from skyloom.llm.ngram_join import ORACLE as OP1_ORACLE, op1_ngram_join
 from skyloom.llm.packing import op6_packing
 from skyloom.llm.pii import op2_pii
 from skyloom.llm.quality import op4_quality
+from skyloom.llm.rollup import op8_token_counts
 from skyloom.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
+    "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_katz": op10_katz,
 }

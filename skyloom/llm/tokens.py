@@ -12,10 +12,10 @@ from array import array
 VOCABULARY = "byte_bpe_50k"
 
 
-def rank_file() -> str:
+def rank_file(vocabulary: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(f"{VOCABULARY}.tiktoken")
+    return public_tokenizers.path(f"{vocabulary}.tiktoken")
 
 
 def encoder(path: str):
