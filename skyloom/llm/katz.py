@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import textnum
-from skyloom.llm.common import cut, cut_by, documents, fold, slim
+from skyloom.llm.common import FEW_ROWS, cut, cut_by, documents, fold, settings, slim
 
 K = 5  # counts above it are not discounted
-CHUNK_BYTES = 10 << 20
-WORDS_PER_OWNER, PAIRS_PER_OWNER = 2_000_000, 1_500_000
+CHUNK_BYTES = 5 << 20
+WORDS_PER_OWNER, PAIRS_PER_OWNER = 1_000_000, 750_000
 END = np.uint64(2)  # hash of the end token
 NO_WORD, START = np.uint64(2**64 - 1), np.uint64(2**64 - 2)  # numbers of an unknown word and of a text's start
 
@@ -294,21 +294,22 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rows = slim(docs, "doc_id", "text").select("doc_id", "text", F.coalesce(fold("doc_id", 7) != 2, F.lit(False)).alias("train"))
     chunks = cut_by(chunk_documents(rows), "chunk", "chunks")
     size = chunks.select(F.coalesce(F.sum(F.length("vocabulary") / 8), F.lit(0)).alias("words"), F.coalesce(F.sum(F.length("tokens") / 4), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.length(F.expr("replace(hex(train), '00', '')")) / 2), F.lit(0)).alias("texts")).first()
-    texts = int(size.texts)
-    word_replies = cut(ask_words(chunks, max(4, int(size.words // WORDS_PER_OWNER) + 1)), "words", "zstd")
-    total, types, *n = _summed(word_replies, 2 + K + 1)
-    unigrams = Unigrams(int(total), int(types), [0, *n])
-    by_chunk = word_replies.where("kind = 1").groupBy("chunk").agg(F.collect_list(F.struct("owner", "a", "b")).alias("words"))
-    joined = chunks.join(by_chunk, "chunk")
-    owners = max(4, int(size.tokens // PAIRS_PER_OWNER) + 1)
-    asked = joined.select("chunk", "train", "sizes", "tokens", "words")
-    pair_replies = cut(ask_pairs(asked, int(total), texts, owners, unigrams), "pairs", "zstd")
-    d = discounts([0, *_summed(pair_replies, K + 1)])
-    hot = pair_replies.where("kind = 2").groupBy("chunk").agg(F.array(*[F.sum(F.col("stats")[k]) for k in range(K + 1)]).alias("stats"))
-    spread = {r.chunk: r.stats for r in hot.collect()}  # words with over 1 / (4 * owners) of all tokens: at most 4 * owners
-    pairs = pair_replies.where("kind = 1").groupBy("chunk").agg(F.collect_list(F.struct("owner", "a", "b")).alias("pairs"))
-    answered = joined.join(pairs, "chunk", "left").select("chunk", "ids", "train", "sizes", "tokens", "words", F.coalesce("pairs", F.array().cast("array<struct<owner:int,a:binary,b:binary>>")).alias("pairs"))
-    return evaluate(answered, int(total), texts, owners, unigrams, d, spread)
+    with settings(docs.sparkSession, FEW_ROWS):
+        texts = int(size.texts)
+        word_replies = cut(ask_words(chunks, max(4, int(size.words // WORDS_PER_OWNER) + 1)), "words", "zstd")
+        total, types, *n = _summed(word_replies, 2 + K + 1)
+        unigrams = Unigrams(int(total), int(types), [0, *n])
+        by_chunk = word_replies.where("kind = 1").groupBy("chunk").agg(F.collect_list(F.struct("owner", "a", "b")).alias("words"))
+        joined = chunks.join(by_chunk, "chunk")
+        owners = max(4, int(size.tokens // PAIRS_PER_OWNER) + 1)
+        asked = joined.select("chunk", "train", "sizes", "tokens", "words")
+        pair_replies = cut(ask_pairs(asked, int(total), texts, owners, unigrams), "pairs", "zstd")
+        d = discounts([0, *_summed(pair_replies, K + 1)])
+        hot = pair_replies.where("kind = 2").groupBy("chunk").agg(F.array(*[F.sum(F.col("stats")[k]) for k in range(K + 1)]).alias("stats"))
+        spread = {r.chunk: r.stats for r in hot.collect()}  # words with over 1 / (4 * owners) of all tokens: at most 4 * owners
+        pairs = pair_replies.where("kind = 1").groupBy("chunk").agg(F.collect_list(F.struct("owner", "a", "b")).alias("pairs"))
+        answered = joined.join(pairs, "chunk", "left").select("chunk", "ids", "train", "sizes", "tokens", "words", F.coalesce("pairs", F.array().cast("array<struct<owner:int,a:binary,b:binary>>")).alias("pairs"))
+        return cut(evaluate(answered, int(total), texts, owners, unigrams, d, spread), "scores")
 
 
 def _summed(replies: DataFrame, n: int) -> list[float]:
