@@ -16,6 +16,35 @@ from pyspark.sql import functions as F
 from skyloom.functions import missing, sphere
 
 
+def centres(pixel: np.ndarray, nside: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longitude and latitude of ring pixels' centres."""
+    p, npix, ncap = pixel.astype(np.int64), 12 * nside * nside, 2 * nside * (nside - 1)
+
+    def ring(q: np.ndarray) -> np.ndarray:
+        i = ((1 + np.sqrt(1 + 2.0 * np.maximum(q, 0))) / 2).astype(np.int64)
+        i -= 2 * i * (i - 1) > q
+        return np.maximum(i + (2 * i * (i + 1) <= q), 1)
+
+    north, south = p < ncap, p >= npix - ncap
+    i, j = ring(p), ring(npix - 1 - p)
+    belt = p - ncap
+    k = belt // (4 * nside) + nside
+    z = np.where(north, 1 - i**2 / (3.0 * nside**2), np.where(south, j**2 / (3.0 * nside**2) - 1, (2 * nside - k) * 2 / (3.0 * nside)))
+    turn = np.where(north, (p - 2 * i * (i - 1) + 0.5) / i, np.where(south, (4 * j - (npix - 1 - p - 2 * j * (j - 1)) - 0.5) / j, (belt % (4 * nside) + np.where((k + nside) % 2 == 0, 0.5, 0.0)) / nside))
+    return np.mod(turn * 90.0, 360.0), np.degrees(np.arcsin(np.clip(z, -1, 1)))
+
+
+def pixel_grid(spark: SparkSession, nside: int) -> DataFrame:
+    """Every pixel with its centre: ipix, lon, lat."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lon, lat = centres(batch["id"].to_numpy(), nside)
+            yield pd.DataFrame({"ipix": batch["id"], "lon": lon, "lat": lat})
+
+    return spark.range(12 * nside * nside).mapInPandas(run, "ipix long, lon double, lat double")
+
+
 def density(df: DataFrame, nside: int, lon: str, lat: str, weight: str | None = None, empty: str = "unobserved") -> DataFrame:
     """One row per pixel: ipix, count (or summed weight), lon, lat, coverage.
 
@@ -27,10 +56,9 @@ def density(df: DataFrame, nside: int, lon: str, lat: str, weight: str | None =
     good = missing.is_finite(F.col(lon)) & missing.is_finite(F.col(lat)) & F.col(lat).between(-90, 90)
     value = F.count(F.lit(1)).cast("double") if weight is None else F.sum(F.coalesce(missing.finite_or_null(F.col(weight)), F.lit(0.0)))
     counts = df.where(good).groupBy(sphere.pixel_of(F.col(lon), F.col(lat), nside).alias("ipix")).agg(value.alias("count"))
-    grid = df.sparkSession.range(12 * nside * nside).withColumnRenamed("id", "ipix")
-    x, y = sphere.pixel_centre(F.col("ipix"), nside)
+    grid = pixel_grid(df.sparkSession, nside)
     covered = F.lit(1.0) if empty == "observed" else F.when(F.col("count").isNotNull(), 1.0).otherwise(0.0)
-    return grid.join(counts, "ipix", "left").select("ipix", F.coalesce("count", F.lit(0.0)).alias("count"), x.alias("lon"), y.alias("lat"), covered.alias("coverage"))
+    return grid.join(counts, "ipix", "left").select("ipix", F.coalesce("count", F.lit(0.0)).alias("count"), "lon", "lat", covered.alias("coverage"))
 
 
 def mask(maps: DataFrame, gal_lat_min: float | None = None, ecl_lat_min: float | None = None, dec_range: tuple[float, float] | None = None, min_count: float | None = None, frame: str = "icrs") -> DataFrame:
@@ -59,12 +87,14 @@ def _moments(maps: DataFrame, basis: list[Column], keys: list[str] = [], times:
     pixel, as a bootstrap does.
     """
     w = F.pow(F.col("coverage"), 2) / F.greatest(F.col("count"), F.lit(1.0))
-    w = w if times is None else w * times
-    value = F.col("count") / F.col("coverage")
-    sums = [F.sum(w * basis[i] * basis[j]) for i in range(len(basis)) for j in range(i, len(basis))]
-    sums += [F.sum(w * b * value) for b in basis]
-    sums += [F.sum(F.lit(1.0) if times is None else times.cast("double")), F.sum(F.col("count") * (F.lit(1.0) if times is None else times))]
-    return maps.where(F.col("coverage") > 0).groupBy(*keys).agg(F.array(*sums).alias("m"))
+    t = F.lit(1.0) if times is None else times.cast("double")
+    n = len(basis)
+    # The basis is a projection of its own: Spark computes each function once per pixel.
+    rows = maps.where(F.col("coverage") > 0).select(*keys, *[b.alias(f"b{i}") for i, b in enumerate(basis)], t.alias("t"), (w * t).alias("w"), (F.col("count") / F.col("coverage")).alias("v"), F.col("count").alias("c"))
+    sums = [F.sum(F.col("w") * F.col(f"b{i}") * F.col(f"b{j}")) for i in range(n) for j in range(i, n)]
+    sums += [F.sum(F.col("w") * F.col(f"b{i}") * F.col("v")) for i in range(n)]
+    sums += [F.sum("t"), F.sum(F.col("c") * F.col("t"))]
+    return rows.groupBy(*keys).agg(F.array(*sums).alias("m"))
 
 
 def _unpack(m: list[float], n: int) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -95,7 +125,7 @@ def solve_dipole(m: list[float]) -> dict:
     error = float(np.sqrt(max(0.0, u @ cov[1:, 1:] @ u))) / abs(beta[0])
     return {
         "monopole": float(beta[0]), "x": float(vector[0]), "y": float(vector[1]), "z": float(vector[2]), "amplitude": amplitude,
-        "sigma": error, "significance": amplitude / error if error > 0 else 0.0, "shot_noise": 3 / float(np.sqrt(total)) if total > 0 else float("nan"),
+        "sigma": float(error), "significance": float(amplitude / error) if error > 0 else 0.0, "shot_noise": 3 / float(np.sqrt(total)) if total > 0 else float("nan"),
         "lon": float(np.degrees(np.arctan2(u[1], u[0])) % 360), "lat": float(np.degrees(np.arcsin(np.clip(u[2], -1, 1)))), "n_pixels": int(pixels),
     }
 
@@ -128,7 +158,8 @@ def multipoles(maps: DataFrame, lmax: int = 2) -> DataFrame:
     basis = [b for own in by_degree[: lmax + 1] for b in own]
     degree = np.repeat(np.arange(lmax + 1), [len(own) for own in by_degree[: lmax + 1]])
     seen = maps.where(F.col("coverage") > 0)
-    squares = np.asarray(seen.agg(F.array(*[F.avg(b * b) for b in basis])).first()[0], float)
+    columns = seen.select(*[b.alias(f"b{i}") for i, b in enumerate(basis)])
+    squares = np.asarray(columns.agg(F.array(*[F.avg(F.col(c) * F.col(c)) for c in columns.columns])).first()[0], float)
     rms = np.where(squares > 0, np.sqrt(squares), 1.0)
     normal, right, pixels, _ = _unpack(_moments(maps, basis).first().m, len(basis))
     beta = np.linalg.lstsq(normal / np.outer(rms, rms), right / rms, rcond=None)[0]
@@ -180,7 +211,7 @@ def _poisson_one(u: Column) -> Column:
 
 def bootstrap(maps: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     """Amplitude of each resampling of the pixels: every pixel counts a Poisson(1) number of times."""
-    seen = maps.where(F.col("coverage") > 0).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).cast("long"))
+    seen = maps.where(F.col("coverage") > 0).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     times = _poisson_one(uniform(F.lit(seed), F.col("draw"), F.col("ipix")))
     return _solved(_moments(seen, _dipole_basis(), ["draw"], times))
 
@@ -189,7 +220,7 @@ def null_shuffle(maps: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     """Amplitude of each permutation of counts and coverage over the covered pixels' positions."""
     from pyspark.sql import Window as W
 
-    seen = maps.where(F.col("coverage") > 0).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).cast("long"))
+    seen = maps.where(F.col("coverage") > 0).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     place = seen.withColumn("k", F.row_number().over(W.partitionBy("draw").orderBy("ipix"))).select("draw", "k", "lon", "lat")
     order = uniform(F.lit(seed), F.col("draw"), F.col("ipix"))
     value = seen.withColumn("k", F.row_number().over(W.partitionBy("draw").orderBy(order, "ipix"))).select("draw", "k", "count", "coverage")
@@ -208,8 +239,7 @@ def summary(draws: DataFrame, observed: float | None = None) -> DataFrame:
 def synthetic_sky(spark: SparkSession, sources: int, nside: int, amplitude: float, lon: float, lat: float, seed: int = 0) -> DataFrame:
     """About so many sources with an injected dipole: Poisson counts per pixel, as a density map."""
     npix = 12 * nside * nside
-    x, y = sphere.pixel_centre(F.col("ipix"), nside)
-    grid = spark.range(npix).withColumnRenamed("id", "ipix").withColumn("lon", x).withColumn("lat", y)
+    grid = pixel_grid(spark, nside)
     n = sphere.unit_vector(F.col("lon"), F.col("lat"))
     d = sphere.unit_vector(F.lit(float(lon)), F.lit(float(lat)))
     mean = sources / npix * (1 + amplitude * (n[0] * d[0] + n[1] * d[1] + n[2] * d[2]))
@@ -226,7 +256,8 @@ def mode_coupling(maps: DataFrame) -> np.ndarray:
     """9 x 9 coupling of the harmonics up to degree 2 under the coverage."""
     ys = sphere.harmonics(*sphere.unit_vector(F.col("lon"), F.col("lat")))
     area = 4 * np.pi / maps.count()
-    row = maps.agg(F.array(*[F.sum(F.col("coverage") * ys[i] * ys[j]) for i in range(9) for j in range(i, 9)])).first()[0]
+    rows = maps.select("coverage", *[y.alias(f"y{i}") for i, y in enumerate(ys)])
+    row = rows.agg(F.array(*[F.sum(F.col("coverage") * F.col(f"y{i}") * F.col(f"y{j}")) for i in range(9) for j in range(i, 9)])).first()[0]
     out = np.zeros((9, 9))
     at = 0
     for i in range(9):
@@ -243,7 +274,8 @@ def deconvolved_dipole(maps: DataFrame) -> DataFrame:
     ys = sphere.harmonics(*sphere.unit_vector(F.col("lon"), F.col("lat")))
     area = 4 * np.pi / maps.count()
     contrast = F.col("count") / mean - F.col("coverage")
-    right = np.asarray(seen.agg(F.array(*[F.sum(contrast * y) for y in ys])).first()[0]) * area
+    rows = seen.select(contrast.alias("c"), *[y.alias(f"y{i}") for i, y in enumerate(ys)])
+    right = np.asarray(rows.agg(F.array(*[F.sum(F.col("c") * F.col(f"y{i}")) for i in range(9)])).first()[0]) * area
     coupling = mode_coupling(maps)
     a = np.linalg.pinv(coupling) @ right
     norm = np.sqrt(3 / (4 * np.pi))

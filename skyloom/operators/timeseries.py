@@ -41,10 +41,11 @@ def envelope(df: DataFrame, keys: list[str], faint: float, half_days: float = 50
     value = F.when(F.col(det), missing.finite_or_null(F.col(mag))).otherwise(F.greatest(F.coalesce(missing.finite_or_null(F.col(lim)), F.lit(faint)), F.lit(faint)))
     own = df.withColumn("__v", value)
     # A range frame is closed; ending it one step short of t + h leaves the upper end out.
-    frame = W.partitionBy(*keys).orderBy(t).rangeBetween(-h, h * (1 - 1e-12))
+    part = ", ".join(f"`{k}`" for k in keys)
+    frame = f"(PARTITION BY {part} ORDER BY `{t}` RANGE BETWEEN {h!r}D PRECEDING AND {h * (1 - 1e-12)!r}D FOLLOWING)"
     whole = F.count("__v").over(W.partitionBy(*keys))
-    level = F.percentile("__v", F.lit(0.5)).over(frame)
-    return own.withColumn("envelope", F.when((whole >= 10) & (F.count("__v").over(frame) >= 5), level).otherwise(F.lit(faint))).drop("__v")
+    level, near = F.expr(f"percentile(__v, 0.5D) OVER {frame}"), F.expr(f"count(__v) OVER {frame}")
+    return own.withColumn("envelope", F.when((whole >= 10) & (near >= 5), level).otherwise(F.lit(faint))).drop("__v")
 
 
 def sessions(df: DataFrame, keys: list[str], t: str, gap: float) -> DataFrame:

@@ -18,7 +18,7 @@ def _curve(spark, sf):
 @query("nightly_bins", f"""
 WITH a AS (SELECT user_id, {_JD} AS jd, value / 10 AS mag, floor({_JD})::BIGINT AS night FROM events),
 b AS (SELECT *, quantile_cont(mag, 0.5) OVER (PARTITION BY user_id, night) AS med FROM a), c AS (SELECT *, abs(mag - med) < 0.5 AS near FROM b),
-d AS (SELECT *, max(near::INT) OVER (PARTITION BY user_id, night) AS some FROM c), e AS (SELECT * FROM d WHERE near OR some = 0),
+d AS (SELECT *, max(near::INT) OVER (PARTITION BY user_id, night) AS anyone FROM c), e AS (SELECT * FROM d WHERE near OR anyone = 0),
 f AS (SELECT *, quantile_cont(mag, 0.5) OVER (PARTITION BY user_id, night) AS m2 FROM e)
 SELECT user_id, night, round(avg(jd), 5) AS jd, round(quantile_cont(mag, 0.5), 6) AS mag,
  round(greatest(CASE WHEN count(*) > 2 THEN 1.4826 * quantile_cont(abs(mag - m2), 0.5) ELSE 0 END / sqrt(count(*)), 0.1 / sqrt(count(*)), 0.02), 6) AS err, count(*) AS n

@@ -56,7 +56,7 @@ def stats_with_holes(spark, sf):
 
 
 @query("filter_arithmetic", """
-SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_quantity, 0), 6) AS unit, l_linenumber - 3 - floor((l_linenumber - 3) / 2.0) * 2 AS odd,
+SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS unit, l_linenumber - 3 - floor((l_linenumber - 3) / 2.0) * 2 AS odd,
   floor((l_linenumber - 4) / 3.0) AS third, round(sqrt(l_discount), 6) AS root, CASE WHEN l_tax > 0 THEN round(log10(l_tax), 6) ELSE -1e308 END AS lg
 FROM lineitem WHERE l_quantity > 0 AND least(l_discount, l_tax) >= 0.02
 """)
@@ -64,7 +64,7 @@ def filter_arithmetic(spark, sf):
     df = tabular.filter_rows(table(spark, sf, "lineitem"), "minimum(l_discount, l_tax) >= 0.02")
     lg = compile_value(df, "log10(l_tax)")
     return df.select(
-        "l_orderkey", "l_linenumber", r6(compile_value(df, "l_extendedprice / l_quantity")).alias("unit"), compile_value(df, "(l_linenumber - 3) % 2").alias("odd"),
+        "l_orderkey", "l_linenumber", compile_value(df, "l_extendedprice / l_quantity").alias("unit"), compile_value(df, "(l_linenumber - 3) % 2").alias("odd"),
         compile_value(df, "(l_linenumber - 4) // 3").alias("third"), r6(compile_value(df, "sqrt(l_discount)")).alias("root"),
         F.when(lg == -float("inf"), -1e308).otherwise(r6(lg)).alias("lg"),
     )
@@ -108,7 +108,7 @@ def rank_correlation(spark, sf):
 
 
 @query("uniform_mass_bins", """
-WITH e AS (SELECT unnest(list_distinct([quantile_cont(l_extendedprice, 0.25), quantile_cont(l_extendedprice, 0.5), quantile_cont(l_extendedprice, 0.75)])) AS q)
+WITH e AS (SELECT unnest(list_distinct([quantile_cont(l_extendedprice, 0.25), quantile_cont(l_extendedprice, 0.5), quantile_cont(l_extendedprice, 0.75)])) AS q FROM lineitem)
 SELECT (SELECT count(*) FROM e WHERE e.q < l.l_extendedprice) AS bin, count(*) AS n, round(avg(l_extendedprice), 4) AS mean FROM lineitem l GROUP BY 1
 """)
 def uniform_mass_bins(spark, sf):
@@ -169,7 +169,7 @@ def slugs(spark, sf):
 @query("json_paths", "SELECT event_id, json_extract_string(props, '$.' || (json_keys(props))[1]) AS first_value FROM events")
 def json_paths(spark, sf):
     e = table(spark, sf, "events")
-    return e.select("event_id", F.get_json_object("props", F.concat(F.lit("$."), F.get(F.json_object_keys("props"), F.lit(0)))).alias("first_value"))
+    return e.select("event_id", F.expr("get_json_object(props, concat('$.', get(json_object_keys(props), 0)))").alias("first_value"))
 
 
 @query("time_scales", """
