@@ -101,24 +101,30 @@ def revealing_terms(rows: DataFrame) -> DataFrame | None:
     near = rows.where(F.size("spans") > 0).select("text", F.explode("spans").alias("span"))
     near = near.select(F.lower(F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))).alias("entity"), F.array_distinct(_words_near(F.col("text"), F.col("span"))).alias("terms"))
     near = cut(near.select("entity", F.xxhash64("terms").alias("window"), F.explode("terms").alias("term")).distinct(), "windows")
+    n = rows.count()
+    entities = near.groupBy("entity").agg(F.count_distinct("window").alias("windows"))
+    by_term = near.groupBy("term").agg(F.count_distinct("window").alias("texts"))  # at least so many texts hold the term
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= LEAST_WINDOWS)
-    pairs = cut(pairs, "pairs")
+    degree = _degree(n)
+    # Disclosure falls as the term gets more frequent: what fails on the windows alone needs no count over the texts.
+    pairs = pairs.join(entities, "entity").join(by_term, "term").withColumn("degree", degree).where(F.col("degree") >= GENERALISE)
+    pairs = cut(pairs.select("entity", "term", "joint", "windows"), "pairs")
     terms = pairs.select("term").distinct()
     few = terms.count()
     if not few:
         return None
-    # Occurrences of the terms over all texts, and of all entities' windows, in the same unit: windows and texts that hold a term.
     held = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM_WORD), F.lit(0)))).alias("term"))
     counted = held.join(F.broadcast(terms) if few <= BROADCAST_ROWS else terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
-    n = rows.count()
-    entities = near.groupBy("entity").agg(F.count_distinct("window").alias("windows"))
-    found = pairs.join(counted, "term").join(entities, "entity")
-    # In a corpus of copies a term has fewer windows than texts; its count is never below the joint one.
-    p_term = F.greatest("texts", "joint") / F.lit(float(n))
-    p_entity = F.col("windows") / F.lit(float(n))
-    information = F.greatest(-F.log2(F.least(p_entity, F.lit(1.0))), F.lit(1e-9))
-    mutual = F.log2((F.col("joint") / F.lit(float(n))) / (F.least(p_term, F.lit(1.0)) * F.least(p_entity, F.lit(1.0))))
-    return found.select("entity", "term", (mutual / information).alias("degree")).where(F.col("degree") >= GENERALISE)
+    found = pairs.join(counted, "term").withColumn("degree", degree)
+    return found.select("entity", "term", "degree").where(F.col("degree") >= GENERALISE)
+
+
+def _degree(n: int) -> Column:
+    """Mutual information of entity and term as a share of the entity's information, over joint, windows and texts of n."""
+    total = F.lit(float(max(n, 1)))
+    share = lambda c: F.least(c / total, F.lit(1.0))
+    term, entity = share(F.greatest("texts", "joint")), share(F.col("windows"))
+    return F.log2((F.col("joint") / total) / (term * entity)) / F.greatest(-F.log2(entity), F.lit(1e-9))
 
 
 def find(docs: DataFrame) -> DataFrame:
