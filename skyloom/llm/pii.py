@@ -97,10 +97,10 @@ def _words_near(text: Column, span: Column) -> Column:
 
 
 def revealing_terms(rows: DataFrame) -> DataFrame | None:
-    """entity, term and degree of disclosure over the rows (text, spans) of the corpus; None if no term has the evidence."""
-    near = rows.where(F.size("spans") > 0).select("text", F.explode("spans").alias("span"))
-    near = near.select(F.lower(F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))).alias("entity"), F.array_distinct(_words_near(F.col("text"), F.col("span"))).alias("terms"))
-    near = cut(near.select("entity", F.xxhash64("terms").alias("window"), F.explode("terms").alias("term")).distinct(), "windows")
+    """entity, term and degree of disclosure over the rows (text, __spans) of the corpus; None if no term has the evidence."""
+    near = rows.where(F.size("__spans") > 0).select("text", F.explode("__spans").alias("span"))
+    near = near.select(F.lower(F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))).alias("entity"), F.array_distinct(_words_near(F.col("text"), F.col("span"))).alias("__terms"))
+    near = cut(near.select("entity", F.xxhash64("__terms").alias("window"), F.explode("__terms").alias("term")).distinct(), "windows")
     n = rows.count()
     entities = near.groupBy("entity").agg(F.count_distinct("window").alias("windows"))
     by_term = near.groupBy("term").agg(F.count_distinct("window").alias("texts"))  # at least so many texts hold the term
@@ -128,23 +128,23 @@ def _degree(n: int) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """The rows of docs with spans: base spans and, after them in kind, the terms that reveal an entity of the same text.
+    """The rows of docs with __spans: base spans and, after them in kind, the terms that reveal an entity of the same text.
 
     Null and empty texts have no spans; repeated rows have equal spans; null ids and
     extra columns are kept as they are; an empty table gives no rows.
     """
-    rows = docs.withColumn("spans", base_spans("text"))
-    terms = revealing_terms(rows.select("text", "spans"))
+    rows = docs.withColumn("__spans", base_spans("text"))
+    terms = revealing_terms(rows.select("text", "__spans"))
     if terms is None:
         return rows
-    own = rows.where(F.size("spans") > 0).select(F.xxhash64("text").alias("print"), F.explode("spans").alias("s"), "text")
-    own = own.select("print", F.lower(F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("entity")).distinct()
-    own = cut(own.join(terms, "entity").groupBy("print").agg(F.sort_array(F.collect_set("term")).alias("terms")), "terms")
+    own = rows.where(F.size("__spans") > 0).select(F.xxhash64("text").alias("__print"), F.explode("__spans").alias("s"), "text")
+    own = own.select("__print", F.lower(F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("entity")).distinct()
+    own = cut(own.join(terms, "entity").groupBy("__print").agg(F.sort_array(F.collect_set("term")).alias("__terms")), "__terms")
     few = own.count() <= BROADCAST_ROWS
-    joined = rows.withColumn("print", F.xxhash64("text")).join(F.broadcast(own) if few else own, "print", "left")
-    pattern = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    extra = F.filter(_places(F.col("text"), pattern, 4), lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return joined.withColumn("spans", F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", extra)))).drop("print", "terms")
+    joined = rows.withColumn("__print", F.xxhash64("text")).join(F.broadcast(own) if few else own, "__print", "left")
+    pattern = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])(?:"), F.array_join("__terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    extra = F.filter(_places(F.col("text"), pattern, 4), lambda t: ~F.exists("__spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return joined.withColumn("__spans", F.when(F.col("__terms").isNull(), F.col("__spans")).otherwise(F.array_sort(F.concat("__spans", extra)))).drop("__print", "__terms")
 
 
 def _listed(spans: Column) -> Column:
@@ -155,9 +155,9 @@ def _listed(spans: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """Counts by kind, digest of the base spans and the list of all spans, a row per document."""
     found = find(slim(docs, "doc_id", "text"))
-    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
-    base = F.filter("spans", lambda s: s["kind"] < 4)
-    return found.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    count = lambda k: F.size(F.filter("__spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("__spans", lambda s: s["kind"] < 4)
+    return found.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("__spans")).alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -179,8 +179,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
         )
 
     whole = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
-    new = F.when(F.size("spans") > 0, F.aggregate("spans", start, add, whole)).otherwise(text)
-    out = found.withColumn("text", new).drop("spans")
+    new = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, add, whole)).otherwise(text)
+    out = found.withColumn("text", new).drop("__spans")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNull(), None).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
