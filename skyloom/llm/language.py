@@ -120,7 +120,7 @@ def build(languages: list[str], mapping: np.ndarray, grams: dict[str, tuple[np.n
         four = np.zeros((len(seen), SYMBOLS))
         four[np.searchsorted(seen, codes // SYMBOLS), codes % SYMBOLS] = counts
         cost[pairs:, :, k] = -np.log2(_extend(four, p[seen % pairs]))
-    return ContextTrees(languages, mapping, row_of, cost.reshape(-1, len(languages)))
+    return ContextTrees(languages, mapping, row_of, cost.reshape(cost.shape[0] * SYMBOLS, len(languages)))
 
 
 def training_sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:

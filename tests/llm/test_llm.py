@@ -206,7 +206,7 @@ def test_packing_is_gapless(spark, none):
     rows = [(i, " ".join(rng.choice(WORDS, int(rng.integers(1, 1200))))) for i in range(150)] + [(900, None), (901, ""), (901, ""), (None, "a b"), (902, "x " * 9000)]
     got = packing.pack_documents(docs(spark, rows)).toPandas()
     encoding = tokens.encoder(tokens.rank_file())
-    want = sorted((i or -1, len(tokens.token_ids(encoding, t or "")) + 1) for i, t in rows)
+    want = sorted((-1 if i is None else i, len(tokens.token_ids(encoding, t or "")) + 1) for i, t in rows)
     ids = got["doc_id"].fillna(-1).astype(int)
     assert got.groupby(ids)["length"].sum().to_dict() == {i: sum(n for j, n in want if j == i) for i, _ in want}
     for _, s in got.sort_values("offset").groupby("sequence_id"):
@@ -291,5 +291,3 @@ def test_pipeline_stages(spark, sf):
         assert d.columns == columns, name
         assert 0.5 * before < d.count() <= before, name
     assert corpus_pipeline.STAGES[-1][1](spark, d, sf).agg(F.sum("length")).first()[0] > 0
-
-
