@@ -2,7 +2,7 @@
 
 Order statistics and scans over scores are computed on sorted partitions: scores are
 first reduced to one row per distinct value, then cumulated over ranges of values, so
-no task gets all rows.
+no task gets all of them. Quantiles by key are cumulated within the key.
 """
 
 from __future__ import annotations
@@ -14,6 +14,29 @@ from pyspark.sql import functions as F
 from skyloom.functions import scores
 
 
+RANGES = 256  # ranges of values that are cumulated side by side
+
+
+def cumulated(counts: DataFrame, order: str, totals: dict[str, str]) -> DataFrame:
+    """Running sums over ascending values of a column: for each (column, name) of totals the sum up to and with the row.
+
+    Values are dealt into ranges by approximate quantiles. Rows are cumulated within
+    their range, and what the lower ranges hold together is added: a row per range,
+    which is broadcast.
+    """
+    edges = sorted(set(counts.approxQuantile(order, [k / RANGES for k in range(1, RANGES)], 0.5 / RANGES)))
+    place = F.lit(0)
+    if edges:
+        place = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(order)))
+    own = counts.withColumn("__range", place)
+    sums = own.groupBy("__range").agg(*[F.sum(c).alias(n) for c, n in totals.items()])
+    lower = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # at most RANGES rows
+    before = sums.select(F.col("__range").alias("__r"), *[F.coalesce(F.sum(n).over(lower), F.lit(0)).alias(f"__{n}") for n in totals.values()])
+    within = W.partitionBy("__range").orderBy(order)
+    joined = own.join(F.broadcast(before), F.col("__range") == F.col("__r"))
+    return joined.select(*counts.columns, *[(F.sum(c).over(within) + F.col(f"__{n}")).alias(n) for c, n in totals.items()])
+
+
 def bin_above(x: Column, bins: int) -> Column:
     """Bin (lo, hi] from 1 to bins; 0 for x <= 0."""
     return F.ceil(x * bins).cast("int")
@@ -72,9 +95,10 @@ def skill(df: DataFrame, predicted: Column, actual: Column) -> DataFrame:
 def higher_quantile(df: DataFrame, column: str, q: float, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """The order statistic at 0-based place ceil(q (n - 1)), a row per key; missing values don't count."""
     counts = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over((W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(column))
-    whole = F.sum("c").over(W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)))
-    placed = counts.withColumn("upto", upto).withColumn("n", whole)
+    if keys:
+        placed = counts.withColumn("upto", F.sum("c").over(W.partitionBy(*keys).orderBy(column))).withColumn("n", F.sum("c").over(W.partitionBy(*keys)))
+    else:
+        placed = cumulated(counts, column, {"c": "upto"}).crossJoin(F.broadcast(counts.agg(F.sum("c").alias("n"))))  # one row
     return placed.where(F.col("upto") > F.ceil(F.lit(q) * (F.col("n") - 1))).groupBy(*keys).agg(F.min(column).alias("quantile"), F.max("n").alias("n"))
 
 
@@ -88,8 +112,8 @@ def conformal_threshold(df: DataFrame, probs: str, label: str, doubt: str | None
     if doubt:
         score = score + weight * F.col(doubt)
     own = df.select(score.alias("score")).where(F.col("score").isNotNull())
-    n = F.sum("c").over(W.partitionBy(F.lit(0)))
-    counts = own.groupBy("score").agg(F.count(F.lit(1)).alias("c")).withColumn("n", n).withColumn("upto", F.sum("c").over(W.partitionBy(F.lit(0)).orderBy("score")))
+    counts = own.groupBy("score").agg(F.count(F.lit(1)).alias("c"))
+    counts = cumulated(counts, "score", {"c": "upto"}).crossJoin(F.broadcast(own.agg(F.count(F.lit(1)).alias("n"))))  # one row
     rank = F.ceil((F.col("n") + 1) * (1 - alpha))
     place = F.ceil(rank / F.col("n") * (F.col("n") - 1))
     return counts.agg(F.max("n").alias("n"), F.min(F.when(F.col("upto") > place, F.col("score"))).alias("t"), F.max(rank).alias("rank")).select("n", F.when(F.col("rank") > F.col("n"), float("inf")).otherwise(F.col("t")).alias("threshold"))
@@ -100,9 +124,9 @@ def _scan(df: DataFrame, p: str, target: Column) -> DataFrame:
     own = df.where(F.col(p).isNotNull()).select(F.col(p).cast("double").alias("lam"), target.cast("int").alias("hit"))
     ends = df.sparkSession.range(2).select(F.col("id").cast("double").alias("lam"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("h"))
     counts = own.groupBy("lam").agg(F.count(F.lit(1)).alias("c"), F.sum("hit").alias("h")).unionByName(ends).groupBy("lam").agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
-    down = W.partitionBy(F.lit(0)).orderBy(F.desc("lam"))
-    whole = W.partitionBy(F.lit(0))
-    return counts.select("lam", F.sum("c").over(down).alias("selected"), F.sum("h").over(down).alias("hits"), F.sum("c").over(whole).alias("n"), F.sum("h").over(whole).alias("targets"))
+    whole = counts.agg(F.sum("c").alias("n"), F.sum("h").alias("targets"))  # one row
+    upto = cumulated(counts, "lam", {"c": "__c", "h": "__h"}).crossJoin(F.broadcast(whole))
+    return upto.select("lam", (F.col("n") - F.col("__c") + F.col("c")).alias("selected"), (F.col("targets") - F.col("__h") + F.col("h")).alias("hits"), "n", "targets")
 
 
 def risk_control(df: DataFrame, p: str, target: Column, alpha: float = 0.05, mode: str = "strict") -> DataFrame:
@@ -139,7 +163,6 @@ def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """Spearman's coefficient: correlation of average ranks, counted once per distinct value."""
     def ranks(c: str) -> DataFrame:
         counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy(c))
-        return counts.select(c, (upto - F.col("n") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
+        return cumulated(counts.where(F.col(c).isNotNull()), c, {"n": "__upto"}).select(c, (F.col("__upto") - F.col("n") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
 
     return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).join(ranks(x), x).join(ranks(y), y).agg(F.corr(f"rank_{x}", f"rank_{y}").alias("rho"))
