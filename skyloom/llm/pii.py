@@ -89,24 +89,32 @@ def base_spans(text: str) -> Column:
 
 
 def _words_near(text: Column, span: Column) -> Column:
-    """Lower-case words of the window around a span, the nearest five on each side."""
+    """Lower-case words of the window around a span, the nearest five on each side.
+
+    A word that the window's edge or the span cuts is no word of the text and is left
+    out: one character more on each side shows it.
+    """
     word = lambda s: F.regexp_extract_all(F.lower(s), F.lit(TERM_WORD), F.lit(0))
-    before = word(F.substring(text, F.greatest(F.lit(1), span["start"] + 1 - WINDOW_CHARS), F.least(F.lit(WINDOW_CHARS), span["start"])))
-    after = word(F.substring(text, span["end"] + 1, F.lit(WINDOW_CHARS)))
+    head, tail = lambda s: F.regexp_replace(s, r"^[\p{L}\p{N}]+", ""), lambda s: F.regexp_replace(s, r"[\p{L}\p{N}]+\z", "")
+    before = tail(F.substring(text, F.greatest(F.lit(1), span["start"] - WINDOW_CHARS), F.least(F.lit(WINDOW_CHARS + 1), span["start"]) + 1))
+    before = word(F.when(span["start"] > WINDOW_CHARS, head(before)).otherwise(before))
+    after = head(F.substring(text, span["end"], F.lit(WINDOW_CHARS + 2)))
+    after = word(F.when(F.length(text) - span["end"] > WINDOW_CHARS, tail(after)).otherwise(after))
     return F.concat(F.slice(before, F.greatest(F.lit(1), F.size(before) - WINDOW_WORDS + 1), F.lit(WINDOW_WORDS)), F.slice(after, F.lit(1), F.lit(WINDOW_WORDS)))
 
 
 def revealing_terms(rows: DataFrame) -> DataFrame | None:
     """entity, term and degree of disclosure over the rows (text, __spans) of the corpus; None if no term has the evidence."""
     near = rows.where(F.size("__spans") > 0).select("text", F.explode("__spans").alias("span"))
-    near = near.select(F.lower(F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))).alias("entity"), F.array_distinct(_words_near(F.col("text"), F.col("span"))).alias("__terms"))
-    near = cut(near.select("entity", F.xxhash64("__terms").alias("window"), F.explode("__terms").alias("term")).distinct(), "windows")
+    entity = F.lower(F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start")))
+    near = near.select(F.xxhash64("text").alias("print"), entity.alias("entity"), F.array_distinct(_words_near(F.col("text"), F.col("span"))).alias("__terms"))
+    near = cut(near.select("print", "entity", F.xxhash64("__terms").alias("window"), F.explode("__terms").alias("term")).distinct(), "windows")
     n = rows.count()
     entities = near.groupBy("entity").agg(F.count_distinct("window").alias("windows"))
-    by_term = near.groupBy("term").agg(F.count_distinct("window").alias("texts"))  # at least so many texts hold the term
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= LEAST_WINDOWS)
+    by_term = near.groupBy("term").agg(F.count_distinct("print").alias("texts"))  # at least so many texts hold the term
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("window").alias("joint")).where(F.col("joint") >= LEAST_WINDOWS)
     degree = _degree(n)
-    # Disclosure falls as the term gets more frequent: what fails on the windows alone needs no count over the texts.
+    # Disclosure falls as the term gets more frequent: what fails on the texts that hold it near a span needs no count over all.
     pairs = pairs.join(entities, "entity").join(by_term, "term").withColumn("degree", degree).where(F.col("degree") >= GENERALISE)
     pairs = cut(pairs.select("entity", "term", "joint", "windows"), "pairs")
     terms = pairs.select("term").distinct()

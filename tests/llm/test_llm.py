@@ -117,6 +117,22 @@ def test_pii_terms_and_sanitising(spark):
     assert all(out[100 + i].text == rows[6 + i][1] for i in range(150))
 
 
+def test_pii_term_near_many_entities_of_one_text(spark):
+    """A term near 50 other entities of the same text is in one text: the windows don't count as texts."""
+    spot = lambda k, mail: f"{WORDS[k]} Zelenka {mail} {WORDS[k + 100]} " + "1 2 3 . " * 30
+    text = "".join(spot(k, E1) for k in range(3)) + "".join(spot(3 + k, f"u{k}@x.org") for k in range(50))
+    rows = [(1, text)] + [(100 + i, f"nothing number {i} here") for i in range(400)]
+    spans = {r.doc_id: r.spans for r in pii.report(docs(spark, rows)).collect()}
+    assert spans[1].count("term:") == 53
+
+
+def test_pii_words_that_the_window_cuts(spark):
+    """Pieces of words at a window's edge or beside a span are no terms."""
+    edge = "x" * 73  # with a space on each side, the window's edge lies within Casanova
+    near = spark.createDataFrame([(f"Casanova {edge} naïveé{E1}é {edge} Casanova",), (f"Anna {E1} Eva",)], "text string").withColumn("s", F.explode(pii.base_spans("text")))
+    assert {w for r in near.select(pii._words_near(F.col("text"), F.col("s")).alias("w")).collect() for w in r.w} == {edge, "anna", "eva"}
+
+
 def test_media_round_trip(spark, odd, none):
     rows = ODD + [(20, "x" * 600_000)]
     got = media.read_jpeg(media.store_as_jpeg(docs(spark, rows))).collect()
