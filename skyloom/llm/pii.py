@@ -7,8 +7,9 @@ the point-wise mutual information of an entity and a term, as a share of the
 entity's own information content, says how strongly the term gives the entity away:
 1 means the term occurs with that entity alone. Terms above the threshold, with
 enough different windows as evidence, are spans too: generalised to a placeholder,
-or removed where they reveal almost everything. Windows count once however often
-they are copied, so repeated documents don't make their words look revealing.
+or removed where they reveal almost everything. Everything is counted in different
+texts: a text counts once however often it is copied, so repeated documents neither
+make their words look revealing nor hide that they are.
 """
 
 from __future__ import annotations
@@ -108,31 +109,30 @@ def revealing_terms(rows: DataFrame) -> DataFrame | None:
     near = rows.where(F.size("__spans") > 0).select("text", F.explode("__spans").alias("span"))
     entity = F.lower(F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start")))
     near = near.select(F.xxhash64("text").alias("print"), entity.alias("entity"), F.array_distinct(_words_near(F.col("text"), F.col("span"))).alias("__terms"))
-    near = cut(near.select("print", "entity", F.xxhash64("__terms").alias("window"), F.explode("__terms").alias("term")).distinct(), "windows")
-    n = rows.count()
-    entities = near.groupBy("entity").agg(F.count_distinct("window").alias("windows"))
+    near = cut(near.select("print", "entity", F.xxhash64("__terms").alias("window"), F.explode_outer("__terms").alias("term")).distinct(), "windows")
+    n = rows.where(F.col("text").isNotNull()).select(F.xxhash64("text")).distinct().count()
+    entities = near.groupBy("entity").agg(F.count_distinct("print").alias("own"))
+    near = near.where(F.col("term").isNotNull())
     by_term = near.groupBy("term").agg(F.count_distinct("print").alias("texts"))  # at least so many texts hold the term
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("window").alias("joint")).where(F.col("joint") >= LEAST_WINDOWS)
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("print").alias("joint"), F.count_distinct("window").alias("windows")).where(F.col("windows") >= LEAST_WINDOWS)
     degree = _degree(n)
     # Disclosure falls as the term gets more frequent: what fails on the texts that hold it near a span needs no count over all.
     pairs = pairs.join(entities, "entity").join(by_term, "term").withColumn("degree", degree).where(F.col("degree") >= GENERALISE)
-    pairs = cut(pairs.select("entity", "term", "joint", "windows"), "pairs")
+    pairs = cut(pairs.select("entity", "term", "joint", "own"), "pairs")
     terms = pairs.select("term").distinct()
     few = terms.count()
     if not few:
         return None
-    held = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM_WORD), F.lit(0)))).alias("term"))
-    counted = held.join(F.broadcast(terms) if few <= BROADCAST_ROWS else terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
+    held = rows.select(F.xxhash64("text").alias("print"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM_WORD), F.lit(0)))).alias("term"))
+    counted = held.join(F.broadcast(terms) if few <= BROADCAST_ROWS else terms, "term").groupBy("term").agg(F.count_distinct("print").alias("texts"))
     found = pairs.join(counted, "term").withColumn("degree", degree)
     return found.select("entity", "term", "degree").where(F.col("degree") >= GENERALISE)
 
 
 def _degree(n: int) -> Column:
-    """Mutual information of entity and term as a share of the entity's information, over joint, windows and texts of n."""
-    total = F.lit(float(max(n, 1)))
-    share = lambda c: F.least(c / total, F.lit(1.0))
-    term, entity = share(F.greatest("texts", "joint")), share(F.col("windows"))
-    return F.log2((F.col("joint") / total) / (term * entity)) / F.greatest(-F.log2(entity), F.lit(1e-9))
+    """Mutual information of entity and term as a share of the entity's information, over the texts of n that hold both near (joint), the entity (own) and the term (texts)."""
+    share = lambda c: F.col(c) / F.lit(float(max(n, 1)))
+    return F.log2(share("joint") / (share("texts") * share("own"))) / F.greatest(-F.log2(share("own")), F.lit(1e-9))
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -133,6 +133,16 @@ def test_pii_words_that_the_window_cuts(spark):
     assert {w for r in near.select(pii._words_near(F.col("text"), F.col("s")).alias("w")).collect() for w in r.w} == {edge, "anna", "eva"}
 
 
+def test_pii_terms_of_copied_texts(spark):
+    """Copies change no degree: a name that occurs with one entity alone is found, a name beside two is not."""
+    rows = [(i, f"{WORDS[i % 5]} Zelenka {E1} {WORDS[50 + i % 5]}") for i in range(200)]
+    rows += [(300 + i, f"{WORDS[i % 5]} Horak {mail} {WORDS[50 + i % 5]} for {mail}") for i, mail in enumerate(["a@x.org", "b@x.org"] * 20)]
+    rows += [(1000 + i, f"nothing number {i} here") for i in range(20)]
+    for some in (rows, [r for k, r in enumerate(rows) if r[1] not in {t for _, t in rows[:k]}]):
+        spans = {r.doc_id: r.spans for r in pii.report(docs(spark, some)).collect()}
+        assert spans[0].count("term:") == 1 and not spans[300].count("term:")
+
+
 def test_media_round_trip(spark, odd, none):
     rows = ODD + [(20, "x" * 600_000)]
     got = media.read_jpeg(media.store_as_jpeg(docs(spark, rows))).collect()
