@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import cut, documents, slim
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "term", "term")
+TERM, REVEALING = 4, 5  # terms to generalise, and those that reveal almost everything
 WINDOW_CHARS, WINDOW_WORDS = 80, 5
 LEAST_WINDOWS = 3  # different windows with both, as evidence
 GENERALISE, REMOVE = 0.80, 0.95  # shares of the entity's information content
@@ -36,6 +37,11 @@ _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TERM_WORD = r"\p{L}[\p{L}\p{N}]{2,}"
 
 
+def _folded(x: Column) -> Column:
+    """Lower case, a character for each character wherever it stands: the dotted capital I and the final sigma are folded by hand."""
+    return F.replace(F.lower(F.replace(x, F.lit("\u0130"), F.lit("i"))), F.lit("\u03c2"), F.lit("\u03c3"))
+
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -95,7 +101,7 @@ def _words_near(text: Column, span: Column) -> Column:
     A word that the window's edge or the span cuts is no word of the text and is left
     out: one character more on each side shows it.
     """
-    word = lambda s: F.regexp_extract_all(F.lower(s), F.lit(TERM_WORD), F.lit(0))
+    word = lambda s: F.regexp_extract_all(_folded(s), F.lit(TERM_WORD), F.lit(0))
     head, tail = lambda s: F.regexp_replace(s, r"^[\p{L}\p{N}]+", ""), lambda s: F.regexp_replace(s, r"[\p{L}\p{N}]+\z", "")
     before = tail(F.substring(text, F.greatest(F.lit(1), span["start"] - WINDOW_CHARS), F.least(F.lit(WINDOW_CHARS + 1), span["start"]) + 1))
     before = word(F.when(span["start"] > WINDOW_CHARS, head(before)).otherwise(before))
@@ -123,7 +129,7 @@ def revealing_terms(rows: DataFrame) -> DataFrame | None:
     few = terms.count()
     if not few:
         return None
-    held = rows.select(F.xxhash64("text").alias("print"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM_WORD), F.lit(0)))).alias("term"))
+    held = rows.select(F.xxhash64("text").alias("print"), F.explode(F.array_distinct(F.regexp_extract_all(_folded(F.col("text")), F.lit(TERM_WORD), F.lit(0)))).alias("term"))
     counted = held.join(F.broadcast(terms) if few <= BROADCAST_ROWS else terms, "term").groupBy("term").agg(F.count_distinct("print").alias("texts"))
     found = pairs.join(counted, "term").withColumn("degree", degree)
     return found.select("entity", "term", "degree").where(F.col("degree") >= GENERALISE)
@@ -147,12 +153,18 @@ def find(docs: DataFrame) -> DataFrame:
         return rows
     own = rows.where(F.size("__spans") > 0).select(F.xxhash64("text").alias("__print"), F.explode("__spans").alias("s"), "text")
     own = own.select("__print", F.lower(F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("entity")).distinct()
-    own = cut(own.join(terms, "entity").groupBy("__print").agg(F.sort_array(F.collect_set("term")).alias("__terms")), "__terms")
+    own = own.join(terms, "entity").groupBy("__print", "term").agg(F.max("degree").alias("degree"))
+    listed = lambda these: F.sort_array(F.collect_set(F.when(these, F.col("term"))))
+    own = cut(own.groupBy("__print").agg(listed(F.col("degree") < REMOVE).alias("__terms"), listed(F.col("degree") >= REMOVE).alias("__revealing")), "__terms")
     few = own.count() <= BROADCAST_ROWS
     joined = rows.withColumn("__print", F.xxhash64("text")).join(F.broadcast(own) if few else own, "__print", "left")
-    pattern = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])(?:"), F.array_join("__terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    extra = F.filter(_places(F.col("text"), pattern, 4), lambda t: ~F.exists("__spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return joined.withColumn("__spans", F.when(F.col("__terms").isNull(), F.col("__spans")).otherwise(F.array_sort(F.concat("__spans", extra)))).drop("__print", "__terms")
+
+    def places(terms: str, kind: int) -> Column:
+        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+        return F.when(F.size(terms) > 0, _places(_folded(F.col("text")), pattern, kind)).otherwise(F.array().cast(_SPAN))
+
+    extra = F.filter(F.concat(places("__terms", TERM), places("__revealing", REVEALING)), lambda t: ~F.exists("__spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return joined.withColumn("__spans", F.when(F.col("__terms").isNull(), F.col("__spans")).otherwise(F.array_sort(F.concat("__spans", extra)))).drop("__print", "__terms", "__revealing")
 
 
 def _listed(spans: Column) -> Column:
@@ -164,17 +176,19 @@ def report(docs: DataFrame) -> DataFrame:
     """Counts by kind, digest of the base spans and the list of all spans, a row per document."""
     found = find(slim(docs, "doc_id", "text"))
     count = lambda k: F.size(F.filter("__spans", lambda s: s["kind"] == k)).cast("long")
-    base = F.filter("__spans", lambda s: s["kind"] < 4)
+    base = F.filter("__spans", lambda s: s["kind"] < TERM)
     return found.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("__spans")).alias("spans"))
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
+def sanitise(docs: DataFrame, remove: bool = False) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; overlapping spans are one.
 
+    With remove, terms that reveal almost everything (a degree of REMOVE or more) are
+    deleted; without it they get the placeholder of the others.
     All columns stay; n_chars, where there is one, is the new length.
     """
     found = find(docs)
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    names = F.array(*[F.lit("" if remove and k == REVEALING else f"[{name.upper()}]") for k, name in enumerate(KINDS)])
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("end"), F.array().cast("array<string>").alias("out"))
 

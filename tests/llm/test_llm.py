@@ -143,6 +143,36 @@ def test_pii_terms_of_copied_texts(spark):
         assert spans[0].count("term:") == 1 and not spans[300].count("term:")
 
 
+def test_pii_terms_in_any_script_and_removal(spark):
+    """Terms are found in the text in any case of any alphabet; those at REMOVE or more are deleted, those below replaced."""
+    names = ["Élodie", "ÉLODIE", "élodie", "Γιώργος", "ΓΙΏΡΓΟΣ", "İzmir", "Özdemir", "ÖZDEMIR", "Жанна", "ЖАННА"]
+    seen = {n: [k for k, m in enumerate(names) if pii_fold(m) == pii_fold(n)] for n in names}
+    rows = [(10 * i + j, f"{WORDS[9 * i + j]} {name} {mail(seen[name][0])}") for i in range(4) for j, name in enumerate(names)]
+    rows += [(500 + i, f"{WORDS[i + 100]} Horak {E1} {WORDS[i + 200]}") for i in range(20)] + [(600 + i, f"Horak {i}") for i in range(15)]
+    rows += [(1000 + i, f"nothing number {i} here") for i in range(400)]
+    table = docs(spark, rows)
+    spans = {r.doc_id: r.spans for r in pii.report(table).collect()}
+    texts = dict(rows)
+    assert all(f"term:{texts[i].index(name)}:{texts[i].index(name) + len(name)}" in spans[i] for i in range(40) for name in [names[i % 10]])
+    removed, replaced = ({r.doc_id: r.text for r in pii.sanitise(table, remove=x).collect()} for x in (True, False))
+    assert all(removed[i] == texts[i].split()[0] + "  [EMAIL]" and replaced[i] == texts[i].split()[0] + " [TERM] [EMAIL]" for i in range(40))
+    assert removed[500] == replaced[500] == f"{WORDS[100]} [TERM] [EMAIL] {WORDS[200]}" and removed[600] == "Horak 0"
+
+
+def pii_fold(name):
+    return name.replace("İ", "i").lower().replace("ς", "σ")
+
+
+def mail(k):
+    return f"user{k}@x.org"
+
+
+def test_pii_folding_keeps_places(spark):
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    chars = spark.createDataFrame([("".join(map(chr, points[k : k + 4096])),) for k in range(0, len(points), 4096)], "t string")
+    assert chars.where(F.length(pii._folded(F.col("t"))) != F.length("t")).count() == 0
+
+
 def test_media_round_trip(spark, odd, none):
     rows = ODD + [(20, "x" * 600_000)]
     got = media.read_jpeg(media.store_as_jpeg(docs(spark, rows))).collect()
