@@ -97,7 +97,7 @@ def _compare(members: list[dict]) -> Iterator[tuple[int, int, int]]:
     copies = np.asarray([x["copies"] for x in members])
     key, block = members[0]["key"], np.asarray([x["block"] for x in members])
     bands = np.asarray([x["bands"] for x in members]) if key is not None else None
-    two_blocks = block.min() != block.max()
+    two_blocks = members[0]["unit"]["i"] != members[0]["unit"]["j"]  # by the unit, not the members: one of its blocks may be empty
     reps = np.asarray([x["rep"] for x in members])
     links, label = np.zeros(m, np.int64), np.arange(m)
     ties: list[tuple[np.ndarray, int]] = []

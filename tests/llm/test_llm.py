@@ -76,6 +76,15 @@ def test_ngram_join_large_groups(spark, monkeypatch):
     assert got == expected
 
 
+def test_ngram_join_few_long_members(spark, monkeypatch):
+    """A few long near copies are cut into more blocks than they fill; pairs within a block count once all the same."""
+    two_of_four = [r.id for r in spark.range(100).where("pmod(xxhash64(id), 4) < 2").limit(5).collect()]
+    rows = [(i, " ".join([*WORDS[:80], f"end{i}"])) for i in two_of_four]
+    monkeypatch.setattr(ngram_join, "UNIT_GRAMS", 200)
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.similar_classes(docs(spark, rows)).collect())
+    assert got == expected_classes(rows)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
