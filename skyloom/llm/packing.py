@@ -52,7 +52,7 @@ def tokenise(docs: DataFrame, capacity: int = CAPACITY, rank_file: str | None =
                 part = batch.slice(lo, 512)
                 out: list[list] = [[] for _ in range(6)]
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    ids = tokens.token_ids(encoding, text.as_py() or "") + array("I", [SEPARATOR])
+                    ids = tokens.token_ids(encoding, text.as_py() or "", added=True) + array("I", [SEPARATOR])
                     start, piece = 0, 0
                     while start < len(ids):
                         size = (len(ids) - start) % capacity or capacity

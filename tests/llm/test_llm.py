@@ -291,6 +291,20 @@ def test_token_ids_are_the_tokenizers(spark):
         assert list(tokens.token_ids(encoding, text)) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_ids_are_the_tokenizers_by_default(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoding = tokens.encoder(tokens.rank_file())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  \n x", "a  <|endoftext|>\n\n b <|endoftext |>", "<|ENDOFTEXT|> é  ", ""]
+    for text in texts:
+        assert list(tokens.token_ids(encoding, text, added=True)) == t.encode(text, add_special_tokens=False).ids
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack_documents(docs(spark, list(enumerate(texts)))).collect()}
+    ids = [np.asarray([*t.encode(x, add_special_tokens=False).ids, packing.SEPARATOR], np.uint32) for x in texts]
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)}
+
+
 ITEM = " ".join(WORDS[300:340])
 
 
