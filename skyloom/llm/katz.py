@@ -1,21 +1,28 @@
-"""Language-model scoring: a Katz back-off bigram model over words.
+"""Language-model scoring: Katz back-off over words, of any order (three words by default).
 
 Counts are gathered in blocks. A chunk of documents is tokenised once and written
-with its own sorted vocabulary. It asks the owners of its words, partitions by
-word hash, for counts and numbers; and the owners of its word pairs, partitions by
-the first word, for pair counts and what the back-off weight of that word needs. An
-owner merges what all chunks bring, so both questions carry the chunk's own
-training counts and each table is shuffled once, as a few large arrays rather than
-a row a token. Pairs of very frequent first words are spread over all owners.
-
-Low counts are discounted by Good-Turing in Katz's way. Back-off weights are
-normalised exactly over the training vocabulary and one unknown word, so
-probabilities of any context sum to one.
+with its own sorted vocabulary. It asks the owners of its words, partitions by word
+hash, for numbers and training counts. Then, order by order, it asks the owners of
+its n-grams, partitions by the hash of the context, and says how often each occurs
+in its own training texts. An owner adds up what all chunks say: that is the count
+table of the order, and its back-off sums are the back-off table; both are written,
+partitioned by context, and each chunk gets the counts and sums of what it asked.
+So every order is shuffled once, as packed arrays rather than a row a token. N-grams
+of contexts that occur more than HOT times are spread over all owners by their last
+word, and the back-off sums of such contexts are added up.
+
+Low counts are discounted by Good-Turing in Katz's way, with the counts of counts of
+each order. The probability of a token is evaluated recursively: the discounted
+share of its n-gram where that was seen, else the context's back-off weight times
+the probability after the shorter context. Weights are normalised exactly over the
+training vocabulary and one unknown word, so the probabilities of any context sum
+to one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
@@ -24,26 +31,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import textnum
-from skyloom.llm.common import FEW_ROWS, cut, cut_by, documents, fold, settings, slim
+from skyloom.llm.common import FEW_ROWS, cut, cut_by, discard, documents, held_out, settings, slim
 
+ORDER = 3
 K = 5  # counts above it are not discounted
-CHUNK_BYTES = 5 << 20
-WORDS_PER_OWNER, PAIRS_PER_OWNER = 1_000_000, 750_000
+CHUNK_BYTES = 3 << 20
+WORDS_PER_OWNER, GRAMS_PER_OWNER = 500_000, 500_000
+HOT = 100_000  # training occurrences of a context whose n-grams are spread over all owners
 END = np.uint64(2)  # hash of the end token
-NO_WORD, START = np.uint64(2**64 - 1), np.uint64(2**64 - 2)  # numbers of an unknown word and of a text's start
+START, NO_WORD, FIRST = (np.uint64(k) for k in range(3))  # numbers of what stands before a text, of an unknown word, and of the first known one
+_OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Integers as byte planes, so that leading zero bytes compress to nothing."""
+    """Unsigned integers as planes of their bytes, as many as the largest needs: leading zeros cost nothing and alike bytes stand together."""
     x = np.ascontiguousarray(x, np.uint64)
-    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def unpack(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+def unpack(b: bytes, length: int) -> np.ndarray:
+    out = np.zeros((length, 8), np.uint8)
+    if b[0]:
+        out[:, : b[0]] = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], length).T
+    return out.view(np.uint64).ravel()
 
 
-def discounts(n: list[int]) -> np.ndarray:
+def discounts(n: list[float]) -> np.ndarray:
     """Katz's discount by count 0..K from the counts of counts n[1..K+1].
 
     Where the counts of counts give none between 0 and 1, as on tiny inputs, a
@@ -58,21 +72,26 @@ def discounts(n: list[int]) -> np.ndarray:
     return d
 
 
+def kept(d: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Counts after the discount."""
+    c = count.astype(np.int64)
+    return d[np.where(c > K, 0, c)] * c
+
+
 class Unigrams:
     """Discounted word probabilities over the training vocabulary and one unknown word."""
 
-    def __init__(self, total: int, types: int, n: list[int]):
+    def __init__(self, total: int, types: int, n: list[float]):
         self.total, self.types, self.d = total, types, discounts(n)
         lost = sum((1 - self.d[r]) * r * n[r] for r in range(1, K + 1))
-        self.scale = total if lost > 0 else total + 1
+        self.scale = max(total if lost > 0 else total + 1, 1)
         self.unknown = (lost if lost > 0 else 1.0) / self.scale if total else 1.0
 
     def __call__(self, count: np.ndarray) -> np.ndarray:
-        c = count.astype(np.int64)
-        return np.where(c == 0, self.unknown, self.d[np.where(c > K, 0, c)] * c / max(self.scale, 1))
+        return np.where(count == 0, self.unknown, kept(self.d, count) / self.scale)
 
 
-CHUNKS = "chunk long, ids array<long>, train binary, sizes binary, tokens binary, vocabulary binary, counts binary"
+CHUNKS = "chunk long, n_words long, n_tokens long, n_texts long, ids array<long>, train binary, sizes binary, tokens binary, vocabulary binary"
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:
@@ -86,279 +105,453 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
             raw, offsets = textnum.string_buffer(batch.column(1))
             hashes, at = textnum.words(textnum.FOLD[raw], offsets)
             hashes = np.insert(hashes, at[1:], END)  # one end after each document's words
-            sizes = np.diff(at) + 1
             train = np.asarray(batch.column(2).fill_null(False))
             vocabulary, tokens = np.unique(hashes, return_inverse=True)
-            counts = np.bincount(tokens, np.repeat(train, sizes), len(vocabulary))
-            row = [[chunk], [batch.column(0).to_pylist()], [train.tobytes()], [sizes.astype(np.uint32).tobytes()], [tokens.astype(np.uint32).tobytes()], [vocabulary.tobytes()], [pack(counts)]]
-            types = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["chunk", "ids", "train", "sizes", "tokens", "vocabulary", "counts"])
+            row = [[chunk], [len(vocabulary)], [len(tokens)], [int(train.sum())], [batch.column(0).to_pylist()], [train.tobytes()], [(np.diff(at) + 1).astype(np.uint32).tobytes()], [pack(tokens)], [vocabulary.tobytes()]]
+            types = [*[pa.int64()] * 4, pa.list_(pa.int64()), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["chunk", "n_words", "n_tokens", "n_texts", "ids", "train", "sizes", "tokens", "vocabulary"])
             chunk += 1
 
     return docs.mapInArrow(run, CHUNKS)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row after the other as Python values: a row is a few large arrays."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _by_owner(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """Rows of each owner; the partition is sorted by owner and an owner's rows fit a task by construction."""
-    rows = (r for batch in batches for lo in range(0, batch.num_rows, 64) for r in batch.slice(lo, 64).to_pylist())
-    for owner, own in groupby(rows, lambda r: r["owner"]):
+    for owner, own in groupby(_rows(batches), lambda r: r["owner"]):
         yield owner, list(own)
 
 
-REPLY = "kind int, owner int, chunk long, a binary, b binary, stats array<double>"
-
-
-def _reply(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["kind", "owner", "chunk", "a", "b", "stats"])
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
 
 
 def _counts_of_counts(c: np.ndarray) -> list[float]:
     return [float((c == r).sum()) for r in range(1, K + 2)]
 
 
+class Document:
+    """Tokens of a chunk, from its row in the chunk table."""
+
+    def __init__(self, r: dict):
+        self.sizes = np.frombuffer(r["sizes"], np.uint32).astype(np.int64)
+        self.train = np.frombuffer(r["train"], bool)
+        self.tokens = unpack(r["tokens"], int(self.sizes.sum())).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def own_counts(self, ids: np.ndarray, n: int) -> np.ndarray:
+        """How often each of n things occurs in the chunk's training texts."""
+        return np.bincount(ids, np.repeat(self.train, self.sizes), n).astype(np.int64)
+
+
+# --- words ---
+
+_WORD_ASK = pa.schema([("owner", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
+_WORD_REPLY = pa.schema([("kind", pa.int32()), ("owner", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("numbers", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.float64()))])
+
+
 def ask_words(chunks: DataFrame, owners: int) -> DataFrame:
-    """Number and training count of each word of each chunk (kind 1), and sums of the counts (kind 0)."""
+    """Number and training count of each word of each chunk (kind 1), and sums of the counts (kind 0).
+
+    Numbers are ranks by count, so frequent words have short numbers.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                words, counts = np.frombuffer(r["vocabulary"], np.uint64), unpack(r["counts"])
-                owner = ((words >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
-                edge = np.searchsorted(owner, np.arange(owners + 1).astype(np.uint64))
-                out = [(k, r["chunk"], words[i:j].tobytes(), pack(counts[i:j])) for k, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if j > i]
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["owner", "chunk", "words", "counts"])
+        for r in _rows(batches):
+            words, d = np.frombuffer(r["vocabulary"], np.uint64), Document(r)
+            counts = d.own_counts(d.tokens, len(words))
+            owner = ((words >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
+            edge = np.searchsorted(owner, np.arange(owners + 1).astype(np.uint64))
+            yield _batch([(k, r["chunk"], words[i:j].tobytes(), pack(counts[i:j])) for k, (i, j) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if j > i], _WORD_ASK)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, rows in _by_owner(batches):
             asked = [np.frombuffer(r["words"], np.uint64) for r in rows]
             words, place = np.unique(np.concatenate(asked), return_inverse=True)
-            total = np.bincount(place, np.concatenate([unpack(r["counts"]) for r in rows]), len(words)).astype(np.int64)
+            total = np.bincount(place, np.concatenate([unpack(r["counts"], len(w)) for r, w in zip(rows, asked, strict=True)]), len(words)).astype(np.int64)
             rank = np.empty(len(words), np.uint64)
             rank[np.argsort(-total, kind="stable")] = np.arange(len(words), dtype=np.uint64)
-            number = np.where(total > 0, rank * np.uint64(owners) + np.uint64(owner), NO_WORD)
+            number = np.where(total > 0, rank * np.uint64(owners) + np.uint64(owner) + FIRST, NO_WORD)
             at = 0
             for r, own in zip(rows, asked, strict=True):
                 here = place[at : at + len(own)]
                 at += len(own)
-                yield _reply([(1, owner, r["chunk"], pack(number[here]), pack(total[here]), None)])
-            yield _reply([(0, owner, None, None, None, [float(total.sum()), float((total > 0).sum()), *_counts_of_counts(total)])])
+                yield _batch([(1, owner, r["chunk"], len(own), pack(number[here]), pack(total[here]), None)], _WORD_REPLY)
+            yield _batch([(0, owner, None, 0, None, None, [float(total.sum()), float((total > 0).sum()), *_counts_of_counts(total)])], _WORD_REPLY)
+
+    asked = chunks.select("chunk", "vocabulary", "sizes", "train", "tokens").mapInArrow(ask, "owner int, chunk long, words binary, counts binary")
+    reply = "kind int, owner int, chunk long, n int, numbers binary, counts binary, stats array<double>"
+    return asked.repartition(owners, "owner").sortWithinPartitions("owner", "chunk").mapInArrow(answer, reply)
+
+
+# --- n-grams ---
+
+
+@dataclass
+class Level:
+    """The distinct n-grams of a chunk for one n, sorted by context and last word.
+
+    ``keys`` and ``columns`` have one entry more: the n-gram of nothing but starts,
+    which is a context only.
+    """
+
+    ids: np.ndarray  # n-gram of each token
+    context: np.ndarray  # its place in the level below
+    word: np.ndarray
+    suffix: np.ndarray  # the n-gram without its first word, in the level below
+    columns: list[np.ndarray]  # numbers of its words
+    keys: np.ndarray  # hash of the numbers
+    count: np.ndarray | None = None  # training count, once known
 
-    asked = chunks.select("chunk", "vocabulary", "counts").mapInArrow(ask, "owner int, chunk long, words binary, counts binary")
-    return asked.repartition(owners, "owner").sortWithinPartitions("owner", "chunk").mapInArrow(answer, REPLY)
 
+def chained(columns: list[np.ndarray]) -> np.ndarray:
+    """Hash of rows of word numbers."""
+    key = textnum.mix64(columns[0])
+    for c in columns[1:]:
+        key = textnum.mix64(key + textnum.mix64(c ^ _OTHER))
+    return key
 
-class Pairs:
-    """The distinct word pairs of a chunk that are worth asking for, in the order of the question."""
 
-    def __init__(self, r: dict, total: int, texts: int, owners: int):
+class Chunk(Document):
+    """A chunk's n-grams, level by level. Its vocabulary is in the order of the words' numbers."""
+
+    def __init__(self, r: dict, texts: int):
+        super().__init__(r)
         words = sorted(r["words"], key=lambda x: x["owner"])  # owners hold ranges of hashes: the vocabulary's order
-        self.number = np.concatenate([unpack(x["a"]) for x in words])
-        self.count = np.concatenate([unpack(x["b"]) for x in words]).astype(np.int64)
-        self.tokens = np.frombuffer(r["tokens"], np.uint32).astype(np.int64)
-        self.sizes = np.frombuffer(r["sizes"], np.uint32).astype(np.int64)
-        self.train = np.frombuffer(r["train"], bool)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        v = len(self.number)
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[self.starts] = v
-        self.before_count = np.append(self.count, texts)
-        numbers = np.append(self.number, START)
-        key, self.pair_of = np.unique(before * v + self.tokens, return_inverse=True)
-        first, second = key // v, key % v
-        self.first_count = self.before_count[first]
-        g1, self.g2 = numbers[first], numbers[second]
-        self.c2 = self.count[second]
-        self.asked = np.flatnonzero(self.first_count > 0)  # after an unknown word only the word itself counts
-        hot = self.first_count > max(total // (4 * owners), 1000)
-        spread = textnum.mix64(g1) + np.where(hot, textnum.mix64(self.g2), np.uint64(0))
-        owner = (textnum.mix64(spread) % np.uint64(owners)).astype(np.int64)
-        a = self.asked
-        self.order = a[np.lexsort((self.g2[a], g1[a], hot[a], owner[a]))]
-        self.g1, self.hot, self.owner, self.before = g1, hot, owner, before
-
-
-def ask_pairs(joined: DataFrame, total: int, texts: int, owners: int, unigrams: Unigrams) -> DataFrame:
-    """For each chunk its pairs' training counts (kind 1), back-off sums of spread words (kind 2), counts of counts (kind 0)."""
+        number = np.concatenate([unpack(x["numbers"], x["n"]) for x in words])
+        count = np.concatenate([unpack(x["counts"], x["n"]) for x in words]).astype(np.int64)
+        order = np.argsort(number, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.texts, self.tokens = texts, place[self.tokens]
+        column = np.append(number[order], START)
+        none = np.zeros(0, np.int64)
+        self.levels = [Level(self.tokens, none, none, none, [column], chained([column]), count[order])]
+
+    def extend(self) -> Level:
+        """The next level, its counts unknown."""
+        last = self.levels[-1]
+        n, v = len(last.count), len(self.levels[0].count)
+        before = np.empty_like(last.ids)
+        before[1:] = last.ids[:-1]
+        before[self.starts] = n
+        key, ids = np.unique(before * v + self.tokens, return_inverse=True)
+        context, word = key // v, key % v
+        suffix = np.empty(len(key), np.int64)
+        suffix[ids] = last.ids
+        number = self.levels[0].columns[0]
+        columns = [np.append(c[context], START) for c in last.columns] + [np.append(number[word], START)]
+        level = Level(ids, context, word, suffix, columns, textnum.mix64(np.append(last.keys[context], last.keys[-1]) + textnum.mix64(columns[-1] ^ _OTHER)))
+        self.levels.append(level)
+        return level
+
+    def context_count(self, k: int) -> np.ndarray:
+        """Training tokens after the context of each n-gram of level k; where it is 0 there is nothing to ask."""
+        return np.append(self.levels[k - 1].count, self.texts)[self.levels[k].context]
+
+    def question(self, k: int, owners: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of level k that are asked for, by owner, and 2 * owner + whether the context is hot."""
+        level, below = self.levels[k], self.levels[k - 1]
+        count = self.context_count(k)
+        asked = np.flatnonzero(count > 0)
+        hot = count[asked] > HOT
+        spread = below.keys[level.context[asked]] + np.where(hot, textnum.mix64(level.columns[-1][asked]), np.uint64(0))
+        cell = (textnum.mix64(spread) % np.uint64(owners)).astype(np.int64) * 2 + hot
+        order = np.argsort(cell.astype(np.uint16) if owners < 1 << 15 else cell, kind="stable")
+        return asked[order], cell[order]
+
+    def learn(self, k: int, replies: list[dict], owners: int) -> None:
+        """Counts of level k from the owners' answers."""
+        order, _ = self.question(k, owners)
+        level = self.levels[k]
+        level.count = np.zeros(len(level.word), np.int64)
+        if len(order):
+            level.count[order] = np.concatenate([unpack(x["counts"], x["n"]) for x in sorted(replies, key=lambda x: x["cell"])])
+
+
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+
+
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    edge = _edges(x).tolist()
+    return list(zip(edge, edge[1:] + [len(x)][: len(edge)], strict=True))
+
+
+_ASK = pa.schema([("owner", pa.int32()), ("cell", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.binary())), ("counts", pa.binary()), ("lower", pa.binary())])
+_REPLY = pa.schema([
+    ("kind", pa.int32()), ("cell", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("counts", pa.binary()), ("runs", pa.binary()), ("sums", pa.binary()),
+    ("context", pa.int64()), ("stats", pa.list_(pa.float64())), ("table", pa.list_(pa.binary())),
+])
+REPLY = "kind int, cell int, chunk long, n int, counts binary, runs binary, sums binary, context long, stats array<double>, table array<binary>"
+
+
+def ask_grams(joined: DataFrame, order: int, texts: int, owners: int, below: np.ndarray, store: bool) -> DataFrame:
+    """Counts the n-grams of one order; ``below`` has the discounts of the order below.
+
+    Rows by kind: 1 a chunk's counts, in the order of its question, with the back-off
+    sums of contexts that it needs; 2 sums of a hot context in one owner; 3 a hot
+    context that a chunk needs; 0 counts of counts; 4, with store, the owner's part of
+    the count table and of the back-off table. Back-off sums of a context are how many
+    of its n-grams have each count up to K, and the discounted counts of their suffixes.
+    """
+    k = order - 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
-                p = Pairs(r, total, texts, owners)
-                counts = np.bincount(p.pair_of, np.repeat(p.train, p.sizes), len(p.g1))
-                o = p.order
-                cell = p.owner[o] * 2 + p.hot[o]
-                edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(o) else np.zeros(0, np.int64)
-                for i, j in zip(edge, np.append(edge[1:], len(o)), strict=True):
-                    own = o[i:j]
-                    row = (int(cell[i] >> 1), r["chunk"], bool(cell[i] & 1), pack(p.g1[own]), pack(p.g2[own]), pack(counts[own]), pack(p.c2[own]))
-                    types = (pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 4)
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["owner", "chunk", "hot", "g1", "g2", "counts", "c2"])
+        for r in _rows(batches):
+            c = Chunk(r, texts)
+            for level in range(1, k):
+                c.extend()
+                c.learn(level, r[f"level{level}"] or [], owners)
+            level = c.extend()
+            own, lower = c.own_counts(level.ids, len(level.word)), c.levels[k - 1].count[level.suffix]
+            question, cell = c.question(k, owners)
+            for i, j in _runs(cell):
+                q = question[i:j]
+                yield _batch([(int(cell[i] >> 1), int(cell[i]), r["chunk"], j - i, [pack(x[q]) for x in level.columns], pack(own[q]), pack(lower[q]))], _ASK)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, rows in _by_owner(batches):
-            g1s, g2s = [unpack(r["g1"]) for r in rows], [unpack(r["g2"]) for r in rows]
-            g1, g2 = np.concatenate(g1s), np.concatenate(g2s)
-            own = np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.int64)
-            c2 = np.concatenate([unpack(r["c2"]) for r in rows]).astype(np.int64)
-            order = np.lexsort((g2, g1))
-            new = np.r_[True, (g1[order][1:] != g1[order][:-1]) | (g2[order][1:] != g2[order][:-1])]
-            group = np.cumsum(new) - 1
-            total = np.bincount(group, own[order]).astype(np.int64)
-            pair_of = np.empty(len(g1), np.int64)
-            pair_of[order] = group
-            lead = order[new]
-            h1, w = g1[lead], unigrams(c2[lead])
-            starts = np.flatnonzero(np.r_[True, h1[1:] != h1[:-1]])
+            sizes = np.asarray([r["n"] for r in rows])
+            columns = [np.concatenate([unpack(r["grams"][j], r["n"]) for r in rows]) for j in range(order)]
+            context = chained(columns[:-1])
+            _, first, place = np.unique(textnum.mix64(context + textnum.mix64(columns[-1] ^ _OTHER)), return_index=True, return_inverse=True)
+            total = np.bincount(place, np.concatenate([unpack(r["counts"], r["n"]) for r in rows])).astype(np.int64)
+            lower = np.concatenate([unpack(r["lower"], r["n"]) for r in rows])[first]
+            contexts, context_of = np.unique(context[first], return_inverse=True)
             seen = total > 0
-            sums = np.stack([np.add.reduceat((total == r).astype(float), starts) for r in range(1, K + 1)] + [np.add.reduceat(np.where(seen, w, 0.0), starts)], 1)
+            sums = np.stack([np.bincount(context_of, total == c, len(contexts)) for c in range(1, K + 1)] + [np.bincount(context_of, np.where(seen, kept(below, lower), 0.0), len(contexts))], 1)
             bare = sums[:, :K].sum(1) == 0
-            context_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h1))))
-            at, spread = 0, []
-            for r, mine in zip(rows, g1s, strict=True):
-                here = pair_of[at : at + len(mine)]
-                at += len(mine)
-                counts = total[here]
-                back = None
-                if not r["hot"]:  # what back-off needs: first words before something unseen, or without a discounted pair
-                    context = np.unique(context_of[here[(counts == 0) | bare[context_of[here]]]])
-                    back = h1[starts[context]].tobytes() + sums[context].tobytes()
-                yield _reply([(1, owner * 2 + r["hot"], r["chunk"], pack(counts), back, None)])
-                spread.append(np.unique(context_of[here]) if r["hot"] else np.zeros(0, np.int64))
-            for context in np.unique(np.concatenate(spread)).tolist():
-                yield _reply([(2, owner, int(h1[starts[context]].view(np.int64)), None, None, sums[context].tolist())])
-            yield _reply([(0, owner, None, None, None, _counts_of_counts(total))])
-
-    asked = joined.mapInArrow(ask, "owner int, chunk long, hot boolean, g1 binary, g2 binary, counts binary, c2 binary")
-    return asked.repartition(owners, "owner").sortWithinPartitions("owner", "chunk", "hot").mapInArrow(answer, REPLY)
-
-
-def evaluate(joined: DataFrame, total: int, texts: int, owners: int, unigrams: Unigrams, d: np.ndarray, spread: dict[int, list[float]]) -> DataFrame:
-    """Scores every document of every chunk from the answers."""
+            hot_here: list[np.ndarray] = []
+            for r, i, j in zip(rows, (np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist(), strict=True):
+                here, mine = place[i:j], context[i:j]
+                counts, own = total[here], context_of[here]
+                run = _edges(mine)
+                need = np.logical_or.reduceat((counts == 0) | bare[own], run)  # contexts before something unseen, or without a discounted n-gram
+                which = own[run[need]]
+                if r["cell"] & 1:
+                    hot_here.append(own[run])
+                    yield _batch([(1, r["cell"], r["chunk"], j - i, pack(counts), None, None, None, None, None)], _REPLY)
+                    if len(which):
+                        yield _batch([(3, r["cell"], r["chunk"], 0, None, None, None, x, None, None) for x in contexts[which].view(np.int64).tolist()], _REPLY)
+                else:
+                    yield _batch([(1, r["cell"], r["chunk"], j - i, pack(counts), pack(np.flatnonzero(need)), sums[which].T.tobytes(), None, None, None)], _REPLY)
+            if hot_here:
+                these = np.unique(np.concatenate(hot_here))
+                yield _batch([(2, owner * 2 + 1, None, 0, None, None, None, x, s, None) for x, s in zip(contexts[these].view(np.int64).tolist(), sums[these].tolist(), strict=True)], _REPLY)
+            yield _batch([(0, owner * 2, None, 0, None, None, None, None, _counts_of_counts(total), None)], _REPLY)
+            if store:
+                found = first[seen]
+                parts = [pack(c[found]) for c in columns] + [pack(total[seen]), contexts.tobytes(), *[pack(s) for s in sums[:, :K].T.astype(np.uint64)], sums[:, K].tobytes()]
+                yield _batch([(4, owner * 2, None, int(seen.sum()), None, None, None, None, None, parts)], _REPLY)
+
+    asked = joined.mapInArrow(ask, "owner int, cell int, chunk long, n int, grams array<binary>, counts binary, lower binary")
+    return asked.repartition(owners, "owner").sortWithinPartitions("owner", "chunk", "cell").mapInArrow(answer, REPLY)
+
+
+def evaluate(joined: DataFrame, order: int, texts: int, owners: int, unigrams: Unigrams, d: dict[int, np.ndarray]) -> DataFrame:
+    """Scores every document of every chunk from the answers, recursively from the shortest context to the longest."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
+    def probabilities(c: Chunk, k: int, r: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each n-gram's last word after its context, and what the context's counts are divided by."""
+        if k == 0:
+            return unigrams(c.levels[0].count), np.full(len(c.levels[0].count), float(unigrams.scale))
+        lower, lower_scale = probabilities(c, k - 1, r)
+        level, after = c.levels[k], c.context_count(k)
+        question, cell = c.question(k, owners)
+        sums = np.zeros((len(c.levels[k - 1].keys), K + 1))  # by context
+        known = np.zeros(len(sums), bool)
+        replies = sorted(r[f"level{k}"] or [], key=lambda x: x["cell"])
+        for x, (i, j) in zip(replies, _runs(cell), strict=True):
+            if x["runs"] is not None:
+                q = level.context[question[i:j]]
+                found = np.frombuffer(x["sums"], np.float64).reshape(K + 1, -1).T
+                own = q[_edges(q)][unpack(x["runs"], len(found)).astype(np.int64)]
+                sums[own], known[own] = found, True
+        if r[f"hot{k}"]:
+            by_key = {np.int64(x["context"]).view(np.uint64): x["stats"] for x in r[f"hot{k}"]}
+            keys = np.asarray(list(by_key), np.uint64)
+            for own in np.flatnonzero(np.isin(c.levels[k - 1].keys, keys)).tolist():
+                sums[own], known[own] = by_key[c.levels[k - 1].keys[own]], True
+        lost = (sums[:, :K] * ((1 - d[k + 1][1:]) * np.arange(1, K + 1))).sum(1)
+        bare = known & (lost <= 0)  # such a context keeps back one count for unseen words
+        scale = after + bare[level.context].astype(float)
+        share = np.where(lost > 0, lost, 1.0)[level.context] / np.maximum(scale, 1)
+        left = share / np.maximum(1 - sums[level.context, K] / lower_scale[level.suffix], 1e-300)
+        p = np.where(level.count > 0, kept(d[k + 1], level.count) / np.maximum(scale, 1), np.where(after > 0, left, 1.0) * lower[level.suffix])
+        return p, np.maximum(scale, 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
-                p = Pairs(r, total, texts, owners)
-                pair_count = np.zeros(len(p.g1), np.int64)
-                replies = sorted(r["pairs"], key=lambda x: x["owner"])
-                if len(p.order):
-                    pair_count[p.order] = np.concatenate([unpack(x["a"]) for x in replies]).astype(np.int64)
-                known, sums = [np.zeros(0, np.uint64)], [np.zeros((0, K + 1))]
-                for x in replies:
-                    if x["b"]:
-                        n = len(x["b"]) // (8 * (K + 2))
-                        known.append(np.frombuffer(x["b"], np.uint64, n))
-                        sums.append(np.frombuffer(x["b"], np.float64, n * (K + 1), 8 * n).reshape(n, K + 1))
-                known.append(np.asarray(list(spread), np.int64).view(np.uint64))
-                sums.append(np.asarray(list(spread.values()), float).reshape(-1, K + 1))
-                numbers, table = np.concatenate(known), np.concatenate(sums)
-                order = np.argsort(numbers, kind="stable")
-                numbers, table = numbers[order], table[order]
-                word = unigrams(p.c2)
-                lost = (table[:, :K] * ((1 - d[1:]) * np.arange(1, K + 1))).sum(1)
-                prob = word.copy()
-                seen, unseen = np.flatnonzero(pair_count > 0), np.flatnonzero((pair_count == 0) & (p.first_count > 0))
-                place = np.minimum(np.searchsorted(numbers, p.g1[unseen]), max(len(numbers) - 1, 0))
-                if len(unseen):
-                    c1, lost_here = p.first_count[unseen], lost[place]
-                    left = np.where(lost_here > 0, lost_here / c1, 1 / (c1 + 1))
-                    prob[unseen] = left * word[unseen] / np.maximum(1 - table[place, K], 1e-300)
-                # A first word whose pairs have no discount keeps back one count for unseen ones.
-                bare = np.isin(p.g1[seen], numbers[lost <= 0])
-                c = pair_count[seen]
-                prob[seen] = d[np.where(c > K, 0, c)] * c / (p.first_count[seen] + bare)
-                logs = np.log10(np.maximum(prob, 1e-300))[p.pair_of]
-                score = np.add.reduceat(logs, p.starts)
-                counts = p.count[p.tokens]
-                base = np.add.reduceat(np.log10((counts + 1.0) / (total + unigrams.types + 1.0)), p.starts)
-                known_n = np.add.reduceat((counts > 0).astype(np.int64), p.starts)
-                out = [pa.array(r["ids"], pa.int64()), pa.array(~p.train), pa.array(p.sizes), pa.array(known_n), pa.array(np.full(len(score), total)), pa.array(base), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(out, names)
+        for r in _rows(batches):
+            c = Chunk(r, texts)
+            for k in range(1, order):
+                c.extend()
+                c.learn(k, r[f"level{k}"] or [], owners)
+            p, _ = probabilities(c, order - 1, r)
+            score = np.add.reduceat(np.log10(np.maximum(p, 1e-300))[c.levels[-1].ids], c.starts)
+            counts = c.levels[0].count[c.tokens]
+            base = np.add.reduceat(np.log10((counts + 1.0) / (unigrams.total + unigrams.types + 1.0)), c.starts)
+            known = np.add.reduceat((counts > 0).astype(np.int64), c.starts)
+            out = [pa.array(r["ids"], pa.int64()), pa.array(~c.train), pa.array(c.sizes), pa.array(known), pa.array(np.full(len(score), unigrams.total)), pa.array(base), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(out, names)
 
     return joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """Scores every whole text, learning from those outside the held-out fold.
+def _summed(replies: DataFrame, n: int) -> list[float]:
+    """Sums of the owners' statistics rows."""
+    row = replies.where("kind = 0").agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(n)]).first()
+    return list(row)
 
-    Null and empty texts are the end token alone. A null doc_id is held out. Repeated
-    rows count and are scored each. An empty table gives no rows; with no training
-    text every token is unknown and every score 0 (base scores are log10(1 / 1)). Extra
-    columns are not read.
-    """
-    rows = slim(docs, "doc_id", "text").select("doc_id", "text", F.coalesce(fold("doc_id", 7) != 2, F.lit(False)).alias("train"))
+
+def _with_level(joined: DataFrame, replies: DataFrame, k: int, sums: bool) -> DataFrame:
+    """Chunks with the answers for level k; with sums also what back-off needs."""
+    fields = ["cell", "n", "counts", *(["runs", "sums"] if sums else [])]
+    own = replies.where("kind = 1").groupBy("chunk").agg(F.collect_list(F.struct(*fields)).alias(f"level{k}"))
+    joined = joined.join(own, "chunk", "left")
+    if sums:
+        total = replies.where("kind = 2").groupBy("context").agg(F.array(*[F.sum(F.col("stats")[i]) for i in range(K + 1)]).alias("stats"))
+        need = replies.where("kind = 3").select("chunk", "context").distinct().join(total, "context")
+        joined = joined.join(need.groupBy("chunk").agg(F.collect_list(F.struct("context", "stats")).alias(f"hot{k}")), "chunk", "left")
+    return joined
+
+
+@dataclass
+class Tables:
+    """The written tables of a corpus: chunks, and for each order what its owners answered and its discounts."""
+
+    order: int
+    chunks: DataFrame
+    words: DataFrame
+    replies: dict[int, DataFrame]
+    unigrams: Unigrams
+    d: dict[int, np.ndarray]
+    scores: DataFrame
+
+    def discard(self) -> None:
+        discard(self.chunks, self.words, *self.replies.values())
+
+
+def gather(docs: DataFrame, order: int = ORDER, store: bool = True) -> Tables:
+    """Counts all orders, scores all documents and returns the tables."""
+    rows = slim(docs, "doc_id", "text").select("doc_id", "text", (~held_out("doc_id", 7, 2)).alias("train"))
     chunks = cut_by(chunk_documents(rows), "chunk", "chunks")
-    size = chunks.select(F.coalesce(F.sum(F.length("vocabulary") / 8), F.lit(0)).alias("words"), F.coalesce(F.sum(F.length("tokens") / 4), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.length(F.expr("replace(hex(train), '00', '')")) / 2), F.lit(0)).alias("texts")).first()
+    size = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "n_texts")]).first()
+    texts, owners = int(size.n_texts), max(4, int(size.n_tokens // GRAMS_PER_OWNER) + 1)
     with settings(docs.sparkSession, FEW_ROWS):
-        texts = int(size.texts)
-        word_replies = cut(ask_words(chunks, max(4, int(size.words // WORDS_PER_OWNER) + 1)), "words", "zstd")
-        total, types, *n = _summed(word_replies, 2 + K + 1)
+        words = cut(ask_words(chunks, max(4, int(size.n_words // WORDS_PER_OWNER) + 1)), "words", "zstd")
+        total, types, *n = _summed(words, 2 + K + 1)
         unigrams = Unigrams(int(total), int(types), [0, *n])
-        by_chunk = word_replies.where("kind = 1").groupBy("chunk").agg(F.collect_list(F.struct("owner", "a", "b")).alias("words"))
-        joined = chunks.join(by_chunk, "chunk")
-        owners = max(4, int(size.tokens // PAIRS_PER_OWNER) + 1)
-        asked = joined.select("chunk", "train", "sizes", "tokens", "words")
-        pair_replies = cut(ask_pairs(asked, int(total), texts, owners, unigrams), "pairs", "zstd")
-        d = discounts([0, *_summed(pair_replies, K + 1)])
-        hot = pair_replies.where("kind = 2").groupBy("chunk").agg(F.array(*[F.sum(F.col("stats")[k]) for k in range(K + 1)]).alias("stats"))
-        spread = {r.chunk: r.stats for r in hot.collect()}  # words with over 1 / (4 * owners) of all tokens: at most 4 * owners
-        pairs = pair_replies.where("kind = 1").groupBy("chunk").agg(F.collect_list(F.struct("owner", "a", "b")).alias("pairs"))
-        answered = joined.join(pairs, "chunk", "left").select("chunk", "ids", "train", "sizes", "tokens", "words", F.coalesce("pairs", F.array().cast("array<struct<owner:int,a:binary,b:binary>>")).alias("pairs"))
-        return cut(evaluate(answered, int(total), texts, owners, unigrams, d, spread), "scores")
+        d, replies = {1: unigrams.d}, {}
+        answers = words.where("kind = 1").groupBy("chunk").agg(F.collect_list(F.struct("owner", "n", "numbers", "counts")).alias("words"))
+        joined = chunks.drop("vocabulary").join(answers, "chunk")
+        for k in range(1, order):
+            asked = joined.drop("ids")
+            for lower in range(1, k):
+                asked = _with_level(asked, replies[lower], lower, False)
+            replies[k] = cut(ask_grams(asked, k + 1, texts, owners, d[k], store), f"grams-{k + 1}", "zstd")
+            d[k + 1] = discounts([0, *_summed(replies[k], K + 1)])
+        for k in range(1, order):
+            joined = _with_level(joined, replies[k], k, True)
+        scores = cut(evaluate(joined, order, texts, owners, unigrams, d), "scores")
+    return Tables(order, chunks, words, replies, unigrams, d, scores)
+
+
+def count_table(tables: Tables, k: int) -> DataFrame:
+    """The count table of an order over 1: context (hash), word (its number) and count, as the owners keep it."""
+    order = k
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            columns = [unpack(c, r["n"]) for c in r["table"][:order]]
+            yield pa.RecordBatch.from_arrays([pa.array(chained(columns[:-1]).view(np.int64)), pa.array(columns[-1].view(np.int64)), pa.array(unpack(r["table"][order], r["n"]).view(np.int64))], ["context", "word", "count"])
+
+    return tables.replies[k - 1].where("kind = 4").select("n", "table").mapInArrow(run, "context long, word long, count long")
+
+
+def backoff_table(tables: Tables, k: int) -> DataFrame:
+    """The back-off table of an order: context (hash), the count that its discounts take away, and the discounted counts of its n-grams' suffixes."""
+    order, loss = k, (1 - tables.d[k][1:]) * np.arange(1, K + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            contexts = np.frombuffer(r["table"][order + 1], np.int64)
+            lost = sum(x * unpack(b, len(contexts)).astype(float) for x, b in zip(loss, r["table"][order + 2 : order + 2 + K], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(contexts), pa.array(lost), pa.array(np.frombuffer(r["table"][order + 2 + K], np.float64))], ["context", "lost", "lower"])
+
+    parts = tables.replies[k - 1].where("kind = 4").select("n", "table").mapInArrow(run, "context long, lost double, lower double")
+    return parts.groupBy("context").agg(F.sum("lost").alias("lost"), F.sum("lower").alias("lower"))  # a hot context has parts
 
-def _summed(replies: DataFrame, n: int) -> list[float]:
-    """Sums of the owners' statistics rows."""
-    row = replies.where("kind = 0").agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(n)]).first()
-    return list(row)
+
+def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """Scores every whole text, learning from those outside the held-out fold.
+
+    Null and empty texts are the end token alone. A null doc_id is held out. Repeated
+    rows count and are scored each. An empty table gives no rows; with no training
+    text every token is unknown and every score 0 (base scores are log10(1 / 1)). Extra
+    columns are not read. A document is never cut: one of over CHUNK_BYTES is a chunk of
+    its own.
+    """
+    tables = gather(docs, order)
+    tables.discard()
+    return tables.scores
 
 
 def op10_katz(spark, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
-def brute_force(texts: list[tuple[int, str | None, bool]]) -> list[tuple[int, bool, int, int, int, float, float]]:
-    """The same scores by plain dictionaries, for tests on small tables."""
+def brute_force(texts: list[tuple[int, str | None, bool]], order: int = ORDER) -> tuple[list[tuple[int, bool, int, int, int, float, float]], object]:
+    """The same scores by plain dictionaries and recursion, and the probability itself, for tests on small tables."""
     import math
     import re
     from collections import Counter, defaultdict
 
     fold_case = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     docs = [(i, [w for w in re.split(r"[ \t-\r]+", (t or "").translate(fold_case)) if w] + [None], train) for i, t, train in texts]
-    uni: Counter = Counter()
-    bi: Counter = Counter()
-    context: Counter = Counter()
+    count = {n: Counter() for n in range(1, order + 1)}
     for _, words, train in docs:
-        if train:
-            uni.update(words)
-            for h, w in zip([0, *words], words, strict=False):
-                bi[h, w] += 1
-                context[h] += 1
-    total, types = sum(uni.values()), len(uni)
-    cc = lambda c: [0.0, *[float(sum(v == r for v in c.values())) for r in range(1, K + 2)]]
-    model = Unigrams(total, types, cc(uni))
-    d = discounts(cc(bi))
-    p1 = lambda w: float(model(np.asarray([uni[w]]))[0])
-    after: dict = defaultdict(list)
-    for (h, w), c in bi.items():
-        after[h].append((w, c))
-    scale, alpha = {}, {}
-    for h, own in after.items():
-        lost = sum((1 - d[c]) * c for _, c in own if c <= K)
-        scale[h] = context[h] if lost > 0 else context[h] + 1
-        alpha[h] = (lost if lost > 0 else 1) / scale[h] / (1 - sum(p1(w) for w, _ in own))
+        padded = [0] * (order - 1) + words
+        for k in range(len(words) if train else 0):
+            for n in count:
+                count[n][tuple(padded[k + order - n : k + order])] += 1
+    after = {n: defaultdict(list) for n in count}
+    for n in count:
+        for gram, c in count[n].items():
+            after[n][gram[:-1]].append((gram[-1], c))
+    d = {n: discounts([0.0, *[float(sum(v == r for v in count[n].values())) for r in range(1, K + 2)]]) for n in count}
+    total, types = sum(count[1].values()), len(count[1])
+    model = Unigrams(total, types, [0.0, *[float(sum(v == r for v in count[1].values())) for r in range(1, K + 2)]])
+    left: dict = {}
+
+    def p(history: tuple, w) -> float:
+        if not history:
+            return float(model(np.asarray([count[1][w,]]))[0])
+        n = len(history) + 1
+        own = after[n].get(history)
+        if own is None:
+            return p(history[1:], w)
+        if history not in left:
+            lost = sum((1 - d[n][c]) * c for _, c in own if c <= K)
+            scale = sum(c for _, c in own) + (0 if lost > 0 else 1)
+            left[history] = scale, (lost if lost > 0 else 1) / scale / (1 - sum(p(history[1:], x) for x, _ in own))
+        scale, alpha = left[history]
+        c = count[n][(*history, w)]
+        return (d[n][c] if c <= K else 1) * c / scale if c else alpha * p(history[1:], w)
+
     out = []
     for i, words, train in docs:
-        score = base = 0.0
-        for h, w in zip([0, *words], words, strict=False):
-            c = bi[h, w]
-            p = (d[c] if c <= K else 1) * c / scale[h] if c else alpha.get(h, 1.0) * p1(w)
-            score += math.log10(p)
-            base += math.log10((uni[w] + 1) / (total + types + 1))
-        out.append((i, not train, len(words), sum(uni[w] > 0 for w in words), total, base, score))
-    return out
+        padded = [0] * (order - 1) + words
+        score = sum(math.log10(p(tuple(padded[k : k + order - 1]), w)) for k, w in enumerate(words))
+        base = sum(math.log10((count[1][w,] + 1) / (total + types + 1)) for w in words)
+        out.append((i, not train, len(words), sum(count[1][w,] > 0 for w in words), total, base, score))
+    return out, (p, count)

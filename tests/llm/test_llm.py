@@ -321,16 +321,45 @@ def test_decontamination(spark, none):
     assert decontaminate.matches(none, bench).count() == 0 and decontaminate.matches(docs(spark, rows), bench.where("false")).count() == 0
 
 
-def test_katz_equals_brute_force(spark, none, monkeypatch):
+@pytest.mark.parametrize(("order", "hot"), [(3, 100_000), (3, 40), (2, 40), (4, 100_000), (1, 100_000)])
+def test_katz_equals_brute_force(spark, none, monkeypatch, order, hot):
+    """Scores of every order, with hot contexts and without, equal plain recursion over dictionaries."""
     rng = np.random.default_rng(7)
     p = 1 / np.arange(1, 121)
-    rows = [(i, " ".join(rng.choice(WORDS[:120], int(rng.integers(0, 60)), p=p / p.sum()))) for i in range(250)] + [(900, None), (901, "A a Ä\x0bb"), (901, "A a Ä\x0bb")]
+    rows = [(i, " ".join(rng.choice(WORDS[:120], int(rng.integers(0, 60)), p=p / p.sum()))) for i in range(250)] + [(900, None), (901, "A a Ä\x0bb"), (901, "A a Ä\x0bb")] + [(1000 + i, "same words again") for i in range(40)]
     monkeypatch.setattr(katz, "CHUNK_BYTES", 5000)
-    want = sorted(katz.brute_force([(i, t, zlib.crc32(str(i).encode()) % 7 != 2) for i, t in rows]))
-    got = sorted(tuple(r) for r in katz.score_documents(docs(spark, rows)).collect())
+    monkeypatch.setattr(katz, "HOT", hot)
+    want = sorted(katz.brute_force([(i, t, zlib.crc32(str(i).encode()) % 7 != 2) for i, t in rows], order)[0])
+    got = sorted(tuple(r) for r in katz.score_documents(docs(spark, rows), order).collect())
     assert [r[:5] for r in got] == [r[:5] for r in want]
     assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9)
+
+
+def test_katz_odd_tables(spark, odd, none):
     assert katz.score_documents(none).count() == 0
+    got = sorted((r.doc_id or -1, r.n_tokens, r.held_out) for r in katz.score_documents(odd).collect())
+    assert got == sorted((i or -1, len((t or "").split()) + 1, i is None or zlib.crc32(str(i).encode()) % 7 == 2) for i, t in ODD)
+    unseen = katz.score_documents(odd.where("doc_id is null")).first()
+    assert (unseen.train_tokens, unseen.n_known, unseen.base_score, unseen.score) == (0, 0, 0.0, 0.0)
+
+
+def test_katz_contexts_sum_to_one(spark, monkeypatch):
+    """The written tables hold the corpus's counts, and probabilities after any context sum to one."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(WORDS[:30], 25))) for i in range(60)]
+    monkeypatch.setattr(katz, "HOT", 30)
+    trained = [(i, t, zlib.crc32(str(i).encode()) % 7 != 2) for i, t in rows]
+    _, (p, count) = katz.brute_force(trained)
+    words = [*{w for w, in count[1]}, "never seen"]
+    for history in [(), (0,), (0, 0), ("word3",), ("word3", "word4"), (0, "word9"), ("nobody", "word2"), *[h[:2] for h in list(count[3])[:20] if h[1] is not None]]:
+        assert abs(sum(p(history, w) for w in words) - 1) < 1e-9
+    tables = katz.gather(docs(spark, rows))
+    for n in (2, 3):
+        stored = katz.count_table(tables, n)
+        assert sorted(r["count"] for r in stored.collect()) == sorted(count[n].values())
+        contexts = {g[:-1] for g in count[n]}
+        assert stored.select("context").distinct().count() == len(contexts) == katz.backoff_table(tables, n).count()
+    tables.discard()
 
 
 def test_rollup_is_idempotent(spark, tmp_path):
