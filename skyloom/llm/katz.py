@@ -47,14 +47,24 @@ def pack(x: np.ndarray) -> bytes:
     """Unsigned integers as planes of their bytes, as many as the largest needs: leading zeros cost nothing and alike bytes stand together."""
     x = np.ascontiguousarray(x, np.uint64)
     width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
-    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return b"".join([bytes([width]), *[(x >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(width)]])
 
 
 def unpack(b: bytes, length: int) -> np.ndarray:
-    out = np.zeros((length, 8), np.uint8)
-    if b[0]:
-        out[:, : b[0]] = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], length).T
-    return out.view(np.uint64).ravel()
+    out = np.zeros(length, np.uint64)
+    for k in range(b[0]):
+        out |= np.frombuffer(b, np.uint8, length, 1 + k * length).astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, where one of each stands, and the place of each key among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(keys) else np.zeros(0, bool)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], place
 
 
 def discounts(n: list[float]) -> np.ndarray:
@@ -208,6 +218,7 @@ class Level:
     columns: list[np.ndarray]  # numbers of its words
     keys: np.ndarray  # hash of the numbers
     count: np.ndarray | None = None  # training count, once known
+    asked: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def chained(columns: list[np.ndarray]) -> np.ndarray:
@@ -241,10 +252,8 @@ class Chunk(Document):
         before = np.empty_like(last.ids)
         before[1:] = last.ids[:-1]
         before[self.starts] = n
-        key, ids = np.unique(before * v + self.tokens, return_inverse=True)
-        context, word = key // v, key % v
-        suffix = np.empty(len(key), np.int64)
-        suffix[ids] = last.ids
+        key, first, ids = distinct(before * v + self.tokens)
+        context, word, suffix = key // v, key % v, last.ids[first]
         number = self.levels[0].columns[0]
         columns = [np.append(c[context], START) for c in last.columns] + [np.append(number[word], START)]
         level = Level(ids, context, word, suffix, columns, textnum.mix64(np.append(last.keys[context], last.keys[-1]) + textnum.mix64(columns[-1] ^ _OTHER)))
@@ -258,13 +267,16 @@ class Chunk(Document):
     def question(self, k: int, owners: int) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams of level k that are asked for, by owner, and 2 * owner + whether the context is hot."""
         level, below = self.levels[k], self.levels[k - 1]
+        if level.asked is not None:
+            return level.asked
         count = self.context_count(k)
         asked = np.flatnonzero(count > 0)
         hot = count[asked] > HOT
         spread = below.keys[level.context[asked]] + np.where(hot, textnum.mix64(level.columns[-1][asked]), np.uint64(0))
         cell = (textnum.mix64(spread) % np.uint64(owners)).astype(np.int64) * 2 + hot
         order = np.argsort(cell.astype(np.uint16) if owners < 1 << 15 else cell, kind="stable")
-        return asked[order], cell[order]
+        level.asked = asked[order], cell[order]
+        return level.asked
 
     def learn(self, k: int, replies: list[dict], owners: int) -> None:
         """Counts of level k from the owners' answers."""
@@ -314,23 +326,23 @@ def ask_grams(joined: DataFrame, order: int, texts: int, owners: int, below: np.
             level = c.extend()
             own, lower = c.own_counts(level.ids, len(level.word)), c.levels[k - 1].count[level.suffix]
             question, cell = c.question(k, owners)
-            for i, j in _runs(cell):
-                q = question[i:j]
-                yield _batch([(int(cell[i] >> 1), int(cell[i]), r["chunk"], j - i, [pack(x[q]) for x in level.columns], pack(own[q]), pack(lower[q]))], _ASK)
+            values, own, lower = [x[question] for x in level.columns], own[question], lower[question]
+            yield _batch([(int(cell[i] >> 1), int(cell[i]), r["chunk"], j - i, [pack(x[i:j]) for x in values], pack(own[i:j]), pack(lower[i:j])) for i, j in _runs(cell)], _ASK)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, rows in _by_owner(batches):
             sizes = np.asarray([r["n"] for r in rows])
             columns = [np.concatenate([unpack(r["grams"][j], r["n"]) for r in rows]) for j in range(order)]
             context = chained(columns[:-1])
-            _, first, place = np.unique(textnum.mix64(context + textnum.mix64(columns[-1] ^ _OTHER)), return_index=True, return_inverse=True)
+            _, first, place = distinct(textnum.mix64(context + textnum.mix64(columns[-1] ^ _OTHER)))
             total = np.bincount(place, np.concatenate([unpack(r["counts"], r["n"]) for r in rows])).astype(np.int64)
             lower = np.concatenate([unpack(r["lower"], r["n"]) for r in rows])[first]
-            contexts, context_of = np.unique(context[first], return_inverse=True)
+            contexts, _, context_of = distinct(context[first])
             seen = total > 0
             sums = np.stack([np.bincount(context_of, total == c, len(contexts)) for c in range(1, K + 1)] + [np.bincount(context_of, np.where(seen, kept(below, lower), 0.0), len(contexts))], 1)
             bare = sums[:, :K].sum(1) == 0
             hot_here: list[np.ndarray] = []
+            out: list[tuple] = []
             for r, i, j in zip(rows, (np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist(), strict=True):
                 here, mine = place[i:j], context[i:j]
                 counts, own = total[here], context_of[here]
@@ -339,19 +351,23 @@ def ask_grams(joined: DataFrame, order: int, texts: int, owners: int, below: np.
                 which = own[run[need]]
                 if r["cell"] & 1:
                     hot_here.append(own[run])
-                    yield _batch([(1, r["cell"], r["chunk"], j - i, pack(counts), None, None, None, None, None)], _REPLY)
-                    if len(which):
-                        yield _batch([(3, r["cell"], r["chunk"], 0, None, None, None, x, None, None) for x in contexts[which].view(np.int64).tolist()], _REPLY)
+                    out.append((1, r["cell"], r["chunk"], j - i, pack(counts), None, None, None, None, None))
+                    out += [(3, r["cell"], r["chunk"], 0, None, None, None, x, None, None) for x in contexts[which].view(np.int64).tolist()]
                 else:
-                    yield _batch([(1, r["cell"], r["chunk"], j - i, pack(counts), pack(np.flatnonzero(need)), sums[which].T.tobytes(), None, None, None)], _REPLY)
+                    out.append((1, r["cell"], r["chunk"], j - i, pack(counts), pack(np.flatnonzero(need)), sums[which].T.tobytes(), None, None, None))
+                if len(out) > 100:
+                    yield _batch(out, _REPLY)
+                    out = []
+            yield _batch(out, _REPLY)
             if hot_here:
                 these = np.unique(np.concatenate(hot_here))
                 yield _batch([(2, owner * 2 + 1, None, 0, None, None, None, x, s, None) for x, s in zip(contexts[these].view(np.int64).tolist(), sums[these].tolist(), strict=True)], _REPLY)
             yield _batch([(0, owner * 2, None, 0, None, None, None, None, _counts_of_counts(total), None)], _REPLY)
             if store:
                 found = first[seen]
-                parts = [pack(c[found]) for c in columns] + [pack(total[seen]), contexts.tobytes(), *[pack(s) for s in sums[:, :K].T.astype(np.uint64)], sums[:, K].tobytes()]
-                yield _batch([(4, owner * 2, None, int(seen.sum()), None, None, None, None, None, parts)], _REPLY)
+                found = found[np.lexsort([c[found] for c in reversed(columns)])]
+                lower_of = lower[place[found]]
+                yield _batch([(4, owner * 2, None, len(found), None, None, None, None, None, [*[pack(c[found]) for c in columns], pack(total[place[found]]), pack(lower_of)])], _REPLY)
 
     asked = joined.mapInArrow(ask, "owner int, cell int, chunk long, n int, grams array<binary>, counts binary, lower binary")
     return asked.repartition(owners, "owner").sortWithinPartitions("owner", "chunk", "cell").mapInArrow(answer, REPLY)
@@ -442,7 +458,7 @@ class Tables:
 
 
 def gather(docs: DataFrame, order: int = ORDER, store: bool = True) -> Tables:
-    """Counts all orders, scores all documents and returns the tables."""
+    """Counts all orders, scores all documents and returns the tables; without store, count tables are not kept beside the answers."""
     rows = slim(docs, "doc_id", "text").select("doc_id", "text", (~held_out("doc_id", 7, 2)).alias("train"))
     chunks = cut_by(chunk_documents(rows), "chunk", "chunks")
     size = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "n_texts")]).first()
@@ -467,29 +483,23 @@ def gather(docs: DataFrame, order: int = ORDER, store: bool = True) -> Tables:
 
 
 def count_table(tables: Tables, k: int) -> DataFrame:
-    """The count table of an order over 1: context (hash), word (its number) and count, as the owners keep it."""
+    """The count table of an order over 1: context (hash), word (its number), count, and lower, the count of the n-gram's suffix."""
     order = k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            columns = [unpack(c, r["n"]) for c in r["table"][:order]]
-            yield pa.RecordBatch.from_arrays([pa.array(chained(columns[:-1]).view(np.int64)), pa.array(columns[-1].view(np.int64)), pa.array(unpack(r["table"][order], r["n"]).view(np.int64))], ["context", "word", "count"])
+            columns = [unpack(c, r["n"]) for c in r["table"]]
+            values = (chained(columns[: order - 1]), *columns[order - 1 :])
+            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in values], ["context", "word", "count", "lower"])
 
-    return tables.replies[k - 1].where("kind = 4").select("n", "table").mapInArrow(run, "context long, word long, count long")
+    return tables.replies[k - 1].where("kind = 4").select("n", "table").mapInArrow(run, "context long, word long, count long, lower long")
 
 
 def backoff_table(tables: Tables, k: int) -> DataFrame:
-    """The back-off table of an order: context (hash), the count that its discounts take away, and the discounted counts of its n-grams' suffixes."""
-    order, loss = k, (1 - tables.d[k][1:]) * np.arange(1, K + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            contexts = np.frombuffer(r["table"][order + 1], np.int64)
-            lost = sum(x * unpack(b, len(contexts)).astype(float) for x, b in zip(loss, r["table"][order + 2 : order + 2 + K], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(contexts), pa.array(lost), pa.array(np.frombuffer(r["table"][order + 2 + K], np.float64))], ["context", "lost", "lower"])
-
-    parts = tables.replies[k - 1].where("kind = 4").select("n", "table").mapInArrow(run, "context long, lost double, lower double")
-    return parts.groupBy("context").agg(F.sum("lost").alias("lost"), F.sum("lower").alias("lower"))  # a hot context has parts
+    """The back-off table of an order over 1: context (hash), the count that discounts take from its n-grams, and the discounted counts of their suffixes."""
+    kept_of = lambda c, d: F.element_at(F.array(*[F.lit(float(x)) for x in d]), F.when(F.col(c) > K, 0).otherwise(F.col(c)).cast("int") + 1) * F.col(c)
+    rows = count_table(tables, k)
+    return rows.groupBy("context").agg(F.sum(F.col("count") - kept_of("count", tables.d[k])).alias("lost"), F.sum(kept_of("lower", tables.d[k - 1])).alias("lower"))
 
 
 def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -501,7 +511,7 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     columns are not read. A document is never cut: one of over CHUNK_BYTES is a chunk of
     its own.
     """
-    tables = gather(docs, order)
+    tables = gather(docs, order, store=False)
     tables.discard()
     return tables.scores
 
