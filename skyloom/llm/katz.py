@@ -44,16 +44,18 @@ _OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Unsigned integers as planes of their bytes, as many as the largest needs: leading zeros cost nothing and alike bytes stand together."""
+    """Unsigned integers as compressed planes of their bytes: leading zeros cost nothing and alike bytes stand together."""
     x = np.ascontiguousarray(x, np.uint64)
     width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
-    return b"".join([bytes([width]), *[(x >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(width)]])
+    planes = b"".join([(x >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(width)])
+    return bytes([width]) + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unpack(b: bytes, length: int) -> np.ndarray:
     out = np.zeros(length, np.uint64)
+    planes = pa.decompress(b[1:], b[0] * length, "zstd", asbytes=True) if b[0] else b""
     for k in range(b[0]):
-        out |= np.frombuffer(b, np.uint8, length, 1 + k * length).astype(np.uint64) << np.uint64(8 * k)
+        out |= np.frombuffer(planes, np.uint8, length, k * length).astype(np.uint64) << np.uint64(8 * k)
     return out
 
 
