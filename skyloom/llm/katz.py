@@ -44,21 +44,34 @@ _OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Unsigned integers as compressed planes of their bytes: leading zeros cost nothing and alike bytes stand together."""
+    """Unsigned integers as planes of their bytes, as many as the largest needs: leading zeros cost nothing and alike bytes stand together."""
     x = np.ascontiguousarray(x, np.uint64)
     width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
-    planes = b"".join([(x >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(width)])
-    return bytes([width]) + pa.compress(planes, "zstd", asbytes=True)
+    return b"".join([bytes([width]), *[(x >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(width)]])
 
 
-def unpack(b: bytes, length: int) -> np.ndarray:
+def unpack(b: bytes, length: int, at: int = 0) -> np.ndarray:
     out = np.zeros(length, np.uint64)
-    planes = pa.decompress(b[1:], b[0] * length, "zstd", asbytes=True) if b[0] else b""
-    for k in range(b[0]):
-        out |= np.frombuffer(planes, np.uint8, length, k * length).astype(np.uint64) << np.uint64(8 * k)
+    for k in range(b[at]):
+        out |= np.frombuffer(b, np.uint8, length, at + 1 + k * length).astype(np.uint64) << np.uint64(8 * k)
     return out
 
 
+def pack_all(columns: list[np.ndarray]) -> bytes:
+    """Columns of one length, packed and compressed together."""
+    planes = b"".join([pack(c) for c in columns])
+    return len(planes).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpack_all(b: bytes, length: int) -> list[np.ndarray]:
+    planes = pa.decompress(memoryview(b)[4:], int.from_bytes(b[:4], "little"), "zstd", asbytes=True)
+    found, at = [], 0
+    while at < len(planes):
+        found.append(unpack(planes, length, at))
+        at += 1 + planes[at] * length
+    return found
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different keys in order, where one of each stands, and the place of each key among them."""
     order = np.argsort(keys)
@@ -300,12 +313,12 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge, edge[1:] + [len(x)][: len(edge)], strict=True))
 
 
-_ASK = pa.schema([("owner", pa.int32()), ("cell", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.binary())), ("counts", pa.binary()), ("lower", pa.binary())])
+_ASK = pa.schema([("owner", pa.int32()), ("cell", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("question", pa.binary())])
 _REPLY = pa.schema([
     ("kind", pa.int32()), ("cell", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("counts", pa.binary()), ("runs", pa.binary()), ("sums", pa.binary()),
-    ("context", pa.int64()), ("stats", pa.list_(pa.float64())), ("table", pa.list_(pa.binary())),
+    ("context", pa.int64()), ("stats", pa.list_(pa.float64())), ("table", pa.binary()),
 ])
-REPLY = "kind int, cell int, chunk long, n int, counts binary, runs binary, sums binary, context long, stats array<double>, table array<binary>"
+REPLY = "kind int, cell int, chunk long, n int, counts binary, runs binary, sums binary, context long, stats array<double>, table binary"
 
 
 def ask_grams(joined: DataFrame, order: int, texts: int, owners: int, below: np.ndarray, store: bool) -> DataFrame:
@@ -329,16 +342,15 @@ def ask_grams(joined: DataFrame, order: int, texts: int, owners: int, below: np.
             own, lower = c.own_counts(level.ids, len(level.word)), c.levels[k - 1].count[level.suffix]
             question, cell = c.question(k, owners)
             values, own, lower = [x[question] for x in level.columns], own[question], lower[question]
-            yield _batch([(int(cell[i] >> 1), int(cell[i]), r["chunk"], j - i, [pack(x[i:j]) for x in values], pack(own[i:j]), pack(lower[i:j])) for i, j in _runs(cell)], _ASK)
+            yield _batch([(int(cell[i] >> 1), int(cell[i]), r["chunk"], j - i, pack_all([x[i:j] for x in (*values, own, lower)])) for i, j in _runs(cell)], _ASK)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, rows in _by_owner(batches):
             sizes = np.asarray([r["n"] for r in rows])
-            columns = [np.concatenate([unpack(r["grams"][j], r["n"]) for r in rows]) for j in range(order)]
+            *columns, own_count, lower = (np.concatenate(c) for c in zip(*[unpack_all(r.pop("question"), r["n"]) for r in rows], strict=True))
             context = chained(columns[:-1])
             _, first, place = distinct(textnum.mix64(context + textnum.mix64(columns[-1] ^ _OTHER)))
-            total = np.bincount(place, np.concatenate([unpack(r["counts"], r["n"]) for r in rows])).astype(np.int64)
-            lower = np.concatenate([unpack(r["lower"], r["n"]) for r in rows])[first]
+            total, lower = np.bincount(place, own_count).astype(np.int64), lower[first]
             contexts, _, context_of = distinct(context[first])
             seen = total > 0
             sums = np.stack([np.bincount(context_of, total == c, len(contexts)) for c in range(1, K + 1)] + [np.bincount(context_of, np.where(seen, kept(below, lower), 0.0), len(contexts))], 1)
@@ -369,9 +381,9 @@ def ask_grams(joined: DataFrame, order: int, texts: int, owners: int, below: np.
                 found = first[seen]
                 found = found[np.lexsort([c[found] for c in reversed(columns)])]
                 lower_of = lower[place[found]]
-                yield _batch([(4, owner * 2, None, len(found), None, None, None, None, None, [*[pack(c[found]) for c in columns], pack(total[place[found]]), pack(lower_of)])], _REPLY)
+                yield _batch([(4, owner * 2, None, len(found), None, None, None, None, None, pack_all([*[c[found] for c in columns], total[place[found]], lower_of]))], _REPLY)
 
-    asked = joined.mapInArrow(ask, "owner int, cell int, chunk long, n int, grams array<binary>, counts binary, lower binary")
+    asked = joined.mapInArrow(ask, "owner int, cell int, chunk long, n int, question binary")
     return asked.repartition(owners, "owner").sortWithinPartitions("owner", "chunk", "cell").mapInArrow(answer, REPLY)
 
 
@@ -490,7 +502,7 @@ def count_table(tables: Tables, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            columns = [unpack(c, r["n"]) for c in r["table"]]
+            columns = unpack_all(r["table"], r["n"])
             values = (chained(columns[: order - 1]), *columns[order - 1 :])
             yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in values], ["context", "word", "count", "lower"])
 
