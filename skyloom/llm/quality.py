@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import textnum
-from skyloom.llm.common import cut, documents, fold, slim, table
+from skyloom.llm.common import cut, documents, fold, held_out, slim, table
 
 FEATURES = (
     "log_words", "mean_word", "spread_word", "upper", "digit", "stop_mark", "shout", "symbol", "pipe",
@@ -169,7 +169,7 @@ def score(features: DataFrame, model: Discriminant, threshold: float = THRESHOLD
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     scored = features.mapInArrow(run, "doc_id long, score double, predicted int")
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
 def labelled_rows(features: DataFrame, labels: DataFrame, column: str) -> DataFrame:
@@ -182,7 +182,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores every document for quality.
 
     Null and empty texts are scored like any other, by their neutral statistics;
-    repeated rows get equal scores; a null doc_id is scored and never trained on;
+    repeated rows get equal scores; a null doc_id is scored, counts as held out and is never trained on;
     empty tables give empty results; extra columns are not read.
     """
     features = cut(featurise(docs), "quality-features")
