@@ -2,14 +2,17 @@
 
 For every language a context tree of order three over bytes is filled from a
 bounded sample and frozen. A byte is coded in its longest seen context; the escape
-to the next shorter one has probability distinct / (total + distinct), and symbols
+to the next shorter one has probability distinct / (total + distinct), and bytes
 already seen in the longer context are excluded, so the probabilities of a context
-sum to one. Code lengths of a text are then sums of table entries, which numpy
-looks up for all documents of a batch and all languages at once.
-
-Bytes are folded first: case is dropped (ASCII and Latin-1), all ASCII characters
-that aren't letters are one gap symbol and runs of gaps count once; bytes that the
-sample doesn't hold share one symbol.
+sum to one. Trees are sparse: a byte that its context hasn't seen takes the escapes
+of that context and the cost in the next shorter one, and the shortest codes all 256
+bytes alike. Code lengths of a text are then sums of table entries, which numpy looks
+up for all documents of a batch and all languages at once.
+
+What is coded is the text's own bytes but for two foldings that say nothing about a
+language: capitals (ASCII, and Latin-1 letters in UTF-8) become small letters, and a
+run of ASCII characters that aren't letters becomes one space. All other bytes stay
+as they are, in any script.
 """
 
 from __future__ import annotations
@@ -23,173 +26,172 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import textnum
-from skyloom.llm.common import documents, fold, slim
+from skyloom.llm.common import documents, fold, held_out, slim
 
-SYMBOLS, OTHER, GAP = 64, 0, 1
-SAMPLE_DOCS, SEED = 1500, 77
+SYMBOLS, GAP, ORDER = 256, 32, 3
+SAMPLE_DOCS, SAMPLE_BYTES, LONGEST, SEED = 1500, 8 << 20, 1 << 20, 77  # of each language: documents, bytes of text, bytes of a document
 
 
 def fold_bytes(raw: np.ndarray) -> np.ndarray:
-    """Lower case of ASCII and of the Latin-1 letters in UTF-8; other bytes unchanged."""
+    """Lower case of ASCII and of the Latin-1 letters in UTF-8, a space for other ASCII characters; other bytes unchanged."""
     out = textnum.FOLD[raw]
     lead = np.zeros(len(raw), bool)
     lead[1:] = raw[:-1] == 0xC3
     upper = lead & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)
     out[upper] += 0x20
+    out[~textnum.LETTER[raw]] = GAP
     return out
 
 
-def symbol_map(high_bytes: np.ndarray) -> np.ndarray:
-    """Symbol of each folded byte: letters, then the given high bytes as far as there is room."""
-    out = np.full(256, OTHER, np.uint8)
-    out[:128] = GAP
-    out[97:123] = np.arange(2, 28)
-    high = high_bytes[: SYMBOLS - 28]
-    out[high] = np.arange(28, 28 + len(high))
-    return out
-
-
-def symbols(raw: np.ndarray, offsets: np.ndarray, mapping: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all documents with repeated gaps dropped, their offsets, and context codes.
+def symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Folded bytes of all documents with repeated gaps dropped, their offsets, and four-byte codes.
 
-    A context code holds the three symbols before; before a document's start there are gaps.
+    A code holds the three bytes before and the byte itself; before a document's start there are gaps.
     """
-    s = mapping[fold_bytes(raw)]
+    s = fold_bytes(raw)
     starts = np.zeros(len(raw) + 1, bool)
     starts[offsets[:-1]] = True
     again = np.zeros(len(s), bool)
     again[1:] = (s[1:] == GAP) & (s[:-1] == GAP)
     keep = ~again | starts[:-1] if len(s) else again
     at = np.concatenate([[0], np.cumsum(keep)])[offsets]
-    s = s[keep].astype(np.int32)
-    context = np.zeros(len(s), np.int32)
-    first = np.repeat(at[:-1], np.diff(at)) if len(s) else np.zeros(0, np.int64)
-    place = np.arange(len(s)) - first
-    for back in (3, 2, 1):
-        before = np.full(len(s), GAP, np.int32)
+    s = s[keep].astype(np.uint32)
+    code = s.copy()
+    place = np.arange(len(s)) - np.repeat(at[:-1], np.diff(at)) if len(s) else np.zeros(0, np.int64)
+    for back in range(1, ORDER + 1):
+        before = np.full(len(s), GAP, np.uint32)
         before[back:] = s[:-back] if len(s) > back else s[:0]
         before[place < back] = GAP
-        context = context * SYMBOLS + before
-    return s, at, context
+        code |= before << np.uint32(8 * back)
+    return s, at, code
+
+
+@dataclass
+class Tree:
+    """One language's context tree. By order k from 0 to ORDER: the (k + 1)-byte codes that were
+    seen, sorted, with the cost in bits of the last byte; and the k-byte contexts, with the cost of escaping."""
+
+    codes: list[np.ndarray]
+    costs: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    def cost(self, code: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each code after the bytes before it."""
+        out = np.zeros(len(code))
+        left = np.arange(len(code))
+        for k in range(len(self.codes) - 1, -1, -1):
+            own = code[left] & np.uint32((1 << (8 * (k + 1))) - 1)
+            place, hit = _find(self.codes[k], own)
+            out[left[hit]] += self.costs[k][place[hit]]
+            left, own = left[~hit], own[~hit] >> np.uint32(8)
+            place, hit = _find(self.contexts[k], own)
+            out[left[hit]] += self.escapes[k][place[hit]]
+        out[left] += np.log2(SYMBOLS)
+        return out
+
+
+def _find(ordered: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of x in a sorted array, and whether it is there."""
+    place = np.searchsorted(ordered, x)
+    hit = np.append(ordered, 0)[place] == x
+    return place, hit & (place < len(ordered))
 
 
 @dataclass
 class ContextTrees:
     languages: list[str]
-    mapping: np.ndarray
-    row_of: np.ndarray  # context code -> row of the cost table
-    cost: np.ndarray  # (rows * SYMBOLS, languages) code lengths in bits
+    trees: list[Tree]
 
     def code_lengths(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits to code each document in each language."""
-        s, at, context = symbols(raw, offsets, self.mapping)
+        _, at, code = symbols(raw, offsets)
         out = np.zeros((len(at) - 1, len(self.languages)))
+        different, place = np.unique(code, return_inverse=True)
         full = np.flatnonzero(np.diff(at) > 0)
         if len(full):
-            out[full] = np.add.reduceat(self.cost[self.row_of[context] * SYMBOLS + s], at[:-1][full], axis=0, dtype=np.float64)
+            for k, tree in enumerate(self.trees):
+                out[full, k] = np.add.reduceat(tree.cost(different)[place], at[:-1][full])
         return out
 
 
-def _extend(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probabilities of the longer contexts (rows) from their counts and the shorter ones'."""
-    total, seen = counts.sum(1, keepdims=True), counts > 0
-    distinct = seen.sum(1, keepdims=True)
-    rest = np.where(seen, 0, lower).sum(1, keepdims=True)
-    escape = np.where(distinct < SYMBOLS, distinct / np.maximum(total + distinct, 1), 0.0)
-    found = counts / np.maximum(total, 1) * (1 - escape)
-    return np.where(total == 0, lower, np.where(seen, found, escape * lower / np.maximum(rest, 1e-300)))
-
-
-def build(languages: list[str], mapping: np.ndarray, grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> ContextTrees:
-    """Frozen trees from each language's 4-gram codes and counts."""
-    seen = np.unique(np.concatenate([c // SYMBOLS for c, _ in grams.values()] or [np.zeros(0, np.int64)]))
-    pairs = SYMBOLS**2
-    row_of = (np.arange(SYMBOLS**3) % pairs).astype(np.int32)  # rows of the order-2 contexts come first
-    row_of[seen] = pairs + np.arange(len(seen))
-    cost = np.zeros((pairs + len(seen), SYMBOLS, len(languages)), np.float32)
-    for k, lang in enumerate(languages):
-        codes, counts = grams.get(lang, (np.zeros(0, np.int64), np.zeros(0)))
-        three = np.bincount(codes % SYMBOLS**3, counts, SYMBOLS**3).reshape(-1, SYMBOLS)
-        two = three.reshape(SYMBOLS, SYMBOLS, SYMBOLS).sum(0)
-        one = two.sum(0)
-        p = np.full((1, SYMBOLS), 1 / SYMBOLS)
-        p = _extend(one[None], p)
-        p = _extend(two, np.repeat(p, SYMBOLS, 0))
-        p = _extend(three, np.tile(p, (SYMBOLS, 1)))
-        cost[:pairs, :, k] = -np.log2(p)
-        four = np.zeros((len(seen), SYMBOLS))
-        four[np.searchsorted(seen, codes // SYMBOLS), codes % SYMBOLS] = counts
-        cost[pairs:, :, k] = -np.log2(_extend(four, p[seen % pairs]))
-    return ContextTrees(languages, mapping, row_of, cost.reshape(cost.shape[0] * SYMBOLS, len(languages)))
-
-
-def training_sample(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
-    """text and lang of about ``most`` documents of each language outside the held-out fold, by a hash of the id."""
-    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 5) != 0))
-    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+def build_tree(codes: np.ndarray, counts: np.ndarray) -> Tree:
+    """A frozen tree from the different four-byte codes of a sample and how often each occurs."""
+    tree = Tree([], [], [], [])
+    for k in range(ORDER + 1):
+        own, place = np.unique(codes & np.uint32((1 << (8 * (k + 1))) - 1), return_inverse=True)
+        n = np.bincount(place, counts, len(own))
+        contexts, context = np.unique(own >> np.uint32(8) if k else np.zeros(len(own), np.uint32), return_inverse=True)
+        total, distinct = np.bincount(context, n), np.bincount(context).astype(float)
+        lower = tree.cost(own & np.uint32((1 << (8 * k)) - 1)) if k else np.full(len(own), np.log2(SYMBOLS))
+        rest = 1 - np.bincount(context, 2.0**-lower)  # of the shorter context's probability, for bytes not seen in this one
+        escape = np.where(distinct < SYMBOLS, distinct / (total + distinct), 0.0)
+        tree.codes.append(own)
+        tree.costs.append(-np.log2(n / total[context] * (1 - escape[context])))
+        tree.contexts.append(contexts)
+        tree.escapes.append(-np.log2(np.maximum(escape, 1e-300) / np.maximum(rest, 1e-12)))
+    return tree
+
+
+def training_sample(docs: DataFrame, most: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """text and lang of documents of each language outside the held-out fold, by a hash of the id: about
+    ``most`` of them and ``most_bytes`` of text in expectation."""
+    own = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") <= LONGEST) & (fold("doc_id", 5) != 0))
+    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row a language
     chance = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) / float(1 << 20)
     keep = F.lit(False)
-    for lang, n in sizes.items():
-        keep = keep | ((F.col("lang") == lang) & (chance < most / n))
+    for r in sizes:
+        keep = keep | ((F.col("lang") == r.lang) & (chance < min(most / r.n, most_bytes / max(r.bytes, 1))))
     return own.where(keep).select("text", "lang")
 
 
 def fit(docs: DataFrame, most: int = SAMPLE_DOCS) -> ContextTrees:
-    """Counts the sample's 4-grams on Spark; the driver gets sums of a bounded sample only."""
-    sample = training_sample(slim(docs, "doc_id", "text", "lang"), most)
+    """Counts the sample's four-byte codes on Spark; the driver gets sums of a bounded sample only."""
 
-    def count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for batch in batches:
-            total += np.bincount(fold_bytes(textnum.string_buffer(batch.column(0))[0]), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(128, 256), pa.int32()), pa.array(total[128:])], ["byte", "n"])
-
-    sample = sample.persist()
-    high = sample.mapInArrow(count_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).where("n > 0").collect()
-    mapping = symbol_map(np.asarray([r.byte for r in sorted(high, key=lambda r: (-r.n, r.byte))], np.int64))
-
-    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textnum.slices(batches, "text"):
-            raw, offsets = textnum.string_buffer(batch.column(0))
-            s, at, context = symbols(raw, offsets, mapping)
+            _, at, code = symbols(*textnum.string_buffer(batch.column(0)))
             names = batch.column(1).dictionary_encode()
             lang = np.repeat(np.asarray(names.indices), np.diff(at)).astype(np.int64)
-            keys, counts = np.unique(lang * SYMBOLS**4 + context.astype(np.int64) * SYMBOLS + s, return_counts=True)
-            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(keys // SYMBOLS**4)).cast(pa.string()), pa.array(keys % SYMBOLS**4), pa.array(counts)], ["lang", "gram", "n"])
+            keys, counts = np.unique(lang << 32 | code, return_counts=True)
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(keys >> 32)).cast(pa.string()), pa.array(keys & 0xFFFFFFFF), pa.array(counts)], ["lang", "code", "n"])
 
-    rows = sample.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    sample.unpersist()
-    rows = rows.sort_values(["lang", "gram"])
-    grams = {k: (g["gram"].to_numpy(), g["n"].to_numpy(float)) for k, g in rows.groupby("lang")}
-    return build(sorted(grams), mapping, grams)
+    sample = training_sample(slim(docs, "doc_id", "text", "lang"), most)
+    rows = sample.mapInArrow(count_codes, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    rows = rows.sort_values(["lang", "code"])
+    found = {k: build_tree(g["code"].to_numpy(np.uint32), g["n"].to_numpy(float)) for k, g in rows.groupby("lang")}
+    return ContextTrees(sorted(found), [found[k] for k in sorted(found)])
 
 
 def identify(docs: DataFrame, trees: ContextTrees) -> DataFrame:
     """doc_id, held_out, lang_pred and score (posterior under equal priors) of every document.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything
-    if nothing was learned. Ties go to the first language by name.
+    if nothing was learned. Ties go to the first language by name. Repeated rows are
+    predicted each, alike; a row without an id is never learned from and counts as held
+    out; an empty table gives no rows; extra columns are not read; texts are coded whole,
+    however long.
     """
-    model = docs.sparkSession.sparkContext.broadcast(trees)  # at most 64**3 contexts a language, from a bounded sample
+    model = docs.sparkSession.sparkContext.broadcast([vars(t) for t in trees.trees])  # at most SAMPLE_BYTES codes a language
     names = trees.languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
-        labels = pa.array([*own.languages, "und"])
+        own = ContextTrees(names, [Tree(**t) for t in model.value])
+        labels = pa.array([*names, "und"])
         for batch in textnum.slices(batches, "text", 1 << 20):
             bits = own.code_lengths(*textnum.string_buffer(batch.column(1)))
             known = np.asarray(batch.column(2).fill_null(False))
             best = np.argmin(bits, 1)
             gap = np.clip((bits - bits.min(1, keepdims=True)) * np.log(2), 0, 700)
             score = np.where(known, 1 / np.exp(-gap).sum(1), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), labels.take(pa.array(np.where(known, best, len(own.languages)))), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), labels.take(pa.array(np.where(known, best, len(names)))), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     rows = slim(docs, "doc_id", "text")
     if names:
         found = rows.withColumn("letters", F.col("text").rlike(r"\p{L}")).mapInArrow(run, "doc_id long, lang_pred string, score double")
     else:
         found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
 def op5_language(spark, sf_dir: str) -> DataFrame:
