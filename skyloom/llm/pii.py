@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import cut, documents, slim
+from skyloom.llm.common import cut, discard, documents, free_name, slim
 
 KINDS = ("email", "ip", "card", "phone", "term", "term")
 TERM, REVEALING = 4, 5  # terms to generalise, and those that reveal almost everything
@@ -110,29 +110,44 @@ def _words_near(text: Column, span: Column) -> Column:
     return F.concat(F.slice(before, F.greatest(F.lit(1), F.size(before) - WINDOW_WORDS + 1), F.lit(WINDOW_WORDS)), F.slice(after, F.lit(1), F.lit(WINDOW_WORDS)))
 
 
-def revealing_terms(rows: DataFrame) -> DataFrame | None:
-    """entity, term and degree of disclosure over the rows (text, __spans) of the corpus; None if no term has the evidence."""
-    near = rows.where(F.size("__spans") > 0).select("text", F.explode("__spans").alias("span"))
-    entity = F.lower(F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start")))
-    near = near.select(F.xxhash64("text").alias("print"), entity.alias("entity"), F.array_distinct(_words_near(F.col("text"), F.col("span"))).alias("__terms"))
-    near = cut(near.select("print", "entity", F.xxhash64("__terms").alias("window"), F.explode_outer("__terms").alias("term")).distinct(), "windows")
-    n = rows.where(F.col("text").isNotNull()).select(F.xxhash64("text")).distinct().count()
-    entities = near.groupBy("entity").agg(F.count_distinct("print").alias("own"))
-    near = near.where(F.col("term").isNotNull())
-    by_term = near.groupBy("term").agg(F.count_distinct("print").alias("texts"))  # at least so many texts hold the term
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("print").alias("joint"), F.count_distinct("window").alias("windows")).where(F.col("windows") >= LEAST_WINDOWS)
+def _entity() -> Column:
+    """The value of a span of the row's text."""
+    return F.lower(F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start")))
+
+
+def _terms_of(text: str) -> Column:
+    """The different words of a text that can be terms."""
+    return F.array_distinct(F.regexp_extract_all(_folded(F.col(text)), F.lit(TERM_WORD), F.lit(0)))
+
+
+def revealing_terms(texts: DataFrame, held: DataFrame) -> DataFrame | None:
+    """entity, term and degree of disclosure over a corpus; None if no term has the evidence.
+
+    texts has all texts (column text), held those with spans (text, print, spans), written once.
+    """
+    near = held.select("print", "text", F.explode("spans").alias("span"))
+    near = near.select("print", _entity().alias("entity"), F.array_distinct(_words_near(F.col("text"), F.col("span"))).alias("terms"))
+    near = cut(near.select("print", "entity", F.xxhash64("terms").alias("window"), F.explode_outer("terms").alias("term")).distinct(), "windows")
+    n = texts.where(F.col("text").isNotNull()).select(F.xxhash64("text")).distinct().count()
     degree = _degree(n)
-    # Disclosure falls as the term gets more frequent: what fails on the texts that hold it near a span needs no count over all.
-    pairs = pairs.join(entities, "entity").join(by_term, "term").withColumn("degree", degree).where(F.col("degree") >= GENERALISE)
-    pairs = cut(pairs.select("entity", "term", "joint", "own"), "pairs")
-    terms = pairs.select("term").distinct()
-    few = terms.count()
-    if not few:
+    entities = near.groupBy("entity").agg(F.count_distinct("print").alias("own"))
+    pairs = near.where(F.col("term").isNotNull()).groupBy("entity", "term").agg(F.count_distinct("print").alias("joint"), F.count_distinct("window").alias("windows")).where(F.col("windows") >= LEAST_WINDOWS)
+    pairs = cut(pairs.join(entities, "entity").select("entity", "term", "joint", "own"), "pairs")
+
+    def counted(found: DataFrame, prints: Column, candidates: DataFrame) -> DataFrame:
+        terms = candidates.select("term").distinct()
+        few = terms.count() <= BROADCAST_ROWS
+        words = found.select(prints.alias("print"), F.explode(_terms_of("text")).alias("term"))
+        by_term = words.join(F.broadcast(terms) if few else terms, "term").groupBy("term").agg(F.count_distinct("print").alias("texts"))
+        return candidates.join(by_term, "term").withColumn("degree", degree).where(F.col("degree") >= GENERALISE)
+
+    # Disclosure falls as a term gets more frequent: terms that are too frequent in the texts with spans alone needn't be counted over all.
+    likely = cut(counted(held, F.col("print"), pairs).select("entity", "term", "joint", "own"), "likely-pairs")
+    if likely.isEmpty():
         return None
-    held = rows.select(F.xxhash64("text").alias("print"), F.explode(F.array_distinct(F.regexp_extract_all(_folded(F.col("text")), F.lit(TERM_WORD), F.lit(0)))).alias("term"))
-    counted = held.join(F.broadcast(terms) if few <= BROADCAST_ROWS else terms, "term").groupBy("term").agg(F.count_distinct("print").alias("texts"))
-    found = pairs.join(counted, "term").withColumn("degree", degree)
-    return found.select("entity", "term", "degree").where(F.col("degree") >= GENERALISE)
+    terms = cut(counted(texts, F.xxhash64("text"), likely).select("entity", "term", "degree"), "terms")
+    discard(near, pairs, likely)
+    return terms
 
 
 def _degree(n: int) -> Column:
@@ -141,30 +156,35 @@ def _degree(n: int) -> Column:
     return F.log2(share("joint") / (share("texts") * share("own"))) / F.greatest(-F.log2(share("own")), F.lit(1e-9))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """The rows of docs with __spans: base spans and, after them in kind, the terms that reveal an entity of the same text.
+def find(docs: DataFrame, spans: str) -> DataFrame:
+    """The rows of docs with a column ``spans``: base spans and, after them in kind, the terms that reveal an entity of the same text.
 
     Null and empty texts have no spans; repeated rows have equal spans; null ids and
-    extra columns are kept as they are; an empty table gives no rows.
+    extra columns, whatever their names, are kept as they are; an empty table gives no rows.
     """
-    rows = docs.withColumn("__spans", base_spans("text"))
-    terms = revealing_terms(rows.select("text", "__spans"))
+    rows = docs.withColumn(spans, base_spans("text"))
+    texts = slim(docs, "text")
+    held = cut(texts.withColumn("spans", base_spans("text")).where(F.size("spans") > 0).select(F.xxhash64("text").alias("print"), "text", "spans"), "texts-with-spans")
+    terms = revealing_terms(texts, held)
     if terms is None:
         return rows
-    own = rows.where(F.size("__spans") > 0).select(F.xxhash64("text").alias("__print"), F.explode("__spans").alias("s"), "text")
-    own = own.select("__print", F.lower(F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))).alias("entity")).distinct()
-    own = own.join(terms, "entity").groupBy("__print", "term").agg(F.max("degree").alias("degree"))
+    own = held.select("print", "text", F.explode("spans").alias("span")).select("print", _entity().alias("entity")).distinct()
+    own = own.join(terms, "entity").groupBy("print", "term").agg(F.max("degree").alias("degree"))
     listed = lambda these: F.sort_array(F.collect_set(F.when(these, F.col("term"))))
-    own = cut(own.groupBy("__print").agg(listed(F.col("degree") < REMOVE).alias("__terms"), listed(F.col("degree") >= REMOVE).alias("__revealing")), "__terms")
-    few = own.count() <= BROADCAST_ROWS
-    joined = rows.withColumn("__print", F.xxhash64("text")).join(F.broadcast(own) if few else own, "__print", "left")
-
-    def places(terms: str, kind: int) -> Column:
+    own = cut(own.groupBy("print").agg(listed(F.col("degree") < REMOVE).alias("terms"), listed(F.col("degree") >= REMOVE).alias("revealing")), "terms-of-texts")
+    few = own.agg(F.coalesce(F.sum(F.size("terms") + F.size("revealing")), F.lit(0)).alias("n")).first().n <= BROADCAST_ROWS  # words, each within a window
+    name = free_name(rows, "found")
+    own = own.select(F.col("print").alias(name), F.struct("terms", "revealing").alias(name + "_terms"))
+    joined = rows.join(F.broadcast(own) if few else own, F.xxhash64("text") == F.col(name), "left")
+    terms_of = lambda which: F.col(name + "_terms")[which]
+
+    def places(terms: Column, kind: int) -> Column:
         pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{N}])"))
         return F.when(F.size(terms) > 0, _places(_folded(F.col("text")), pattern, kind)).otherwise(F.array().cast(_SPAN))
 
-    extra = F.filter(F.concat(places("__terms", TERM), places("__revealing", REVEALING)), lambda t: ~F.exists("__spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return joined.withColumn("__spans", F.when(F.col("__terms").isNull(), F.col("__spans")).otherwise(F.array_sort(F.concat("__spans", extra)))).drop("__print", "__terms", "__revealing")
+    base = F.col(spans)
+    extra = F.filter(F.concat(places(terms_of("terms"), TERM), places(terms_of("revealing"), REVEALING)), lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return joined.withColumn(spans, F.when(F.col(name).isNull(), base).otherwise(F.array_sort(F.concat(base, extra)))).drop(name, name + "_terms")
 
 
 def _listed(spans: Column) -> Column:
@@ -174,10 +194,10 @@ def _listed(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """Counts by kind, digest of the base spans and the list of all spans, a row per document."""
-    found = find(slim(docs, "doc_id", "text"))
-    count = lambda k: F.size(F.filter("__spans", lambda s: s["kind"] == k)).cast("long")
-    base = F.filter("__spans", lambda s: s["kind"] < TERM)
-    return found.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("__spans")).alias("spans"))
+    found = find(slim(docs, "doc_id", "text"), "spans")
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < TERM)
+    return found.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
 def sanitise(docs: DataFrame, remove: bool = False) -> DataFrame:
@@ -185,9 +205,12 @@ def sanitise(docs: DataFrame, remove: bool = False) -> DataFrame:
 
     With remove, terms that reveal almost everything (a degree of REMOVE or more) are
     deleted; without it they get the placeholder of the others.
-    All columns stay; n_chars, where there is one, is the new length.
+    All columns stay; n_chars, where there is one, is the new length. All rows stay:
+    null and empty texts, rows without an id and repeated rows, alike ones alike; an empty
+    table gives no rows.
     """
-    found = find(docs)
+    spans = free_name(docs, "spans")
+    found = find(docs, spans)
     names = F.array(*[F.lit("" if remove and k == REVEALING else f"[{name.upper()}]") for k, name in enumerate(KINDS)])
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("end"), F.array().cast("array<string>").alias("out"))
@@ -201,8 +224,8 @@ def sanitise(docs: DataFrame, remove: bool = False) -> DataFrame:
         )
 
     whole = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
-    new = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, add, whole)).otherwise(text)
-    out = found.withColumn("text", new).drop("__spans")
+    new = F.when(F.size(spans) > 0, F.aggregate(spans, start, add, whole)).otherwise(text)
+    out = found.withColumn("text", new).drop(spans)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNull(), None).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
