@@ -121,3 +121,15 @@ def without(docs: DataFrame, ids: DataFrame, most: int = 200_000) -> DataFrame:
     ids = ids.select(F.col("doc_id").alias(gone))
     few = ids.count() <= most
     return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids[gone], "left_anti")
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to counted, which has one row a key and in n the key's number of rows.
+
+    Keys of more than 1000 rows and a hundred-thousandth of the total, of which there can
+    be 100,000 at most, are broadcast; so no task gets all rows of a hot key.
+    """
+    limit = max(1000, total // 100_000)
+    hot = F.broadcast(counted.where(F.col("n") > limit))
+    cold = rows.join(hot.select(key), key, "left_anti").join(counted.where(F.col("n") <= limit), key, how)
+    return rows.join(hot, key).unionByName(cold)

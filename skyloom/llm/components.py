@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import cut
+from skyloom.llm.common import cut, discard
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -14,13 +14,20 @@ def _print(edges: DataFrame) -> tuple:
     return row.n, row.s
 
 
+SALTS = 16  # parts of a node's neighbours that are joined apart
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of every node of the edges (a, b).
 
     Rounds of large star and small star until nothing changes: each node is tied to
-    the least node it knows. A round shuffles the edges; none is collected. Nodes
-    with nulls and loops are left out.
+    the least node it knows. A round shuffles the edges; none is collected. A node's
+    least neighbour is found by partial aggregation and joined to SALTS parts of its
+    neighbours, so the centre of a large star isn't one task's. Nodes with nulls and
+    loops are left out; repeated edges count once.
     """
+    salts = F.array(*[F.lit(k) for k in range(SALTS)])
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
     now = cut(
         edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(),
         "edges",
@@ -28,11 +35,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _print(now)
     while before[0]:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1 OR m < u").select("u", F.least("u", "m").alias("m"), F.explode(salts).alias("salt"))
+        above = both.where("v > u").withColumn("salt", salt("v"))
+        large = above.join(least, ["u", "salt"], "left").select(F.col("v").alias("hi"), F.coalesce("m", "u").alias("lo")).distinct()
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        moved = large.join(small, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now = cut(moved.unionByName(small.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        spread = small.select("hi", "m", F.explode(salts).alias("salt"))
+        moved = large.withColumn("salt", salt("lo")).join(spread, ["hi", "salt"]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        last, now = now, cut(moved.unionByName(small.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        discard(last)
         after = _print(now)
         if after == before:
             break

@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import textnum
-from skyloom.llm.common import cut, documents, slim, without
+from skyloom.llm.common import cut, discard, documents, join_counted, slim, without
 from skyloom.llm.components import connected_components
 
 NGRAM, BANDS, ROWS = 5, 40, 6
@@ -41,6 +41,17 @@ def _grams(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
     return textnum.shingles(hashes, at, n)
 
 
+def _digest(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets of n-grams apart, whatever their order."""
+    with np.errstate(over="ignore"):
+        return tuple(int(x.sum(dtype=np.uint64).astype(np.int64)) for x in (grams, textnum.mix64(grams)))
+
+
+def _class() -> Column:
+    """A class by the digest of its n-gram set: documents of one id may be in different classes."""
+    return F.xxhash64("n_grams", "d1", "d2")
+
+
 def sketch(docs: DataFrame, n: int = NGRAM, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Distinct n-grams, a 128-bit digest of their set and the band hashes of every whole text."""
     mask, factor = _constants(bands * rows)
@@ -54,7 +65,7 @@ def sketch(docs: DataFrame, n: int = NGRAM, bands: int = BANDS, rows: int = ROWS
                 for k in full.tolist():
                     own = np.unique(grams[at[k] : at[k + 1]])
                     count[k] = len(own)
-                    d1[k], d2[k] = own.sum(dtype=np.uint64).astype(np.int64), textnum.mix64(own).sum(dtype=np.uint64).astype(np.int64)
+                    d1[k], d2[k] = _digest(own)
                 keys = np.zeros((len(full), bands), np.uint64)
                 if len(full):
                     x, starts = (grams >> np.uint64(32)).astype(np.uint32), at[:-1][full]
@@ -71,17 +82,20 @@ def sketch(docs: DataFrame, n: int = NGRAM, bands: int = BANDS, rows: int = ROWS
 
 
 def gram_sets(docs: DataFrame, ids: DataFrame, n: int = NGRAM) -> DataFrame:
-    """rep and its sorted n-gram hashes, for the documents whose id is in ids (rep)."""
+    """rep and its sorted n-gram hashes, for the classes in ids (rep, doc_id of one of its documents)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textnum.slices(batches, "text", 1 << 20):
             grams, at = _grams(batch, n)
-            sets = [np.unique(grams[i:j]).tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["rep", "grams"])
+            sets = [np.unique(grams[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            columns = [pa.array([len(x) for x in sets], pa.int64()), *[pa.array([_digest(x)[k] for x in sets], pa.int64()) for k in range(2)], pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["n_grams", "d1", "d2", "grams"])
 
     few = ids.count() <= BROADCAST_ROWS  # else the ids are shuffled like the texts
-    found = slim(docs, "doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("rep"), "left_semi")
-    return found.mapInArrow(run, "rep long, grams binary").dropDuplicates(["rep"])
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    found = slim(docs, "doc_id", "text").join(small(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    found = found.mapInArrow(run, "n_grams long, d1 long, d2 long, grams binary").select(_class().alias("rep"), "grams")
+    return found.join(small(ids.select("rep")), "rep", "left_semi").dropDuplicates(["rep"])
 
 
 def _compare(members: list[dict]) -> Iterator[tuple[int, int, int]]:
@@ -163,57 +177,66 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     A link joins two documents whose n-gram sets have a Jaccard similarity of 0.8 or
     more; copies are linked. A text of fewer than five words is one n-gram. Documents
     without words and null ids have no links and class_id doc_id; repeated rows are
-    copies of each other; an empty table gives no rows; extra columns are not read.
+    copies of each other; different texts under one id are told apart, and each has its
+    own row; an empty table gives no rows; extra columns are not read; texts are compared
+    whole, however long.
     """
-    sketched = cut(sketch(docs), "sketch")
+    sketched = cut(sketch(docs).select("doc_id", "n_grams", _class().alias("rep"), "bands"), "sketch")
     usable = sketched.where((F.col("n_grams") > 0) & F.col("doc_id").isNotNull())
     classes = cut(
-        usable.groupBy("n_grams", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")),
+        usable.groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("n_grams").alias("n_grams")),
         "classes",
     )
-    keys = classes.select("rep", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    member = cut(keys.join(shared, "key").select("key", "rep", "least"), "members")
+    keys = cut(classes.select("rep", F.explode("bands").alias("key")), "keys")
+    shared = cut(keys.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
+    member = cut(join_counted(keys, shared, "key", shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n).select("key", "rep", "least"), "members")
+    discard(keys, shared)
     group = cut(connected_components(member.select(F.col("rep").alias("a"), F.col("least").alias("b"))), "groups")
 
-    sets = cut(gram_sets(docs, group.select(F.col("node").alias("rep"))), "gram-sets")
-    known = classes.join(group.withColumnRenamed("node", "rep"), "rep").select("rep", "copies", "bands", "component", "n_grams")
-    size = known.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("g"))
-    sized = cut(known.join(size, "component").withColumn("fits", (F.col("m") <= UNIT_MEMBERS) & (F.col("g") <= UNIT_GRAMS)), "sized")
+    known = cut(classes.join(group.withColumnRenamed("node", "rep"), "rep").select("rep", "doc_id", "copies", "bands", "component", "n_grams"), "grouped")
+    sets = cut(gram_sets(docs, known.select("rep", "doc_id")), "gram-sets")
+    size = known.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("g"))
+    sized = cut(join_counted(known, size, "component", known.count()).withColumn("fits", (F.col("n") <= UNIT_MEMBERS) & (F.col("g") <= UNIT_GRAMS)), "sized")
     units = sized.where("fits").select(F.struct(F.col("component").alias("x"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("unit"), F.lit(None).cast("long").alias("key"), F.lit(0).alias("block"), "rep", "copies", F.array().cast("array<long>").alias("bands"))
     large = sized.where("NOT fits")
     any_large = not large.isEmpty()
     if any_large:
-        rows = member.select("key", "rep").join(large.select("rep", "copies", "bands", "n_grams"), "rep")
-        blocks = rows.groupBy("key").agg(F.ceil(F.greatest(2 * F.count(F.lit(1)) / F.lit(UNIT_MEMBERS), 2 * F.sum("n_grams") / F.lit(UNIT_GRAMS))).cast("int").alias("nb"))
-        blocks = blocks.withColumn("nb", F.when(F.col("nb") <= 2, 1).otherwise(F.col("nb")))
-        rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+        rows = cut(member.select("key", "rep").join(large.select("rep", "copies", "bands", "n_grams"), "rep"), "large-members")
+        blocks = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.greatest(2 * F.count(F.lit(1)) / F.lit(UNIT_MEMBERS), 2 * F.sum("n_grams") / F.lit(UNIT_GRAMS))).cast("int").alias("nb"))
+        blocks = cut(blocks.withColumn("nb", F.when(F.col("nb") <= 2, 1).otherwise(F.col("nb"))), "blocks")
+        rows = join_counted(rows, blocks, "key", rows.count()).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         unit = F.struct(F.col("key").alias("x"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         units = units.unionByName(rows.select(unit.alias("unit"), "key", "block", "rep", "copies", "bands"))
     verified = cut(verify(units.join(sets, "rep")), "verified")
+    discard(sets)
     found = verified.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     if any_large:  # units of large groups overlap: what they tied is joined up
         tied = verified.join(large.select("rep"), "rep", "left_semi").select(F.col("rep").alias("a"), F.col("root").alias("b"))
         final = connected_components(tied).select(F.col("node").alias("rep"), "component")
         found = found.join(final, "rep", "left").withColumn("root", F.coalesce("component", "root")).drop("component")
-    classes = classes.select("n_grams", "d1", "d2", "rep", "copies").join(found, "rep", "left")
-    joined = sketched.withColumnRenamed("n_grams", "n").join(classes, (F.col("n") == F.col("n_grams")) & (sketched.d1 == classes.d1) & (sketched.d2 == classes.d2), "left")
-    return joined.select(
-        "doc_id",
-        F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("root", "rep", "doc_id")).alias("class_id"),
-        F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
-        F.col("n").alias("n_grams"),
-    )
+    # The least document of each tied group of classes; all that a document needs to know of its class, a row a class that has copies or partners.
+    found = cut(found.join(classes.select("rep", "doc_id"), "rep"), "found")
+    roots = found.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    tied = join_counted(found, roots, "root", found.count()).select("rep", "links", "class_id")
+    noted = classes.select("rep", F.col("doc_id").alias("least"), F.col("copies").alias("n")).join(tied, "rep", "left").where("n > 1 OR class_id IS NOT NULL")
+    noted = cut(noted.select("rep", "n", F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "noted")
+    rows = usable.select("doc_id", "rep", "n_grams")
+    joined = join_counted(rows, noted, "rep", rows.count(), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_grams")
+    rest = sketched.where((F.col("n_grams") <= 0) | F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_grams")
+    return joined.unionByName(rest)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stay: the one with the least doc_id of each class, with all columns.
 
-    Rows without an id stay; of rows with one id and text, one stays.
+    Rows without an id and texts without words stay; of rows with one id and text, one
+    stays. Where an id has several texts, they stay if one of them stays. An empty table
+    gives no rows.
     """
     classes = cut(similar_classes(docs), "classes-of-documents")
-    gone = without(docs, classes.where("class_id <> doc_id").select("doc_id"))
+    stays = classes.where("class_id = doc_id").select("doc_id").distinct()
+    gone = without(docs, classes.where("class_id <> doc_id").select("doc_id").distinct().join(stays, "doc_id", "left_anti"))
     again = classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
     if again.isEmpty():
         return gone

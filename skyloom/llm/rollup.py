@@ -10,6 +10,7 @@ however often it is sent. Compaction replaces committed batches by their sum.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm import tokens
-from skyloom.llm.common import cut, documents, shared_dir, slim
+from skyloom.llm.common import cut, discard, documents, join_counted, shared_dir, slim
 
 KEY = ("source", "lang", "tokenizer")
 VERSIONS = ("byte_bpe_50k", "byte_bpe_multi_50k")
@@ -87,29 +88,69 @@ class TokenRollup:
         delta.write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
         return True
 
+    def _committed(self) -> list[str]:
+        path, fs = self._path("")
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(n for n in names if n.startswith(("batch=", "sum=")) and fs.exists(self._path(f"{n}/_SUCCESS")[0]))
+
+    def _live(self) -> list[str]:
+        """The newest committed sum and the committed batches that it doesn't hold."""
+        done = self._committed()
+        sums = [n for n in done if n.startswith("sum=")]
+        held = set()
+        if sums:
+            held = {r.batch for r in self.spark.read.parquet(f"{self.root}/held={sums[-1][4:]}").collect()}  # a name a batch
+        return sums[-1:] + [n for n in done if n.startswith("batch=") and n[6:] not in held]
+
+    def _rows(self, names: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(DELTA).parquet(*[f"{self.root}/{n}" for n in names]) if names else self.spark.createDataFrame([], DELTA)
+        return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
     def totals(self) -> DataFrame:
         """Sums over all committed batches; keys without any document left are gone."""
-        path, fs = self._path("")
-        names = [s.getPath().toString() for s in fs.listStatus(path)] if fs.exists(path) else []
-        done = [n for n in names if "batch=" in n and self.committed(n.rpartition("batch=")[2])]
-        rows = self.spark.read.schema(DELTA).parquet(*done) if done else self.spark.createDataFrame([], DELTA)
-        summed = rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return summed.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
+        return self._rows(self._live()).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
+
+    def compact(self) -> None:
+        """Replaces the committed batches by their sum. The success mark of the sum commits it; before that the
+        batches count, after it the sum does. Names of batches stay, so that none is taken twice; their rows go."""
+        live = self._live()
+        batches = [n for n in self._committed() if n.startswith("batch=")]
+        sums = [n for n in self._committed() if n.startswith("sum=")]
+        name = f"{int(sums[-1][4:]) + 1 if sums else 0:012d}"
+        self.spark.createDataFrame([(n[6:],) for n in batches], "batch string").write.mode("overwrite").parquet(f"{self.root}/held={name}")
+        self._rows(live).write.mode("overwrite").parquet(f"{self.root}/sum={name}")
+        for n in sums:
+            for old in (n, f"held={n[4:]}"):
+                path, fs = self._path(old)
+                fs.delete(path, True)
+        for n in batches:  # an empty folder with its success mark remains
+            path, fs = self._path(n)
+            for s in fs.listStatus(path):
+                if s.getPath().getName() != "_SUCCESS":
+                    fs.delete(s.getPath(), True)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches over all documents: all are inserted; exact copies of a text but the
     one with the least id are deleted; the counts of the rest are revised to hold the end token.
 
-    The second batch is sent twice and counts once.
+    The second batch is sent twice and counts once; after it the batches are compacted.
+    Null and empty texts have no tokens but the end; rows without an id are never copies,
+    repeated rows of one id are none either; null sources and languages are keys of their
+    own; an empty table gives no totals; extra columns are not read; texts are counted
+    whole, however long.
     """
     counts = cut(count_tokens(documents(spark, sf_dir)), "token-counts")
-    rollup = TokenRollup(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/rollup-{counts.inputFiles()[0].split('token-counts-')[1].split('/')[0] if counts.inputFiles() else 'empty'}")
+    rollup = TokenRollup(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/rollup-{uuid.uuid4().hex}")
     rollup.commit("load", inserts(by_version(counts)))
-    first = counts.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    marked = cut(counts.join(first, "digest").withColumn("copy", F.col("doc_id") > F.col("first")), "marked")
+    first = counts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    repeated = cut(first.where("n > 1"), "repeated-texts")
+    marked = join_counted(counts, repeated, "digest", counts.count(), "left")
+    marked = cut(marked.withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("digest", "first", "n"), "marked")
     for _ in range(2):
         rollup.commit("copies", deletes(by_version(marked.where("copy"))))
-    kept = by_version(marked.where("NOT coalesce(copy, false)")).withColumn("with_end", F.col("tokens") + 1)
+    rollup.compact()
+    kept = by_version(marked.where("NOT copy")).withColumn("with_end", F.col("tokens") + 1)
     rollup.commit("end-token", revisions(kept, "with_end"))
+    discard(counts, repeated, marked)
     return rollup.totals()

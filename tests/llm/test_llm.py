@@ -61,6 +61,15 @@ def test_ngram_join_odd_cases(odd, none):
     assert sorted(k for k in kept if k is not None) == [1, 4, 5, 6, 7, 9, 10] and None in kept
 
 
+def test_ngram_join_tells_texts_of_one_id_apart(spark):
+    """Different texts under one id: each has its own links, whatever else has its id."""
+    other = " ".join(WORDS[150:250])
+    rows = [(1, BASE), (1, other), (2, BASE.replace("word50", "new")), (3, other.replace("word200", "new"))]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.similar_classes(docs(spark, rows)).collect())
+    assert got == expected_classes(rows) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    assert sorted(r.doc_id for r in ngram_join.keep_one(docs(spark, rows)).collect()) == [1, 1]
+
+
 def test_ngram_join_large_groups(spark, monkeypatch):
     """Groups beyond one task's size are verified band by band and in pairs of blocks, with the same result."""
     rng = np.random.default_rng(1)
@@ -498,6 +507,35 @@ def test_rollup_is_idempotent(spark, tmp_path):
         r.commit("a/b", rollup.inserts(rows))
 
 
+def test_rollup_compaction(spark, tmp_path):
+    """A sum replaces its batches, batches stay known, and later ones are added."""
+    r = rollup.TokenRollup(spark, f"file://{tmp_path}")
+    rows = spark.createDataFrame([("a", None, "v1", 10, 12), ("a", "en", "v1", 7, 7)], "source string, lang string, tokenizer string, tokens long, new long")
+    totals = lambda: sorted((x.source, x.lang or "", x.n_docs, x.n_tokens) for x in r.totals().collect())
+    r.compact()
+    r.commit("one", rollup.inserts(rows))
+    r.compact()
+    assert totals() == [("a", "", 1, 10), ("a", "en", 1, 7)] and not r.commit("one", rollup.inserts(rows))
+    r.commit("two", rollup.revisions(rows, "new"))
+    r.commit("three", rollup.deletes(rows.where("lang = 'en'")))
+    for _ in range(2):
+        assert totals() == [("a", "", 1, 12)]
+        r.compact()
+    assert not r.commit("two", rollup.inserts(rows)) and totals() == [("a", "", 1, 12)]
+
+
+def test_rollup_odd_cases(spark, odd, none, tmp_path):
+    """Null and empty texts, ids and keys, repeated rows and an empty table."""
+    got = {r.doc_id if r.doc_id is not None else -1: r.tokens for r in rollup.count_tokens(odd).collect()}
+    assert got[4] == got[5] == [0, 0] and got[7] == got[8] and -1 in got
+    for name, rows in (("odd", ODD), ("none", [])):
+        docs(spark, rows).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    totals = {r.tokenizer: r.n_docs for r in rollup.op8_token_counts(spark, f"{tmp_path}/odd").collect()}
+    copies = sum(t is not None and i is not None and any((u or "") == t and j is not None and j < i for j, u in ODD) for i, t in ODD) + 1  # id 5, empty as id 4
+    assert totals == dict.fromkeys(rollup.VERSIONS, len(ODD) - (copies - 1))
+    assert rollup.op8_token_counts(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_rollup_query_by_brute_force(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
     first = {}
