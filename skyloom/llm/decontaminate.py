@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import cut, discard, documents, slim, table, without
+from skyloom.llm.common import cut, discard, documents, slim, table, tidy, without
 
 NGRAM, SIMILARITY, RADIUS = 5, 0.8, 19
 #: First bit and width of each block; the ten together are the 64 bits.
@@ -87,6 +87,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows the last counts. Texts are read whole, however long.
     """
     spark = docs.sparkSession
+    tidy(spark)
     items = slim(benchmark, "item_id", "text").where(F.col("item_id").isNotNull()).select("item_id", words("text").alias("w")).distinct()
     items = items.withColumn("size", F.size("w")).where("size > 0").withColumn("k", F.least(F.lit(NGRAM), F.col("size")))
     index = cut(

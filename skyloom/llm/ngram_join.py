@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import textnum
-from skyloom.llm.common import cut, discard, documents, join_counted, slim, without
+from skyloom.llm.common import cut, discard, documents, join_counted, slim, tidy, without
 from skyloom.llm.components import connected_components
 
 NGRAM, BANDS, ROWS = 5, 40, 6
@@ -181,6 +181,7 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     own row; an empty table gives no rows; extra columns are not read; texts are compared
     whole, however long.
     """
+    tidy(docs.sparkSession)
     sketched = cut(sketch(docs).select("doc_id", "n_grams", _class().alias("rep"), "bands"), "sketch")
     usable = sketched.where((F.col("n_grams") > 0) & F.col("doc_id").isNotNull())
     classes = cut(
@@ -193,6 +194,7 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     discard(keys, shared)
     group = cut(connected_components(member.select(F.col("rep").alias("a"), F.col("least").alias("b"))), "groups")
 
+    tidy(docs.sparkSession)
     known = cut(classes.join(group.withColumnRenamed("node", "rep"), "rep").select("rep", "doc_id", "copies", "bands", "component", "n_grams"), "grouped")
     sets = cut(gram_sets(docs, known.select("rep", "doc_id")), "gram-sets")
     size = known.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("g"))

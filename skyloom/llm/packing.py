@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyloom.llm import tokens
-from skyloom.llm.common import cut, documents, slim
+from skyloom.llm.common import cut, documents, slim, tidy
 
 CAPACITY, SEPARATOR = 2048, 0
 SHARD_ITEMS = 4096  # pieces in a shard, on average: hashing deals them evenly
@@ -264,6 +264,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Repeated rows are packed like any others; a null doc_id stays null; an empty table
     gives no rows; extra columns are not read.
     """
+    tidy(docs.sparkSession)
     pieces = cut(tokenise(docs, capacity), "pieces")
     placed = pack(pieces.select("uid", "length"), capacity)
     return pieces.join(placed, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import cut, discard, documents, free_name, slim
+from skyloom.llm.common import cut, discard, documents, free_name, slim, tidy
 
 KINDS = ("email", "ip", "card", "phone", "term", "term")
 TERM, REVEALING = 4, 5  # terms to generalise, and those that reveal almost everything
@@ -162,6 +162,7 @@ def find(docs: DataFrame, spans: str) -> DataFrame:
     Null and empty texts have no spans; repeated rows have equal spans; null ids and
     extra columns, whatever their names, are kept as they are; an empty table gives no rows.
     """
+    tidy(docs.sparkSession)
     rows = docs.withColumn(spans, base_spans("text"))
     texts = slim(docs, "text")
     held = cut(texts.withColumn("spans", base_spans("text")).where(F.size("spans") > 0).select(F.xxhash64("text").alias("print"), "text", "spans"), "texts-with-spans")
