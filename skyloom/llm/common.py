@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 
@@ -74,15 +73,6 @@ def discard(*frames: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Frees what the driver no longer needs: plans that Python still holds, and with them broadcasts and shuffle files.
-
-    An operator with many steps calls it first, so that operators one after the other don't add up.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def fold(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus: the held-out fold of a document."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % modulus
