@@ -24,6 +24,7 @@ def with_dirichlet(df: DataFrame, alpha: str, names: list[str]) -> DataFrame:
     return df.withColumn("vacuity", scores.vacuity(a)).withColumn("gain", scores.information_gain(a)).withColumn("class", F.get(F.array(*[F.lit(n) for n in names]), F.col("top")))
 
 
+# The thresholds and action names of the five gates below are fixed values.
 def alert_action(gain: float = 0.35, level: float = 0.80) -> Column:
     """Four-way gate of the alert stream over gain, top, vacuity, error, confidence and tension."""
     low = scores.clip(F.col("confidence") - 1.96 * F.col("error"), 0.0, 1.0)
@@ -100,28 +101,47 @@ def packet_errors(fields: tuple[str, ...] = ("alert_id", "ra", "dec", "mag", "ma
     return F.array_compact(F.array(*tests))
 
 
-def feature_packet(df: DataFrame, colour: float = 0.6, blue: float = -0.3, infrared: float = 0.95, faint: float = 20.0, motion: float = 0.2) -> DataFrame:
+# Fixed values of the all-sky quasar catalogue's feature packets: what stands for a missing colour, blue colour,
+# infrared colour, magnitude and motion; and the bounds of the estimated errors.
+IMPUTED = {"colour": 0.6, "blue": -0.3, "infrared": 0.95, "faint": 20.0, "motion": 0.2, "w1_offset": -2.8}
+SNR = {"scale": 100.0, "zero": 14.0, "low": 5.0, "high": 100.0}
+ERRORS = {"optical": (1.0857, 0.005, 0.40), "colour": (1.414, 0.01, 0.50), "infrared": (0.05, 0.02, 14.0, 0.02, 0.35), "infrared_colour": (1.3, 0.03, 0.45), "last": 1.05}
+MAGNITUDES = (5, 25)  # outside them a magnitude is missing
+
+
+def feature_packet(df: DataFrame, imputed: dict[str, float] = IMPUTED) -> DataFrame:
     """Ten features, six errors and six validity flags of a photometric source, missing bands imputed.
 
     The defaults are those of the all-sky quasar catalogue; other catalogues pass their own.
     """
-    ok = lambda c: missing.is_finite(F.col(c)) & (F.col(c) > 5) & (F.col(c) < 25)
-    fin = lambda c: missing.is_finite(F.col(c))
-    pick = lambda test, yes, no: F.when(F.coalesce(test, F.lit(False)), yes).otherwise(no)
-    has_g, has_w1, has_w2 = ok("phot_g_mean_mag"), ok("mag_w1_vg"), ok("mag_w2_vg")
-    has_col = fin("phot_bp_mean_mag") & fin("phot_rp_mean_mag")
-    has_pm = fin("pm") & fin("pmra_error") & fin("pmdec_error")
-    g = pick(has_g, F.col("phot_g_mean_mag"), F.lit(faint))
-    bp_rp = pick(has_col, F.col("phot_bp_mean_mag") - F.col("phot_rp_mean_mag"), F.lit(colour))
-    g_bp = pick(fin("phot_bp_mean_mag"), g - F.col("phot_bp_mean_mag"), F.lit(blue))
-    w1 = pick(has_w1, F.col("mag_w1_vg"), g - 2.8)
-    w12 = pick(has_w1 & has_w2, w1 - F.col("mag_w2_vg"), F.lit(infrared))
-    pm = pick(has_pm, F.col("pm"), F.lit(motion))
-    pm_err = pick(has_pm, F.hypot("pmra_error", "pmdec_error"), F.lit(motion))
-    snr = scores.clip(100.0 / F.greatest(g - 14.0, F.lit(1.0)), 5.0, 100.0)
-    mu = F.array(g, bp_rp, g_bp, w1, w12, pm, pm_err, pick(fin("l"), F.col("l") / 360.0, F.lit(0.5)), pick(fin("b"), (F.col("b") + 90.0) / 180.0, F.lit(0.5)), snr)
-    sg = scores.clip(1.0857 / F.greatest(snr, F.lit(1.0)), 0.005, 0.40)
-    sw = scores.clip(0.05 + 0.02 * F.greatest(w1 - 14.0, F.lit(0.0)), 0.02, 0.35)
-    sigma = F.array(sg, scores.clip(sg * 1.414, 0.01, 0.50), sw, scores.clip(sw * 1.3, 0.03, 0.45), pm_err, F.lit(1.05))
-    flags = F.array(*[F.coalesce(x, F.lit(False)).cast("double") for x in (has_g, has_col, has_w1, has_w1 & has_w2, has_pm, F.lit(True))])
-    return df.withColumn("mu", mu).withColumn("sigma", sigma).withColumn("mask", flags)
+    known = lambda *names: F.coalesce(F.forall(F.array(*[F.col(n).cast("double") for n in names]), missing.is_finite), F.lit(False))
+    seen = lambda name: known(name) & (F.col(name) > MAGNITUDES[0]) & (F.col(name) < MAGNITUDES[1])
+    valid = {
+        "g": seen("phot_g_mean_mag"), "colour": known("phot_bp_mean_mag", "phot_rp_mean_mag"), "w1": seen("mag_w1_vg"),
+        "w1_w2": seen("mag_w1_vg") & seen("mag_w2_vg"), "pm": known("pm", "pmra_error", "pmdec_error"), "position": F.lit(True),
+    }
+    df = df.withColumn("mask", F.array(*[v.cast("double") for v in valid.values()]))
+    or_else = lambda test, value, default: F.when(test, value).otherwise(default)
+    g = or_else(valid["g"], F.col("phot_g_mean_mag"), F.lit(imputed["faint"]))
+    w1 = or_else(valid["w1"], F.col("mag_w1_vg"), g + imputed["w1_offset"])
+    snr = scores.clip(SNR["scale"] / F.greatest(g - SNR["zero"], F.lit(1.0)), SNR["low"], SNR["high"])
+    pm_error = or_else(valid["pm"], F.hypot("pmra_error", "pmdec_error"), F.lit(imputed["motion"]))
+    features = {
+        "g": g,
+        "bp_rp": or_else(valid["colour"], F.col("phot_bp_mean_mag") - F.col("phot_rp_mean_mag"), F.lit(imputed["colour"])),
+        "g_bp": or_else(known("phot_bp_mean_mag"), g - F.col("phot_bp_mean_mag"), F.lit(imputed["blue"])),
+        "w1": w1,
+        "w1_w2": or_else(valid["w1_w2"], w1 - F.col("mag_w2_vg"), F.lit(imputed["infrared"])),
+        "pm": or_else(valid["pm"], F.col("pm"), F.lit(imputed["motion"])),
+        "pm_error": pm_error,
+        "l": or_else(known("l"), F.col("l") / 360.0, F.lit(0.5)),
+        "b": or_else(known("b"), (F.col("b") + 90.0) / 180.0, F.lit(0.5)),
+        "snr": snr,
+    }
+    scale, low, high = ERRORS["optical"]
+    optical = scores.clip(scale / F.greatest(snr, F.lit(1.0)), low, high)
+    base, slope, zero, low, high = ERRORS["infrared"]
+    infrared = scores.clip(base + slope * F.greatest(w1 - zero, F.lit(0.0)), low, high)
+    wider = lambda x, kind: scores.clip(x * ERRORS[kind][0], *ERRORS[kind][1:])
+    sigma = [optical, wider(optical, "colour"), infrared, wider(infrared, "infrared_colour"), pm_error, F.lit(ERRORS["last"])]
+    return df.withColumn("mu", F.array(*features.values())).withColumn("sigma", F.array(*sigma))

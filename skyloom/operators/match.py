@@ -115,3 +115,22 @@ def match_nights(a: DataFrame, b: DataFrame, t: str, value: str) -> DataFrame:
     """Values of two series on common rounded nights, the first of each night."""
     first = lambda df, name: df.groupBy(F.floor(F.col(t) + 0.5).alias("night")).agg(F.min_by(value, t).alias(name))
     return first(a, "a").join(first(b, "b"), "night")
+
+
+def coincidences(left: DataFrame, right: DataFrame, window_sec: float = 500.0) -> DataFrame:
+    """Alerts (alert_id, mjd, ra, dec, area_90) with neutrinos (neutrino_id, nu_mjd, nu_ra, nu_dec, radius, p_astro) of the same time.
+
+    score = p_astro * exp(-(separation / radius)^2 / 2) * (1 - |dt| / window), with the
+    radius of both errors together. Times are joined by cells of the window's width and
+    their neighbours, so only pairs that can coincide meet; pairs outside the window,
+    which score 0, are left out.
+    """
+    day = window_sec / 86400.0
+    cell = lambda c: F.floor(F.col(c) / day).cast("long")
+    own = left.withColumn("cell", F.explode(F.array(*[cell("mjd") + k for k in (-1, 0, 1)])))
+    pairs = own.join(right.withColumn("cell", cell("nu_mjd")), "cell").drop("cell")
+    dt = F.abs(F.col("nu_mjd") - F.col("mjd")) * 86400.0
+    radius = F.sqrt(F.greatest(F.col("area_90"), F.lit(1.0)) / math.pi + F.col("radius") * F.col("radius"))
+    apart = sphere.separation(F.col("ra"), F.col("dec"), F.col("nu_ra"), F.col("nu_dec")) / F.greatest(radius, F.lit(0.1))
+    pairs = pairs.where(dt <= window_sec).withColumn("dt", dt)
+    return pairs.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p_astro") * F.exp(-0.5 * apart * apart) * (1 - F.col("dt") / window_sec))))

@@ -298,3 +298,10 @@ def clip_hot_pixels(maps: DataFrame, rounds: int = 5, factor: float = 6.0) -> Da
             break
         maps = maps.withColumn("coverage", F.when(hot, 0.0).otherwise(F.col("coverage")))
     return maps
+
+
+def compare(measured: DataFrame, expected: DataFrame) -> DataFrame:
+    """Ratio and tension of measured dipoles (amplitude, sigma) with expected ones (amplitude), one row each."""
+    m, e = measured.select(F.col("amplitude").alias("measured"), "sigma"), expected.select(F.col("amplitude").alias("expected"))
+    # One row on either side: the join is a pair.
+    return m.join(F.broadcast(e.limit(1))).select("*", missing.divide(F.col("measured"), F.col("expected")).alias("ratio"), missing.divide(F.col("measured") - F.col("expected"), F.col("sigma")).alias("tension_sigma"))

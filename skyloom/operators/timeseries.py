@@ -66,8 +66,8 @@ def eruption_scan(df: DataFrame, keys: list[str], threshold: float = 1.0, gap_da
     bright = df.where(F.col(det) & (F.col(mag) < F.col(level) - threshold)).withColumn("__d", F.col(t) * 365.25)
     own = sessions(bright, keys, "__d", gap_days).withColumnRenamed("session", "cluster")
     own = sessions(own, [*keys, "cluster"], "__d", 0.5)
-    excess = F.col(level) - F.col(mag)
-    found = own.groupBy(*keys, "cluster").agg(F.get(F.sort_array(F.collect_list(excess), asc=False), F.lit(1)).alias("score"), F.min(t).alias("t0"), (F.max("session") + 1).alias("nights"), F.count(F.lit(1)).alias("plates"), F.min(mag).alias("peak"))
+    own = own.withColumn("__excess", F.col(level) - F.col(mag)).withColumn("__k", F.row_number().over(W.partitionBy(*keys, "cluster").orderBy(F.desc("__excess"))))
+    found = own.groupBy(*keys, "cluster").agg(F.max(F.when(F.col("__k") == 2, F.col("__excess"))).alias("score"), F.min(t).alias("t0"), (F.max("session") + 1).alias("nights"), F.count(F.lit(1)).alias("plates"), F.min(mag).alias("peak"))
     best = found.where("nights >= 2").groupBy(*keys).agg(F.max(F.struct("score", (-F.col("t0")).alias("s"), "t0", "nights", "plates", "peak")).alias("b"))
     return best.select(*keys, "b.score", "b.t0", "b.nights", "b.plates", "b.peak")
 

@@ -1 +1 @@
-"""Named operations with content-addressed results: registry, ledger, kernel and studies."""
+"""Named recipes over archives."""

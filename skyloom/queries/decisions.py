@@ -137,12 +137,24 @@ def _tension(spark, sf):
     return _evidence(spark, sf).withColumn("tension", (F.col("vec_id") % 20) / 100.0)
 
 
-@query("gate_stream")
+#: The evidence and the four-way gate, written out from the definitions of the summaries.
+_GATE = f"""
+WITH e AS (SELECT vec_id, {_ALPHA} AS a, list_sum({_ALPHA}) AS s, (vec_id % 20) / 100.0::DOUBLE AS tension FROM embeddings),
+g AS (SELECT vec_id, unnest(a) AS x, s FROM e),
+i AS (SELECT vec_id, greatest(0, sum(-x / s * ln(x / s)) + sum(x / s * ((lgamma(x + 1 + 1e-5) - lgamma(x + 1 - 1e-5)) / 2e-5 - (lgamma(s + 1 + 1e-5) - lgamma(s + 1 - 1e-5)) / 2e-5))) AS gain FROM g GROUP BY 1),
+q AS (SELECT e.vec_id, gain, tension, list_position(a, list_max(a)) - 1 AS top, list_max(a) / s AS p, 4 / s AS vacuity, sqrt(list_max(a) / s * (1 - list_max(a) / s) / (s + 1)) AS error FROM e JOIN i USING (vec_id)),
+d AS (SELECT vec_id, CASE WHEN gain >= 0.35 OR (top = 0 AND (vacuity >= 0.35 OR error >= 0.12)) THEN 'URGENT_FOLLOWUP'
+ WHEN p >= 0.80 AND vacuity <= 0.25 AND tension <= 0.12 AND least(1, greatest(0, p - 1.96 * error)) >= 0.50 THEN 'AUTO_CATALOG'
+ WHEN tension >= 0.15 THEN 'EXTEND_DELIBERATION' ELSE 'PASS_DEFER' END AS action FROM q)
+"""
+
+
+@query("gate_stream", _GATE + "SELECT vec_id, action FROM d")
 def gate_stream(spark, sf):
     return _tension(spark, sf).select("vec_id", decide.alert_action().alias("action"))
 
 
-@query("gate_counts")
+@query("gate_counts", _GATE + "SELECT action, count(*) AS n FROM d GROUP BY 1")
 def gate_counts(spark, sf):
     return _tension(spark, sf).groupBy(decide.alert_action().alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -182,10 +194,24 @@ def validate_packets(spark, sf):
     return e.select("event_id", F.size(decide.packet_errors()).alias("errors"))
 
 
-@query("feature_packets")
+#: Each feature from its definition, imputed where a band is missing.
+_PACKETS = """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN 15 + value / 20 END AS g0, CASE WHEN event_id % 7 <> 0 THEN 15.2 + value / 20 END AS bp, CASE WHEN event_id % 11 <> 0 THEN 14.7 + value / 20 END AS rp,
+  CASE WHEN event_id % 3 <> 0 THEN 12 + value / 20 END AS w1v, CASE WHEN event_id % 4 <> 0 THEN 11 + value / 20 END AS w2v, CASE WHEN event_id % 6 <> 0 THEN value / 50 END AS pm, event_id % 360 AS l, event_id % 180 - 90 AS b FROM events),
+h AS (SELECT *, coalesce(g0 > 5 AND g0 < 25, false) AS has_g, coalesce(w1v > 5 AND w1v < 25, false) AS has_1, coalesce(w2v > 5 AND w2v < 25, false) AS has_2, bp IS NOT NULL AND rp IS NOT NULL AS has_c, pm IS NOT NULL AS has_pm FROM e),
+g AS (SELECT *, CASE WHEN has_g THEN g0 ELSE 20.0 END AS g FROM h),
+w AS (SELECT *, CASE WHEN has_1 THEN w1v ELSE g - 2.8 END AS w1 FROM g)
+SELECT event_id, k::INTEGER AS k, round(CASE k WHEN 0 THEN g WHEN 1 THEN CASE WHEN has_c THEN bp - rp ELSE 0.6 END WHEN 2 THEN coalesce(g - bp, -0.3) WHEN 3 THEN w1 WHEN 4 THEN CASE WHEN has_1 AND has_2 THEN w1 - w2v ELSE 0.95 END
+  WHEN 5 THEN coalesce(pm, 0.2) WHEN 6 THEN CASE WHEN has_pm THEN sqrt(0.1 * 0.1 + 0.2 * 0.2) ELSE 0.2 END WHEN 7 THEN l / 360.0 WHEN 8 THEN (b + 90) / 180.0 ELSE least(100.0, greatest(5.0, 100.0 / greatest(g - 14.0, 1.0))) END, 6) AS mu,
+  CASE k WHEN 0 THEN has_g WHEN 1 THEN has_c WHEN 2 THEN has_1 WHEN 3 THEN has_1 AND has_2 WHEN 4 THEN has_pm WHEN 5 THEN true ELSE false END AS valid
+FROM w, (SELECT unnest(range(10)) AS k)
+"""
+
+
+@query("feature_packets", _PACKETS)
 def feature_packets(spark, sf):
     k, v = F.col("event_id"), F.col("value")
     hole = lambda n, x: F.when(k % n == 0, float("nan")).otherwise(x)
     e = table(spark, sf, "events").select("event_id", hole(5, 15 + v / 20).alias("phot_g_mean_mag"), hole(7, 15.2 + v / 20).alias("phot_bp_mean_mag"), hole(11, 14.7 + v / 20).alias("phot_rp_mean_mag"), hole(3, 12 + v / 20).alias("mag_w1_vg"), hole(4, 11 + v / 20).alias("mag_w2_vg"), hole(6, v / 50).alias("pm"), F.lit(0.1).alias("pmra_error"), F.lit(0.2).alias("pmdec_error"), (k % 360).cast("double").alias("l"), (k % 180 - 90).cast("double").alias("b"))
-    p = decide.feature_packet(e)
-    return p.select("event_id", F.array_join(F.transform("mu", lambda x: F.round(x, 4).cast("string")), ",").alias("mu"), F.array_join(F.transform("mask", lambda x: x.cast("int").cast("string")), "").alias("mask"))
+    p = decide.feature_packet(e).select("event_id", F.posexplode("mu").alias("k", "mu"), "mask")
+    return p.select("event_id", "k", r6(F.col("mu")).alias("mu"), F.coalesce(F.get("mask", F.col("k")) == 1, F.lit(False)).alias("valid"))

@@ -93,3 +93,18 @@ def equi_chain(spark, sf):
     o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     return j.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+_P_LON, _P_LAT = sql_place("p_partkey")
+
+
+@query("coincidences", f"""
+WITH a AS (SELECT c_custkey, c_custkey / 200.0::DOUBLE AS mjd, {sql_place('c_custkey')[0]} AS ra, {sql_place('c_custkey')[1]} AS dec, (50 + c_custkey % 400)::DOUBLE AS area FROM customer),
+b AS (SELECT p_partkey, p_partkey / 150.0::DOUBLE AS mjd, {_P_LON} AS ra, {_P_LAT} AS dec, (1 + p_partkey % 5)::DOUBLE AS radius FROM part),
+p AS (SELECT c_custkey, p_partkey, abs(b.mjd - a.mjd) * 86400 AS dt, {sql_separation('a.ra', 'a.dec', 'b.ra', 'b.dec')} / sqrt(area / pi() + radius * radius) AS apart FROM a JOIN b ON abs(b.mjd - a.mjd) * 86400 <= 500)
+SELECT c_custkey, p_partkey, round(0.5 * exp(-0.5 * apart * apart) * (1 - dt / 500), 6) AS score FROM p
+""")
+def coincidences(spark, sf):
+    left = sky(spark, sf, "customer", "c_custkey").select("c_custkey", (F.col("c_custkey") / 200.0).alias("mjd"), "ra", "dec", (50 + F.col("c_custkey") % 400).cast("double").alias("area_90"))
+    right = sky(spark, sf, "part", "p_partkey", "nu_ra", "nu_dec").select("p_partkey", (F.col("p_partkey") / 150.0).alias("nu_mjd"), "nu_ra", "nu_dec", (1 + F.col("p_partkey") % 5).cast("double").alias("radius"), F.lit(0.5).alias("p_astro"))
+    return match.coincidences(left, right).select("c_custkey", "p_partkey", r6(F.col("score")).alias("score"))

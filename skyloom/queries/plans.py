@@ -1,10 +1,11 @@
-"""Queries of the archive dialect, the ledger's aggregates, sources and streams."""
+"""Queries of the archive dialect, recipes, sources and streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyloom.plans import recipes
 from skyloom.queries.registry import query, r6, sky, sql_place, sql_separation, table
 from skyloom.sources import adql, catalog
 from skyloom.streaming import alerts
@@ -60,3 +61,20 @@ b AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s
 def session_counts(spark, sf):
     e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("timestamp"), "user_id")
     return alerts.sessions(e, "12 hours", "user_id").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("recipe_bright", "SELECT c_custkey AS source_id, c_acctbal FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey")
+def recipe_bright(spark, sf):
+    """A recipe over a table, as the archives' samples are taken."""
+    rows = sky(spark, sf, "customer", "c_custkey").withColumnRenamed("c_custkey", "source_id")
+    return recipes.select(rows, recipes.Recipe("Rich customers", "customer", ("source_id", "c_acctbal"), "c_acctbal > 5000 AND c_mktsegment = 'BUILDING'", "c_acctbal"))
+
+
+@query("recipe_cone", f"SELECT c_custkey FROM customer WHERE {sql_separation(_RA, _DEC, '266.4', '-29.0')} <= 30")
+def recipe_cone(spark, sf):
+    return recipes.select(sky(spark, sf, "customer", "c_custkey"), recipes.Recipe("Near the Galactic Centre", "customer", ("c_custkey",), cone=(266.4, -29.0, 30.0)))
+
+
+@query("latest_days", "SELECT event_id, value FROM events WHERE value BETWEEN 60 AND 80")
+def latest_days(spark, sf):
+    return recipes.in_days(table(spark, sf, "events"), "value", 80.0, 20.0).select("event_id", "value")

@@ -26,15 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def place(key: str) -> tuple[Column, Column]:
-    """A position on the sphere from an integer key: a golden-angle spiral."""
+    """A position on the sphere from an integer key: longitude and height by two independent irrational steps, so they cover the sphere evenly."""
     k = F.col(key).cast("double")
-    a, b = k * 137.50776405003785, k * 0.6180339887498949
+    a, b = k * 137.50776405003785, k * 0.41421356237309515
     return a - F.floor(a / 360.0) * 360.0, F.degrees(F.asin(2.0 * (b - F.floor(b)) - 1.0))
 
 
 def sql_place(key: str) -> tuple[str, str]:
     """The same position in SQL."""
-    a, b = f"({key} * 137.50776405003785::DOUBLE)", f"({key} * 0.6180339887498949::DOUBLE)"
+    a, b = f"({key} * 137.50776405003785::DOUBLE)", f"({key} * 0.41421356237309515::DOUBLE)"
     return f"({a} - floor({a} / 360.0::DOUBLE) * 360.0::DOUBLE)", f"degrees(asin(2.0::DOUBLE * ({b} - floor({b})) - 1.0::DOUBLE))"
 
 
@@ -73,3 +73,15 @@ def sql_pixel(lon: str, lat: str, nside: int) -> str:
     ip = fm(f"floor({t} * {cap})", f"4 * {cap}")
     polar = f"CASE WHEN {z} > 0 THEN 2 * {cap} * ({cap} - 1) + {ip} ELSE {12 * n * n} - 2 * {cap} * ({cap} + 1) + {ip} END"
     return f"CAST(CASE WHEN abs({z}) <= 2.0 / 3.0 THEN {belt} ELSE {polar} END AS BIGINT)"
+
+
+def sql_centres(nside: int) -> str:
+    """Subquery of ipix, z and lon (degrees) of all pixel centres of the ring scheme, by its published formulas for caps and belt."""
+    n, cap, npix = nside, 2 * nside * (nside - 1), 12 * nside**2
+    return f"""(SELECT ipix,
+      CASE WHEN north THEN 1 - i * i / {3 * n * n}.0 WHEN south THEN -1 + i * i / {3 * n * n}.0 ELSE ({2 * n} - i) * 2 / {3 * n}.0 END AS z,
+      CASE WHEN north OR south THEN (s - 0.5) * 90.0 / i ELSE (s - 0.5 * (1 + (i + {n}) % 2)) * 90.0 / {n} END AS lon
+    FROM (SELECT ipix, north, south, i, CASE WHEN north THEN ipix + 1 - 2 * i * (i - 1) WHEN south THEN 4 * i + 1 - ({npix} - ipix - 2 * i * (i - 1)) ELSE (ipix - {cap}) % {4 * n} + 1 END AS s
+    FROM (SELECT ipix, ipix < {cap} AS north, ipix >= {npix - cap} AS south,
+      CAST(CASE WHEN ipix < {cap} THEN floor((1 + sqrt(1 + 2 * ipix)) / 2) WHEN ipix >= {npix - cap} THEN floor((1 + sqrt(2 * ({npix} - ipix) - 1)) / 2) ELSE floor((ipix - {cap}) / {4 * n}) + {n} END AS BIGINT) AS i
+    FROM (SELECT unnest(range({npix})) AS ipix))))"""

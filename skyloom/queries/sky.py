@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import photometry, sphere
 from skyloom.operators import skymap
-from skyloom.queries.registry import query, r6, sky, sql_pixel, sql_place, sql_separation, table
+from skyloom.queries.registry import query, r6, sky, sql_centres, sql_pixel, sql_place, sql_separation, table
 
 LON, LAT = sql_place("c_custkey")
 NSIDE = 8
@@ -58,25 +58,51 @@ def _map(spark, sf):
     return skymap.mask(skymap.density(_customers(spark, sf), NSIDE, "ra", "dec", empty="observed"), gal_lat_min=15.0)
 
 
-@query("mask_coverage")
+#: The masked map, and the weighted normal equations of its dipole, from pixel centres by the published formulas.
+_MAP = f"""
+WITH g AS (SELECT ipix, lon, z, sqrt(1 - z * z) * cos(radians(lon)) AS x, sqrt(1 - z * z) * sin(radians(lon)) AS y FROM {sql_centres(NSIDE)}),
+m AS (SELECT g.ipix, x, y, z, coalesce(n, 0.0) AS n, CASE WHEN abs({G[2][0]} * x + {G[2][1]} * y + {G[2][2]} * z) >= sin(radians(15)) THEN 1.0 ELSE 0.0 END AS coverage FROM g LEFT JOIN ({_COUNTS}) c ON c.ipix = g.ipix),
+q AS (SELECT 1 / greatest(n, 1.0) AS w, n, x, y, z FROM m WHERE coverage > 0),
+s AS (SELECT sum(w) AS a, sum(w * x) AS bx, sum(w * y) AS by_, sum(w * z) AS bz, sum(w * x * x) AS cxx, sum(w * x * y) AS cxy, sum(w * x * z) AS cxz, sum(w * y * y) AS cyy, sum(w * y * z) AS cyz, sum(w * z * z) AS czz,
+  sum(w * n) AS r, sum(w * x * n) AS rx, sum(w * y * n) AS ry, sum(w * z * n) AS rz, count(*)::DOUBLE AS pixels, sum(n) AS total FROM q)
+"""
+#: Elimination of the monopole and Cramer's rule for the rest.
+_FIT = _MAP + """,
+e AS (SELECT *, cxx - bx * bx / a AS xx, cxy - bx * by_ / a AS xy, cxz - bx * bz / a AS xz, cyy - by_ * by_ / a AS yy, cyz - by_ * bz / a AS yz, czz - bz * bz / a AS zz, rx - bx * r / a AS tx, ry - by_ * r / a AS ty, rz - bz * r / a AS tz FROM s),
+f AS (SELECT *, yy * zz - yz * yz AS ixx, xz * yz - xy * zz AS ixy, xy * yz - xz * yy AS ixz, xx * zz - xz * xz AS iyy, xy * xz - xx * yz AS iyz, xx * yy - xy * xy AS izz, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS det FROM e),
+h AS (SELECT *, (ixx * tx + ixy * ty + ixz * tz) / det AS vx, (ixy * tx + iyy * ty + iyz * tz) / det AS vy, (ixz * tx + iyz * ty + izz * tz) / det AS vz FROM f),
+k AS (SELECT *, (r - bx * vx - by_ * vy - bz * vz) / a AS mono FROM h),
+d AS (SELECT *, vx / mono AS x, vy / mono AS y, vz / mono AS z, sqrt(vx * vx + vy * vy + vz * vz) / mono AS amplitude FROM k),
+o AS (SELECT *, sqrt((ixx * x * x + iyy * y * y + izz * z * z + 2 * (ixy * x * y + ixz * x * z + iyz * y * z)) / det) / amplitude / abs(mono) AS sigma FROM d)
+SELECT round(mono, 6) AS monopole, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(amplitude, 6) AS amplitude, round(sigma, 6) AS sigma, round(amplitude / sigma, 5) AS significance, round(3 / sqrt(total), 6) AS shot_noise,
+  round(degrees(atan2(y, x)) - floor(degrees(atan2(y, x)) / 360) * 360, 4) AS lon, round(degrees(asin(z / amplitude)), 4) AS lat, CAST(pixels AS BIGINT) AS n_pixels FROM o
+"""
+
+
+def _rounded(fit):
+    digits = {"significance": 5, "lon": 4, "lat": 4}
+    return fit.select(*[r6(F.col(c), digits.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in fit.dtypes])
+
+
+@query("mask_coverage", _MAP + """SELECT ipix, coverage, n AS "count" FROM m""")
 def mask_coverage(spark, sf):
     return _map(spark, sf).select("ipix", "coverage", "count")
 
 
-@query("dipole_moments")
+@query("dipole_moments", _MAP + """SELECT CAST(k AS INTEGER) AS k, round(m, 6) AS m FROM (SELECT unnest(range(16)) AS k, unnest([a, bx, by_, bz, cxx, cxy, cxz, cyy, cyz, czz, r, rx, ry, rz, pixels, total]) AS m FROM s)""")
 def dipole_moments(spark, sf):
-    return skymap.dipole_moments(_map(spark, sf)).select(F.posexplode("m").alias("k", "m"))
+    return skymap.dipole_moments(_map(spark, sf)).select(F.posexplode("m").alias("k", "m")).select("k", r6(F.col("m")).alias("m"))
 
 
-@query("dipole_fit")
+@query("dipole_fit", _FIT)
 def dipole_fit(spark, sf):
-    return skymap.dipole_fit(_map(spark, sf))
+    return _rounded(skymap.dipole_fit(_map(spark, sf)))
 
 
-@query("sky_density_dipole")
+@query("sky_density_dipole", _FIT)
 def sky_density_dipole(spark, sf):
     """Density, mask and dipole fit, end to end."""
-    return skymap.dipole_fit(_map(spark, sf))
+    return _rounded(skymap.dipole_fit(_map(spark, sf)))
 
 
 @query("multipoles")
@@ -131,3 +157,10 @@ def selection_cuts(spark, sf):
     df = df.where(F.abs(sphere.rotate(G, sphere.unit_vector(F.col("ra"), F.col("dec")))[2]) >= F.sin(F.radians(F.col("cut").cast("double"))))
     d = skymap.vector_dipole(df, "ra", "dec", keys=["cut"])
     return d.select("cut", "n", *[r6(F.col(c)).alias(c) for c in ("dx", "dy", "dz")])
+
+
+@query("compare_dipoles", f"SELECT round(f.amplitude, 6) AS measured, round(0.006, 6) AS expected, round(f.amplitude / 0.006, 3) AS ratio, round((f.amplitude - 0.006) / f.sigma, 3) AS tension_sigma FROM ({_FIT.replace('round(amplitude, 6)', 'amplitude').replace('round(sigma, 6)', 'sigma')}) f")
+def compare_dipoles(spark, sf):
+    """The measured dipole against a prediction of 0.006."""
+    found = skymap.compare(skymap.dipole_fit(_map(spark, sf)), spark.createDataFrame([(0.006,)], "amplitude double"))
+    return found.select(r6(F.col("measured")).alias("measured"), "expected", r6(F.col("ratio"), 3).alias("ratio"), r6(F.col("tension_sigma"), 3).alias("tension_sigma"))

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from skyloom.functions import scores, special, sphere
 from skyloom.functions.expr import compile_filter
 from skyloom.operators import decide, match, schedule, skymap, timeseries
-from skyloom.plans import kernel as K
-from skyloom.plans.ledger import canonical, result_id
 from skyloom.sources import adql
 from skyloom.sources.catalog import NamedLists
 from skyloom.streaming import alerts
@@ -102,42 +100,6 @@ def test_adql_rewrites():
     assert sql.endswith("LIMIT 5") and "`a/b`" in sql and "CONTAINS" not in sql and "'TOP \"x\"'" in sql
 
 
-def test_ids_are_stable():
-    assert canonical({"b": 1, "a": [1.5, None, True, float("nan")]}) == '{"a":[1.5,null,true,nan],"b":1}'
-    assert result_id("x", {"a": 1, "b": 2}) == result_id("x", {"b": 2, "a": 1}) != result_id("x", {"a": 1, "b": 3})
-
-
-def test_kernel_caches_and_traces(spark, tmp_path):
-    runs = []
-
-    @K.operation("test.numbers", {"n": K.Param("int", required=True)})
-    def numbers(kernel, n):
-        runs.append(n)
-        if n == 13:
-            raise ValueError("unlucky")
-        return kernel.spark.range(n)
-
-    @K.operation("test.total", {"of": K.Param("artifact", required=True)})
-    def total(kernel, of):
-        return kernel.load(of).agg(F.sum("id").alias("total"))
-
-    kernel = K.Kernel(spark, f"file://{tmp_path}")
-    first = kernel.run("test.numbers", n="5")
-    assert kernel.run("test.numbers", n=5) == first and runs == [5]
-    second = kernel.run("test.total", of=first[:10])
-    assert kernel.load(second).first().total == 10
-    assert kernel.ledger.chain(second) == [first, second]
-    assert [r.id for r in kernel.ledger.lineage(second).collect()] == [first]
-    with pytest.raises(ValueError):
-        kernel.run("test.numbers", m=1)
-    with pytest.raises(KeyError, match="did you mean"):
-        kernel.run("test.number")
-    study = K.Study("s", (K.Step("a", "test.numbers", {"n": "{n}"}), K.Step("b", "test.total", {"of": "@a"})), {"n": [3, 5, 13]}, ("total",))
-    surface = {r.combo: r for r in K.run_study(kernel, study).collect()}
-    assert surface['{"n":3}'].metrics["total"] == 3 and "unlucky" in surface['{"n":13}'].error
-    assert study.fingerprint() == study.fingerprint()
-
-
 def test_named_lists(spark, tmp_path):
     lists = NamedLists(spark, f"file://{tmp_path}")
     lists.save("My List!", spark.range(3), "2024-01-01T00:00:00")

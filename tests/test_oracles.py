@@ -41,6 +41,11 @@ def test_same_rows(spark, sf, db, name):
             assert (ours[c] == theirs[c]).all(), c
 
 
+def test_cones_find_rows(spark, sf):
+    for name in ("adql_cone", "recipe_cone"):
+        assert QUERIES[name](spark, sf).count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
