@@ -61,7 +61,7 @@ def _map(spark, sf):
 #: The masked map, and the weighted normal equations of its dipole, from pixel centres by the published formulas.
 _MAP = f"""
 WITH g AS (SELECT ipix, lon, z, sqrt(1 - z * z) * cos(radians(lon)) AS x, sqrt(1 - z * z) * sin(radians(lon)) AS y FROM {sql_centres(NSIDE)}),
-m AS (SELECT g.ipix, x, y, z, coalesce(n, 0.0) AS n, CASE WHEN abs({G[2][0]} * x + {G[2][1]} * y + {G[2][2]} * z) >= sin(radians(15)) THEN 1.0 ELSE 0.0 END AS coverage FROM g LEFT JOIN ({_COUNTS}) c ON c.ipix = g.ipix),
+m AS (SELECT g.ipix, x, y, z, coalesce(n, 0.0) AS n, CASE WHEN abs({G[2][0]} * x + {G[2][1]} * y + {G[2][2]} * z) >= sin(radians(15)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS coverage FROM g LEFT JOIN ({_COUNTS}) c ON c.ipix = g.ipix),
 q AS (SELECT 1 / greatest(n, 1.0) AS w, n, x, y, z FROM m WHERE coverage > 0),
 s AS (SELECT sum(w) AS a, sum(w * x) AS bx, sum(w * y) AS by_, sum(w * z) AS bz, sum(w * x * x) AS cxx, sum(w * x * y) AS cxy, sum(w * x * z) AS cxz, sum(w * y * y) AS cyy, sum(w * y * z) AS cyz, sum(w * z * z) AS czz,
   sum(w * n) AS r, sum(w * x * n) AS rx, sum(w * y * n) AS ry, sum(w * z * n) AS rz, count(*)::DOUBLE AS pixels, sum(n) AS total FROM q)
@@ -159,7 +159,7 @@ def selection_cuts(spark, sf):
     return d.select("cut", "n", *[r6(F.col(c)).alias(c) for c in ("dx", "dy", "dz")])
 
 
-@query("compare_dipoles", f"SELECT round(f.amplitude, 6) AS measured, round(0.006, 6) AS expected, round(f.amplitude / 0.006, 3) AS ratio, round((f.amplitude - 0.006) / f.sigma, 3) AS tension_sigma FROM ({_FIT.replace('round(amplitude, 6)', 'amplitude').replace('round(sigma, 6)', 'sigma')}) f")
+@query("compare_dipoles", f"SELECT round(f.amplitude, 6) AS measured, 0.006::DOUBLE AS expected, round(f.amplitude / 0.006, 3) AS ratio, round((f.amplitude - 0.006) / f.sigma, 3) AS tension_sigma FROM ({_FIT.replace('round(amplitude, 6)', 'amplitude').replace('round(sigma, 6)', 'sigma')}) f")
 def compare_dipoles(spark, sf):
     """The measured dipole against a prediction of 0.006."""
     found = skymap.compare(skymap.dipole_fit(_map(spark, sf)), spark.createDataFrame([(0.006,)], "amplitude double"))
