@@ -222,21 +222,6 @@ def parse_frames(data: bytes, start: int, stop: int, doc: int) -> list[Frame]:
     return frames
 
 
-def _parse_own(data: bytes, start: int, stop: int, doc: int) -> list[Frame]:
-    """As parse_frames; a single frame with this module's own header is recognised at once."""
-    model = frame_header(1)
-    head = data[start : start + len(model)]
-    h = struct.unpack(">H", head[_HEIGHT_AT : _HEIGHT_AT + 2])[0] if len(head) == len(model) else 0
-    if h and h < FRAME_ROWS * 8 and head == frame_header(h // 8) and data[stop - 2 : stop] == b"\xff\xd9":
-        f = parse_frames(model + b"\x00\xff\xd9", 0, len(model) + 3, doc)[0]
-        f.height, f.scan = h, (start + len(model), stop - 2)
-        return [f]
-    return parse_frames(data, start, stop, doc)
-
-
-_HEIGHT_AT = frame_header(1).index(b"\xff\xc0") + 5
-
-
 def decode_dc(data: bytes, frames: list[Frame]) -> list[np.ndarray]:
     """The DC-only luminance thumbnail of each frame, as rows of 8-bit samples."""
     raw = np.frombuffer(data, np.uint8)
@@ -367,7 +352,7 @@ def inspect_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in textnum.slices(batches, "media", 1 << 19):
         values, offsets = textnum.string_buffer(batch.column(2), pa.large_binary())
         data, media = values.tobytes(), batch.column(2)
-        frames = [f for k in range(len(media)) for f in _parse_own(data, int(offsets[k]), int(offsets[k + 1]), k)]
+        frames = [f for k in range(len(media)) for f in parse_frames(data, int(offsets[k]), int(offsets[k + 1]), k)]
         thumbnails = decode_dc(data, frames)
         rows: list[list] = [[] for _ in range(8)]
         at = 0

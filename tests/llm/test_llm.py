@@ -205,6 +205,17 @@ def test_media_round_trip(spark, odd, none):
     assert media.read_jpeg(media.store_as_jpeg(none)).count() == 0
 
 
+def test_media_reads_the_stored_markers(spark):
+    """A comment segment changes no sample; a broken marker is an error."""
+    r = media.store_as_jpeg(docs(spark, [(1, "stored " * 40)])).first()
+    seg, data = media._segment, bytes(r.media)
+    noted = data[:2] + seg(0xFE, b"note \xff") + data[2:]
+    plain, again = (media.decode_dc(x, media.parse_frames(x, 0, len(x), 0))[0] for x in (data, noted))
+    assert (plain == again).all()
+    with pytest.raises(ValueError, match="marker"):
+        media.parse_frames(data[:2] + b"\0" + data[3:], 0, len(data), 0)
+
+
 def test_media_reads_colour_with_ac_terms():
     """Three components, 2x2 luminance sampling and AC terms: bits are written by hand, DC levels read back."""
     dc = media.huffman_codes(media.DC_COUNTS, media.DC_SYMBOLS)
