@@ -45,3 +45,25 @@ def exposure_minutes(mag: Column, reference_mag: float, reference_minutes: float
 def kinematic_dipole(velocity_kms: Column, alpha: Column, slope: Column) -> Column:
     """Expected number-count dipole of a moving observer."""
     return (2 + slope * (1 + alpha)) * velocity_kms / 299792.458
+
+
+def reduced_proper_motion(mag: Column, motion_mas: Column) -> Column:
+    """Magnitude and proper motion in one number, larger for stars of low luminosity; NULL without motion."""
+    return mag + 5 * F.log10(motion_mas / 1000) + 5
+
+
+def extinction(latitude: Column) -> Column:
+    """V extinction of a plane-parallel dust layer at a galactic latitude, between 0.02 and 5 magnitudes."""
+    height = F.least(F.greatest(F.abs(latitude), F.lit(1.0)), F.lit(85.0))
+    return F.least(F.greatest(0.05 / F.sin(F.radians(height)), F.lit(0.02)), F.lit(5.0))
+
+
+def scattering_ms(dispersion: Column) -> Column:
+    """Scattering time in milliseconds of a dispersion measure: a parabola in its logarithm."""
+    x = F.log10(F.greatest(dispersion, F.lit(1.0)))
+    return F.greatest(F.pow(F.lit(10.0), -3.86 + 0.154 * x + 1.07 * x * x) / 1000, F.lit(1e-4))
+
+
+def dispersion_redshift(excess: Column, halo: float = 60.0) -> Column:
+    """Redshift of what dispersion is left beyond a halo, at 950 units a redshift."""
+    return F.greatest(excess - halo, F.lit(0.0)) / 950

@@ -115,3 +115,15 @@ def harmonics(x: Column, y: Column, z: Column) -> list[Column]:
         one * math.sqrt(1 / (4 * math.pi)), -n1 * y, n1 * z, -n1 * x,
         n2 * x * y, -n2 * y * z, math.sqrt(5 / (16 * math.pi)) * (3 * z * z - 1), -n2 * x * z, n2 / 2 * (x * x - y * y),
     ]
+
+
+def separation_arccos(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
+    """Great-circle distance by the cosine rule; loses digits at small angles."""
+    d1, d2 = F.radians(dec1), F.radians(dec2)
+    c = F.sin(d1) * F.sin(d2) + F.cos(d1) * F.cos(d2) * F.cos(F.radians(ra2 - ra1))
+    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))))
+
+
+def latitude_from_pole(ra: Column, dec: Column) -> Column:
+    """Galactic latitude as the distance to the pole."""
+    return 90 - separation(ra, dec, F.lit(192.85948), F.lit(27.12825))

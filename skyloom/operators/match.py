@@ -27,6 +27,13 @@ def cone_search(df: DataFrame, ra0: float, dec0: float, radius: float, ra: str =
     return found.orderBy("separation").limit(limit) if limit else found
 
 
+def outside_cones(df: DataFrame, cones: list[tuple[float, float, float]], ra: str = "ra", dec: str = "dec") -> DataFrame:
+    """Rows in none of a short list of cones (ra, dec, radius); the conditions are one filter at the scan."""
+    for cone in cones:
+        df = df.where(~in_cone(ra, dec, *cone))
+    return df
+
+
 def _cell(ra: Column, dec: Column, height: float) -> tuple[Column, Column, Column]:
     """Strip, cell in the strip and the strip's number of cells; cells are at least height wide on the sky."""
     strip = F.floor((dec + 90) / height)

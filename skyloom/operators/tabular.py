@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions import missing
@@ -80,3 +80,18 @@ def topic_year_counts(df: DataFrame, topic: str, year: str, years: list[int]) ->
     counted = df.groupBy(topic).pivot(year, years).agg(F.count(F.lit(1))).na.fill(0)
     first, last = F.col(f"`{years[0]}`"), F.col(f"`{years[-1]}`")
     return counted.withColumn("trend_percent", F.when(first > 0, (last - first) * 100.0 / first))
+
+
+def leverage(level: Column, rows: Column) -> Column:
+    """Weight of a level (high, medium, low) by the order of magnitude of its rows, as in ``~1.5M``; the bare weight where rows say nothing."""
+    weight = F.when(F.lower(F.trim(level)) == "high", 3.0).when(F.lower(F.trim(level)) == "medium", 2.0).otherwise(1.0)
+    text = F.lower(F.regexp_replace(F.regexp_replace(F.trim(rows), "^~+", ""), ",", ""))
+    unit = F.regexp_extract(text, r"^[0-9.]+([kmbg])$", 1)
+    number = F.regexp_extract(text, r"^([0-9.]+)[kmbg]?$", 1).try_cast("double") * F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit != "", 1e9).otherwise(1.0)
+    return F.when(number > 0, weight / F.greatest(F.log10(number), F.lit(1.0))).otherwise(weight)
+
+
+def year_in_name(name: Column) -> Column:
+    """Middle of the year in an object's name: two digits after a survey's name, else a year from 1850 to 2029; NULL without one."""
+    short = F.regexp_extract(name, "^(?:Gaia|ZTF|PGIR|ASASSN-|ATLAS)([0-9]{2})", 1).try_cast("double")
+    return F.coalesce(2000.5 + short, 0.5 + F.regexp_extract(name, "(18[5-9][0-9]|19[0-9]{2}|20[0-2][0-9])", 1).try_cast("double"))

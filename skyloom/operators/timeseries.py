@@ -101,3 +101,33 @@ def transit_windows(df: DataFrame, start: float, count: int, t0: str = "t0", per
 def upcoming(df: DataFrame, first: str, last: str, start: str = "start", end: str = "end") -> DataFrame:
     """Open events that overlap the days from first to last, both included."""
     return df.where((F.col(start) <= F.lit(last).cast("date")) & (F.coalesce(end, start) >= F.lit(first).cast("date")))
+
+
+def quiescent(df: DataFrame, keys: list[str], middle: str, half: float, faint: float, t: str = "t", mag: str = "mag", det: str = "det", lim: str = "lim") -> DataFrame:
+    """Median level within half of each key's middle; limits enter as the fainter of themselves and faint."""
+    value = F.when(F.col(det), F.col(mag)).otherwise(F.greatest(F.col(lim), F.lit(faint)))
+    return df.where(F.abs(F.col(t) - F.col(middle)) <= half).groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("level"))
+
+
+def level_step(df: DataFrame, keys: list[str], begin: str, end: str, span_days: float = 200.0, t: str = "t", mag: str = "mag", det: str = "det", lim: str = "lim") -> DataFrame:
+    """Median after an event less the median before it, over span_days each; limits count as they are. NULL with fewer than three rows on a side.
+
+    The last five days before the event are left out.
+    """
+    value, at = F.when(F.col(det), F.col(mag)).otherwise(F.col(lim)), F.col(t)
+    before = at.between(F.col(begin) - span_days * DAY, F.col(begin) - 5 * DAY)
+    after = at.between(F.col(end), F.col(end) + span_days * DAY)
+    level = lambda side: F.when(F.count(F.when(side, 1)) >= 3, F.percentile(F.when(side, value), F.lit(0.5)))
+    return df.groupBy(*keys).agg((level(after) - level(before)).alias("step"))
+
+
+def running_median(df: DataFrame, keys: list[str], order: list[str], value: str, half: int = 15) -> DataFrame:
+    """Median of the half rows before a row, itself and the half - 1 rows after it, within its key."""
+    part, by = ", ".join(f"`{k}`" for k in keys), ", ".join(f"`{c}`" for c in order)
+    return df.withColumn("running", F.expr(f"percentile(`{value}`, 0.5D) OVER (PARTITION BY {part} ORDER BY {by} ROWS BETWEEN {half} PRECEDING AND {half - 1} FOLLOWING)"))
+
+
+def grid_quantiles(df: DataFrame, keys: list[str], x: str, density: str, levels: list[float]) -> DataFrame:
+    """The least x of an evenly spaced grid at which the cumulated, normalised density reaches each level."""
+    own = df.withColumn("__c", F.sum(density).over(W.partitionBy(*keys).orderBy(x))).withColumn("__s", F.sum(density).over(W.partitionBy(*keys)))
+    return own.groupBy(*keys).agg(*[F.min(F.when(F.col("__c") >= q * F.col("__s"), F.col(x))).alias(f"q{round(100 * q)}") for q in levels])

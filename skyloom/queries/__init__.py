@@ -1,6 +1,6 @@
 """All registered queries of the engine and their oracle SQL."""
 
-from skyloom.queries import decisions, matching, plans, series, sky, tables  # noqa: F401  registers the queries
+from skyloom.queries import decisions, matching, plans, series, sky, survey, tables  # noqa: F401  registers the queries
 from skyloom.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
