@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.llm.decontaminate import ORACLE as OP7_ORACLE, op7_decontamination
+from skyloom.llm.interaction import ORACLE as OP13_ORACLE, op13_interaction_audit
 from skyloom.llm.katz import op10_katz
 from skyloom.llm.language import op5_language
 from skyloom.llm.media import op3_media
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_katz": op10_katz,
+    "op13_interaction_audit": op13_interaction_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op1_ngram_join": OP1_ORACLE,
     "op7_decontamination": OP7_ORACLE,
+    "op13_interaction_audit": OP13_ORACLE,
 }
