@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyloom.llm.align import op12_alignment
 from skyloom.llm.decontaminate import ORACLE as OP7_ORACLE, op7_decontamination
 from skyloom.llm.interaction import ORACLE as OP13_ORACLE, op13_interaction_audit
 from skyloom.llm.katz import op10_katz
@@ -29,11 +30,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_katz": op10_katz,
+    "op12_alignment": op12_alignment,
     "op13_interaction_audit": op13_interaction_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op1_ngram_join": OP1_ORACLE,
     "op7_decontamination": OP7_ORACLE,
+    "op12_alignment": op12_alignment,
     "op13_interaction_audit": OP13_ORACLE,
 }
