@@ -17,6 +17,7 @@ from skyloom.llm.packing import op6_packing
 from skyloom.llm.pii import op2_pii
 from skyloom.llm.quality import op4_quality
 from skyloom.llm.rollup import op8_token_counts
+from skyloom.llm.rules import ORACLE as OP11_ORACLE, op11_quality_rules
 from skyloom.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_katz": op10_katz,
+    "op11_quality_rules": op11_quality_rules,
     "op12_alignment": op12_alignment,
     "op13_interaction_audit": op13_interaction_audit,
 }
@@ -37,6 +39,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_ngram_join": OP1_ORACLE,
     "op7_decontamination": OP7_ORACLE,
+    "op11_quality_rules": op11_quality_rules,
     "op12_alignment": op12_alignment,
+    "op11_quality_rules": OP11_ORACLE,
     "op13_interaction_audit": OP13_ORACLE,
 }
