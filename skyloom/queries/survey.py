@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyloom.functions import photometry, sphere
-from skyloom.operators import match, tabular, timeseries
+from skyloom.operators import match, merge, tabular, timeseries
 from skyloom.queries.registry import query, r6, sky, sql_place, sql_separation, table
 from skyloom.queries.series import _PL, _plates
 
@@ -126,3 +126,26 @@ def tidy_plates(spark, sf):
     k = F.col("event_id")
     raw = table(spark, sf, "events").select("event_id", F.when(k % 5 != 0, F.col("value") / 10).alias("mag"), F.when(k % 7 != 0, F.col("value") / 40).alias("rms"), F.when(k % 3 != 0, 15.0).alias("lim"), (F.col("user_id") % 16).alias("aflags"), (k % 8).alias("bflags"))
     return timeseries.tidy(raw, 5, 2).select("event_id", "det", r6(F.col("err")).alias("err"), "good")
+
+
+
+
+@query("merge_duplicates", f"""
+WITH a AS (SELECT c_custkey AS k FROM customer), s AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey IN (SELECT k FROM a)), p AS (SELECT p_partkey AS k FROM part WHERE p_partkey IN (SELECT k FROM a)),
+r AS (SELECT k, 3 * k AS id, 0 AS pri, 0 AS step, 'Atlas' AS src, 'nova' AS cls FROM a UNION ALL SELECT k, 3 * k + 1, CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END, 1, 'Index', CASE WHEN k % 3 = 0 THEN 'symbiotic' ELSE 'nova' END FROM s
+  UNION ALL SELECT k, 3 * k + 2, CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END, 2, 'Plates', CASE WHEN k % 5 = 0 THEN 'rn' ELSE 'nova' END FROM p),
+g AS (SELECT k, max(id) FILTER (step = 0) AS i0, max(id) FILTER (step = 1) AS i1, max(id) FILTER (step = 2) AS i2, any_value(cls) FILTER (step = 1) AS c1, any_value(cls) FILTER (step = 2) AS c2 FROM r GROUP BY k)
+SELECT i0 AS id, CASE WHEN c1 = 'symbiotic' THEN 'nova+symbiotic' ELSE 'nova' END AS cls, CASE WHEN i1 IS NULL THEN 'Atlas' ELSE 'Atlas|Index' END AS src, CASE WHEN i1 IS NULL THEN 1 ELSE 2 END::BIGINT AS n_merged FROM g
+UNION ALL SELECT i2, c2, 'Plates', 1 FROM g WHERE i2 IS NOT NULL
+""")
+def merged_duplicates(spark, sf):
+    """The first source takes the second, 3 arcsec away; the third, 6 arcsec from the first, is kept whatever its priority."""
+    a = sky(spark, sf, "customer", "c_custkey").select(F.col("c_custkey").alias("k"), "ra", "dec")
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k")).join(a, "k")
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k")).join(a, "k")
+    even = F.col("k") % 2 == 0
+    north = lambda sec: F.col("dec") + F.when(F.col("dec") > 0, -sec).otherwise(sec) / 3600.0
+    rows = a.select((3 * F.col("k")).alias("id"), "ra", "dec", F.lit("Atlas").alias("src"), F.lit("nova").alias("cls"), F.lit(0).alias("pri"))
+    rows = rows.unionByName(s.select((3 * F.col("k") + 1).alias("id"), "ra", north(3).alias("dec"), F.lit("Index").alias("src"), F.when(F.col("k") % 3 == 0, "symbiotic").otherwise("nova").alias("cls"), F.when(even, 1).otherwise(2).alias("pri")))
+    rows = rows.unionByName(p.select((3 * F.col("k") + 2).alias("id"), "ra", north(6).alias("dec"), F.lit("Plates").alias("src"), F.when(F.col("k") % 5 == 0, "rn").otherwise("nova").alias("cls"), F.when(even, 2).otherwise(1).alias("pri")))
+    return merge.merge_duplicates(rows, 5 / 3600, F.col("pri")).select("id", "cls", "src", "n_merged")
