@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyloom.functions import scores
-from skyloom.operators import calibration, decide
+from skyloom.operators import calibration, decide, resample
 from skyloom.queries.registry import query, r6, table
 
 #: A fixed logistic of the document's length stands for a model's score.
@@ -215,3 +215,36 @@ def feature_packets(spark, sf):
     e = table(spark, sf, "events").select("event_id", hole(5, 15 + v / 20).alias("phot_g_mean_mag"), hole(7, 15.2 + v / 20).alias("phot_bp_mean_mag"), hole(11, 14.7 + v / 20).alias("phot_rp_mean_mag"), hole(3, 12 + v / 20).alias("mag_w1_vg"), hole(4, 11 + v / 20).alias("mag_w2_vg"), hole(6, v / 50).alias("pm"), F.lit(0.1).alias("pmra_error"), F.lit(0.2).alias("pmdec_error"), (k % 360).cast("double").alias("l"), (k % 180 - 90).cast("double").alias("b"))
     p = decide.feature_packet(e).select("event_id", F.posexplode("mu").alias("k", "mu"), "mask")
     return p.select("event_id", "k", r6(F.col("mu")).alias("mu"), F.coalesce(F.get("mask", F.col("k")) == 1, F.lit(False)).alias("valid"))
+
+
+_DRAWS = 40
+_DRAWN = f"d AS (SELECT unnest(range(0, {_DRAWS + 1})) AS draw)"
+_SCORES = "SELECT user_id, event_type IN ('view', 'click') AS control, value AS d0, value * 0.7 + (event_id * 37) % 101 * 0.4 AS d1 FROM events"
+
+
+@query("cluster_bootstrap", f"""
+WITH {_DRAWN}, s AS ({_SCORES}), u AS (SELECT DISTINCT user_id FROM events), m AS (SELECT draw, user_id, {resample.sql_weight(3, "draw", "user_id")} AS m FROM u, d),
+c AS (SELECT draw, d0, d1, m FROM s JOIN m USING (user_id) WHERE control), n AS (SELECT draw, sum(m) AS n FROM c GROUP BY draw HAVING sum(m) > 0),
+a AS (SELECT draw, d0 AS x, sum(sum(m)) OVER (PARTITION BY draw ORDER BY d0) AS upto FROM c GROUP BY draw, d0), b AS (SELECT draw, d1 AS x, sum(sum(m)) OVER (PARTITION BY draw ORDER BY d1) AS upto FROM c GROUP BY draw, d1),
+ta AS (SELECT draw, min(x) AS t FROM a JOIN n USING (draw) WHERE upto > ceil(0.95::DOUBLE * (n - 1)) GROUP BY draw), tb AS (SELECT draw, min(x) AS t FROM b JOIN n USING (draw) WHERE upto > ceil(0.95::DOUBLE * (n - 1)) GROUP BY draw),
+r AS (SELECT draw, sum(m) AS n, sum(m) FILTER (d0 > ta.t) / sum(m) AS a, sum(m) FILTER (d1 > tb.t) / sum(m) AS b FROM s JOIN m USING (user_id) JOIN ta USING (draw) JOIN tb USING (draw) WHERE NOT control GROUP BY draw HAVING sum(m) > 0),
+z AS (SELECT draw, n, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM r)
+SELECT max(n) FILTER (draw = 0)::BIGINT AS n, round(max(a) FILTER (draw = 0), 6) AS recall_first, round(max(b) FILTER (draw = 0), 6) AS recall_second, round(max(b - a) FILTER (draw = 0), 6) AS delta,
+ round(quantile_cont(b - a, 0.025) FILTER (draw > 0), 6) AS low, round(quantile_cont(b - a, 0.975) FILTER (draw > 0), 6) AS high FROM z
+""")
+def cluster_bootstrap(spark, sf):
+    e = table(spark, sf, "events")
+    s = e.select("user_id", F.col("event_type").isin("view", "click").alias("control"), F.col("value").alias("d0"), (F.col("value") * 0.7 + F.col("event_id") * 37 % 101 * 0.4).alias("d1"))
+    found = resample.recall_difference(s.where("control"), s.where("NOT control"), "d0", "d1", "user_id", 0.05, _DRAWS, 3)
+    return found.select("n", *[r6(F.col(c)).alias(c) for c in ("recall_first", "recall_second", "delta", "low", "high")])
+
+
+@query("calibration_interval", f"""
+WITH {_DRAWN}, s AS ({_SCORED}), w AS (SELECT draw, ceil(conf * 15) AS bin, conf, ok, {resample.sql_weight(42, "draw", "doc_id")} AS m FROM s, d),
+b AS (SELECT draw, bin, sum(m) AS n, abs(sum(m * conf) - sum(m * ok)) AS gap FROM w GROUP BY 1, 2), e AS (SELECT draw, sum(n) AS n, sum(gap) / sum(n) AS e FROM b GROUP BY 1)
+SELECT max(n) FILTER (draw = 0)::BIGINT AS n, round(max(e) FILTER (draw = 0), 6) AS ece, round(quantile_cont(e, 0.025) FILTER (draw > 0), 6) AS low, round(quantile_cont(e, 0.975) FILTER (draw > 0), 6) AS high FROM e
+""")
+def calibration_interval(spark, sf):
+    s = calibration.with_confidence(_scored(spark, sf), "probs", "y")
+    found = resample.calibration_interval(s, "confidence", "correct", "doc_id", 15, _DRAWS)
+    return found.select("n", *[r6(F.col(c)).alias(c) for c in ("ece", "low", "high")])
