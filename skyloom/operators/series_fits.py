@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import missing
 from skyloom.functions.special import ERFC_SERIES
 from skyloom.operators.timeseries import DAY
+from skyloom.sources.shared import written
 
 EPOCH = 2455828.9  # phases are counted from this Julian date
 
@@ -79,8 +80,6 @@ def fit_ephemeris(df: DataFrame, periods: list[float], t: str = "t", mag: str =
             found = found + np.stack(batch.column(1).to_numpy(zero_copy_only=False)).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([found], pa.list_(pa.float64()))], ["k", "sums"])
 
-    from skyloom.sources.shared import written
-
     sums = written(own.mapInArrow(add_up, "k long, sums array<double>").groupBy("k").applyInArrow(total, "k long, sums array<double>"), "moments")
     common = np.asarray(sums.where("k = -1").first().sums).reshape(nb + 1, nb + 1)
 
@@ -205,23 +204,27 @@ def likelihood_scan(df: DataFrame, key: str, faint: float, allow: tuple[float, f
     else:
         for low, high in masks:
             asked = asked.where(~F.col("t0").between(low, high))
-    asked = asked.groupBy(key, "anchor", "place").agg(F.sort_array(F.collect_list(F.struct("at", "t0", "t2"))).alias("asked"))  # at most 56
+    asked = written(asked.select(key, "anchor", "place", "at", "t0", "t2"), "hypotheses")  # at most 56 an anchor
     reach_back, reach_on = (max(DECLINES) * max(STARTS) + 3 + SIDE_DAYS) * DAY, (10 * max(DECLINES) + SIDE_DAYS) * DAY
-    near = own.join(asked, key).where(F.col("t").between(F.col("anchor") - reach_back, F.col("anchor") + reach_on))
+    points = asked.select(F.col(key).alias("__key"), F.col("anchor").alias("__anchor")).distinct()
+    near = own.join(points, own[key] == points["__key"]).where(F.col("t").between(F.col("__anchor") - reach_back, F.col("__anchor") + reach_on))
 
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
+    def scan(group: pd.DataFrame, hypotheses: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("t", kind="stable")
         x = {c: group[c].to_numpy() for c in ("t", "mag", "lim", "sig", "det", "sat")}
         level = np.where(x["det"], x["mag"], np.maximum(np.nan_to_num(x["lim"], nan=faint), faint))
         out = []
-        for h in group["asked"].iloc[0]:
-            found = _hypothesis(x, h["t0"], h["t2"], faint, level)
+        for place, at, t0, t2 in hypotheses[["place", "at", "t0", "t2"]].itertuples(index=False):
+            found = _hypothesis(x, t0, t2, faint, level)
             if found is not None and found[0] > 0 and found[2] >= least_nights:
                 score, peak, nights, plates, against, amplitude = found
-                out.append((group[key].iloc[0], int(group["place"].iloc[0]), h["at"], score, h["t0"], h["t2"], peak, amplitude, nights, plates, against))
+                out.append((group[key].iloc[0], place, at, score, t0, t2, peak, amplitude, nights, plates, against))
         return pd.DataFrame(out, columns=[key, "place", "at", "score", "t0", "t2", "peak", "amplitude", "nights", "plates", "contradictions"])
 
     kind = dict(own.dtypes)[key]
-    found = near.groupBy(key, "anchor").applyInPandas(scan, f"{key} {kind}, place int, at int, {EVENT}")
+    # Dealt by number: few bytes are much work here, and adaptive execution would gather them in one task.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near, asked = near.repartition(n, "__key", "__anchor"), asked.repartition(n, key, "anchor")
+    found = near.groupBy("__key", "__anchor").cogroup(asked.groupBy(key, "anchor")).applyInPandas(scan, f"{key} {kind}, place int, at int, {EVENT}")
     best = found.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "place", "at", *[c.split()[0] for c in EVENT.split(", ")])).alias("b"))
     return best.select(key, *[f"b.{c.split()[0]}" for c in EVENT.split(", ")])
