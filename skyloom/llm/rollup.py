@@ -93,13 +93,14 @@ class TokenRollup:
         names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
         return sorted(n for n in names if n.startswith(("batch=", "sum=")) and fs.exists(self._path(f"{n}/_SUCCESS")[0]))
 
-    def _live(self) -> list[str]:
-        """The newest committed sum and the committed batches that it doesn't hold."""
-        done = self._committed()
+    def _held(self, total: str) -> set[str]:
+        """Names of the batches that a sum holds: a name a batch."""
+        return {r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.root}/held={total[4:]}").collect()}
+
+    def _live(self, done: list[str]) -> list[str]:
+        """Of what is committed the newest sum and the batches that it doesn't hold."""
         sums = [n for n in done if n.startswith("sum=")]
-        held = set()
-        if sums:
-            held = {r.batch for r in self.spark.read.parquet(f"{self.root}/held={sums[-1][4:]}").collect()}  # a name a batch
+        held = self._held(sums[-1]) if sums else set()
         return sums[-1:] + [n for n in done if n.startswith("batch=") and n[6:] not in held]
 
     def _rows(self, names: list[str]) -> DataFrame:
@@ -108,23 +109,27 @@ class TokenRollup:
 
     def totals(self) -> DataFrame:
         """Sums over all committed batches; keys without any document left are gone."""
-        return self._rows(self._live()).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
+        return self._rows(self._live(self._committed())).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
     def compact(self) -> None:
         """Replaces the committed batches by their sum. The success mark of the sum commits it; before that the
-        batches count, after it the sum does. Names of batches stay, so that none is taken twice; their rows go."""
-        live = self._live()
-        batches = [n for n in self._committed() if n.startswith("batch=")]
-        sums = [n for n in self._committed() if n.startswith("sum=")]
+        batches count, after it the sum does. One listing says what the sum holds: a batch committed meanwhile
+        stays beside it. Names of batches stay, so that none is taken twice. Rows that this sum replaces are
+        kept, as totals asked for before may still read them; those that the sum before replaced are deleted.
+        One compaction runs at a time.
+        """
+        done = self._committed()
+        sums = [n for n in done if n.startswith("sum=")]
         name = f"{int(sums[-1][4:]) + 1 if sums else 0:012d}"
-        self.spark.createDataFrame([(n[6:],) for n in batches], "batch string").write.mode("overwrite").parquet(f"{self.root}/held={name}")
-        self._rows(live).write.mode("overwrite").parquet(f"{self.root}/sum={name}")
-        for n in sums:
+        self.spark.createDataFrame([(n[6:],) for n in done if n.startswith("batch=")], "batch string").write.mode("overwrite").parquet(f"{self.root}/held={name}")
+        self._rows(self._live(done)).write.mode("overwrite").parquet(f"{self.root}/sum={name}")
+        replaced = self._held(sums[-1]) if sums else set()
+        for n in sums[:-1]:
             for old in (n, f"held={n[4:]}"):
                 path, fs = self._path(old)
                 fs.delete(path, True)
-        for n in batches:  # an empty folder with its success mark remains
-            path, fs = self._path(n)
+        for n in replaced:  # an empty folder with its success mark remains
+            path, fs = self._path(f"batch={n}")
             for s in fs.listStatus(path):
                 if s.getPath().getName() != "_SUCCESS":
                     fs.delete(s.getPath(), True)
