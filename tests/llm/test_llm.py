@@ -323,6 +323,34 @@ def test_toxicity_equals_naive_forward_pass_and_numeric_gradients():
         assert abs(numeric - float(grad[place])) < 2e-2 * max(1, abs(numeric))
 
 
+def test_toxicity_thresholds_by_brute_force():
+    rng = np.random.default_rng(8)
+    z, lang, y = rng.normal(size=400), rng.integers(0, 3, 400), rng.integers(0, 2, 400)
+    z = np.round(z + y, 1)
+    y[lang == 2] = 0  # a language of one class takes the cut of all
+    got = toxicity.thresholds(z, lang, y, 4)
+
+    def errors(own, cut):
+        return int(((z[own] >= cut) != (y[own] == 1)).sum())
+
+    for k in range(4):
+        own = np.flatnonzero(lang == k) if k < 2 else np.arange(400)
+        cuts = [*np.unique(z[own]), z.max() + 1]
+        assert errors(own, got[k]) <= min(errors(own, c) for c in cuts) + np.bincount(np.searchsorted(np.unique(z[own]), z[own])).max()
+    assert got[2] == got[3]
+    clear = toxicity.thresholds(np.array([-1.0] * 30 + [3.0] * 30), np.zeros(60, int), np.array([0] * 30 + [1] * 30), 1)
+    assert clear.tolist() == [1.0]
+
+
+def test_toxicity_no_document_sets_a_threshold_by_its_own_network(monkeypatch):
+    seen = []
+    fit = toxicity._fit
+    monkeypatch.setattr(toxicity, "_fit", lambda d, y, x: (seen.append(len(d)), fit(d[:1], y[:1], x[:1]))[1])
+    docs_, labels = [np.zeros((2, 1 + len(toxicity.PREFIXES)), np.uint32)] * 10, np.arange(10) % 2
+    toxicity.train(docs_, labels, ["en"] * 10)
+    assert seen == [10, 6, 7, 7]
+
+
 def test_toxicity_sample_is_bounded(spark):
     rows = [(i, "bad word " * 20 if i % 2 else "good word " * 20) for i in range(400)] + [(400, "x" * 300_000)]
     marks = labels_of(spark, [(i, 1, i % 2) for i in range(401)] + [(1, 1, 1)])
@@ -535,6 +563,34 @@ def test_rollup_compaction(spark, tmp_path):
     assert not r.commit("two", rollup.inserts(rows)) and totals() == [("a", "", 1, 12)]
 
 
+def test_rollup_compaction_keeps_what_comes_between(spark, tmp_path, monkeypatch):
+    """A batch committed while a compaction runs counts, and totals asked for before it can still be read."""
+    r = rollup.TokenRollup(spark, f"file://{tmp_path}")
+    rows = spark.createDataFrame([("a", "en", "v1", 10)], "source string, lang string, tokenizer string, tokens long")
+    r.commit("one", rollup.inserts(rows))
+    before = r.totals()
+    held = rollup.TokenRollup._rows
+
+    def commit_meanwhile(self, names):
+        found = held(self, names)
+        rollup.TokenRollup.commit(self, "between", rollup.inserts(rows))
+        return found
+
+    monkeypatch.setattr(rollup.TokenRollup, "_rows", commit_meanwhile)
+    r.compact()
+    monkeypatch.setattr(rollup.TokenRollup, "_rows", held)
+    assert [x.n_tokens for x in r.totals().collect()] == [20] and [x.n_tokens for x in before.collect()] == [10]
+    assert not r.commit("between", rollup.inserts(rows))
+    middle = r.totals()
+    for n in (20, 20):
+        r.compact()
+        assert [x.n_tokens for x in r.totals().collect()] == [n]
+    r.commit("two", rollup.deletes(rows))
+    r.compact()
+    assert [x.n_tokens for x in r.totals().collect()] == [10]
+    assert middle is not None and not any(p.name.endswith(".parquet") for p in (tmp_path / "batch=one").iterdir())  # two compactions later its rows are gone
+
+
 def test_rollup_odd_cases(spark, odd, none, tmp_path):
     """Null and empty texts, ids and keys, repeated rows and an empty table."""
     got = {r.doc_id if r.doc_id is not None else -1: r.tokens for r in rollup.count_tokens(odd).collect()}
