@@ -300,8 +300,16 @@ def clip_hot_pixels(maps: DataFrame, rounds: int = 5, factor: float = 6.0) -> Da
     return maps
 
 
-def compare(measured: DataFrame, expected: DataFrame) -> DataFrame:
-    """Ratio and tension of measured dipoles (amplitude, sigma) with expected ones (amplitude), one row each."""
-    m, e = measured.select(F.col("amplitude").alias("measured"), "sigma"), expected.select(F.col("amplitude").alias("expected"))
-    # One row on either side: the join is a pair.
-    return m.join(F.broadcast(e.limit(1))).select("*", missing.divide(F.col("measured"), F.col("expected")).alias("ratio"), missing.divide(F.col("measured") - F.col("expected"), F.col("sigma")).alias("tension_sigma"))
+def compare(measured: DataFrame, expected: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Ratio and tension of measured dipoles (amplitude, sigma) with expected ones (amplitude), by key.
+
+    Without keys there is one prediction; several would leave it open which one is meant and are an error.
+    """
+    m, e = measured.select(*keys, F.col("amplitude").alias("measured"), "sigma"), expected.select(*keys, F.col("amplitude").alias("expected"))
+    if keys:
+        pairs = m.join(e, keys)
+    else:
+        if len(e.take(2)) > 1:
+            raise ValueError("several predictions need keys to tell which measurement each is for")
+        pairs = m.join(F.broadcast(e))  # one row
+    return pairs.select("*", missing.divide(F.col("measured"), F.col("expected")).alias("ratio"), missing.divide(F.col("measured") - F.col("expected"), F.col("sigma")).alias("tension_sigma"))

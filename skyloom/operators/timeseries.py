@@ -78,18 +78,6 @@ def mean_level(df: DataFrame, keys: list[str], low: float, high: float, t: str =
     return own.select(*keys, "n", F.when(F.col("n") >= 3, F.col("m")).alias("mean"), F.when(F.col("n") >= 3, F.col("s") / F.sqrt(F.col("n").cast("double"))).alias("sem"))
 
 
-def tidy(df: DataFrame, bad_flags: int, soft_flags: int) -> DataFrame:
-    """Normalised plate rows: detection, clipped error, quality and limits, from raw plate columns.
-
-    Raw columns: t, mag, rms, lim, aflags, bflags. Soft flags add 0.3 mag to the error in quadrature.
-    """
-    det = missing.is_finite(F.col("mag"))
-    err = F.least(F.greatest(F.coalesce(missing.finite_or_null(F.col("rms")), F.lit(0.3)), F.lit(0.08)), F.lit(1.5))
-    soft = F.col("bflags").bitwiseAND(F.lit(soft_flags)) != 0
-    good = (F.col("aflags").bitwiseAND(F.lit(bad_flags)) == 0) & (det | missing.is_finite(F.col("lim")))
-    return df.withColumn("det", det).withColumn("err", F.when(soft, F.hypot(err, F.lit(0.3))).otherwise(err)).withColumn("good", F.coalesce(good, F.lit(False)))
-
-
 def transit_windows(df: DataFrame, start: float, count: int, t0: str = "t0", period: str = "period", duration: str = "duration") -> DataFrame:
     """The next count transits at or after start of each object."""
     first = F.ceil((F.lit(start) - F.col(t0)) / F.col(period))
@@ -104,9 +92,12 @@ def upcoming(df: DataFrame, first: str, last: str, start: str = "start", end: st
 
 
 def quiescent(df: DataFrame, keys: list[str], middle: str, half: float, faint: float, t: str = "t", mag: str = "mag", det: str = "det", lim: str = "lim") -> DataFrame:
-    """Median level within half of each key's middle; limits enter as the fainter of themselves and faint."""
+    """Median level within half of each key's middle; limits enter as the fainter of themselves and faint.
+
+    Of two middle values the lower one is taken; missing values don't count.
+    """
     value = F.when(F.col(det), F.col(mag)).otherwise(F.greatest(F.col(lim), F.lit(faint)))
-    return df.where(F.abs(F.col(t) - F.col(middle)) <= half).groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("level"))
+    return df.where(F.abs(F.col(t) - F.col(middle)) <= half).select(*keys, value.alias("__v")).groupBy(*keys).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY __v)").alias("level"))
 
 
 def level_step(df: DataFrame, keys: list[str], begin: str, end: str, span_days: float = 200.0, t: str = "t", mag: str = "mag", det: str = "det", lim: str = "lim") -> DataFrame:

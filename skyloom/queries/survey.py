@@ -76,7 +76,7 @@ def leverage(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", r6(tabular.leverage(level, rows)).alias("score"))
 
 
-@query("quiescent", f"WITH p AS ({_PL}) SELECT user_id, round(quantile_cont(CASE WHEN det THEN mag ELSE greatest(mag, 4.0) END, 0.5), 6) AS level FROM p WHERE abs(t - (1 + user_id % 5)) <= 2.5 GROUP BY 1")
+@query("quiescent", f"WITH p AS ({_PL}) SELECT user_id, round(quantile_disc(CASE WHEN det THEN mag ELSE greatest(mag, 4.0) END, 0.5), 6) AS level FROM p WHERE abs(t - (1 + user_id % 5)) <= 2.5 GROUP BY 1")
 def quiescent(spark, sf):
     p = _plates(spark, sf).withColumn("middle", 1 + F.col("user_id") % 5)
     return timeseries.quiescent(p, ["user_id"], "middle", 2.5, 4.0).select("user_id", r6(F.col("level")).alias("level"))
@@ -117,19 +117,6 @@ def ranking_functions(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.rank().over(a).cast("long").alias("rank"), F.dense_rank().over(a).cast("long").alias("dense"), F.ntile(4).over(b).cast("long").alias("quarter"), F.lead("o_orderkey").over(b).alias("next"), F.nth_value("o_orderkey", 2).over(whole).alias("second"))
 
 
-@query("tidy_plates", """
-WITH a AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN value / 10 END AS mag, CASE WHEN event_id % 7 <> 0 THEN value / 40 END AS rms, CASE WHEN event_id % 3 <> 0 THEN 15.0 END AS lim, user_id % 16 AS af, event_id % 8 AS bf FROM events),
-b AS (SELECT *, least(greatest(coalesce(rms, 0.3), 0.08), 1.5) AS e FROM a)
-SELECT event_id, mag IS NOT NULL AS det, round(CASE WHEN bf & 2 <> 0 THEN sqrt(e * e + 0.09) ELSE e END, 6) AS err, (af & 5 = 0) AND (mag IS NOT NULL OR lim IS NOT NULL) AS good FROM b
-""")
-def tidy_plates(spark, sf):
-    k = F.col("event_id")
-    raw = table(spark, sf, "events").select("event_id", F.when(k % 5 != 0, F.col("value") / 10).alias("mag"), F.when(k % 7 != 0, F.col("value") / 40).alias("rms"), F.when(k % 3 != 0, 15.0).alias("lim"), (F.col("user_id") % 16).alias("aflags"), (k % 8).alias("bflags"))
-    return timeseries.tidy(raw, 5, 2).select("event_id", "det", r6(F.col("err")).alias("err"), "good")
-
-
-
-
 @query("merge_duplicates", f"""
 WITH a AS (SELECT c_custkey AS k FROM customer), s AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey IN (SELECT k FROM a)), p AS (SELECT p_partkey AS k FROM part WHERE p_partkey IN (SELECT k FROM a)),
 r AS (SELECT k, 3 * k AS id, 0 AS pri, 0 AS step, 'Atlas' AS src, 'nova' AS cls FROM a UNION ALL SELECT k, 3 * k + 1, CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END, 1, 'Index', CASE WHEN k % 3 = 0 THEN 'symbiotic' ELSE 'nova' END FROM s
