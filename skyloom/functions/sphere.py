@@ -49,10 +49,11 @@ def ecliptic_latitude(ra: Column, dec: Column) -> Column:
 
 
 def separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
-    """Great-circle distance by the haversine formula, exact for small and large angles."""
+    """Great-circle distance by the haversine formula, exact for small and large angles; missing or NaN if a coordinate is."""
     d1, d2 = F.radians(dec1), F.radians(dec2)
     h = F.pow(F.sin((d2 - d1) / 2), 2) + F.cos(d1) * F.cos(d2) * F.pow(F.sin(F.radians(ra2 - ra1) / 2), 2)
-    h = F.least(F.lit(1.0), F.greatest(F.lit(0.0), h))
+    # Not by least() and greatest(), which pass over missing values.
+    h = F.when((h > 1) & ~F.isnan(h), 1.0).when(h < 0, 0.0).otherwise(h)
     return F.degrees(2 * F.atan2(F.sqrt(h), F.sqrt(1 - h)))
 
 

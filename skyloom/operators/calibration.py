@@ -7,6 +7,8 @@ no task gets all of them. Quantiles by key are cumulated within the key.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -134,13 +136,14 @@ def risk_control(df: DataFrame, p: str, target: Column, alpha: float = 0.05, mod
 
     mode "strict" counts an empty selection as without risk and reports retention over
     all rows, threshold 1 where nothing passes; mode "targets" skips empty selections,
-    reports retention over the targets, and falls back to 0.85 with its real risk.
+    reports retention over the targets, and falls back to 0.85 with its real risk; mode
+    "passing" is the same but that the fallback's risk and retention are given as 0.
     """
-    if mode not in ("strict", "targets"):
-        raise ValueError("mode is 'strict' or 'targets'")
+    if mode not in ("strict", "targets", "passing"):
+        raise ValueError("mode is 'strict', 'targets' or 'passing'")
     scan = _scan(df, p, target).withColumn("risk", F.when(F.col("selected") > 0, (F.col("selected") - F.col("hits")) / F.greatest(F.col("selected"), F.lit(1))).otherwise(0.0))
     scan = scan.withColumn("ok", F.col("n") / (F.col("n") + 1.0) * F.col("risk") + 1 / (F.col("n") + 1.0) <= alpha)
-    if mode == "targets":
+    if mode != "strict":
         scan = scan.withColumn("ok", F.col("ok") & (F.col("selected") > 0))
     row = F.struct("lam", "risk", "selected", "hits")
     found = scan.agg(F.max("n").alias("n"), F.max("targets").alias("targets"), F.min(F.when(F.col("ok"), row)).alias("best"), F.min(F.when(F.col("lam") >= 0.85, row)).alias("fallback"))
@@ -149,14 +152,91 @@ def risk_control(df: DataFrame, p: str, target: Column, alpha: float = 0.05, mod
         kept = chosen["selected"] / F.col("n")
         return found.select("n", chosen["lam"].alias("threshold"), chosen["risk"].alias("risk"), F.coalesce(F.when(F.col("best").isNotNull(), kept), F.lit(0.0)).alias("retention"), F.coalesce(F.col("best.selected") > 0, F.lit(False)).alias("feasible"))
     feasible = F.col("best").isNotNull()
-    chosen = F.coalesce("best", "fallback")
+    chosen = F.col("best") if mode == "passing" else F.coalesce("best", "fallback")
     return found.select("n", F.when(feasible, F.col("best.lam")).otherwise(0.85).alias("threshold"), F.coalesce(chosen["risk"], F.lit(0.0)).alias("risk"), F.coalesce(chosen["hits"] / F.greatest(F.col("targets"), F.lit(1)), F.lit(0.0)).alias("retention"), feasible.alias("feasible"))
 
 
+def quantiles(df: DataFrame, column: str, levels: list[float]) -> list[float]:
+    """Linearly interpolated quantiles of the finite values: two neighbouring order statistics a level, found over ranges of values.
+
+    As many numbers as levels; none for a column without values.
+    """
+    own = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
+    counts = own.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    n = counts.agg(F.sum("c").alias("n")).first().n
+    if not n:
+        return []
+    low = [min(int(q * (n - 1)), n - 1) for q in levels]
+    places = sorted({*low, *[min(k + 1, n - 1) for k in low]})
+    found = cumulated(counts, "x", {"c": "upto"}).agg(F.array(*[F.min(F.when(F.col("upto") > k, F.col("x"))) for k in places])).first()[0]
+    at = dict(zip(places, found, strict=True))
+    return [at[k] + (q * (n - 1) - k) * (at[min(k + 1, n - 1)] - at[k]) for q, k in zip(levels, low, strict=True)]
+
+
 def uniform_mass_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     """Distinct quantiles that cut a column into bins of equal mass: a fixed number of values."""
-    row = df.agg(F.percentile(column, F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).first()[0]
-    return sorted(set(row or []))
+    return sorted(set(quantiles(df, column, [k / bins for k in range(bins + 1)])))
+
+
+@dataclass(frozen=True)
+class ScalingBinning:
+    """A temperature, and the accuracy of each bin [edge, next edge) of confidence."""
+
+    temperature: float
+    edges: tuple[float, ...]
+    values: tuple[float, ...]
+
+
+def _softmax(logits: Column, temperature: float) -> Column:
+    top = F.array_max(logits)
+    return scores.normalise(F.transform(logits, lambda z: F.exp((z - top) / temperature)))
+
+
+def fit_temperature(df: DataFrame, logits: str, label: str, low: float = 0.05, high: float = 10.0, passes: int = 60) -> float:
+    """The temperature of the least cross-entropy.
+
+    The loss is convex in one over the temperature; its slope is the sum of expected less labelled
+    logit. Newton's steps in that variable stay in a bracket that the slope's sign halves. A pass is
+    one aggregation of two sums.
+    """
+    z, y = F.col(logits), scores.at(F.col(logits), F.col(label))
+    a, b, beta = 1 / high, 1 / low, 1.0
+    for _ in range(passes):
+        p = _softmax(z, 1 / beta)
+        both = F.arrays_zip(p.alias("p"), z.alias("z"))
+        rows = df.select(F.aggregate(both, F.lit(0.0), lambda s, x: s + x["p"] * x["z"]).alias("m"), F.aggregate(both, F.lit(0.0), lambda s, x: s + x["p"] * x["z"] * x["z"]).alias("q"), y.cast("double").alias("y"))
+        g, h = rows.agg(F.sum(F.col("m") - F.col("y")), F.sum(F.col("q") - F.col("m") * F.col("m"))).first()
+        if g is None:
+            return 1.0
+        a, b = (a, beta) if g > 0 else (beta, b)
+        new = beta - g / h if h > 0 else (a + b) / 2
+        new = new if a < new < b else (a + b) / 2
+        if abs(new - beta) <= 1e-12 * beta:
+            break
+        beta = new
+    return 1 / beta
+
+
+def fit_scaling_binning(df: DataFrame, logits: str, label: str, bins: int = 10) -> ScalingBinning:
+    """Temperature first, then bins of equal mass over the scaled confidence with the accuracy of each; an empty bin has its middle."""
+    temperature = fit_temperature(df, logits, label)
+    own = with_confidence(df.withColumn("__p", _softmax(F.col(logits), temperature)), "__p", label).select("confidence", "correct")
+    edges = quantiles(own, "confidence", [k / bins for k in range(bins + 1)])
+    edges = sorted({0.0, *edges[1:-1], 1.0001})
+    which = sum((F.when(F.col("confidence") >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
+    found = {r.b: r.y for r in own.groupBy(which.alias("b")).agg(F.avg("correct").alias("y")).collect()}  # a row a bin
+    return ScalingBinning(temperature, tuple(edges), tuple(found.get(k, (edges[k] + edges[k + 1]) / 2) for k in range(len(edges) - 1)))
+
+
+def apply_scaling_binning(df: DataFrame, model: ScalingBinning, logits: str) -> DataFrame:
+    """Adds probs and confidence: the top class gets its bin's accuracy, the others share the rest as they did."""
+    p = F.col("__p")
+    top = scores.argmax(p)
+    own = df.withColumn("__p", _softmax(F.col(logits), model.temperature))
+    which = sum((F.when(F.array_max(p) >= e, 1).otherwise(0) for e in model.edges[1:-1]), F.lit(0))
+    own = own.withColumn("__top", top).withColumn("__old", F.array_max(p)).withColumn("confidence", F.array(*[F.lit(v) for v in model.values])[which])
+    rest = F.when(F.col("__old") < 1, (1 - F.col("confidence")) / (1 - F.col("__old") + 1e-12)).otherwise(1.0)
+    return own.withColumn("__rest", rest).withColumn("probs", F.transform("__p", lambda x, i: F.when(i == F.col("__top"), F.col("confidence")).otherwise(x * F.col("__rest")))).drop("__p", "__top", "__old", "__rest")
 
 
 def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:

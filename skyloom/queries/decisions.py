@@ -98,6 +98,37 @@ def crc_targets(spark, sf):
     return c.select("n", *[r6(F.col(x)).alias(x) for x in ("threshold", "risk", "retention")], "feasible")
 
 
+@query("crc_passing", _SCAN.replace("0.15", "0.05") + """SELECT n, round(coalesce(min(lam) FILTER (ok AND k > 0), 0.85), 6) AS threshold, round(coalesce(arg_min(risk, lam) FILTER (ok AND k > 0), 0), 6) AS risk,
+ round(coalesce(arg_min(h / greatest(t, 1)::DOUBLE, lam) FILTER (ok AND k > 0), 0), 6) AS retention, count(*) FILTER (ok AND k > 0) > 0 AS feasible FROM o GROUP BY n""")
+def crc_passing(spark, sf):
+    c = calibration.risk_control(_scored(spark, sf), "p", F.col("y") == 1, 0.05, "passing")
+    return c.select("n", *[r6(F.col(x)).alias(x) for x in ("threshold", "risk", "retention")], "feasible")
+
+
+def _temperature_sql(passes: int) -> str:
+    """Newton's steps for one over the temperature of two logits [0, z], written out."""
+    ctes = ["b0 AS (SELECT 1.0::DOUBLE AS b)"]
+    for k in range(passes):
+        p = "(1 / (1 + exp(-b * z)))"
+        ctes.append(f"b{k + 1} AS (SELECT any_value(b) - sum({p} * z - y * z) / sum({p} * (1 - {p}) * z * z) AS b FROM l, b{k})")
+    return ", ".join(ctes)
+
+
+@query("scaling_binning", f"""
+WITH l AS (SELECT doc_id, quality AS y, (n_chars - 1500) / 2000.0::DOUBLE AS z FROM labels JOIN documents USING (doc_id)), {_temperature_sql(25)},
+c AS (SELECT doc_id, y, greatest(p, 1 - p) AS conf, p FROM (SELECT doc_id, y, 1 / (1 + exp(-b * z)) AS p FROM l, b25)), e AS (SELECT quantile_cont(conf, [0.2, 0.4, 0.6, 0.8]) AS e FROM c),
+d AS (SELECT c.*, len(list_filter(e, lambda x: conf >= x)) AS bin, CASE WHEN (p > 1 - p)::INTEGER = y THEN 1.0 ELSE 0.0 END AS ok FROM c, e), v AS (SELECT bin, avg(ok) AS v, count(*) AS n FROM d GROUP BY bin)
+SELECT doc_id, round(1 / b, 5) AS temperature, bin, round(v, 6) AS confidence, round(CASE WHEN p > 1 - p THEN v WHEN conf < 1 THEN p * (1 - v) / (1 - conf + 1e-12) ELSE p END, 6) AS p_good FROM d JOIN v USING (bin), b25
+""")
+def scaling_binning(spark, sf):
+    d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    d = d.select("doc_id", F.col("quality").alias("y"), F.array(F.lit(0.0), (F.col("n_chars") - 1500) / 2000.0).alias("logits"))
+    m = calibration.fit_scaling_binning(d, "logits", "y", 5)
+    found = calibration.apply_scaling_binning(d, m, "logits")
+    which = F.size(F.filter(F.array(*[F.lit(e) for e in m.edges[1:-1]]), lambda e: F.array_max(calibration._softmax(F.col("logits"), m.temperature)) >= e))
+    return found.select("doc_id", F.round(F.lit(m.temperature), 5).alias("temperature"), which.cast("long").alias("bin"), r6(F.col("confidence")).alias("confidence"), r6(F.col("probs")[1]).alias("p_good"))
+
+
 @query("conformal_threshold", f"""
 WITH s AS (SELECT 1 - CASE WHEN y = 1 THEN p ELSE 1 - p END AS score FROM ({_SCORED})), r AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER () AS n FROM s)
 SELECT n, round(min(score), 6) AS threshold FROM r WHERE i = ceil(ceil((n + 1) * (1 - 0.1)) / n * (n - 1)) GROUP BY n

@@ -117,3 +117,11 @@ def test_stream_equals_batch(spark, tmp_path):
     ours = spark.read.json(f"{tmp_path}/out").groupBy("action").count().collect()
     batch = alerts.action_counts(alerts.triage(src, names)).collect()
     assert {r.action: r["count"] for r in ours} == {r.action: r.n for r in batch}
+
+
+def test_missing_positions_are_in_no_cone(spark):
+    rows = [(1, None, 5.0), (2, 10.0, None), (3, float("nan"), 5.0), (4, 10.0, 5.0)]
+    df = spark.createDataFrame(rows, "i int, ra double, dec double")
+    apart = df.select("i", sphere.separation(F.col("ra"), F.col("dec"), F.lit(10.0), F.lit(5.0)).alias("s")).collect()
+    assert [(r.i, r.s is None or math.isnan(r.s)) for r in apart] == [(1, True), (2, True), (3, True), (4, False)]
+    assert [r.i for r in match.cone_search(df, 10.0, 5.0, 90.0).collect()] == [4]
