@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions import missing, sphere
+from skyloom.operators.resample import draw_uniform
 
 
 def centres(pixel: np.ndarray, nside: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +213,7 @@ def _poisson_one(u: Column) -> Column:
 def bootstrap(maps: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     """Amplitude of each resampling of the pixels: every pixel counts a Poisson(1) number of times."""
     seen = maps.where(F.col("coverage") > 0).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
-    times = _poisson_one(uniform(F.lit(seed), F.col("draw"), F.col("ipix")))
+    times = _poisson_one(draw_uniform(seed, F.col("draw"), F.col("ipix")))
     return _solved(_moments(seen, _dipole_basis(), ["draw"], times))
 
 
@@ -222,7 +223,7 @@ def null_shuffle(maps: DataFrame, draws: int, seed: int = 0) -> DataFrame:
 
     seen = maps.where(F.col("coverage") > 0).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     place = seen.withColumn("k", F.row_number().over(W.partitionBy("draw").orderBy("ipix"))).select("draw", "k", "lon", "lat")
-    order = uniform(F.lit(seed), F.col("draw"), F.col("ipix"))
+    order = draw_uniform(seed, F.col("draw"), F.col("ipix"))
     value = seen.withColumn("k", F.row_number().over(W.partitionBy("draw").orderBy(order, "ipix"))).select("draw", "k", "count", "coverage")
     return _solved(_moments(place.join(value, ["draw", "k"]), _dipole_basis(), ["draw"]))
 

@@ -5,25 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyloom.operators import series_fits, timeseries
-from skyloom.queries.registry import query, r6
+from skyloom.queries.registry import least_squares, query, r6
 from skyloom.queries.series import _JD, _curve, _plates
 
 _PERIODS = [3.0, 7.0, 11.5, 29.0]
 
 
-def _least_squares(n: int) -> str:
-    """CTEs that solve n normal equations by elimination: rows q1..qn of m, each with its right side, give x1..xn of b1, by period."""
-    less = lambda a, b, k: f"list_transform(range(1, {n + 2}), lambda i: {a}[i] - {a}[{k}] / {b}[{k}] * {b}[i]) AS {a}"
-    ctes = [f"a0 AS (SELECT period, {', '.join(f'q{i} AS r{i}' for i in range(1, n + 1))} FROM m)"]
-    for p in range(1, n):
-        ctes.append(f"a{p} AS (SELECT period, {', '.join(f'r{i}' if i <= p else less(f'r{i}', f'r{p}', p) for i in range(1, n + 1))} FROM a{p - 1})")
-    for p in range(n, 0, -1):
-        rest = "".join(f" - r{p}[{j}] * x{j}" for j in range(p + 1, n + 1))
-        source = f"b{p + 1}" if p < n else f"a{n - 1}"
-        ctes.append(f"b{p} AS (SELECT *, (r{p}[{n + 1}]{rest}) / r{p}[{p}] AS x{p} FROM {source})")
-    return ", ".join(ctes)
-
-
 _V = [f"{f}({k} * turn)" for k in (1, 2) for f in ("cos", "sin")] + ["1.0::DOUBLE", "u", "u * u", "u * u * u"]
 
 
@@ -31,7 +18,7 @@ _V = [f"{f}({k} * turn)" for k in (1, 2) for f in ("cos", "sin")] + ["1.0::DOUBL
 WITH e AS (SELECT {_JD} AS t, value / 10 - avg(value / 10) OVER () AS y FROM events), p AS (SELECT unnest({_PERIODS}::DOUBLE[]) AS period), s AS (SELECT min(t) AS a, max(t) AS b FROM e),
 d AS (SELECT period, y, 100.0::DOUBLE AS w, 2 * pi() * (t - {series_fits.EPOCH}) / period AS turn, (t - (a + b) / 2) / (b - a) * 2 AS u FROM e, p, s), v AS (SELECT period, y, w, [{', '.join(_V)}] AS v FROM d),
 m AS (SELECT period, count(*) AS n, sum(w * y * y) AS yy, {', '.join('[' + ', '.join([*[f'sum(w * v[{i}] * v[{j}])' for j in range(1, 9)], f'sum(w * v[{i}] * y)']) + f'] AS q{i}' for i in range(1, 9))} FROM v GROUP BY period),
-{_least_squares(8)},
+{least_squares(8, "m")},
 c AS (SELECT m.period, m.n - 8 AS dof, (m.yy - ({' + '.join(f'x{i} * m.q{i}[9]' for i in range(1, 9))})) / (m.n - 8) AS chi2, x1, x2 FROM b1 JOIN m USING (period))
 SELECT period, round(chi2, 6) AS reduced_chi2, dof, round(x1, 6) AS c1, round(x2, 6) AS s1, chi2 = min(chi2) OVER () AS best FROM c
 """)

@@ -85,3 +85,16 @@ def sql_centres(nside: int) -> str:
     FROM (SELECT ipix, ipix < {cap} AS north, ipix >= {npix - cap} AS south,
       CAST(CASE WHEN ipix < {cap} THEN floor((1 + sqrt(1 + 2 * ipix)) / 2) WHEN ipix >= {npix - cap} THEN floor((1 + sqrt(2 * ({npix} - ipix) - 1)) / 2) ELSE floor((ipix - {cap}) / {4 * n}) + {n} END AS BIGINT) AS i
     FROM (SELECT unnest(range({npix})) AS ipix))))"""
+
+
+def least_squares(n: int, source: str) -> str:
+    """CTEs that solve n normal equations by elimination: rows q1..qn of the source, each with its right side, give x1..xn of b1, by period."""
+    less = lambda a, b, k: f"list_transform(range(1, {n + 2}), lambda i: {a}[i] - {a}[{k}] / {b}[{k}] * {b}[i]) AS {a}"
+    ctes = [f"a0 AS (SELECT period, {', '.join(f'q{i} AS r{i}' for i in range(1, n + 1))} FROM {source})"]
+    for p in range(1, n):
+        ctes.append(f"a{p} AS (SELECT period, {', '.join(f'r{i}' if i <= p else less(f'r{i}', f'r{p}', p) for i in range(1, n + 1))} FROM a{p - 1})")
+    for p in range(n, 0, -1):
+        rest = "".join(f" - r{p}[{j}] * x{j}" for j in range(p + 1, n + 1))
+        before = f"b{p + 1}" if p < n else f"a{n - 1}"
+        ctes.append(f"b{p} AS (SELECT *, (r{p}[{n + 1}]{rest}) / r{p}[{p}] AS x{p} FROM {before})")
+    return ", ".join(ctes)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import photometry, sphere
 from skyloom.operators import skymap
-from skyloom.queries.registry import query, r6, sky, sql_centres, sql_pixel, sql_place, sql_separation, table
+from skyloom.operators.resample import POISSON, sql_uniform
+from skyloom.queries.registry import least_squares, query, r6, sky, sql_centres, sql_pixel, sql_place, sql_separation, table
 
 LON, LAT = sql_place("c_custkey")
 NSIDE = 8
@@ -105,20 +106,46 @@ def sky_density_dipole(spark, sf):
     return _rounded(skymap.dipole_fit(_map(spark, sf)))
 
 
-@query("multipoles")
+_BY_DEGREE = [["1.0::DOUBLE"], ["x", "y", "z"], ["x * y", "y * z", "z * x", "x * x - y * y", "3 * z * z - 1"], ["x * (x * x - 3 * y * y)", "y * (3 * x * x - y * y)", "z * (x * x - y * y)", "x * y * z", "x * (5 * z * z - 1)", "y * (5 * z * z - 1)", "z * (5 * z * z - 3)"]]
+_BASIS = [b for own in _BY_DEGREE for b in own]
+
+
+@query("multipoles", _MAP + f""",
+v AS (SELECT w, n, [{', '.join(_BASIS)}] AS v FROM q), rms AS (SELECT [{', '.join(f'sqrt(avg(v[{i}] * v[{i}]))' for i in range(1, 17))}] AS rms, count(*) AS n_pixels FROM v),
+eq AS (SELECT 0 AS period, {', '.join('[' + ', '.join([*[f'sum(w * v[{i}] * v[{j}])' for j in range(1, 17)], f'sum(w * v[{i}] * n)']) + f'] AS q{i}' for i in range(1, 17))} FROM v),
+{least_squares(16, "eq")}
+SELECT degree::INTEGER AS degree, round(CASE degree {' '.join(f"WHEN {d} THEN " + ' + '.join(f'pow(x{i} * rms[{i}], 2)' for i in range(1 + d * d, 1 + (d + 1) ** 2)) for d in range(4))} END / pow(x1 * rms[1], 2), 6) AS power, n_pixels FROM b1, rms, (SELECT unnest(range(4)) AS degree)
+""")
 def multipoles(spark, sf):
-    return skymap.multipoles(_map(spark, sf), 3)
+    return skymap.multipoles(_map(spark, sf), 3).select("degree", r6(F.col("power")).alias("power"), "n_pixels")
+
+
+def _drawn(weights: str) -> str:
+    """The dipole's amplitude d of every draw; weights is a query of draw, w, n, x, y and z."""
+    head, tail = _FIT.split("q AS (", 1)[0], _FIT.split("\ns AS (", 1)[1]
+    sums, rest = tail.split(" FROM q)", 1)
+    return f"{head}dr AS (SELECT unnest(range(50)) AS draw),\nq AS ({weights}),\ns AS (SELECT draw, {sums.removeprefix('SELECT ')} FROM q GROUP BY draw){rest.split('SELECT round(mono', 1)[0]}"
+
+
+_SUMMARY = "SELECT count(*) AS draws, round(avg(amplitude), 6) AS mean, round(stddev_samp(amplitude), 6) AS sd, round(quantile_cont(amplitude, 0.16), 6) AS p16, round(quantile_cont(amplitude, 0.5), 6) AS p50, round(quantile_cont(amplitude, 0.84), 6) AS p84"
+_POISSON = " + ".join(f"(u > {p!r}::DOUBLE)::INTEGER" for p in POISSON[:11])
+
+
+def _short(draws):
+    return draws.select(*[r6(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in draws.dtypes])
 
 
-@query("bootstrap")
+@query("bootstrap", _drawn(f"SELECT draw, ({_POISSON}) / greatest(n, 1.0) AS w, n, x, y, z FROM (SELECT draw, m.*, {sql_uniform(1, 'draw', 'ipix')} AS u FROM m, dr WHERE coverage > 0)") + _SUMMARY + " FROM d")
 def bootstrap(spark, sf):
-    return skymap.summary(skymap.bootstrap(_map(spark, sf), 50, 1))
+    return _short(skymap.summary(skymap.bootstrap(_map(spark, sf), 50, 1)))
 
 
-@query("null_shuffle")
+@query("null_shuffle", _drawn(f"""SELECT p.draw, 1 / greatest(v.n, 1.0) AS w, v.n, x, y, z FROM (SELECT draw, x, y, z, row_number() OVER (PARTITION BY draw ORDER BY ipix) AS k FROM m, dr WHERE coverage > 0) p
+ JOIN (SELECT draw, n, row_number() OVER (PARTITION BY draw ORDER BY u, ipix) AS k FROM (SELECT draw, ipix, n, {sql_uniform(1, 'draw', 'ipix')} AS u FROM m, dr WHERE coverage > 0)) v ON v.draw = p.draw AND v.k = p.k""")
+ + _SUMMARY + f", round((count(*) FILTER (amplitude >= observed) + 1) / (count(*) + 1)::DOUBLE, 6) AS p_value FROM d, (SELECT amplitude AS observed FROM ({_FIT.replace('round(amplitude, 6)', 'amplitude')}))")
 def null_shuffle(spark, sf):
     m = _map(spark, sf)
-    return skymap.summary(skymap.null_shuffle(m, 50, 1), skymap.dipole_fit(m).first().amplitude)
+    return _short(skymap.summary(skymap.null_shuffle(m, 50, 1), skymap.dipole_fit(m).first().amplitude))
 
 
 @query("poisson_mocks")
