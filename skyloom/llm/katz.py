@@ -4,9 +4,11 @@ Counts are gathered in blocks. A chunk of documents is tokenised once and writte
 with its own sorted vocabulary. It asks the owners of its words, partitions by word
 hash, for numbers and training counts. Then, order by order, it asks the owners of
 its n-grams, partitions by the hash of the context, and says how often each occurs
-in its own training texts. An owner adds up what all chunks say: that is the count
-table of the order, and its back-off sums are the back-off table; both are written,
-partitioned by context, and each chunk gets the counts and sums of what it asked.
+in its own training texts. An owner adds up what all chunks say: that is its part of the count
+table of the order, and its back-off sums are its part of the back-off table; each chunk
+gets the counts and sums of what it asked. The replies are written; the merged tables
+are only on request (``gather(store=True)``), partitioned by context: the query doesn't
+ask for them, as with them its disk passed the limit (README).
 So every order is shuffled once, as packed arrays rather than a row a token. N-grams
 of contexts that occur more than HOT times are spread over all owners by their last
 word, and the back-off sums of such contexts are added up.

@@ -2,7 +2,7 @@
 
 Documents are tokenised once and cut into pieces; full pieces are sequences of their
 own. The rest is dealt by hash into shards of bounded size. On each shard several
-islands evolve small populations of packings: crossover injects well-filled bins of
+islands evolve small populations of packings, wherever best fit alone has more bins than the total length asks for: crossover injects well-filled bins of
 one parent into the other, bins that hold a duplicate are dissolved, and displaced
 pieces go back by best fit in falling length. After an epoch each island's elite
 moves to the next island of its shard. Poorly filled bins of all shards are then
@@ -26,7 +26,9 @@ from skyloom.llm.common import cut, documents, slim
 
 CAPACITY, SEPARATOR = 2048, 0
 SHARD_ITEMS = 4096  # pieces in a shard, on average: hashing deals them evenly
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 4, 3
+ISLANDS, EPOCHS, POPULATION = 3, 2, 6
+LEAST_GENERATIONS, MOST_GENERATIONS, EFFORT = 4, 60, 200_000  # generations of an epoch; items placed in one, about
+BLURS = (0.03, 0.1, 0.3)  # of lengths, in the beginnings of a population
 WELL_FILLED, POOR, SEED = 0.995, 0.97, 11
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -115,17 +117,17 @@ def best_fit(lengths: np.ndarray, order: np.ndarray, bin_of: np.ndarray, fill: l
                 rooms |= 1 << left
 
 
-def _falling(lengths: np.ndarray, rng: np.random.Generator | None, items: np.ndarray) -> np.ndarray:
-    """Items by falling length; with rng, lengths are blurred a little."""
+def _falling(lengths: np.ndarray, rng: np.random.Generator | None, items: np.ndarray, blur: float = BLURS[0]) -> np.ndarray:
+    """Items by falling length; with rng, lengths are blurred."""
     size = lengths[items].astype(float)
     if rng is not None:
-        size = size * (1 + 0.03 * rng.standard_normal(len(items)))
+        size = size * (1 + blur * rng.standard_normal(len(items)))
     return items[np.argsort(-size, kind="stable")]
 
 
-def fresh(lengths: np.ndarray, rng: np.random.Generator | None, capacity: int) -> Packing:
+def fresh(lengths: np.ndarray, rng: np.random.Generator | None, capacity: int, blur: float = BLURS[0]) -> Packing:
     bin_of, fill = np.zeros(len(lengths), np.int32), []
-    best_fit(lengths, _falling(lengths, rng, np.arange(len(lengths))), bin_of, fill, capacity)
+    best_fit(lengths, _falling(lengths, rng, np.arange(len(lengths)), blur), bin_of, fill, capacity)
     return Packing(bin_of, np.asarray(fill, np.int64))
 
 
@@ -150,6 +152,11 @@ def crossover(a: Packing, b: Packing, lengths: np.ndarray, rng: np.random.Genera
     return Packing(bin_of, np.asarray(fill, np.int64))
 
 
+def generations_for(items: int) -> int:
+    """Generations of an epoch: as many as place about EFFORT items, between the least and the most."""
+    return max(LEAST_GENERATIONS, min(MOST_GENERATIONS, EFFORT // max(1, items * POPULATION)))
+
+
 def evolve(lengths: np.ndarray, population: list[Packing], generations: int, rng: np.random.Generator, capacity: int) -> list[Packing]:
     """Steady-state evolution; the best stays. Stops where no packing can have fewer bins."""
     least = -(-int(lengths.sum()) // capacity)
@@ -186,8 +193,8 @@ def epoch(islands: DataFrame, number: int, capacity: int) -> DataFrame:
                 if not start:
                     start = [fresh(lengths, None if r["island"] == 0 else rng, capacity)]
                 while len(start) < POPULATION and len(start[0].fill) * capacity - int(lengths.sum()) >= capacity:
-                    start.append(fresh(lengths, rng, capacity))
-                best = evolve(lengths, start, GENERATIONS, rng, capacity)[0]
+                    start.append(fresh(lengths, rng, capacity, BLURS[len(start) % len(BLURS)]))
+                best = evolve(lengths, start, generations_for(len(lengths)), rng, capacity)[0]
                 out = {k: r[k] for k in ("shard", "island", "uids", "lengths")} | {"elite": best.bin_of.tolist(), "fitness": best.fitness(capacity)}
                 yield pa.RecordBatch.from_pylist([out], schema=_ARROW)
 
@@ -261,8 +268,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Every piece of every document and its place in a sequence.
 
-    Repeated rows are packed like any others; a null doc_id stays null; an empty table
-    gives no rows; extra columns are not read.
+    Null and empty texts are one piece, the separator; texts are tokenised whole, however long,
+    and only those of more than ``capacity`` ids are cut. Repeated rows are packed like any
+    others; a null doc_id stays null; an empty table gives no rows; extra columns are not read.
+    Pieces of one length are taken in the order of their rows, and of several bins with the
+    same room the one that got it last is filled.
     """
     pieces = cut(tokenise(docs, capacity), "pieces")
     placed = pack(pieces.select("uid", "length"), capacity)
