@@ -39,8 +39,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_ngram_join": OP1_ORACLE,
     "op7_decontamination": OP7_ORACLE,
-    "op11_quality_rules": op11_quality_rules,
-    "op12_alignment": op12_alignment,
     "op11_quality_rules": OP11_ORACLE,
     "op13_interaction_audit": OP13_ORACLE,
 }
