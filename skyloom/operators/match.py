@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyloom.functions import sphere
+from skyloom.sources.shared import written
 
 
 def in_cone(ra: str, dec: str, ra0: float, dec0: float, radius: float) -> Column:
@@ -42,39 +43,108 @@ def _cell(ra: Column, dec: Column, height: float) -> tuple[Column, Column, Colum
     return strip, F.least(F.floor(F.pmod(ra, F.lit(360.0)) * cells / 360), cells - 1), cells
 
 
-def cross_match(left: DataFrame, right: DataFrame, radius: float, left_pos: tuple[str, str], right_pos: tuple[str, str]) -> DataFrame:
-    """All pairs within radius degrees, with their separation; columns of the two sides must differ in name.
+#: Comparisons in a task, and how many more than rows a round of nearest_match may make.
+TASK_TESTS, TESTS_A_ROW = 4_000_000, 64
 
-    The sky is cut into declination strips no lower than the radius and into cells no
-    narrower. Each row of the left side goes to its own cell; each row of the right
-    side goes to every cell that its circle touches: up to three strips and, in each,
-    the cells of a range of right ascension. So a pair meets in exactly one cell.
-    """
+
+def _in_cells(left: DataFrame, right: DataFrame, radius: float, left_pos: tuple[str, str], right_pos: tuple[str, str], reach: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Left rows with their cell, right rows once for every cell that their circle touches, both with their unit vector."""
     height = max(radius, 180.0 / (1 << 20))
-    a = left.withColumn("__ok", F.col(left_pos[0]).isNotNull() & F.col(left_pos[1]).between(-90, 90)).where("__ok").drop("__ok")
+    a = left.where(F.col(left_pos[0]).isNotNull() & F.col(left_pos[1]).between(-90, 90))
     strip, cell, _ = _cell(F.col(left_pos[0]), F.col(left_pos[1]), height)
-    a = a.withColumn("__strip", strip).withColumn("__cell", cell)
+    a = a.withColumn("__strip", strip).withColumn("__cell", cell.cast("long"))
     b = right.where(F.col(right_pos[0]).isNotNull() & F.col(right_pos[1]).between(-90, 90))
-    ra, dec = F.pmod(F.col(right_pos[0]), F.lit(360.0)), F.col(right_pos[1])
-    b = b.withColumn("__strip", F.explode(F.sequence(F.floor((dec - radius + 90) / height), F.floor((dec + radius + 90) / height))))
+    own = F.least(F.col(reach), F.lit(float(radius))) if reach else F.lit(float(radius))
+    b = b.withColumn("__own", own).withColumn("__chord", F.pow(2 * F.sin(F.radians(F.least(F.col("__own"), F.lit(180.0))) / 2), 2) * (1 + 1e-9) + 1e-15)
+    ra, dec, own = F.pmod(F.col(right_pos[0]), F.lit(360.0)), F.col(right_pos[1]), F.col("__own")
+    b = b.withColumn("__strip", F.explode(F.sequence(F.floor((dec - own + 90) / height), F.floor((dec + own + 90) / height))))
     edge = F.greatest(F.abs(F.col("__strip") * height - 90), F.abs((F.col("__strip") + 1) * height - 90))
     cells = F.greatest(F.lit(1.0), F.floor(360 * F.cos(F.radians(F.least(edge, F.lit(90.0)))) / height))
     # Half width in right ascension of a circle: all of it where the circle holds a pole.
-    top = F.abs(dec) + radius
-    half = F.when(top >= 90, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(radius)) / F.cos(F.radians(dec)))))) + 1e-9
+    half = F.when(F.abs(dec) + own >= 90, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(own)) / F.cos(F.radians(dec)))))) + 1e-9
     low, high = F.floor((ra - half) * cells / 360), F.floor((ra + half) * cells / 360)
     span = F.least(high, low + cells - 1)
-    b = b.withColumn("__c", F.explode(F.sequence(low.cast("long"), span.cast("long")))).withColumn("__cell", F.pmod(F.col("__c"), cells.cast("long")))
-    pair = a.withColumn("__cell", F.col("__cell").cast("long")).join(b.drop("__c"), ["__strip", "__cell"])
+    b = b.withColumn("__c", F.explode(F.sequence(low.cast("long"), span.cast("long")))).withColumn("__cell", F.pmod(F.col("__c"), cells.cast("long"))).drop("__c")
+    for side, pos, name in ((a, left_pos, "a"), (b, right_pos, "b")):
+        x, y, z = sphere.unit_vector(F.col(pos[0]), F.col(pos[1]))
+        side = side.withColumns({f"__x{name}": x, f"__y{name}": y, f"__z{name}": z})
+        a, b = (side, b) if name == "a" else (a, side)
+    return a, b
+
+
+def _loads(a: DataFrame, b: DataFrame, cell: list[str]) -> DataFrame:
+    """Comparisons in each cell."""
+    count = lambda df, n: df.groupBy(*cell).agg(F.count(F.lit(1)).alias(n))
+    return count(a, "na").join(count(b, "nb"), cell).select(*cell, "na", (F.col("na") * F.col("nb")).alias("tests"))
+
+
+def cross_match(left: DataFrame, right: DataFrame, radius: float, left_pos: tuple[str, str], right_pos: tuple[str, str], on: list[str] | None = None, reach: str | None = None) -> DataFrame:
+    """All pairs within radius degrees, with their separation; columns of the two sides must differ in name.
+
+    The sky is cut into declination strips no lower than the radius and into cells no
+    narrower. Each row of the left side goes to its own cell; each row of the right
+    side goes to every cell that its circle touches: up to three strips and, in each,
+    the cells of a range of right ascension. So a pair meets in exactly one cell.
+    ``on`` names columns that both sides have and that must be equal too; ``reach`` a column of the
+    right side with a smaller radius of each row. Few bytes are much work here, so the
+    comparisons are counted first: there are as many tasks as they need, and the left rows of a cell
+    that holds more than a task's share are dealt over several.
+    """
+    cell = ["__strip", "__cell", *(on or [])]
+    a, b = _in_cells(left, right, radius, left_pos, right_pos, reach)
+    loads = written(_loads(a, b, cell), "loads")
+    total = loads.agg(F.sum("tests")).first()[0] or 0
+    n = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(20_000, math.ceil(total / TASK_TESTS)))
+    # At most total / TASK_TESTS cells.
+    heavy = loads.where(F.col("tests") > TASK_TESTS).select(*cell, F.least("na", F.ceil(F.col("tests") / TASK_TESTS)).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    a = a.join(F.broadcast(heavy), cell, "left").withColumn("__part", F.pmod(F.xxhash64(*[c for c, t in left.dtypes if "map<" not in t]), parts).cast("int")).drop("__parts")
+    b = b.join(F.broadcast(heavy), cell, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    key = [*cell, "__part"]
+    if total > TASK_TESTS:
+        a, b = a.repartition(n, *key), b.repartition(n, *key).hint("merge")
+    pair = a.join(b, key)
+    # Chords first, with room for rounding; the exact separation decides. It is exploded, so it is computed once and
+    # after all filters that don't need it.
+    chord = sum((F.col(f"__{c}a") - F.col(f"__{c}b")) * (F.col(f"__{c}a") - F.col(f"__{c}b")) for c in "xyz")
     sep = sphere.separation(F.col(left_pos[0]), F.col(left_pos[1]), F.col(right_pos[0]), F.col(right_pos[1]))
-    return pair.withColumn("separation", sep).where(F.col("separation") <= radius).drop("__strip", "__cell")
+    pair = pair.where(chord <= F.col("__chord")).withColumn("separation", F.explode(F.array(sep))).where(F.col("separation") <= F.col("__own"))
+    return pair.drop("__strip", "__cell", "__part", "__own", "__chord", *[f"__{c}{s}" for c in "xyz" for s in "ab"])
+
+
+def _first_radius(left: DataFrame, right: DataFrame, radius: float, left_pos: tuple[str, str], right_pos: tuple[str, str]) -> float:
+    """A radius, at most the given one, whose comparisons are in proportion to the rows."""
+    rows = left.count() + right.count()
+    while radius > 1e-5:
+        tests = _loads(*_in_cells(left, right, radius, left_pos, right_pos), ["__strip", "__cell"]).agg(F.sum("tests")).first()[0] or 0
+        if tests <= TESTS_A_ROW * rows:
+            break
+        radius *= min(0.5, math.sqrt(TESTS_A_ROW * rows / tests))
+    return radius
 
 
 def nearest_match(left: DataFrame, right: DataFrame, radius: float, left_pos: tuple[str, str], right_pos: tuple[str, str], key: str, other: str) -> DataFrame:
-    """For each left key the nearest right row within radius, ties to the least other key."""
-    pairs = cross_match(left, right, radius, left_pos, right_pos)
-    best = pairs.groupBy(key).agg(F.min(F.struct("separation", other)).alias("best"))
-    return best.select(key, F.col(f"best.{other}").alias(other), F.col("best.separation").alias("separation"))
+    """For each left key the nearest right row within radius, ties to the least other key.
+
+    Left rows look within a small radius first, and those that find nothing within four times
+    that, and so on up to the radius: whoever finds a row has all that could be nearer. Right rows
+    of one position enter as the one of the least key.
+    """
+    right = written(right.groupBy(*right_pos).agg(F.min(other).alias(other)), "places")
+    rest = written(left.select(key, *left_pos).where(F.col(left_pos[0]).isNotNull() & F.col(left_pos[1]).between(-90, 90)), "rest")
+    own, out = _first_radius(rest, right, radius, left_pos, right_pos), None
+    while True:
+        pairs = cross_match(rest, right, own, left_pos, right_pos)
+        best = written(pairs.groupBy(key).agg(F.min(F.struct("separation", other)).alias("best")), "nearest")
+        out = best if out is None else out.unionByName(best)
+        if own >= radius:
+            break
+        found = best.select(F.col(key).alias("__found"))
+        rest = written(rest.join(found, F.col(key).eqNullSafe(F.col("__found")), "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+        own = min(radius, 4 * own)
+    return out.select(key, F.col(f"best.{other}").alias(other), F.col("best.separation").alias("separation"))
 
 
 def in_intervals(rows: DataFrame, intervals: DataFrame, t: str, low: str, high: str, keys: list[str], keep: bool, open_ends: bool = False) -> DataFrame:

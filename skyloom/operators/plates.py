@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyloom.functions import missing
 from skyloom.operators.match import cross_match
+from skyloom.sources.shared import written
 
 # Bits of the plates' quality flags.
 AFLAGS = {
@@ -112,7 +115,20 @@ def _least(pairs: DataFrame, key: str, order: Column, id: str, most: int) -> Dat
     return own.withColumn("__k", first(key)).where("__k").drop("__k", "__o", "__s")
 
 
-def control_stars(targets: DataFrame, catalogue: DataFrame, order: Column, k: int = 2, narrow: float = 0.5, wide: float = 1.0, sparse_radius: float = 900.0, sparse_inner: float = 120.0) -> DataFrame:
+@dataclass
+class Turn:
+    """An order that looks random: (star + target) modulo modulus, a column of the catalogue's and one of the targets' columns."""
+
+    star: Column
+    target: Column
+    modulus: int
+
+
+#: Stars within the first look's part of a Turn, and how much larger each next part is.
+FIRST_LOOK, WIDER = 8192, 4
+
+
+def control_stars(targets: DataFrame, catalogue: DataFrame, order: Column | Turn, k: int = 2, narrow: float = 0.5, wide: float = 1.0, sparse_radius: float = 900.0, sparse_inner: float = 120.0) -> DataFrame:
     """tid, star and separation (arcsec): up to k field stars like each target, picked by an order that looks random.
 
     targets: tid, target_ra, target_dec, target_mag, target_matches, radius (arcsec, at most sparse_radius). catalogue: star, ra,
@@ -122,17 +138,50 @@ def control_stars(targets: DataFrame, catalogue: DataFrame, order: Column, k: in
     of a radius of at least 300 that still have fewer than k look between sparse_inner and
     sparse_radius instead. Missing matches and flags are 0. Pairs are made by cells of the
     widest radius; each target's candidates are cut to k in parts before they meet.
+
+    With any column as the order all pairs are made. A Turn deals the stars around a circle on which
+    each target has its own beginning, so a target looks at a short arc from there on, then at one
+    WIDER times as long: with k alike stars within its own radius nothing later can come before
+    them. Only those that don't find k in half of the circle or less meet all stars.
     """
+    stars = catalogue.withColumnsRenamed({"ra": "star_ra", "dec": "star_dec"})
+    places = ("star_ra", "star_dec"), ("target_ra", "target_dec")
     zero = lambda c: F.coalesce(missing.finite_or_null(F.col(c)), F.lit(0.0))
-    pairs = cross_match(targets, catalogue.withColumnsRenamed({"ra": "star_ra", "dec": "star_dec"}), sparse_radius / 3600, ("target_ra", "target_dec"), ("star_ra", "star_dec"))
     apart, differ = F.col("separation") * 3600, F.abs(F.col("mag") - F.col("target_mag"))
     seen = F.when(zero("target_matches") < 20, zero("matches") < 20).otherwise(zero("matches") >= 0.5 * zero("target_matches"))
+    own_zone = (F.col("apart") > 0.4 * F.col("radius")) & (F.col("apart") <= F.col("radius"))
+    out = None
+    if isinstance(order, Turn):
+        m = order.modulus
+        stars = written(stars.where(zero("v_flag") == 0).withColumn("__phase", F.pmod(order.star, F.lit(m)).cast("long")), "stars")
+        targets = written(targets.withColumn("__begin", F.pmod(-order.target, F.lit(m)).cast("long")), "targets")
+        order = F.pmod(F.col("__phase") - F.col("__begin"), F.lit(m))
+        arcs = 1 << max(0, min(stars.count() // FIRST_LOOK, m).bit_length() - 1)
+        while arcs > 1:
+            arc = -(-m // arcs)  # whole numbers of the circle; the last arc may be shorter
+            at = F.floor(F.col("__begin") / arc)
+            end = F.floor(F.pmod(F.col("__begin") + arc - 1, F.lit(m)) / arc)
+            # The circle's end may fall within the part, so it can touch three arcs.
+            last = F.lit((m - 1) // arc)
+            touched = F.array_distinct(F.array(at, F.when(at == last, F.lit(0)).otherwise(at + 1), end))
+            asked = targets.select("tid", "target_ra", "target_dec", "target_mag", "target_matches", "radius", "__begin", (F.col("radius") / 3600).alias("__reach"), F.explode(touched.cast("array<bigint>")).alias("__arc"))
+            near = cross_match(stars.withColumn("__arc", F.floor(F.col("__phase") / arc).cast("long")), asked, sparse_radius / 3600, *places, on=["__arc"], reach="__reach")
+            near = near.where((order < arc) & seen & (differ < narrow)).select("tid", "star", "radius", apart.alias("apart"), order.alias("order")).where(own_zone)
+            picked = written(_least(near, "tid", F.col("order"), "star", k), "picked")
+            done = picked.groupBy("tid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("tid")
+            found = picked.join(done, "tid", "left_semi").select("tid", "star", F.col("apart").alias("separation"))
+            out = found if out is None else out.unionByName(found)
+            targets = written(targets.join(done, "tid", "left_anti"), "targets")
+            if targets.isEmpty():
+                return out
+            arcs //= WIDER
+    reach = F.when(F.col("radius") < 300, F.col("radius")).otherwise(F.lit(float(sparse_radius))) / 3600
+    pairs = cross_match(stars, targets.withColumn("__reach", reach), sparse_radius / 3600, *places, reach="__reach")
     pairs = pairs.where(seen & (zero("v_flag") == 0) & (differ < wide)).select("tid", "star", "radius", apart.alias("apart"), (differ < narrow).alias("alike"), order.alias("order"))
-    zones = F.array_compact(F.array(
-        F.when((F.col("apart") > 0.4 * F.col("radius")) & (F.col("apart") <= F.col("radius")), F.lit(0)), F.when((F.col("radius") >= 300) & (F.col("apart") > sparse_inner), F.lit(1)),
-    ))
+    zones = F.array_compact(F.array(F.when(own_zone, F.lit(0)), F.when((F.col("radius") >= 300) & (F.col("apart") > sparse_inner), F.lit(1))))
     pairs = pairs.withColumn("zone", F.explode(zones))
     counted = pairs.groupBy("tid", "zone").agg(F.count_if("alike").alias("n_alike"), F.count(F.lit(1)).alias("n"))
     chosen = counted.groupBy("tid").agg(F.coalesce(F.max(F.when((F.col("zone") == 0) & (F.col("n") >= k), 0)), F.max("zone")).alias("zone")).join(counted, ["tid", "zone"])
     pairs = pairs.join(chosen, ["tid", "zone"]).where((F.col("n_alike") < k) | F.col("alike"))
-    return _least(pairs, "tid", F.col("order"), "star", k).select("tid", "star", F.col("apart").alias("separation"))
+    rest = _least(pairs, "tid", F.col("order"), "star", k).select("tid", "star", F.col("apart").alias("separation"))
+    return rest if out is None else out.unionByName(rest)

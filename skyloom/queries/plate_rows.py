@@ -84,5 +84,5 @@ def control_stars(spark, sf):
     k = F.col("c_custkey")
     s = sky(spark, sf, "customer", "c_custkey").select(k.alias("star"), (180 + F.col("ra") / 360).alias("ra"), (F.col("dec") / 180).alias("dec"), (10 + F.col("c_acctbal") / 2000).alias("mag"), (k * 37 % 60).alias("matches"), F.when(k % 9 == 0, 1).otherwise(0).alias("v_flag"))
     t = s.where("star % 10 = 0").select(F.col("star").alias("tid"), F.col("ra").alias("target_ra"), F.col("dec").alias("target_dec"), F.col("mag").alias("target_mag"), F.col("matches").alias("target_matches"), (200 + F.floor(F.col("star") / 10) % 5 * 100).cast("double").alias("radius"))
-    c = plates.control_stars(t, s, (F.col("star") * 7919 + F.col("tid") * 104729) % 1000003)
+    c = plates.control_stars(t, s, plates.Turn(F.col("star") * 7919, F.col("tid") * 104729, 1000003))
     return c.select("tid", "star", r6(F.col("separation"), 4).alias("separation"))

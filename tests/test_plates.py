@@ -85,6 +85,23 @@ def test_control_stars_by_plain_loops(spark):
     assert got == expected
 
 
+def test_control_stars_of_a_turn_are_those_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(plates, "FIRST_LOOK", 4)
+    monkeypatch.setattr(plates, "WIDER", 4)
+    stars = [(k, 50 + rng.uniform(-0.3, 0.3), rng.uniform(-0.3, 0.3), rng.choice([rng.uniform(8, 10), 30.0 * (k % 50 == 0)]), 5.0, 0.0) for k in range(1500)]
+    s = spark.createDataFrame(stars, "star long, ra double, dec double, mag double, matches double, v_flag double")
+    t = s.where("star < 100").selectExpr("star AS tid", "ra AS target_ra", "dec AS target_dec", "mag AS target_mag", "matches AS target_matches", "element_at(array(60D, 200D, 300D, 500D), int(star % 4 + 1)) AS radius")
+    looks, match = [], plates.cross_match
+    monkeypatch.setattr(plates, "cross_match", lambda a, b, *rest, **more: looks.append((b.select("tid").distinct().count(), "on" in more)) or match(a, b, *rest, **more))
+    for m in (10007, 97, 3):  # in the last two many stars share a place in the order
+        star, target = F.col("star") * 7919, F.col("tid") * 104729
+        looks.clear()
+        turned = {tuple(r)[:2] for r in plates.control_stars(t, s, plates.Turn(star, target, m)).collect()}
+        assert looks[0][1] and (m < 97 or looks[-1][0] < 60)  # most never meet all stars
+        assert turned == {tuple(r)[:2] for r in plates.control_stars(t, s, (star + target) % m).collect()}
+
+
 def test_compare_wants_one_prediction(spark):
     m = spark.createDataFrame([("a", 0.02, 0.01), ("b", 0.04, 0.01)], "k string, amplitude double, sigma double")
     e = spark.createDataFrame([("a", 0.01), ("b", 0.02)], "k string, amplitude double")
