@@ -76,6 +76,30 @@ def test_cross_match_equals_brute_force(spark):
         assert match.cross_match(a, b, radius, ("ra", "dec"), ("ra2", "dec2")).count() == len(ours)
 
 
+def test_cross_match_deals_a_full_cell_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(match, "TASK_TESTS", 500)
+    a = spark.range(100).selectExpr("id AS i", "50 + id * 1e-3D AS ra", "10 + id * 1e-3D AS dec")
+    b = spark.range(100).selectExpr("id AS j", "50 + id * 1e-3D AS ra2", "10 + id * 1e-3D AS dec2")
+    pairs = match.cross_match(a, b, 3.0, ("ra", "dec"), ("ra2", "dec2")).select("i", "j", F.spark_partition_id().alias("task")).collect()
+    assert len({(r.i, r.j) for r in pairs}) == len(pairs) == 10_000
+    assert len({r.task for r in pairs}) > 3
+
+
+def test_nearest_match_meets_few_pairs(spark, monkeypatch):
+    met, cross_match = [], match.cross_match
+    monkeypatch.setattr(match, "TESTS_A_ROW", 4)
+    monkeypatch.setattr(match, "cross_match", lambda *a: met.append(cross_match(*a).count()) or cross_match(*a))
+    rng = np.random.default_rng(11)
+    near = [(i, float(rng.uniform(20, 30)), float(rng.uniform(-5, 5))) for i in range(400)]
+    a = spark.createDataFrame([*near, (900, 23.0, 14.0), (901, 200.0, 0.0), (902, None, 0.0), (903, 25.0, float("nan"))], "i int, ra double, dec double")
+    b = spark.createDataFrame([(1000 + i, r, d) for i, r, d in near[:200]] + [(2000, *near[0][1:]), (500, *near[1][1:])] + [(3000 + i, float(rng.uniform(20, 30)), float(rng.uniform(-5, 5))) for i in range(200)], "j int, ra2 double, dec2 double")
+    got = {r.i: r.j for r in match.nearest_match(a, b, 10.0, ("ra", "dec"), ("ra2", "dec2"), "i", "j").collect()}
+    sep = sphere.separation(F.col("ra"), F.col("dec"), F.col("ra2"), F.col("dec2"))
+    pairs = a.crossJoin(b).where(sep <= 10.0)
+    assert got == {r.i: r.m.j for r in pairs.groupBy("i").agg(F.min(F.struct(sep.alias("s"), "j")).alias("m")).collect()}
+    assert {900} <= got.keys() and got[1] == 500 and sum(met) < pairs.count() / 8
+
+
 def test_packet_errors(spark):
     rows = [("a", 10.0, 5.0, 17.0), (None, 10.0, 5.0, 17.0), ("b", 400.0, 5.0, 17.0), ("c", 1.0, -100.0, 17.0), ("d", 1.0, 1.0, float("nan"))]
     df = spark.createDataFrame([(*r, 0.1, "r") for r in rows], "alert_id string, ra double, dec double, mag double, mag_err double, filter_band string")
