@@ -6,11 +6,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from skyloom.functions import missing
 from skyloom.functions.special import ERFC_SERIES
@@ -110,6 +110,7 @@ def minimum_epoch(amplitudes: list[float], period: float) -> float:
 DECLINES = (2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
 STARTS = (0.0, 0.1, 0.3, 0.6, 1.0, 1.5, 2.5, 4.0)
 FREEDOM, LIMIT_WIDTH, MISSED, SIDE_DAYS, ANCHORS, LEAST_AMPLITUDE, LEAST_NIGHTS = 3.0, 0.3, 0.02, 500.0, 15, 1.5, 2
+WHOLE = 2000  # rows of a series that isn't taken apart
 
 
 def log_phi(x: np.ndarray) -> np.ndarray:
@@ -143,37 +144,84 @@ def decline(days: np.ndarray, t2: float) -> np.ndarray:
     return np.where(days >= 0, after**-1.75, np.where(days > -3, 10 ** (0.8 * np.minimum(days, 0)), 0.0))
 
 
-def _hypothesis(x: dict[str, np.ndarray], t0: float, t2: float, faint: float, level: np.ndarray) -> tuple | None:
-    """score, peak, nights, plates and contradictions of the best peak of one hypothesis; None without support."""
-    begin, end = t0 - 3 * DAY, t0 + 10 * t2 * DAY
-    here = (x["t"] >= begin) & (x["t"] <= end)
-    if not (here & x["det"]).any():
-        return None
-    beside = ((x["t"] >= begin - SIDE_DAYS * DAY) & (x["t"] < begin)) | ((x["t"] > end) & (x["t"] <= end + SIDE_DAYS * DAY))
-    quiet = float(np.median(level[beside])) if beside.sum() >= 5 else faint
-    t, mag, det, lim, sig, sat = (x[c][here] for c in ("t", "mag", "det", "lim", "sig", "sat"))
-    brightest = np.min(mag[det])
-    peaks = np.arange(brightest - 2.0, min(brightest + 3.0, quiet - LEAST_AMPLITUDE), 0.1)
-    if not len(peaks):
-        return None
-
-    plain, full, blank = det & ~sat, det & sat, ~det & np.isfinite(lim)
-
-    def total(model: np.ndarray) -> np.ndarray:
-        out = np.nan_to_num(seen_likelihood(mag[plain] - model[:, plain], sig[plain])).sum(1)
-        if full.any():
-            out = out + saturated_likelihood(mag[full] - model[:, full]).sum(1)
-        return out + unseen_likelihood(model[:, blank], lim[blank]).sum(1) if blank.any() else out
+def _scan(x: dict[str, np.ndarray], t0: np.ndarray, t2: np.ndarray, faint: float, least_nights: int) -> tuple | None:
+    """number of the hypothesis, score, peak, amplitude, nights, plates and contradictions of the best one; the earlier of equals.
 
-    shape = decline((t - t0) / DAY, t2)
-    models = -2.5 * np.log10(10 ** (-0.4 * quiet) + 10 ** (-0.4 * peaks)[:, None] * shape)
-    levels = np.concatenate([[quiet], np.arange(brightest - 0.5, quiet + 0.51, 0.1)])
-    gain = total(models) - total(np.broadcast_to(levels[:, None], (len(levels), len(t)))).max()
-    k = int(np.argmax(gain))
-    best = models[k]
-    support = det & (best < quiet - 0.5) & (np.abs(np.where(det, mag, 0.0) - best) < 3 * sig + 0.5)
-    nights = int(1 + (np.diff(np.sort(t[support]) * 365.25) > 0.5).sum()) if support.any() else 0
-    return 2 * float(gain[k]), float(peaks[k]), nights, int(support.sum()), int((~det & (best < lim - 0.5)).sum()), quiet - float(peaks[k])
+    x is sorted by time. All hypotheses are laid out at once, a row each with a column a point. Those
+    whose nights can't suffice are left out before anything is computed, and the constant levels
+    are tried only while the quiet level alone leaves a hypothesis ahead of the best.
+    """
+    t, mag, lim, sig, det = x["t"], x["mag"], x["lim"], x["sig"], x["det"]
+    seen_t = t[det]
+    # A night begins half a day after the last detection or later, so nights of some detections are at most those that begin among all.
+    first, last = np.searchsorted(seen_t, t0 - 3 * DAY), np.searchsorted(seen_t, t0 + 10 * t2 * DAY, "right")
+    begins = np.concatenate([[0], np.cumsum(np.diff(seen_t * 365.25) > 0.5)]) if len(seen_t) else np.zeros(1, int)
+    span = np.where(last > first, begins[np.minimum(np.maximum(last, 1), len(begins)) - 1] - begins[np.minimum(first, len(begins) - 1)] + 1, 0)
+    level, sat = np.where(det, mag, np.maximum(np.nan_to_num(lim, nan=faint), faint)), x["sat"]
+    found = []
+    for h in np.flatnonzero(span >= max(least_nights, 1)).tolist():
+        begin, end = t0[h] - 3 * DAY, t0[h] + 10 * t2[h] * DAY
+        lo, hi = np.searchsorted(t, begin), np.searchsorted(t, end, "right")
+        before, after = np.searchsorted(t, begin - SIDE_DAYS * DAY), np.searchsorted(t, end + SIDE_DAYS * DAY, "right")
+        beside = np.sort(np.concatenate([level[before:lo], level[hi:after]]))
+        quiet = float((beside[(len(beside) - 1) // 2] + beside[len(beside) // 2]) / 2) if len(beside) >= 5 else faint
+        own = slice(lo, hi)
+        brightest = np.min(mag[own][det[own]])
+        peaks = np.arange(brightest - 2.0, min(brightest + 3.0, quiet - LEAST_AMPLITUDE), 0.1)
+        if len(peaks):
+            found.append((h, own, quiet, brightest, peaks))
+    best, part, cells = None, [], 0
+    for k, f in enumerate(found, 1):
+        part.append(f)
+        cells += f[1].stop - f[1].start
+        # Few of them in memory: a point has some fifty models of a hypothesis.
+        if k == len(found) or cells > 1000:
+            best, part, cells = _best_of(part, best, t, mag, lim, sig, det, sat, t0, t2, least_nights), [], 0
+    return best
+
+
+def _best_of(found: list[tuple], best: tuple | None, t, mag, lim, sig, det, sat, t0, t2, least_nights: int) -> tuple | None:
+    """The best of some hypotheses and of the best before them."""
+    cells, width = [own.stop - own.start for _, own, *_ in found], [len(p) for *_, p in found]
+    at = np.concatenate([np.arange(own.start, own.stop) for _, own, *_ in found])
+    of = np.repeat(np.arange(len(found)), cells)
+    h, quiet = np.asarray([f[0] for f in found]), np.asarray([f[2] for f in found])
+    shape = decline((t[at] - t0[h][of]) / DAY, t2[h][of])
+    starts = np.concatenate([[0], np.cumsum(cells)[:-1]])
+
+    def total(model: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Log likelihoods of models, a row a point, summed over each hypothesis's points."""
+        out, d, s = np.zeros_like(model), det[at], sat[at]
+        plain, full, blank = d & ~s, d & s, ~d & np.isfinite(lim[at])
+        out[plain] = np.nan_to_num(seen_likelihood(mag[at][plain, None] - model[plain], sig[at][plain, None]))
+        if full.any():
+            out[full] = saturated_likelihood(mag[at][full, None] - model[full])
+        if blank.any():
+            out[blank] = unseen_likelihood(model[blank], lim[at][blank, None])
+        return np.add.reduceat(out, starts, axis=0)
+
+    peaks = np.stack([np.concatenate([p, np.full(max(width) - len(p), p[-1])]) for *_, p in found])
+    models = -2.5 * np.log10(10 ** (-0.4 * quiet[of])[:, None] + (10 ** (-0.4 * peaks))[of] * shape[:, None])
+    likely = total(models, at, starts)
+    top = np.argmax(likely, 1)  # a repeated last peak never comes before it
+    bound = 2 * (likely[np.arange(len(found)), top] - total(np.repeat(quiet, cells)[:, None], at, starts)[:, 0])
+    for k in np.argsort(-bound, kind="stable").tolist():
+        if bound[k] + 1e-6 < (best[1] if best else 0.0):
+            break
+        number, own, calm, brightest, _ = found[k]
+        model = models[starts[k] : starts[k] + cells[k], top[k]]
+        d = det[own]
+        support = d & (model < calm - 0.5) & (np.abs(np.where(d, mag[own], 0.0) - model) < 3 * sig[own] + 0.5)
+        nights = int(1 + (np.diff(t[own][support] * 365.25) > 0.5).sum()) if support.any() else 0
+        if nights < least_nights:
+            continue
+        levels = np.concatenate([[calm], np.arange(brightest - 0.5, calm + 0.51, 0.1)])
+        null = total(np.broadcast_to(levels, (cells[k], len(levels))), np.arange(own.start, own.stop), np.zeros(1, int)).max()
+        score = 2 * float(likely[k, top[k]] - null)
+        if score > 0 and (best is None or (-score, number) < (-best[1], best[0])):
+            peak = float(peaks[k, top[k]])
+            best = (number, score, peak, calm - peak, nights, int(support.sum()), int((~d & (model < lim[own] - 0.5)).sum()))
+    return best
 
 
 EVENT = "score double, t0 double, t2 double, peak double, amplitude double, nights int, plates int, contradictions int"
@@ -186,8 +234,8 @@ def likelihood_scan(df: DataFrame, key: str, faint: float, allow: tuple[float, f
     brightest over the envelope of a series, start hypotheses: each decline time at each distance
     before the point. A hypothesis is the likelihood ratio of the decline template, added in flux to
     the quiet level beside it, against the best constant level. Starts of one decline time within a
-    rounded day are one hypothesis, that of the first anchor. A series is taken apart by anchor, and a
-    task gets only the rows that an anchor's hypotheses can reach. Series without a supported
+    rounded day are one hypothesis, that of the first anchor. A series of over WHOLE rows is taken apart by anchor,
+    and a task gets only the rows that an anchor's hypotheses can reach. Series without a supported
     hypothesis give no row.
     """
     own = df.select(key, *[F.col(c).cast("double").alias(c) for c in ("t", "mag", "lim", "sig", "envelope")], *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("det", "sat")]).where("t IS NOT NULL")
@@ -206,25 +254,36 @@ def likelihood_scan(df: DataFrame, key: str, faint: float, allow: tuple[float, f
             asked = asked.where(~F.col("t0").between(low, high))
     asked = written(asked.select(key, "anchor", "place", "at", "t0", "t2"), "hypotheses")  # at most 56 an anchor
     reach_back, reach_on = (max(DECLINES) * max(STARTS) + 3 + SIDE_DAYS) * DAY, (10 * max(DECLINES) + SIDE_DAYS) * DAY
-    points = asked.select(F.col(key).alias("__key"), F.col("anchor").alias("__anchor")).distinct()
-    near = own.join(points, own[key] == points["__key"]).where(F.col("t").between(F.col("__anchor") - reach_back, F.col("__anchor") + reach_on))
-
-    def scan(group: pd.DataFrame, hypotheses: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t", kind="stable")
-        x = {c: group[c].to_numpy() for c in ("t", "mag", "lim", "sig", "det", "sat")}
-        level = np.where(x["det"], x["mag"], np.maximum(np.nan_to_num(x["lim"], nan=faint), faint))
-        out = []
-        for place, at, t0, t2 in hypotheses[["place", "at", "t0", "t2"]].itertuples(index=False):
-            found = _hypothesis(x, t0, t2, faint, level)
-            if found is not None and found[0] > 0 and found[2] >= least_nights:
-                score, peak, nights, plates, against, amplitude = found
-                out.append((group[key].iloc[0], place, at, score, t0, t2, peak, amplitude, nights, plates, against))
-        return pd.DataFrame(out, columns=[key, "place", "at", "score", "t0", "t2", "peak", "amplitude", "nights", "plates", "contradictions"])
+    # A series of up to WHOLE rows goes to its task once, with all its hypotheses; of a longer one each anchor's reach.
+    sized = own.withColumn("many", many)
+    short = sized.where(F.col("many") <= WHOLE).withColumn("__place", F.lit(-1))
+    points = asked.select(F.col(key).alias("__key"), F.col("anchor").alias("__anchor"), F.col("place").alias("__place")).distinct()
+    long = sized.where(F.col("many") > WHOLE)
+    long = long.join(points, long[key] == points["__key"]).where(F.col("t").between(F.col("__anchor") - reach_back, F.col("__anchor") + reach_on)).select(*short.columns)
+    rows = short.unionByName(long).groupBy(key, "__place").agg(F.sort_array(F.collect_list(F.struct("t", "mag", "lim", "sig", "det", "sat"))).alias("x"))
+    length = sized.where(F.col("many") > WHOLE).select(F.col(key).alias("__key")).distinct()
+    dealt = asked.join(length, asked[key] == length["__key"], "left").withColumn("__place", F.when(F.col("__key").isNull(), -1).otherwise(F.col("place")))
+    dealt = dealt.groupBy(key, "__place").agg(F.sort_array(F.collect_list(F.struct("place", "at", "t0", "t2"))).alias("h"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k, x, h in zip(*batch.columns, strict=True):
+                points, asked = pa.RecordBatch.from_struct_array(x.values), pa.RecordBatch.from_struct_array(h.values)
+                x = {c: points.column(c).to_numpy(zero_copy_only=False).astype(bool if c in ("det", "sat") else float) for c in points.schema.names}
+                place, at, t0, t2 = (asked.column(c).to_numpy() for c in ("place", "at", "t0", "t2"))
+                found = _scan(x, t0, t2, faint, least_nights)
+                if found is not None:
+                    n, score, *rest = found
+                    out.append((k.as_py(), int(place[n]), int(at[n]), score, float(t0[n]), float(t2[n]), *rest))
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(shape)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
 
     kind = dict(own.dtypes)[key]
+    told = f"{key} {kind}, place int, at int, {EVENT}"
+    shape = to_arrow_schema(own.sparkSession.createDataFrame([], told).schema)
     # Dealt by number: few bytes are much work here, and adaptive execution would gather them in one task.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near, asked = near.repartition(n, "__key", "__anchor"), asked.repartition(n, key, "anchor")
-    found = near.groupBy("__key", "__anchor").cogroup(asked.groupBy(key, "anchor")).applyInPandas(scan, f"{key} {kind}, place int, at int, {EVENT}")
+    found = rows.join(dealt, [key, "__place"]).select(key, "x", "h").repartition(n, key, F.hash("h")).mapInArrow(scan, told)
     best = found.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "place", "at", *[c.split()[0] for c in EVENT.split(", ")])).alias("b"))
     return best.select(key, *[f"b.{c.split()[0]}" for c in EVENT.split(", ")])

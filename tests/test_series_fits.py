@@ -134,6 +134,16 @@ def test_likelihood_scan_equals_plain_loops(spark, limits):
         assert np.allclose(got[k], expected[k], atol=2e-5), k
 
 
+def test_scan_tries_levels_for_few_hypotheses(monkeypatch):
+    rows, asked, seen = series_of(1)[1], [], series_fits.seen_likelihood
+    monkeypatch.setattr(series_fits, "seen_likelihood", lambda r, s: asked.append(r.shape) or seen(r, s))
+    x = {c: np.array([r[k] for r in rows], float) for k, c in ((0, "t"), (1, "mag"), (3, "lim"), (5, "sig"))} | {"det": np.array([r[2] for r in rows]), "sat": np.array([r[6] for r in rows])}
+    t0, t2 = (np.array(c) for c in zip(*[(r[0] - k * d * DAY, d) for r in rows if r[2] for d in series_fits.DECLINES for k in series_fits.STARTS], strict=True))
+    assert series_fits._scan(x, t0, t2, 15.0, 2) is not None
+    # At most one model a hypothesis, the quiet level, and a tenth as many rows for the grid of constant levels.
+    assert len(asked) < len(t0) / 4
+
+
 def test_likelihood_scan_without_rows(spark):
     df = spark.createDataFrame([], "k long, t double, mag double, det boolean, lim double, envelope double, sig double, sat boolean")
     assert series_fits.likelihood_scan(df, "k", 15.0).count() == 0
