@@ -3,11 +3,11 @@
 Words and their beginnings are hashed into embedding tables whose rows are added, filters of one,
 two and three words slide over the text, each filter keeps its maximum and a
 logistic layer scores the maxima. Only positions of maxima carry gradients, so
-training touches few rows. The network is fitted in one task on a bounded sample of
-labelled documents: SAMPLE_DOCS rows and SAMPLE_BYTES of text in expectation, documents
-of up to LONGEST bytes. Only the finished network, of a fixed size, comes to the driver.
+training touches few rows. The network learns from every labelled document: they are dealt
+over shards, a task trains the common network on a shard, and the networks of all shards are
+averaged, ROUNDS times. Only averaged networks, of a fixed size, come to the driver.
 In each step only a part of a document's words is there, so what one word tells isn't
-learned by heart from another. A threshold is calibrated for each language on the whole sample, each fold scored
+learned by heart from another. A threshold is calibrated for each language on all labelled documents, each fold scored
 by a network that the others trained, and the logit is shifted by it, so one half is the calibrated threshold
 everywhere. At scoring time the language is told from the text alone, by sums of
 hashed-word log odds; the lang column is never read.
@@ -16,6 +16,7 @@ hashed-word log odds; the lang column is never read.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import textnum
-from skyloom.llm.common import documents, fold, held_out, slim, table
+from skyloom.llm.common import cut, documents, fold, held_out, slim, table
 
 BUCKET_BITS, DIM, WIDTHS, FILTERS = 15, 8, (1, 2, 3), 8
-SAMPLE_DOCS, SAMPLE_BYTES, LONGEST = 6000, 24 << 20, 1 << 20
-FOLDS = 3  # of the sample: each sets thresholds by a network that the others trained
+SAMPLE_DOCS, SAMPLE_BYTES, LONGEST = 6000, 24 << 20, 1 << 20  # of sample(), for trials; fit() learns from all
+SHARD_DOCS, SHARD_BYTES, ROUNDS = 8000, 24 << 20, 2  # documents that one task learns from, and how often the tasks' networks are averaged
+GRID, EDGE = 64, 40  # logits set thresholds in steps of 1 / GRID up to EDGE, so their counts are of a fixed size
+BLOCK = 1 << 14  # values of a network that are averaged together
+FOLDS = 3  # of the labelled documents: each sets thresholds by a network that the others trained
 STEPS, BATCH, RATE, SEED = 300, 64, 0.08, 20240  # steps of gradients, however many documents there are
 LANG_BITS = 12
 SLICE_BYTES = 1 << 19  # of text scored at once: some forty times as much in arrays
@@ -160,17 +164,29 @@ def train(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None]) -
     return net
 
 
-def _fit(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None]) -> Network:
-    rng = np.random.default_rng(SEED)
-    names = sorted({x for x in langs if x is not None}) or [""]
-    net = Network(
+def _initial(rng: np.random.Generator, names: list[str]) -> Network:
+    return Network(
         (rng.standard_normal(((2 + len(PREFIXES)) << BUCKET_BITS, DIM)) * 0.05).astype(np.float32),
         [(rng.standard_normal((w, DIM, FILTERS)) * 0.5).astype(np.float32) for w in WIDTHS],
         [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
         (rng.standard_normal(len(WIDTHS) * FILTERS) * 0.5).astype(np.float32),
         -1.0, names, np.zeros((1 << LANG_BITS, len(names)), np.float32), np.zeros(len(names)),
     )
+
+
+def _start(names: list[str]) -> Network:
+    """The network that training begins with."""
+    return _initial(np.random.default_rng(SEED), names)
+
+
+def _fit(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], start: Network | None = None, steps: int = STEPS) -> Network:
+    """Fits from the beginning, or goes on from a network that other shards share."""
+    rng = np.random.default_rng(SEED)
+    net = _initial(rng, sorted({x for x in langs if x is not None}) or [""]) if start is None else Network(**{k: [a.copy() for a in v] if k in ("filters", "bias") else v.copy() if isinstance(v, np.ndarray) else v for k, v in vars(start).items()})
+    names = net.languages
     if len(docs) == 0 or labels.min() == labels.max():
+        if start is not None:
+            return net
         net.out[:] = 0
         net.out_bias = 0.0 if len(docs) == 0 else (4.0 if labels[0] else -4.0)
         return net
@@ -182,7 +198,7 @@ def _fit(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None]) ->
     past_b = [np.full_like(b, 1e-2) for b in net.bias]
     past_o, past_ob = np.full_like(net.out, 1e-2), 1e-2
     done = 0
-    while done < STEPS:
+    while done < steps:
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), BATCH):
             own = order[lo : lo + BATCH]
@@ -215,17 +231,19 @@ def _fit(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None]) ->
     return net
 
 
-def thresholds(z: np.ndarray, lang: np.ndarray, labels: np.ndarray, languages: int) -> np.ndarray:
+def thresholds(z: np.ndarray, lang: np.ndarray, labels: np.ndarray, languages: int, weight: np.ndarray | None = None) -> np.ndarray:
     """For each language the middle of the cuts with the fewest errors among its logits.
 
     A language with fewer than 20 documents of either class takes the cut of all documents.
+    A weight is a number of documents that share a logit.
     """
+    weight = np.ones(len(z), np.int64) if weight is None else weight
 
     def best(own: np.ndarray) -> float:
         order = np.argsort(z[own])
-        zs, ys = z[own][order], labels[own][order]
+        zs, ys, ws = z[own][order], labels[own][order], weight[own][order]
         # errors when everything from position k on is called toxic
-        errors = np.concatenate([[0], np.cumsum(ys == 1)]) + np.concatenate([np.cumsum((ys == 0)[::-1])[::-1], [0]])
+        errors = np.concatenate([[0], np.cumsum((ys == 1) * ws)]) + np.concatenate([np.cumsum(((ys == 0) * ws)[::-1])[::-1], [0]])
         cuts = np.concatenate([[zs[0] - 1], (zs[1:] + zs[:-1]) / 2, [zs[-1] + 1]])
         good = errors == errors.min()
         return float(np.median(cuts[good]))
@@ -233,11 +251,17 @@ def thresholds(z: np.ndarray, lang: np.ndarray, labels: np.ndarray, languages: i
     overall, out = best(np.ones(len(z), bool)), np.zeros(languages)
     for k in range(languages):
         own = lang == k
-        enough = own.any() and min((labels[own] == 1).sum(), (labels[own] == 0).sum()) >= 20
+        enough = own.any() and min(weight[own & (labels == 1)].sum(), weight[own & (labels == 0)].sum()) >= 20
         out[k] = best(own) if enough else overall
     return out
 
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Text, label, lang and doc_id of all labelled documents outside the held-out fold, however long."""
+    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold("doc_id", 5) != 0)).distinct()
+    return slim(docs, "doc_id", "text", "lang").join(marks, "doc_id").select("text", "label", "lang", "doc_id")
+
+
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """Text, label, lang and doc_id of labelled documents outside the held-out fold.
 
@@ -256,20 +280,112 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, most_byt
     return rows.join(F.broadcast(marks) if few else marks, "doc_id").select("text", "label", "lang", "doc_id")
 
 
+def _flat(net: Network) -> np.ndarray:
+    return np.concatenate([a.ravel() for a in [net.embedding, *net.filters, *net.bias, net.out, np.asarray([net.out_bias])]]).astype(np.float32)
+
+
+def _shaped(values: np.ndarray, names: list[str], odds: np.ndarray) -> Network:
+    net, at = _start(names), 0
+    for a in [net.embedding, *net.filters, *net.bias, net.out]:
+        a[...] = values[at : at + a.size].reshape(a.shape)
+        at += a.size
+    net.out_bias, net.odds = float(values[at]), odds
+    return net
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray, list[str | None], np.ndarray]:
+    """Words, labels, languages and folds of a task's documents, in an order that doesn't depend on that of the rows."""
+    found = []
+    for batch in textnum.slices(batches, "text"):
+        ids, at = word_ids(*textnum.string_buffer(batch.column(0)))
+        found += [(i, ids[a:b].tobytes(), y, lang or "") for i, a, b, y, lang in zip(batch.column(3).to_pylist(), at[:-1].tolist(), at[1:].tolist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+    found.sort()
+    folds = [zlib.crc32(f"{r[0]}/fold".encode()) % FOLDS for r in found]
+    return [np.frombuffer(r[1], np.uint32).reshape(-1, 1 + len(PREFIXES)) for r in found], np.asarray([r[2] for r in found], np.int64), [r[3] or None for r in found], np.asarray(folds, np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    """Trains on the bounded sample, in one task; without labelled rows of both classes every score is constant."""
+    """Learns from all labelled documents; without labelled rows of both classes every score is constant.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
-        for batch in textnum.slices(batches, "text"):
+    The documents lie in shards by a hash of their id. In a round every shard goes on from the common
+    networks, the one of all folds and those that leave a fold out, and blocks of their weights
+    are averaged by a shuffle; more shards are more tasks and no more work for any of them. Then
+    each document gets the logit of the network that didn't learn its fold, and the counts
+    of logits set the thresholds. One shard alone trains in one task, as train() does.
+    """
+    spark = docs.sparkSession
+    rows = cut(labelled(docs, slim(labels, "doc_id", "toxic")), "labelled")
+    found = rows.groupBy("lang", "label").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).collect()  # a row a language and class
+    n, size, names = sum(r.n for r in found), sum(r.bytes for r in found), sorted({r.lang for r in found} - {None}) or [""]
+    shards = max(1, -(-n // SHARD_DOCS), -(-size // SHARD_BYTES))
+    if shards == 1 or len({r.label for r in found}) < 2:
+
+        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, y, lang, _ = _read(batches)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(train(words, y, lang)))], pa.binary())], ["net"])
+
+        if shards > 1:  # one class: every score is the same, whatever the texts
+            return train([np.zeros((0, 1 + len(PREFIXES)), np.uint32)], np.asarray([found[0].label]), [names[0]])
+        one = rows.repartition(1).mapInArrow(alone, "net binary").first()
+        return Network(**pickle.loads(one.net)) if one else train([], np.zeros(0, np.int64), [])
+
+    dealt = rows.repartition(shards, F.xxhash64("doc_id", F.lit(SEED)))
+    odds = np.zeros((1 << LANG_BITS, len(names)), np.float32)
+    nets = [_start(names)] * (1 + FOLDS)
+    for _ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast([_flat(x) for x in nets])
+
+        def go_on(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            words, y, lang, folds = _read(batches)
+            if len(y) == 0:
+                return
+            for k, values in enumerate(shared.value):
+                own = np.flatnonzero(folds != k - 1)
+                net = _fit([words[i] for i in own], y[own], [lang[i] for i in own], _shaped(values, names, odds), STEPS // ROUNDS)
+                after = _flat(net)
+                # Blocks of network k, weighted by documents; words by language are counted beside them, as network -1.
+                for b in range(0, len(after), BLOCK):
+                    yield _block(k, b, len(own), after[b : b + BLOCK] * len(own))
+            counts = np.zeros((len(names), 1 << LANG_BITS))
+            for d, x in zip(words, lang, strict=True):
+                if x is not None:
+                    counts[names.index(x)] += np.bincount(d[:, 0] >> np.uint32(32 - LANG_BITS), minlength=1 << LANG_BITS)
+            for b in range(0, counts.size, BLOCK):
+                yield _block(-1, b, 1, counts.ravel()[b : b + BLOCK])
+
+        def mean(key, parts):
+            total = sum(np.frombuffer(v.as_py(), np.float64) for v in parts.column("values"))
+            w = 1 if key[0].as_py() < 0 else sum(parts.column("n").to_pylist())
+            return pa.table({"k": [key[0].as_py()], "b": [key[1].as_py()], "values": [(total / w).astype(np.float32).tobytes()]}, pa.schema([("k", pa.int32()), ("b", pa.int32()), ("values", pa.binary())]))
+
+        blocks = dealt.mapInArrow(go_on, "k int, b int, n long, values binary").groupBy("k", "b").applyInArrow(mean, "k int, b int, values binary").collect()  # networks of a fixed size
+        whole = {k: np.concatenate([np.frombuffer(r.values, np.float32) for r in sorted((r for r in blocks if r.k == k), key=lambda r: r.b)]) for k in {r.k for r in blocks}}
+        logs = np.log(whole[-1].reshape(len(names), -1).astype(np.float64) + 0.5)
+        logs -= np.log(np.exp(logs).sum(1, keepdims=True))
+        odds = (logs - logs.mean(0)).T.astype(np.float32)
+        nets = [_shaped(whole[k], names, odds) for k in range(1 + FOLDS)]
+        shared.destroy()
+
+    shared = spark.sparkContext.broadcast([vars(x) for x in nets])
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [Network(**x) for x in shared.value]
+        for batch in textnum.slices(batches, "text", SLICE_BYTES):
             ids, at = word_ids(*textnum.string_buffer(batch.column(0)))
-            found += [(i, ids[a:b].tobytes(), y, lang) for i, a, b, y, lang in zip(batch.column(3).to_pylist(), at[:-1].tolist(), at[1:].tolist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        found.sort(key=lambda r: r[:3])
-        net = train([np.frombuffer(r[1], np.uint32).reshape(-1, 1 + len(PREFIXES)) for r in found], np.asarray([r[2] for r in found], np.int64), [r[3] for r in found])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(net))], pa.binary())], ["net"])
+            folds = np.asarray([zlib.crc32(f"{i}/fold".encode()) % FOLDS for i in batch.column(3).to_pylist()])
+            z = np.choose(folds, [x.logits(ids, at) for x in own[1:]])
+            z = np.rint(np.clip(z, -EDGE, EDGE) * GRID).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(own[0].language(ids, at).astype(np.int32)), batch.column(1).cast(pa.int32()), pa.array(z)], ["lang", "label", "z"])
+
+    counts = rows.mapInArrow(judged, "lang int, label int, z int").groupBy("lang", "label", "z").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 * EDGE * GRID a language and class
+    lang, y, z, w = (np.asarray(c) for c in zip(*counts, strict=True))
+    shared.destroy()
+    nets[0].shift[:] = thresholds(z / GRID, lang, y, len(names), w)
+    return nets[0]
+
 
-    found = sample(docs, slim(labels, "doc_id", "toxic")).repartition(1).mapInArrow(run, "net binary").first()
-    return Network(**pickle.loads(found.net)) if found else train([], np.zeros(0, np.int64), [])
+def _block(k: int, b: int, n: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([n], pa.int64()), pa.array([values.astype(np.float64).tobytes()], pa.binary())], ["k", "b", "n", "values"])
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:

@@ -359,6 +359,23 @@ def test_toxicity_sample_is_bounded(spark):
     assert toxicity.sample(docs(spark, rows), marks, most=10_000, most_bytes=1).count() < 20
 
 
+def test_toxicity_learns_from_all_labelled_documents(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", 60)
+    monkeypatch.setattr(toxicity, "LONGEST", 1000)
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(toxicity, "SHARD_DOCS", 400)
+    rows = [(i, " ".join([*rng.choice(WORDS, 30), *(["vilewretch"] if i % 3 == 0 else [])])) for i in range(1500)]
+    rows += [(9000, "plain " * 300)]
+    marks = labels_of(spark, [(i, 1, int(i % 3 == 0)) for i, _ in rows])
+    table = docs(spark, rows)
+    assert toxicity.labelled(table, marks).count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows)
+    got = [r for r in toxicity.score(table, toxicity.fit(table, marks)).collect() if r.held_out]
+    assert np.mean([r.predicted == int(r.doc_id % 3 == 0) for r in got]) > 0.95
+    weights = np.array([3, 1, 2]), np.array([-1.0, 0.5, 2.0]), np.array([0, 1, 1])
+    plain = toxicity.thresholds(np.repeat(weights[1], weights[0]), np.zeros(6, int), np.repeat(weights[2], weights[0]), 1)
+    assert toxicity.thresholds(weights[1], np.zeros(3, int), weights[2], 1, weights[0]).tolist() == plain.tolist()
+
+
 def test_quality_and_toxicity_learn(spark, odd, none):
     rng = np.random.default_rng(5)
     good = [(i, " ".join(rng.choice(WORDS, 40)) + ".") for i in range(300)]
