@@ -19,6 +19,8 @@ CLASSES = {
     "pulsar": "high_energy", "PSR": "high_energy", "SNR": "nebula", "PN": "nebula", "HII": "nebula", "Solar System": "solar", "Sun": "solar", "Planet": "solar", "Asteroid": "solar",
 }
 
+HOT, SALTS = 1000, 32  # aliases of a word from which on it is common, and into how many parts those are dealt
+
 
 def object_class(otype: Column) -> Column:
     """Class of an object type: that of the first key it contains in any case, in the table's order; else unknown."""
@@ -47,10 +49,13 @@ def resolve_targets(requests: DataFrame, objects: DataFrame, ephemerides: DataFr
     known = objects.select("name", F.lower(F.trim("alias")).alias("low"), "otype", "ra", "dec")
 
     near = fields.select("request", F.col("at.ra").alias("at_ra"), F.col("at.dec").alias("at_dec"))
-    found = cross_match(near, objects.select("name", "otype", "ra", "dec").distinct(), radius_arcmin / 60, ("at_ra", "at_dec"), ("ra", "dec"))
-    found = found.groupBy("request").agg(F.min(F.struct("separation", "name", "otype")).alias("best"), (F.countDistinct("name") - 1).alias("alternatives"))
+    # Requests of one position look once; objects are counted by name, so no task holds the names of a position.
+    places = written(near.select("at_ra", "at_dec").distinct(), "places")
+    found = cross_match(places, objects.select("name", "otype", "ra", "dec").distinct(), radius_arcmin / 60, ("at_ra", "at_dec"), ("ra", "dec"))
+    found = found.groupBy("at_ra", "at_dec", "name").agg(F.min(F.struct("separation", "name", "otype")).alias("best"))
+    found = found.groupBy("at_ra", "at_dec").agg(F.min("best").alias("best"), (F.count(F.lit(1)) - 1).alias("alternatives"))
     label = F.format_string("field %.4f %+.4f", "at_ra", "at_dec")
-    fields = near.join(found, "request", "left").select(
+    fields = near.join(found, ["at_ra", "at_dec"], "left").select(
         "request", F.coalesce("best.name", label).alias("name"), F.col("at_ra").alias("ra"), F.col("at_dec").alias("dec"), F.coalesce("best.otype", F.lit("")).alias("otype"),
         F.when(F.col("best").isNull(), "blank").otherwise("nearby").alias("kind"), F.coalesce("alternatives", F.lit(0)).alias("alternatives"),
     )
@@ -63,13 +68,28 @@ def resolve_targets(requests: DataFrame, objects: DataFrame, ephemerides: DataFr
     exact = ranked(names.join(known, "low"), 0, F.lit("exact"))
     moving = ranked(names.join(ephemerides.select("name", F.lower(F.trim("name")).alias("low"), "otype", "ra", "dec"), "low"), 1, F.lit("ephemeris"))
     word = lambda c: F.array_distinct(F.array_remove(F.split(c, r"\s+"), ""))
-    # A text is looked up by its rarest word alone, so a word that fills the catalogue meets only texts that are nothing else.
+    # A text is looked up by its rarest word alone, and each text once, so a word that fills the catalogue meets only texts that are nothing else.
     held = known.select("name", "otype", "ra", "dec", word("low").alias("words"))
-    frequency = held.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    parts = names.select("request", word("low").alias("asked"), F.explode(word("low")).alias("word")).join(frequency, "word")
-    parts = parts.groupBy("request", "asked").agg(F.min(F.struct("n", "word")).alias("rarest"), F.count(F.lit(1)).alias("n")).where(F.col("n") == F.size("asked")).select("request", "asked", "rarest.word")
-    relaxed = parts.join(held.withColumn("word", F.explode("words")), "word").where(F.size(F.array_except("asked", "words")) == 0)
-    relaxed = ranked(relaxed, 2, F.when(F.col("n") > 1, "ambiguous").otherwise("relaxed"))
+    frequency = written(held.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    # Words of many aliases, at most total / HOT of them, are joined by broadcast, and their aliases are dealt over SALTS.
+    limit = max(HOT, (frequency.agg(F.sum("n")).first()[0] or 0) // 100_000)
+    hot = F.broadcast(frequency.where(F.col("n") > limit))
+    texts = names.select("low", word("low").alias("asked")).distinct()
+    parts = texts.select("low", "asked", F.explode("asked").alias("word"))
+    parts = parts.join(hot, "word").unionByName(parts.join(hot, "word", "left_anti").join(frequency.where(F.col("n") <= limit), "word"))
+    parts = parts.groupBy("low", "asked").agg(F.min(F.struct("n", "word")).alias("rarest"), F.count(F.lit(1)).alias("n")).where(F.col("n") == F.size("asked"))
+    parts = written(parts.select("low", "asked", "rarest.word", (F.col("rarest.n") > limit).alias("common")), "parts")
+    named = held.withColumn("word", F.explode("words"))
+    plain = parts.where("NOT common").join(named.join(hot, "word", "left_anti"), "word")
+    wanted = F.broadcast(parts.where("common").select("word").distinct())
+    salted = named.join(wanted, "word", "left_semi").withColumn("salt", F.pmod(F.xxhash64("name", "ra", "dec"), F.lit(SALTS)))
+    common = parts.where("common").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).join(salted, ["word", "salt"]).drop("salt")
+    relaxed = plain.unionByName(common).where(F.size(F.array_except("asked", "words")) == 0)
+    # By text: the least name, and how many.
+    told = relaxed.groupBy("low", "name").agg(F.min(F.struct("otype", "ra", "dec")).alias("o")).groupBy("low").agg(F.min(F.struct("name", "o")).alias("b"), F.count(F.lit(1)).alias("n"))
+    relaxed = names.select("request", "low").join(told, "low").select(
+        "request", F.lit(2).alias("rank"), "b.name", "b.o.ra", "b.o.dec", "b.o.otype", F.when(F.col("n") > 1, "ambiguous").otherwise("relaxed").alias("kind"), (F.col("n") - 1).alias("alternatives"),
+    )
     every = exact.unionByName(moving).unionByName(relaxed).where(missing.is_finite(F.col("ra")) & missing.is_finite(F.col("dec")))
     first = every.withColumn("k", F.row_number().over(W.partitionBy("request").orderBy("rank"))).where("k = 1").drop("k", "rank")
     out = fields.unionByName(first.select(*fields.columns))

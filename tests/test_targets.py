@@ -56,3 +56,15 @@ def test_features_of_missing_and_extreme_values(spark):
     sigma = max(math.sqrt(1 / math.pi) / 2.146, 0.1)
     assert c[0].features[:4] == [pytest.approx(math.log10(1 / (2 * math.pi * sigma**2))), 12.0, 9.5, 0.0] and c[0].features[11] == pytest.approx(108.57)
     assert c[1].features[:4] == [-8.0, 50.0, 11.0, 0.4] and len(features.CANDIDATE) == 12
+
+
+def test_common_words_and_positions_are_looked_up_once(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "HOT", 3)
+    met, match = [], resolve.cross_match
+    monkeypatch.setattr(resolve, "cross_match", lambda a, *rest: met.append(a.count()) or match(a, *rest))
+    objects = spark.range(40).selectExpr("concat('o', lpad(id, 2, '0')) AS name", "concat('Object No ', id) AS alias", "'QSO' AS otype", "10 + id * 0.01D AS ra", "5D + id * 0.001D AS dec")
+    bodies = spark.createDataFrame([], "name string, otype string, ra double, dec double")
+    asks = spark.range(60).selectExpr("id AS request", "CASE id % 4 WHEN 0 THEN '10.0 5.0' WHEN 1 THEN 'no OBJECT' WHEN 2 THEN concat('no ', id) ELSE 'no star' END AS text")
+    got = {r.request: (r.kind, r.name, r.alternatives) for r in resolve.resolve_targets(asks, objects, bodies, 3.0).collect()}
+    expected = {k: ("nearby", "o00", 4) if k % 4 == 0 else ("ambiguous", "o00", 39) for k in range(60) if k % 4 < 2} | {k: ("relaxed", f"o{k:02d}", 0) for k in range(2, 40, 4)}
+    assert got == expected and met == [1]
