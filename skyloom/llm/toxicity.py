@@ -342,8 +342,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
             for k, values in enumerate(shared.value):
                 own = np.flatnonzero(folds != k - 1)
                 net = _fit([words[i] for i in own], y[own], [lang[i] for i in own], _shaped(values, names, odds), STEPS // ROUNDS)
-                after = _flat(net)
-                # Blocks of network k, weighted by documents; words by language are counted beside them, as network -1.
+                after = _flat(net) - values
+                # Blocks of what changed in network k, nearly all zeros, which compress, weighted by documents; words by language are counted beside them, as network -1.
                 for b in range(0, len(after), BLOCK):
                     yield _block(k, b, len(own), after[b : b + BLOCK] * len(own))
             counts = np.zeros((len(names), 1 << LANG_BITS))
@@ -354,7 +354,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
                 yield _block(-1, b, 1, counts.ravel()[b : b + BLOCK])
 
         def mean(key, parts):
-            total = sum(np.frombuffer(v.as_py(), np.float64) for v in parts.column("values"))
+            total = sum(np.frombuffer(v.as_py(), np.float32).astype(np.float64) for v in parts.column("values"))
             w = 1 if key[0].as_py() < 0 else sum(parts.column("n").to_pylist())
             return pa.table({"k": [key[0].as_py()], "b": [key[1].as_py()], "values": [(total / w).astype(np.float32).tobytes()]}, pa.schema([("k", pa.int32()), ("b", pa.int32()), ("values", pa.binary())]))
 
@@ -363,7 +363,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
         logs = np.log(whole[-1].reshape(len(names), -1).astype(np.float64) + 0.5)
         logs -= np.log(np.exp(logs).sum(1, keepdims=True))
         odds = (logs - logs.mean(0)).T.astype(np.float32)
-        nets = [_shaped(whole[k], names, odds) for k in range(1 + FOLDS)]
+        nets = [_shaped(_flat(nets[k]) + whole[k], names, odds) for k in range(1 + FOLDS)]
         shared.destroy()
 
     shared = spark.sparkContext.broadcast([vars(x) for x in nets])
@@ -385,7 +385,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
 
 
 def _block(k: int, b: int, n: int, values: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([n], pa.int64()), pa.array([values.astype(np.float64).tobytes()], pa.binary())], ["k", "b", "n", "values"])
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([n], pa.int64()), pa.array([values.astype(np.float32).tobytes()], pa.binary())], ["k", "b", "n", "values"])
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
