@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import textnum
-from skyloom.llm.common import cut, documents, fold, held_out, slim, table
+from skyloom.llm.common import cut, discard, documents, fold, held_out, slim, table
 
 BUCKET_BITS, DIM, WIDTHS, FILTERS = 15, 8, (1, 2, 3), 8
 SAMPLE_DOCS, SAMPLE_BYTES, LONGEST = 6000, 24 << 20, 1 << 20  # of sample(), for trials; fit() learns from all
 SHARD_DOCS, SHARD_BYTES, ROUNDS = 8000, 24 << 20, 2  # documents that one task learns from, and how often the tasks' networks are averaged
 GRID, EDGE = 64, 40  # logits set thresholds in steps of 1 / GRID up to EDGE, so their counts are of a fixed size
+BROADCAST_LABELS = 200_000  # more labels than these are joined by a shuffle
 BLOCK = 1 << 14  # values of a network that are averaged together
 FOLDS = 3  # of the labelled documents: each sets thresholds by a network that the others trained
 STEPS, BATCH, RATE, SEED = 300, 64, 0.08, 20240  # steps of gradients, however many documents there are
@@ -259,7 +260,8 @@ def thresholds(z: np.ndarray, lang: np.ndarray, labels: np.ndarray, languages: i
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Text, label, lang and doc_id of all labelled documents outside the held-out fold, however long."""
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold("doc_id", 5) != 0)).distinct()
-    return slim(docs, "doc_id", "text", "lang").join(marks, "doc_id").select("text", "label", "lang", "doc_id")
+    few = marks.count() <= BROADCAST_LABELS
+    return slim(docs, "doc_id", "text", "lang").join(F.broadcast(marks) if few else marks, "doc_id").select("text", "label", "lang", "doc_id")
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
@@ -285,103 +287,132 @@ def _flat(net: Network) -> np.ndarray:
 
 
 def _shaped(values: np.ndarray, names: list[str], odds: np.ndarray) -> Network:
-    net, at = _start(names), 0
-    for a in [net.embedding, *net.filters, *net.bias, net.out]:
-        a[...] = values[at : at + a.size].reshape(a.shape)
-        at += a.size
-    net.out_bias, net.odds = float(values[at]), odds
-    return net
+    sizes = [((2 + len(PREFIXES)) << BUCKET_BITS, DIM), *[(w, DIM, FILTERS) for w in WIDTHS], *[(FILTERS,)] * len(WIDTHS), (len(WIDTHS) * FILTERS,)]
+    *parts, last = np.split(values, np.cumsum([np.prod(x) for x in sizes]))
+    e, *rest = (x.reshape(shape) for x, shape in zip(parts, sizes, strict=True))
+    return Network(e, rest[: len(WIDTHS)], rest[len(WIDTHS) : -1], rest[-1], float(last[0]), names, odds, np.zeros(len(names)))
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray, list[str | None], np.ndarray]:
-    """Words, labels, languages and folds of a task's documents, in an order that doesn't depend on that of the rows."""
+def _read(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray, list[str | None]]:
+    """Words, labels and languages of a shard's documents, in an order that doesn't depend on that of the rows."""
     found = []
     for batch in textnum.slices(batches, "text"):
         ids, at = word_ids(*textnum.string_buffer(batch.column(0)))
         found += [(i, ids[a:b].tobytes(), y, lang or "") for i, a, b, y, lang in zip(batch.column(3).to_pylist(), at[:-1].tolist(), at[1:].tolist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
     found.sort()
-    folds = [zlib.crc32(f"{r[0]}/fold".encode()) % FOLDS for r in found]
-    return [np.frombuffer(r[1], np.uint32).reshape(-1, 1 + len(PREFIXES)) for r in found], np.asarray([r[2] for r in found], np.int64), [r[3] or None for r in found], np.asarray(folds, np.int64)
+    return [np.frombuffer(r[1], np.uint32).reshape(-1, 1 + len(PREFIXES)) for r in found], np.asarray([r[2] for r in found], np.int64), [r[3] or None for r in found]
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of a task's blocks by network and place, so that a task sends a network once, however many shards it had."""
+    total: dict[tuple[int, int], list] = {}
+    for batch in batches:
+        for k, b, n, v in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            own = total.setdefault((k, b), [0, 0.0])
+            own[0] += n
+            own[1] = own[1] + np.frombuffer(v, np.float32).astype(np.float64)
+    for (k, b), (n, values) in total.items():
+        yield _block(k, b, n, values)
+
+
+def _averaged(rows: DataFrame, names: list[str], before: list[np.ndarray] | None) -> tuple[list[np.ndarray], np.ndarray]:
+    """One round of all shards; the common network and those that leave a fold out, and in the first round the words by language.
+
+    rows have fold and shard. In the first round a shard trains once, as all networks begin alike;
+    later it goes on from the common network and from each that leaves another fold out. Only the
+    changes are sent, in blocks, and networks come to the driver one after the other.
+    """
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(before) if before else None
+
+    def go_on(key, own):
+        (words, y, lang), fold_of, out = _read(own.select(["text", "label", "lang", "doc_id"]).to_batches()), key[1].as_py(), []
+        odds = np.zeros((1 << LANG_BITS, len(names)), np.float32)
+        for k in [j for j in range(1 + FOLDS) if j != 1 + fold_of] if shared else [fold_of]:
+            values = shared.value[k] if shared else _flat(_start(names))
+            change = (_flat(_fit(words, y, lang, _shaped(values, names, odds), STEPS // ROUNDS)) - values) * len(y)
+            out += [_block(k, b, len(y), change[b : b + BLOCK]) for b in range(0, len(change), BLOCK)]
+        if not shared:  # as network -1
+            counts = np.zeros((len(names), 1 << LANG_BITS))
+            for d, x in zip(words, lang, strict=True):
+                if x is not None:
+                    counts[names.index(x)] += np.bincount(d[:, 0] >> np.uint32(32 - LANG_BITS), minlength=1 << LANG_BITS)
+            out += [_block(-1, b, 1, counts.ravel()[b : b + BLOCK]) for b in range(0, counts.size, BLOCK)]
+        return pa.Table.from_batches(out)
+
+    def mean(key, parts):
+        n, total = sum(parts.column("n").to_pylist()), sum(np.frombuffer(v.as_py(), np.float32).astype(np.float64) for v in parts.column("values"))
+        return pa.Table.from_batches([_block(key[0].as_py(), key[1].as_py(), n, total if key[0].as_py() < 0 else total / n)])
+
+    kind = "k int, b int, n long, values binary"
+    blocks = cut(rows.groupBy("shard", "fold").applyInArrow(go_on, kind).mapInArrow(_added, kind).groupBy("k", "b").applyInArrow(mean, kind), "networks")
+
+    def whole(k: int) -> tuple[np.ndarray, int]:
+        found = sorted(blocks.where(F.col("k") == k).collect(), key=lambda r: r.b)  # one network or the words by language, of a fixed size
+        return (np.concatenate([np.frombuffer(r["values"], np.float32) for r in found]), found[0].n) if found else (np.zeros(1, np.float32), 0)
+
+    if shared:
+        nets, counts = [x + whole(k)[0] for k, x in enumerate(before)], np.zeros(0)
+        shared.destroy()
+    else:
+        changes, n = zip(*[whole(k) for k in range(FOLDS)], strict=True)
+        start, counts = _flat(_start(names)), whole(-1)[0]
+        nets = [start + sum(np.float32(n[j] / max(1, sum(n) - (n[k] if k >= 0 else 0))) * x for j, x in enumerate(changes) if j != k) for k in range(-1, FOLDS)]
+    discard(blocks)
+    return nets, counts
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
     """Learns from all labelled documents; without labelled rows of both classes every score is constant.
 
-    The documents lie in shards by a hash of their id. In a round every shard goes on from the common
-    networks, the one of all folds and those that leave a fold out, and blocks of their weights
-    are averaged by a shuffle; more shards are more tasks and no more work for any of them. Then
-    each document gets the logit of the network that didn't learn its fold, and the counts
-    of logits set the thresholds. One shard alone trains in one task, as train() does.
+    The documents lie in shards by a hash of their id, and every shard belongs to a fold. In a round
+    every shard goes on from the common networks, the one of all folds and those that leave another
+    fold out, and blocks of their weights are averaged by a shuffle; more shards are more tasks
+    and no more work for any of them. Then each document gets the logit of the network that
+    didn't learn its fold, and the counts of logits set the thresholds. One shard alone
+    trains in one task, as train() does.
     """
     spark = docs.sparkSession
-    rows = cut(labelled(docs, slim(labels, "doc_id", "toxic")), "labelled")
+    rows = cut(labelled(docs, slim(labels, "doc_id", "toxic")), "labelled", "zstd")
     found = rows.groupBy("lang", "label").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).collect()  # a row a language and class
     n, size, names = sum(r.n for r in found), sum(r.bytes for r in found), sorted({r.lang for r in found} - {None}) or [""]
     shards = max(1, -(-n // SHARD_DOCS), -(-size // SHARD_BYTES))
     if shards == 1 or len({r.label for r in found}) < 2:
 
         def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, y, lang, _ = _read(batches)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(train(words, y, lang)))], pa.binary())], ["net"])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(train(*_read(batches))))], pa.binary())], ["net"])
 
+        one = rows.repartition(1).mapInArrow(alone, "net binary").first() if shards == 1 else None
+        discard(rows)
         if shards > 1:  # one class: every score is the same, whatever the texts
             return train([np.zeros((0, 1 + len(PREFIXES)), np.uint32)], np.asarray([found[0].label]), [names[0]])
-        one = rows.repartition(1).mapInArrow(alone, "net binary").first()
         return Network(**pickle.loads(one.net)) if one else train([], np.zeros(0, np.int64), [])
 
-    dealt = rows.repartition(shards, F.xxhash64("doc_id", F.lit(SEED)))
-    odds = np.zeros((1 << LANG_BITS, len(names)), np.float32)
-    nets = [_start(names)] * (1 + FOLDS)
-    for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast([_flat(x) for x in nets])
-
-        def go_on(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words, y, lang, folds = _read(batches)
-            if len(y) == 0:
-                return
-            for k, values in enumerate(shared.value):
-                own = np.flatnonzero(folds != k - 1)
-                net = _fit([words[i] for i in own], y[own], [lang[i] for i in own], _shaped(values, names, odds), STEPS // ROUNDS)
-                after = _flat(net) - values
-                # Blocks of what changed in network k, nearly all zeros, which compress, weighted by documents; words by language are counted beside them, as network -1.
-                for b in range(0, len(after), BLOCK):
-                    yield _block(k, b, len(own), after[b : b + BLOCK] * len(own))
-            counts = np.zeros((len(names), 1 << LANG_BITS))
-            for d, x in zip(words, lang, strict=True):
-                if x is not None:
-                    counts[names.index(x)] += np.bincount(d[:, 0] >> np.uint32(32 - LANG_BITS), minlength=1 << LANG_BITS)
-            for b in range(0, counts.size, BLOCK):
-                yield _block(-1, b, 1, counts.ravel()[b : b + BLOCK])
-
-        def mean(key, parts):
-            total = sum(np.frombuffer(v.as_py(), np.float32).astype(np.float64) for v in parts.column("values"))
-            w = 1 if key[0].as_py() < 0 else sum(parts.column("n").to_pylist())
-            return pa.table({"k": [key[0].as_py()], "b": [key[1].as_py()], "values": [(total / w).astype(np.float32).tobytes()]}, pa.schema([("k", pa.int32()), ("b", pa.int32()), ("values", pa.binary())]))
-
-        blocks = dealt.mapInArrow(go_on, "k int, b int, n long, values binary").groupBy("k", "b").applyInArrow(mean, "k int, b int, values binary").collect()  # networks of a fixed size
-        whole = {k: np.concatenate([np.frombuffer(r.values, np.float32) for r in sorted((r for r in blocks if r.k == k), key=lambda r: r.b)]) for k in {r.k for r in blocks}}
-        logs = np.log(whole[-1].reshape(len(names), -1).astype(np.float64) + 0.5)
-        logs -= np.log(np.exp(logs).sum(1, keepdims=True))
-        odds = (logs - logs.mean(0)).T.astype(np.float32)
-        nets = [_shaped(_flat(nets[k]) + whole[k], names, odds) for k in range(1 + FOLDS)]
-        shared.destroy()
-
-    shared = spark.sparkContext.broadcast([vars(x) for x in nets])
+    shards = -(-shards // FOLDS) * FOLDS
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(shards)).cast("int")).withColumn("fold", F.col("shard") % FOLDS)
+    nets, counts = _averaged(dealt, names, None)
+    for _ in range(1, ROUNDS):
+        nets, _ = _averaged(dealt, names, nets)
+    logs = np.log(counts.reshape(len(names), -1).astype(np.float64) + 0.5)
+    logs -= np.log(np.exp(logs).sum(1, keepdims=True))
+    odds = (logs - logs.mean(0)).T.astype(np.float32)
+    shared = spark.sparkContext.broadcast(nets[1:])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [Network(**x) for x in shared.value]
+        own = [_shaped(x, names, odds) for x in shared.value]
         for batch in textnum.slices(batches, "text", SLICE_BYTES):
             ids, at = word_ids(*textnum.string_buffer(batch.column(0)))
-            folds = np.asarray([zlib.crc32(f"{i}/fold".encode()) % FOLDS for i in batch.column(3).to_pylist()])
-            z = np.choose(folds, [x.logits(ids, at) for x in own[1:]])
+            z = np.choose(batch.column(2).to_numpy(zero_copy_only=False), [x.logits(ids, at) for x in own])
             z = np.rint(np.clip(z, -EDGE, EDGE) * GRID).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(own[0].language(ids, at).astype(np.int32)), batch.column(1).cast(pa.int32()), pa.array(z)], ["lang", "label", "z"])
 
-    counts = rows.mapInArrow(judged, "lang int, label int, z int").groupBy("lang", "label", "z").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 * EDGE * GRID a language and class
-    lang, y, z, w = (np.asarray(c) for c in zip(*counts, strict=True))
+    logits = slim(dealt, "text", "label", "fold").mapInArrow(judged, "lang int, label int, z int").groupBy("lang", "label", "z").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most 2 * EDGE * GRID a language and class
     shared.destroy()
-    nets[0].shift[:] = thresholds(z / GRID, lang, y, len(names), w)
-    return nets[0]
+    discard(rows)
+    lang, y, z, w = (c.to_numpy() for c in logits.columns)
+    net = _shaped(nets[0], names, odds)
+    net.shift[:] = thresholds(z / GRID, lang, y, len(names), w)
+    return net
 
 
 def _block(k: int, b: int, n: int, values: np.ndarray) -> pa.RecordBatch:

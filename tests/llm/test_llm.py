@@ -1,6 +1,7 @@
 """Small cases of every operator: brute force, round trips, and nulls, empties, repeats and clashing names."""
 
 import hashlib
+import os
 import re
 import zlib
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.llm import components, decontaminate, katz, language, media, ngram_join, packing, pii, quality, rollup, tokens, toxicity
+from skyloom.llm.common import settings, shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rep string, spans string, key string, w string, h long"
 
@@ -376,6 +378,26 @@ def test_toxicity_learns_from_all_labelled_documents(spark, monkeypatch):
     assert toxicity.thresholds(weights[1], np.zeros(3, int), weights[2], 1, weights[0]).tolist() == plain.tolist()
 
 
+def test_toxicity_networks_are_the_same_over_any_partitions_and_leave_no_tables(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_DOCS", 100)
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join([*rng.choice(WORDS, 12), *(["vilewretch"] if i % 3 == 0 else [])])) for i in range(300)]
+    table, marks = docs(spark, rows), labels_of(spark, [(i, 1, int(i % 3 == 0)) for i, _ in rows])
+    folder = f"{shared_dir(spark).removeprefix('file://')}/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    nets, frame = [toxicity.fit(table, marks)], type(table)
+    plain = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: plain(self, max(n, 40) if cols and isinstance(n, int) else n, *cols))
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
+    with settings(spark, {"spark.sql.shuffle.partitions": "40"}):
+        nets.append(toxicity.fit(table, marks))
+    assert np.allclose(nets[0].embedding, nets[1].embedding, atol=1e-5) and nets[0].shift.tolist() == nets[1].shift.tolist()
+    assert set(os.listdir(folder)) <= before
+    blocks = [toxicity._block(0, 0, 2, np.array([1.0, 2.0])), toxicity._block(1, 0, 1, np.array([5.0, 0.0])), toxicity._block(0, 0, 3, np.array([0.5, 1.0]))]
+    sums = {(r["k"], r["b"]): (r["n"], np.frombuffer(r["values"], np.float32).tolist()) for batch in toxicity._added(iter(blocks)) for r in batch.to_pylist()}
+    assert sums == {(0, 0): (5, [1.5, 3.0]), (1, 0): (1, [5.0, 0.0])}
+
+
 def test_quality_and_toxicity_learn(spark, odd, none):
     rng = np.random.default_rng(5)
     good = [(i, " ".join(rng.choice(WORDS, 40)) + ".") for i in range(300)]
