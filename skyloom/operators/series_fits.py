@@ -111,6 +111,7 @@ DECLINES = (2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
 STARTS = (0.0, 0.1, 0.3, 0.6, 1.0, 1.5, 2.5, 4.0)
 FREEDOM, LIMIT_WIDTH, MISSED, SIDE_DAYS, ANCHORS, LEAST_AMPLITUDE, LEAST_NIGHTS = 3.0, 0.3, 0.02, 500.0, 15, 1.5, 2
 WHOLE = 2000  # rows of a series that isn't taken apart
+BOUNDED = 20_000  # points of hypotheses that are bounded at once
 
 
 def log_phi(x: np.ndarray) -> np.ndarray:
@@ -144,40 +145,136 @@ def decline(days: np.ndarray, t2: float) -> np.ndarray:
     return np.where(days >= 0, after**-1.75, np.where(days > -3, 10 ** (0.8 * np.minimum(days, 0)), 0.0))
 
 
+STEP, LEVEL_STEP = 5, 8  # neighbouring peaks that are bounded together, and constant levels of which one is tried
+WIDEST = 80.0  # magnitudes between peak and quiet level that bounds in single precision allow for
+# Log probabilities of no detection in steps of 1 / UNSEEN_GRID; from UNSEEN_END on, either way, they don't change any more.
+UNSEEN_GRID, UNSEEN_END = 512, 12
+UNSEEN = unseen_likelihood(np.arange(-UNSEEN_END * UNSEEN_GRID, UNSEEN_END * UNSEEN_GRID + 1) / UNSEEN_GRID * LIMIT_WIDTH, np.float64(0)).astype(np.float32)
+
+
+def _unseen_about(model: np.ndarray, limit: np.ndarray, up: bool) -> np.ndarray:
+    """Log probability of no detection from the table: from a place above, or from one below."""
+    at = (model - limit) * np.float32(UNSEEN_GRID / LIMIT_WIDTH)
+    at = np.ceil(at + 1) if up else np.floor(at - 1)
+    return UNSEEN[np.clip(at, -UNSEEN_END * UNSEEN_GRID, UNSEEN_END * UNSEEN_GRID).astype(np.int32) + UNSEEN_END * UNSEEN_GRID]
+
+
+def _windows(x: dict[str, np.ndarray], t0: np.ndarray, t2: np.ndarray, faint: float) -> tuple[np.ndarray, ...]:
+    """First and last points, quiet level beside them and brightest detection of each hypothesis; x is sorted by time."""
+    t, mag, det = x["t"], x["mag"], x["det"]
+    level = np.where(det, mag, np.maximum(np.nan_to_num(x["lim"], nan=faint), faint))
+    begin, end = t0 - 3 * DAY, t0 + 10 * t2 * DAY
+    lo, hi = np.searchsorted(t, begin), np.searchsorted(t, end, "right")
+    before, after = np.searchsorted(t, begin - SIDE_DAYS * DAY), np.searchsorted(t, end + SIDE_DAYS * DAY, "right")
+    by_level, bright = np.argsort(level), np.flatnonzero(det & ~np.isnan(mag))
+    bright = bright[np.argsort(mag[bright])]
+    quiet, brightest = np.full(len(t0), faint), np.full(len(t0), np.nan)
+    some = max(1, 1_000_000 // max(len(t), 1))
+    for k in range(0, len(t0), some):
+        own = slice(k, k + some)
+        a, b, c, d = (y[own, None] for y in (before, lo, hi, after))
+        n = (b - a + d - c).ravel()
+        rank = np.cumsum(((by_level >= a) & (by_level < b)) | ((by_level >= c) & (by_level < d)), 1, dtype=np.int32)
+        middle = [level[by_level[np.argmax(rank > place[:, None], 1)]] for place in ((n - 1) // 2, n // 2)]
+        quiet[own] = np.where(n >= 5, (middle[0] + middle[1]) / 2, faint)
+        if len(bright):
+            inside = (bright >= b) & (bright < c)
+            first = np.argmax(inside, 1)
+            brightest[own] = np.where(inside[np.arange(len(inside)), first], mag[bright[first]], np.nan)
+    return lo, hi, quiet, brightest
+
+
+def _bounds(x: dict[str, np.ndarray], t0: np.ndarray, t2: np.ndarray, lo: np.ndarray, hi: np.ndarray, quiet: np.ndarray, brightest: np.ndarray, n_peaks: np.ndarray) -> np.ndarray:
+    """What the score of each hypothesis can't exceed.
+
+    STEP neighbouring peaks at a time: between the models of the first and the last of them every point
+    takes the model that suits it best. Of the constant levels the quiet one and every LEVEL_STEP-th are tried.
+    In single precision, with residuals and sums better (of levels worse) by more than its errors.
+    """
+    start = brightest - 2.0
+    cells, j = hi - lo, int(-(-n_peaks.max() // STEP))
+    starts = np.concatenate([[0], np.cumsum(cells)[:-1]])
+    of = np.repeat(np.arange(len(t0)), cells)
+    at = np.arange(cells.sum()) - starts[of] + lo[of]
+    days = ((x["t"][at] - t0[of]) / DAY).astype(np.float32)
+    fall = (t2 / (10 ** (0.8 / 1.75) - 1)).astype(np.float32)[of]
+    log_shape = np.where(days >= 0, np.float32(-1.75) * np.log(np.maximum(days, 0) / fall + 1), np.where(days > -3.001, np.float32(0.8 * math.log(10)) * days, -np.inf))
+    shift = (0.4 * math.log(10) * np.minimum(quiet - start, WIDEST)).astype(np.float32)[of]
+    # Brightness over the quiet level at every STEP-th peak, the brightest first.
+    ratio = np.exp(log_shape + shift)[:, None] * np.exp(np.float32(-0.04 * STEP * math.log(10)) * np.arange(j + 1, dtype=np.float32))
+    over = np.float32(-2.5 / math.log(10)) * np.log(1 + ratio)
+    above, best = (x["mag"][at] - quiet[of]).astype(np.float32), np.zeros((len(at), j), np.float32)
+    det, sat, lim = x["det"][at], x["sat"][at], x["lim"][at]
+    plain, full, blank = np.flatnonzero(det & ~sat), np.flatnonzero(det & sat), np.flatnonzero(~det & np.isfinite(lim))
+    scale, y, o = (1 / (FREEDOM * x["sig"][at][plain] ** 2)).astype(np.float32)[:, None], above[plain, None], over[plain]
+    off = np.maximum(np.maximum(y - o[:, 1:], o[:, :-1] - y) - np.float32(3e-4), 0)
+    best[plain] = np.nan_to_num(np.float32((FREEDOM + 1) / 2) * (np.log(1 + y * y * scale) - np.log(1 + off * off * scale)), nan=0.0)
+    if len(full):
+        y = above[full, None].astype(float)
+        best[full] = saturated_likelihood(y - over[full, :-1] + 3e-4) - saturated_likelihood(y)
+    if len(blank):
+        below = (lim[blank] - quiet[of][blank]).astype(np.float32)[:, None]
+        best[blank] = _unseen_about(over[blank, 1:], below, True) - _unseen_about(np.zeros_like(below), below, False)
+    total = np.add.reduceat(best, starts, axis=0, dtype=np.float64)
+    total[np.arange(j) >= -(-n_peaks // STEP)[:, None]] = -np.inf
+    # Constant levels over the quiet one, a grid's every LEVEL_STEP-th.
+    n_levels = np.maximum(1 + np.floor(np.minimum(quiet - brightest + 1.0, 2 * WIDEST) / (0.1 * LEVEL_STEP)), 1).astype(int)
+    here = (brightest - 0.5 - quiet).astype(np.float32)[of][:, None] + np.float32(0.1 * LEVEL_STEP) * np.arange(n_levels.max(), dtype=np.float32)
+    flat = np.zeros(here.shape, np.float32)
+    y, off = above[plain, None], np.abs(above[plain, None] - here[plain]) + np.float32(3e-4)
+    flat[plain] = np.nan_to_num(np.float32((FREEDOM + 1) / 2) * (np.log(1 + y * y * scale) - np.log(1 + off * off * scale)), nan=0.0)
+    if len(full):
+        y = above[full, None].astype(float)
+        flat[full] = saturated_likelihood(y - here[full] - 3e-4) - saturated_likelihood(y)
+    if len(blank):
+        flat[blank] = _unseen_about(here[blank], below, False) - _unseen_about(np.zeros_like(below), below, True)
+    level = np.add.reduceat(flat, starts, axis=0, dtype=np.float64)
+    level[np.arange(n_levels.max()) >= n_levels[:, None]] = -np.inf
+    bound = 2 * (total.max(1) - np.maximum(level.max(1), 0)) + 4e-4 * cells + 1e-3
+    return np.where((quiet - start <= WIDEST) & ~np.isnan(bound), bound, np.inf)
+
+
 def _scan(x: dict[str, np.ndarray], t0: np.ndarray, t2: np.ndarray, faint: float, least_nights: int) -> tuple | None:
     """number of the hypothesis, score, peak, amplitude, nights, plates and contradictions of the best one; the earlier of equals.
 
-    x is sorted by time. All hypotheses are laid out at once, a row each with a column a point. Those
-    whose nights can't suffice are left out before anything is computed, and the constant levels
-    are tried only while the quiet level alone leaves a hypothesis ahead of the best.
+    x is sorted by time. Hypotheses whose nights can't suffice are left out before anything is
+    computed. The others are bounded, and computed from the highest bound down as long as it
+    isn't below the best score: those left then can't be the best.
     """
-    t, mag, lim, sig, det = x["t"], x["mag"], x["lim"], x["sig"], x["det"]
+    t, mag, lim, sig, det, sat = x["t"], x["mag"], x["lim"], x["sig"], x["det"], x["sat"]
     seen_t = t[det]
     # A night begins half a day after the last detection or later, so nights of some detections are at most those that begin among all.
     first, last = np.searchsorted(seen_t, t0 - 3 * DAY), np.searchsorted(seen_t, t0 + 10 * t2 * DAY, "right")
     begins = np.concatenate([[0], np.cumsum(np.diff(seen_t * 365.25) > 0.5)]) if len(seen_t) else np.zeros(1, int)
     span = np.where(last > first, begins[np.minimum(np.maximum(last, 1), len(begins)) - 1] - begins[np.minimum(first, len(begins) - 1)] + 1, 0)
-    level, sat = np.where(det, mag, np.maximum(np.nan_to_num(lim, nan=faint), faint)), x["sat"]
-    found = []
-    for h in np.flatnonzero(span >= max(least_nights, 1)).tolist():
-        begin, end = t0[h] - 3 * DAY, t0[h] + 10 * t2[h] * DAY
-        lo, hi = np.searchsorted(t, begin), np.searchsorted(t, end, "right")
-        before, after = np.searchsorted(t, begin - SIDE_DAYS * DAY), np.searchsorted(t, end + SIDE_DAYS * DAY, "right")
-        beside = np.sort(np.concatenate([level[before:lo], level[hi:after]]))
-        quiet = float((beside[(len(beside) - 1) // 2] + beside[len(beside) // 2]) / 2) if len(beside) >= 5 else faint
-        own = slice(lo, hi)
-        brightest = np.min(mag[own][det[own]])
-        peaks = np.arange(brightest - 2.0, min(brightest + 3.0, quiet - LEAST_AMPLITUDE), 0.1)
-        if len(peaks):
-            found.append((h, own, quiet, brightest, peaks))
-    best, part, cells = None, [], 0
-    for k, f in enumerate(found, 1):
-        part.append(f)
-        cells += f[1].stop - f[1].start
-        # Few of them in memory: a point has some fifty models of a hypothesis.
-        if k == len(found) or cells > 1000:
-            best, part, cells = _best_of(part, best, t, mag, lim, sig, det, sat, t0, t2, least_nights), [], 0
-    return best
+    number = np.flatnonzero(span >= max(least_nights, 1))
+    if not len(number):
+        return None
+    lo, hi, quiet, brightest = _windows(x, t0[number], t2[number], faint)
+    stop = np.minimum(brightest + 3.0, quiet - LEAST_AMPLITUDE)
+    with np.errstate(invalid="ignore"):
+        good = np.flatnonzero(stop > brightest - 2.0)
+    number, lo, hi, quiet, brightest, stop = (y[good] for y in (number, lo, hi, quiet, brightest, stop))
+    n_peaks = np.ceil((stop - brightest + 2.0) / 0.1 + 1e-6).astype(int)
+    bound, upto = np.empty(len(number)), np.cumsum(hi - lo)
+    a = 0
+    with np.errstate(all="ignore"):
+        while a < len(number):  # few cells in memory
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + BOUNDED, "right")))
+            own = slice(a, b)
+            bound[own] = _bounds(x, t0[number[own]], t2[number[own]], lo[own], hi[own], quiet[own], brightest[own], n_peaks[own])
+            a = b
+    best, part, cells, most = None, [], 0, 100
+    order = np.argsort(-bound, kind="stable").tolist()
+    for i, k in enumerate(order, 1):
+        if bound[k] < (best[1] if best else 0.0):
+            break
+        part.append((int(number[k]), slice(int(lo[k]), int(hi[k])), float(quiet[k]), brightest[k], np.arange(brightest[k] - 2.0, stop[k], 0.1)))
+        cells += hi[k] - lo[k]
+        # Few of them in memory: a point has some fifty models of a hypothesis. The first ones show how good the best must be.
+        if i == len(order) or cells > most:
+            best, part, cells, most = _best_of(part, best, t, mag, lim, sig, det, sat, t0, t2, least_nights), [], 0, 1000
+    return _best_of(part, best, t, mag, lim, sig, det, sat, t0, t2, least_nights) if part else best
 
 
 def _best_of(found: list[tuple], best: tuple | None, t, mag, lim, sig, det, sat, t0, t2, least_nights: int) -> tuple | None:
@@ -224,6 +321,24 @@ def _best_of(found: list[tuple], best: tuple | None, t, mag, lim, sig, det, sat,
     return best
 
 
+def _hypotheses(place: np.ndarray, anchor: np.ndarray, own: int, allow: tuple[float, float] | None, masks: list[tuple[float, float]]) -> tuple[np.ndarray, ...]:
+    """Place, number, start and decline time of the hypotheses of all anchors of a series, or (own not -1) those of one place."""
+    t2, back = np.repeat(DECLINES, len(STARTS)), np.tile(STARTS, len(DECLINES))
+    t0, at = (anchor[:, None] - back * t2 * DAY).ravel(), np.tile(np.arange(len(t2)), len(anchor))
+    place, t2 = np.repeat(place, len(t2)), np.tile(t2, len(anchor))
+    _, first = np.unique(np.stack([np.rint(t0 * 365.25), t2]), axis=1, return_index=True)  # of equals the first by place and number
+    keep = np.zeros(len(t0), bool)
+    keep[first] = True
+    if own != -1:
+        keep &= place == own
+    if allow is not None:
+        keep &= (t0 >= allow[0]) & (t0 <= allow[1])
+    else:
+        for low, high in masks:
+            keep &= ~((t0 >= low) & (t0 <= high))
+    return place[keep], at[keep], t0[keep], t2[keep]
+
+
 EVENT = "score double, t0 double, t2 double, peak double, amplitude double, nights int, plates int, contradictions int"
 
 
@@ -239,39 +354,26 @@ def likelihood_scan(df: DataFrame, key: str, faint: float, allow: tuple[float, f
     hypothesis give no row.
     """
     own = df.select(key, *[F.col(c).cast("double").alias(c) for c in ("t", "mag", "lim", "sig", "envelope")], *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("det", "sat")]).where("t IS NOT NULL")
-    above = F.col("mag") - F.col("envelope")
-    many = F.count(F.lit(1)).over(W.partitionBy(key))
-    bright = own.where(F.col("det") & (above < -0.75)).select(key, "t", above.alias("above"), many.alias("many"))
-    order = F.row_number().over(W.partitionBy(key).orderBy(F.when(F.col("many") > ANCHORS, F.col("above")), "t", "above"))
-    anchors = bright.select(key, F.col("t").alias("anchor"), order.alias("place")).where(F.col("place") <= ANCHORS)
-    grid = F.array(*[F.struct(F.lit(i * len(STARTS) + j).alias("at"), F.lit(t2).alias("t2"), F.lit(k).alias("k")) for i, t2 in enumerate(DECLINES) for j, k in enumerate(STARTS)])
-    asked = anchors.select(key, "anchor", "place", F.explode(grid).alias("g")).select(key, "anchor", "place", "g.at", "g.t2", (F.col("anchor") - F.col("g.k") * F.col("g.t2") * DAY).alias("t0"))
-    asked = asked.withColumn("first", F.row_number().over(W.partitionBy(key, F.rint(F.col("t0") * 365.25), "t2").orderBy("place", "at"))).where("first = 1")
-    if allow is not None:
-        asked = asked.where(F.col("t0").between(*allow))
-    else:
-        for low, high in masks:
-            asked = asked.where(~F.col("t0").between(low, high))
-    asked = written(asked.select(key, "anchor", "place", "at", "t0", "t2"), "hypotheses")  # at most 56 an anchor
+    # Everything is dealt by key once: anchors are told to all rows of their series.
+    above, series = F.col("mag") - F.col("envelope"), W.partitionBy(key)
+    own = own.withColumn("above", F.when(F.col("det") & (above < -0.75), above)).withColumn("many", F.count(F.lit(1)).over(series)).withColumn("bright", F.count("above").over(series))
+    order = series.orderBy(F.col("above").isNull(), F.when(F.col("bright") > ANCHORS, F.col("above")), "t", "above")
+    place = F.row_number().over(order)
+    own = own.where("bright > 0").withColumn("place", F.when(F.col("above").isNotNull() & (place <= ANCHORS), place))
+    anchors = F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", F.col("t").alias("anchor")))).over(series))
     reach_back, reach_on = (max(DECLINES) * max(STARTS) + 3 + SIDE_DAYS) * DAY, (10 * max(DECLINES) + SIDE_DAYS) * DAY
     # A series of up to WHOLE rows goes to its task once, with all its hypotheses; of a longer one each anchor's reach.
-    sized = own.withColumn("many", many)
-    short = sized.where(F.col("many") <= WHOLE).withColumn("__place", F.lit(-1))
-    points = asked.select(F.col(key).alias("__key"), F.col("anchor").alias("__anchor"), F.col("place").alias("__place")).distinct()
-    long = sized.where(F.col("many") > WHOLE)
-    long = long.join(points, long[key] == points["__key"]).where(F.col("t").between(F.col("__anchor") - reach_back, F.col("__anchor") + reach_on)).select(*short.columns)
-    rows = short.unionByName(long).groupBy(key, "__place").agg(F.sort_array(F.collect_list(F.struct("t", "mag", "lim", "sig", "det", "sat"))).alias("x"))
-    length = sized.where(F.col("many") > WHOLE).select(F.col(key).alias("__key")).distinct()
-    dealt = asked.join(length, asked[key] == length["__key"], "left").withColumn("__place", F.when(F.col("__key").isNull(), -1).otherwise(F.col("place")))
-    dealt = dealt.groupBy(key, "__place").agg(F.sort_array(F.collect_list(F.struct("place", "at", "t0", "t2"))).alias("h"))
+    reached = F.filter("anchors", lambda a: F.col("t").between(a["anchor"] - reach_back, a["anchor"] + reach_on))
+    own = own.withColumn("anchors", anchors).withColumn("__place", F.explode(F.when(F.col("many") <= WHOLE, F.array(F.lit(-1))).otherwise(F.transform(reached, lambda a: a["place"]))))
+    rows = own.groupBy(key, "__place").agg(F.sort_array(F.collect_list(F.struct("t", "mag", "lim", "sig", "det", "sat"))).alias("x"), F.first("anchors").alias("anchors"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k, x, h in zip(*batch.columns, strict=True):
-                points, asked = pa.RecordBatch.from_struct_array(x.values), pa.RecordBatch.from_struct_array(h.values)
+            for k, own, x, anchors in zip(*batch.columns, strict=True):
+                points, told = pa.RecordBatch.from_struct_array(x.values), pa.RecordBatch.from_struct_array(anchors.values)
                 x = {c: points.column(c).to_numpy(zero_copy_only=False).astype(bool if c in ("det", "sat") else float) for c in points.schema.names}
-                place, at, t0, t2 = (asked.column(c).to_numpy() for c in ("place", "at", "t0", "t2"))
+                place, at, t0, t2 = _hypotheses(told.column("place").to_numpy(), told.column("anchor").to_numpy(), own.as_py(), allow, masks)
                 found = _scan(x, t0, t2, faint, least_nights)
                 if found is not None:
                     n, score, *rest = found
@@ -284,6 +386,6 @@ def likelihood_scan(df: DataFrame, key: str, faint: float, allow: tuple[float, f
     shape = to_arrow_schema(own.sparkSession.createDataFrame([], told).schema)
     # Dealt by number: few bytes are much work here, and adaptive execution would gather them in one task.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.join(dealt, [key, "__place"]).select(key, "x", "h").repartition(n, key, F.hash("h")).mapInArrow(scan, told)
+    found = rows.select(key, "__place", "x", "anchors").repartition(n, key, "__place").mapInArrow(scan, told)
     best = found.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "place", "at", *[c.split()[0] for c in EVENT.split(", ")])).alias("b"))
     return best.select(key, *[f"b.{c.split()[0]}" for c in EVENT.split(", ")])

@@ -144,6 +144,51 @@ def test_scan_tries_levels_for_few_hypotheses(monkeypatch):
     assert len(asked) < len(t0) / 4
 
 
+def arrays_of(seed):
+    rows = series_of(seed)[1]
+    x = {c: np.array([r[k] for r in rows], float) for k, c in ((0, "t"), (1, "mag"), (3, "lim"), (5, "sig"))} | {"det": np.array([r[2] for r in rows]), "sat": np.array([r[6] for r in rows])}
+    bright = [(r[1] - r[4], r[0]) for r in rows if r[2] and r[1] < r[4] - 0.75]
+    anchors = np.array([t for _, t in sorted(bright)[:15]] if len(bright) > 15 else [t for _, t in bright])
+    _, _, t0, t2 = series_fits._hypotheses(np.arange(1, len(anchors) + 1), anchors, -1, None, [])
+    return x, t0, t2
+
+
+def test_scan_computes_few_hypotheses(monkeypatch):
+    asked, best_of = [], series_fits._best_of
+    monkeypatch.setattr(series_fits, "_best_of", lambda found, *rest: asked.append(len(found)) or best_of(found, *rest))
+    total = 0
+    for seed in (1, 2, 4, 5):
+        x, t0, t2 = arrays_of(seed)
+        total += len(t0)
+        assert series_fits._scan(x, t0, t2, 15.0, 2) is not None
+    assert sum(asked) < total / 5
+
+
+@pytest.mark.parametrize("sigma", [0.001, 0.15, 3.0])
+def test_no_score_exceeds_its_bound(monkeypatch, sigma):
+    told, bounds = [], series_fits._bounds
+    monkeypatch.setattr(series_fits, "_bounds", lambda *a: told.append((*a[1:], bounds(*a))) or told[-1][-1])
+    checked = 0
+    for seed in range(4):
+        x, t0, t2 = arrays_of(seed)
+        x["sig"][:] = sigma
+        told.clear()
+        series_fits._scan(x, t0, t2, 15.0, 2)
+        for a, b, lo, hi, quiet, brightest, _, bound in ((*y,) for part in told for y in zip(*part, strict=True)):
+            peaks = np.arange(brightest - 2.0, min(brightest + 3.0, quiet - 1.5), 0.1)
+            found = series_fits._best_of([(0, slice(lo, hi), quiet, brightest, peaks)], None, *(x[c] for c in ("t", "mag", "lim", "sig", "det", "sat")), np.array([a]), np.array([b]), 0)
+            assert found is None or found[1] <= bound
+            checked += found is not None
+    assert checked > 100
+
+
+def test_long_series_are_taken_apart_alike(spark, monkeypatch):
+    df = spark.createDataFrame([(k, *r) for k in range(4) for r in series_of(k)[1]] + [(1, 1905.4, None, True, 15.0, 14.5, 0.15, False)], "k long, t double, mag double, det boolean, lim double, envelope double, sig double, sat boolean")
+    whole = sorted(map(tuple, series_fits.likelihood_scan(df, "k", 15.0).collect()))
+    monkeypatch.setattr(series_fits, "WHOLE", 20)
+    assert sorted(map(tuple, series_fits.likelihood_scan(df, "k", 15.0).collect())) == whole and len(whole) >= 3
+
+
 def test_likelihood_scan_without_rows(spark):
     df = spark.createDataFrame([], "k long, t double, mag double, det boolean, lim double, envelope double, sig double, sat boolean")
     assert series_fits.likelihood_scan(df, "k", 15.0).count() == 0
