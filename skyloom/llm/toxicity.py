@@ -315,6 +315,50 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _block(k, b, n, values)
 
 
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Fold and documents (text, label, lang, doc_id) of each shard in rows sorted by shard."""
+    now, own = None, []
+    for batch in batches:
+        shard = batch.column("shard").to_numpy()
+        ends = [*(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)] if len(shard) else []
+        for a, b in zip([0, *ends], ends, strict=False):
+            if shard[a] != now and own:
+                yield fold_of, own
+                own = []
+            now, fold_of = shard[a], batch.column("fold")[a].as_py()
+            own.append(batch.slice(a, b - a).select(["text", "label", "lang", "doc_id"]))
+    if own:
+        yield fold_of, own
+
+
+def _changes(rows: DataFrame, names: list[str], shared) -> DataFrame:
+    """The changes that a task's shards make to the networks, in blocks; shared has the networks before, or is None in the first round.
+
+    One Python function trains and adds up, so that a task has one worker: an executor keeps the idle
+    ones for a minute, beside the memory of the stage that follows.
+    """
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fold_of, own in _shards(batches):
+            words, y, lang = _read(own)
+            odds = np.zeros((1 << LANG_BITS, len(names)), np.float32)
+            for k in [j for j in range(1 + FOLDS) if j != 1 + fold_of] if shared else [fold_of]:
+                values = shared.value[k] if shared else _flat(_start(names))
+                change = (_flat(_fit(words, y, lang, _shaped(values, names, odds), STEPS // ROUNDS)) - values) * len(y)
+                yield from (_block(k, b, len(y), change[b : b + BLOCK]) for b in range(0, len(change), BLOCK))
+            if not shared:  # as network -1
+                counts = np.zeros((len(names), 1 << LANG_BITS))
+                for d, x in zip(words, lang, strict=True):
+                    if x is not None:
+                        counts[names.index(x)] += np.bincount(d[:, 0] >> np.uint32(32 - LANG_BITS), minlength=1 << LANG_BITS)
+                yield from (_block(-1, b, 1, counts.ravel()[b : b + BLOCK]) for b in range(0, counts.size, BLOCK))
+
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda batches: _added(go_on(batches)), BLOCKS)
+
+
+BLOCKS = "k int, b int, n long, values binary"
+
+
 def _averaged(rows: DataFrame, names: list[str], before: list[np.ndarray] | None) -> tuple[list[np.ndarray], np.ndarray]:
     """One round of all shards; the common network and those that leave a fold out, and in the first round the words by language.
 
@@ -325,27 +369,11 @@ def _averaged(rows: DataFrame, names: list[str], before: list[np.ndarray] | None
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(before) if before else None
 
-    def go_on(key, own):
-        (words, y, lang), fold_of, out = _read(own.select(["text", "label", "lang", "doc_id"]).to_batches()), key[1].as_py(), []
-        odds = np.zeros((1 << LANG_BITS, len(names)), np.float32)
-        for k in [j for j in range(1 + FOLDS) if j != 1 + fold_of] if shared else [fold_of]:
-            values = shared.value[k] if shared else _flat(_start(names))
-            change = (_flat(_fit(words, y, lang, _shaped(values, names, odds), STEPS // ROUNDS)) - values) * len(y)
-            out += [_block(k, b, len(y), change[b : b + BLOCK]) for b in range(0, len(change), BLOCK)]
-        if not shared:  # as network -1
-            counts = np.zeros((len(names), 1 << LANG_BITS))
-            for d, x in zip(words, lang, strict=True):
-                if x is not None:
-                    counts[names.index(x)] += np.bincount(d[:, 0] >> np.uint32(32 - LANG_BITS), minlength=1 << LANG_BITS)
-            out += [_block(-1, b, 1, counts.ravel()[b : b + BLOCK]) for b in range(0, counts.size, BLOCK)]
-        return pa.Table.from_batches(out)
-
     def mean(key, parts):
         n, total = sum(parts.column("n").to_pylist()), sum(np.frombuffer(v.as_py(), np.float32).astype(np.float64) for v in parts.column("values"))
         return pa.Table.from_batches([_block(key[0].as_py(), key[1].as_py(), n, total if key[0].as_py() < 0 else total / n)])
 
-    kind = "k int, b int, n long, values binary"
-    blocks = cut(rows.groupBy("shard", "fold").applyInArrow(go_on, kind).mapInArrow(_added, kind).groupBy("k", "b").applyInArrow(mean, kind), "networks")
+    blocks = cut(_changes(rows, names, shared).groupBy("k", "b").applyInArrow(mean, BLOCKS), "networks")
 
     def whole(k: int) -> tuple[np.ndarray, int]:
         found = sorted(blocks.where(F.col("k") == k).collect(), key=lambda r: r.b)  # one network or the words by language, of a fixed size

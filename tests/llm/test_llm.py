@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,6 +326,21 @@ def test_toxicity_equals_naive_forward_pass_and_numeric_gradients():
         assert abs(numeric - float(grad[place])) < 2e-2 * max(1, abs(numeric))
 
 
+def test_toxicity_trains_and_adds_up_in_one_worker_a_task(spark):
+    rows = spark.range(12).selectExpr("'a word' AS text", "CAST(id % 2 AS INT) AS label", "'en' AS lang", "id AS doc_id", "CAST(id % 6 AS INT) AS shard", "CAST(id % 3 AS INT) AS fold")
+    plan = toxicity._changes(rows, ["en"], None)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("InArrow") == 1 and "FlatMap" not in plan
+
+
+def test_toxicity_shards_go_on_over_batches():
+    kind = pa.schema([("text", pa.string()), ("label", pa.int32()), ("lang", pa.string()), ("doc_id", pa.int64()), ("shard", pa.int32()), ("fold", pa.int32())])
+    shards = [0, 0, 3, 3, 3, 4, 5, 5]
+    batches = [pa.RecordBatch.from_pylist([{"text": "x", "label": 0, "lang": "en", "doc_id": i, "shard": shards[i], "fold": shards[i] % 3} for i in own], kind) for own in (range(0, 3), [], range(3, 4), range(4, 8))]
+    got = [(fold, [i for b in own for i in b.column("doc_id").to_pylist()]) for fold, own in toxicity._shards(iter(batches))]
+    assert got == [(0, [0, 1]), (0, [2, 3, 4]), (1, [5]), (2, [6, 7])]
+    assert list(toxicity._shards(iter(batches[1:2]))) == []
+
+
 def test_toxicity_thresholds_by_brute_force():
     rng = np.random.default_rng(8)
     z, lang, y = rng.normal(size=400), rng.integers(0, 3, 400), rng.integers(0, 2, 400)
