@@ -184,8 +184,8 @@ def _windows(x: dict[str, np.ndarray], t0: np.ndarray, t2: np.ndarray, faint: fl
     return lo, hi, quiet, brightest
 
 
-def _bounds(x: dict[str, np.ndarray], t0: np.ndarray, t2: np.ndarray, lo: np.ndarray, hi: np.ndarray, quiet: np.ndarray, brightest: np.ndarray, n_peaks: np.ndarray) -> np.ndarray:
-    """What the score of each hypothesis can't exceed.
+def _bounds(x: dict[str, np.ndarray], t0: np.ndarray, t2: np.ndarray, lo: np.ndarray, hi: np.ndarray, quiet: np.ndarray, brightest: np.ndarray, n_peaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the score of each hypothesis can't exceed, and by how much at least a constant level lowers the score against the quiet one.
 
     STEP neighbouring peaks at a time: between the models of the first and the last of them every point
     takes the model that suits it best. Of the constant levels the quiet one and every LEVEL_STEP-th are tried.
@@ -230,8 +230,9 @@ def _bounds(x: dict[str, np.ndarray], t0: np.ndarray, t2: np.ndarray, lo: np.nda
         flat[blank] = _unseen_about(here[blank], below, False) - _unseen_about(np.zeros_like(below), below, True)
     level = np.add.reduceat(flat, starts, axis=0, dtype=np.float64)
     level[np.arange(n_levels.max()) >= n_levels[:, None]] = -np.inf
-    bound = 2 * (total.max(1) - np.maximum(level.max(1), 0)) + 4e-4 * cells + 1e-3
-    return np.where((quiet - start <= WIDEST) & ~np.isnan(bound), bound, np.inf)
+    lowered = np.nan_to_num(np.maximum(2 * level.max(1) - 2e-4 * cells - 1e-3, 0), nan=0.0)
+    bound = 2 * total.max(1) + 2e-4 * cells + 1e-3 - lowered
+    return np.where((quiet - start <= WIDEST) & ~np.isnan(bound), bound, np.inf), lowered
 
 
 def _scan(x: dict[str, np.ndarray], t0: np.ndarray, t2: np.ndarray, faint: float, least_nights: int) -> tuple | None:
@@ -256,20 +257,20 @@ def _scan(x: dict[str, np.ndarray], t0: np.ndarray, t2: np.ndarray, faint: float
         good = np.flatnonzero(stop > brightest - 2.0)
     number, lo, hi, quiet, brightest, stop = (y[good] for y in (number, lo, hi, quiet, brightest, stop))
     n_peaks = np.ceil((stop - brightest + 2.0) / 0.1 + 1e-6).astype(int)
-    bound, upto = np.empty(len(number)), np.cumsum(hi - lo)
+    bound, lowered, upto = np.empty(len(number)), np.empty(len(number)), np.cumsum(hi - lo)
     a = 0
     with np.errstate(all="ignore"):
         while a < len(number):  # few cells in memory
             b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + BOUNDED, "right")))
             own = slice(a, b)
-            bound[own] = _bounds(x, t0[number[own]], t2[number[own]], lo[own], hi[own], quiet[own], brightest[own], n_peaks[own])
+            bound[own], lowered[own] = _bounds(x, t0[number[own]], t2[number[own]], lo[own], hi[own], quiet[own], brightest[own], n_peaks[own])
             a = b
     best, part, cells, most = None, [], 0, 100
     order = np.argsort(-bound, kind="stable").tolist()
     for i, k in enumerate(order, 1):
         if bound[k] < (best[1] if best else 0.0):
             break
-        part.append((int(number[k]), slice(int(lo[k]), int(hi[k])), float(quiet[k]), brightest[k], np.arange(brightest[k] - 2.0, stop[k], 0.1)))
+        part.append((int(number[k]), slice(int(lo[k]), int(hi[k])), float(quiet[k]), brightest[k], np.arange(brightest[k] - 2.0, stop[k], 0.1), lowered[k]))
         cells += hi[k] - lo[k]
         # Few of them in memory: a point has some fifty models of a hypothesis. The first ones show how good the best must be.
         if i == len(order) or cells > most:
@@ -279,7 +280,7 @@ def _scan(x: dict[str, np.ndarray], t0: np.ndarray, t2: np.ndarray, faint: float
 
 def _best_of(found: list[tuple], best: tuple | None, t, mag, lim, sig, det, sat, t0, t2, least_nights: int) -> tuple | None:
     """The best of some hypotheses and of the best before them."""
-    cells, width = [own.stop - own.start for _, own, *_ in found], [len(p) for *_, p in found]
+    cells, width = [own.stop - own.start for _, own, *_ in found], [len(f[4]) for f in found]
     at = np.concatenate([np.arange(own.start, own.stop) for _, own, *_ in found])
     of = np.repeat(np.arange(len(found)), cells)
     h, quiet = np.asarray([f[0] for f in found]), np.asarray([f[2] for f in found])
@@ -297,15 +298,15 @@ def _best_of(found: list[tuple], best: tuple | None, t, mag, lim, sig, det, sat,
             out[blank] = unseen_likelihood(model[blank], lim[at][blank, None])
         return np.add.reduceat(out, starts, axis=0)
 
-    peaks = np.stack([np.concatenate([p, np.full(max(width) - len(p), p[-1])]) for *_, p in found])
+    peaks = np.stack([np.concatenate([f[4], np.full(max(width) - len(f[4]), f[4][-1])]) for f in found])
     models = -2.5 * np.log10(10 ** (-0.4 * quiet[of])[:, None] + (10 ** (-0.4 * peaks))[of] * shape[:, None])
     likely = total(models, at, starts)
     top = np.argmax(likely, 1)  # a repeated last peak never comes before it
-    bound = 2 * (likely[np.arange(len(found)), top] - total(np.repeat(quiet, cells)[:, None], at, starts)[:, 0])
+    bound = 2 * (likely[np.arange(len(found)), top] - total(np.repeat(quiet, cells)[:, None], at, starts)[:, 0]) - np.asarray([f[5] for f in found])
     for k in np.argsort(-bound, kind="stable").tolist():
         if bound[k] + 1e-6 < (best[1] if best else 0.0):
             break
-        number, own, calm, brightest, _ = found[k]
+        number, own, calm, brightest, *_ = found[k]
         model = models[starts[k] : starts[k] + cells[k], top[k]]
         d = det[own]
         support = d & (model < calm - 0.5) & (np.abs(np.where(d, mag[own], 0.0) - model) < 3 * sig[own] + 0.5)

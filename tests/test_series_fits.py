@@ -167,16 +167,16 @@ def test_scan_computes_few_hypotheses(monkeypatch):
 @pytest.mark.parametrize("sigma", [0.001, 0.15, 3.0])
 def test_no_score_exceeds_its_bound(monkeypatch, sigma):
     told, bounds = [], series_fits._bounds
-    monkeypatch.setattr(series_fits, "_bounds", lambda *a: told.append((*a[1:], bounds(*a))) or told[-1][-1])
+    monkeypatch.setattr(series_fits, "_bounds", lambda *a: told.append((*a[1:], *bounds(*a))) or told[-1][-2:])
     checked = 0
     for seed in range(4):
         x, t0, t2 = arrays_of(seed)
         x["sig"][:] = sigma
         told.clear()
         series_fits._scan(x, t0, t2, 15.0, 2)
-        for a, b, lo, hi, quiet, brightest, _, bound in ((*y,) for part in told for y in zip(*part, strict=True)):
+        for a, b, lo, hi, quiet, brightest, _, bound, lowered in ((*y,) for part in told for y in zip(*part, strict=True)):
             peaks = np.arange(brightest - 2.0, min(brightest + 3.0, quiet - 1.5), 0.1)
-            found = series_fits._best_of([(0, slice(lo, hi), quiet, brightest, peaks)], None, *(x[c] for c in ("t", "mag", "lim", "sig", "det", "sat")), np.array([a]), np.array([b]), 0)
+            found = series_fits._best_of([(0, slice(lo, hi), quiet, brightest, peaks, lowered)], None, *(x[c] for c in ("t", "mag", "lim", "sig", "det", "sat")), np.array([a]), np.array([b]), 0)
             assert found is None or found[1] <= bound
             checked += found is not None
     assert checked > 100
